@@ -153,9 +153,19 @@ def resolve_url(url: Column, base: Column) -> Column:
     return F.when(is_absolute(url), url).otherwise(_percent_encode(_tidy(_joined(trimmed, base))))
 
 
+def with_resolved(df: DataFrame, url: Column, out: str, base: Column) -> DataFrame:
+    """Adds `out`: `resolve_url` computed step by step."""
+    kept = [c for c in df.columns if c != out]
+    df = df.withColumn("__abs", _joined(F.trim(url), base))
+    df = df.withColumn("__abs", _tidy(F.col("__abs")))
+    value = F.when(is_absolute(url), url).otherwise(_percent_encode(F.col("__abs")))
+    return df.select(*kept, F.explode(F.array(value)).alias(out))
+
+
 def _tidy(url: Column) -> Column:
     """Dot segments of an absolute web URL folded, an empty path made '/'."""
-    head = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    head = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1))
+    head = sub(sub(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
     tail = F.regexp_extract(url, r"([?#].*)$", 1)
     path = url_path(url)
     path = F.when(path == "", F.lit("/")).otherwise(_without_dots(path))
@@ -193,7 +203,10 @@ def with_normalized(df: DataFrame, url: Column, out: str, base: Column | None =
         F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
     )
     norm = F.when(~F.col(f"{t}ok"), url).when(auth == "", sub(u, r"#.*$")).otherwise(web)
-    return df.withColumn(out, norm).drop(*[f"{t}{k}" for k in ("abs", "ok", "scheme", "auth", "path", "query", "host", "user")])
+    # Exploding a one-element array keeps later filters on the result above this step;
+    # pushed below it they would repeat the whole normalisation once per mention.
+    kept = [c for c in df.columns if not c.startswith(t) and c != out]
+    return df.select(*kept, F.explode(F.array(norm)).alias(out))
 
 
 def should_follow(norm: Column, base: Column, config: CrawlConfig = CrawlConfig()) -> Column:

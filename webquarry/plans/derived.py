@@ -52,3 +52,36 @@ DERIVED["deal_payloads"] = (
     "'\",\"savings\":\"5%\",\"inner\":{\"Item\":{\"rating\":4}}}}}],\"items\":[{\"title\":\"skip\"}],\"product\":\"flat\"}}' "
     "as body from part",
 )
+DERIVED["frame_pages"] = (
+    "customer",
+    "select c_custkey as page_id, 'http://site' || cast(c_nationkey as string) || '.example.com/list/' || "
+    "cast(c_custkey % 10 as string) || '?b=2&a=1' as url, "
+    "'<html><head><script>var u = {url: \"/rest/' || cast(c_custkey as string) || '\", endpoint: \"data.json\"}; fetch(\"/x/' || c_mktsegment || "
+    "'\"); $.get(\"#top\"); $.post(\"javascript:void\"); axios.get(\"https://api.example.net/v1?q=' || cast(c_nationkey as string) || '\")</script></head><body>"
+    "<iframe src=\"/frames/' || cast(c_nationkey as string) || '/?z=1&y=2#f\"></iframe><frame src=\"side.html\"><iframe src=\"/frames/' || "
+    "cast(c_nationkey as string) || '/?y=2&z=1\"></iframe>"
+    "<a href=\"#\">' || cast(2000 + c_nationkey as string) || '</a><a href=\"\">View all</a><a href=\"#\">' || "
+    "cast(c_custkey % 50 as string) || '</a><a class=\"btn big\" href=\"/detail/' || cast(c_custkey % 40 as string) || '\">Open</a>"
+    "<a href=\"more/' || cast(c_nationkey as string) || '.html\">Learn more</a><a href=\"/back\">View back</a><a href=\"#x\">details</a>"
+    "<a href=\"/plain\">plain</a><a href=\"?p=1\">see &gt;&gt;</a>"
+    "<div data-year=\"' || cast(1990 + c_nationkey as string) || '\">Year</div><span data-id=\"7\"></span>"
+    "<button onclick=\"go(''https://cdn.example.org/d/' || cast(c_nationkey as string) || ''')\">Go &amp; load</button>"
+    "<div role=\"button\">Press</div><ul class=\"nav\"><li class=\"nav-item\"><a href=\"/t\">Tab ' || cast(c_nationkey as string) || "
+    "'</a></li><li class=\"tab\">Second</li></ul></body></html>' as html from customer",
+)
+DERIVED["url_cases"] = (
+    "events",
+    "select event_id, case event_id % 12 when 0 then 'HTTP://WWW.Example.COM:80/a/b/../c/?z=1&a=' || cast(user_id as string) || '#frag' "
+    "when 1 then '/p/' || cast(user_id as string) || '/' when 2 then 'img/x.png' when 3 then '//cdn.example.net/lib.js' "
+    "when 4 then '?q=' || event_type when 5 then '#top' when 6 then 'mailto:u' || cast(user_id as string) || '@example.com' "
+    "when 7 then 'https://sub.example.com/api/v1' when 8 then '/rss/feed/' || event_type when 9 then 'doc.pdf' "
+    "when 10 then 'https://Example.com/path/?b=' || cast(user_id as string) || '&a=2&b=1' else '../up/' || event_type end as url, "
+    "'https://www.example.com/dir/page' || cast(user_id % 5 as string) || '.html?s=1' as base from events",
+)
+DERIVED["outbound_urls"] = (
+    "events",
+    "select event_id, user_id, case event_id % 9 when 0 then 'https://www.google-analytics.com/collect?v=1' "
+    "when 1 then 'https://ads.example.com/b/' || cast(user_id as string) when 2 then 'https://shop.example.com/i/' || cast(user_id as string) "
+    "when 3 then 'https://twitter.com/i/jot' when 4 then 'https://tracking.example.net/p' when 5 then 'https://example.org/' || event_type "
+    "when 6 then 'https://www.googletagmanager.com/gtm.js' when 7 then 'https://ad.doubleclick.net/x' else 'https://blog.example.org/analytics' end as url from events",
+)
