@@ -28,7 +28,7 @@ CONTAINER_TAGS = "ul ol table tbody thead tr select dl #end".split()
 END = "</#end>"
 
 # Running totals kept per token; the value before the token is stored.
-TOTALS = ("src", "raw", "chars", "ink", "els", "cells")
+TOTALS = ("src", "raw", "chars", "ink", "els", "cells", "trs")
 
 
 def visible_source(html: Column) -> Column:
@@ -79,6 +79,7 @@ def with_totals(tokens: DataFrame) -> DataFrame:
         "ink": F.coalesce(F.length(sub(F.col("text"), P.WS)), F.lit(0)),
         "els": is_el.cast("int"),
         "cells": (is_el & F.col("tag").isin("td", "th")).cast("int"),
+        "trs": (is_el & (F.col("tag") == "tr")).cast("int"),
     }
     sized = tokens.withColumns({f"{k}_own": v.cast("long") for k, v in own.items()})
     summed = sized.withColumns({k: F.sum(f"{k}_own").over(w) - F.col(f"{k}_own") for k in TOTALS})

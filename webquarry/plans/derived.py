@@ -85,3 +85,19 @@ DERIVED["outbound_urls"] = (
     "when 3 then 'https://twitter.com/i/jot' when 4 then 'https://tracking.example.net/p' when 5 then 'https://example.org/' || event_type "
     "when 6 then 'https://www.googletagmanager.com/gtm.js' when 7 then 'https://ad.doubleclick.net/x' else 'https://blog.example.org/analytics' end as url from events",
 )
+DERIVED["widget_pages"] = (
+    "customer",
+    "select c_custkey as page_id, 'http://shop.example.com/w/' || cast(c_custkey as string) as url, "
+    "'<html><head><title>' || c_name || '</title><script>fetch(\"/x\")</script></head><body><button>Go</button>' || "
+    "repeat('<input type=\"button\" value=\"b\">', cast(c_nationkey % 9 as int)) || "
+    "'<table><tbody></tbody></table><table><tr><td>a</td></tr><tr></tr></table><ul></ul><div class=\"data-x\"></div>' || "
+    "case c_custkey % 4 when 0 then '<ol id=\"y\"></ol><p>And so on...</p>' when 1 then '<p>Please wait</p>' "
+    "when 2 then '<p>Lorem ipsum dolor</p>' else '<div role=\"main\">Text of ' || c_name || '</div>' end || '</body></html>' as html from customer",
+)
+DERIVED["blocked_pages"] = (
+    "events",
+    "select event_id, '<html><body>' || case event_id % 9 when 0 then 'Cloudflare says: Ray ID ' || cast(user_id as string) "
+    "when 1 then 'Solve the reCAPTCHA, access denied' when 2 then '403 Forbidden' when 3 then 'Unusual Traffic from you' "
+    "when 4 then 'Incapsula incident id' when 5 then 'Enter the characters you see below' when 6 then 'hCaptcha' "
+    "when 7 then 'cloudflare hosted ' || event_type else event_type end || '</body></html>' as html from events",
+)
