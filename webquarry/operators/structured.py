@@ -188,23 +188,20 @@ def page_forms(pages: DataFrame) -> DataFrame:
 
 def csrf_token(pages: DataFrame) -> DataFrame:
     """page_id, field, token: meta tags before inputs, each in the order of the name lists."""
-    metas = T.find_all(F.col("html"), r"(?is)<meta\b[^>]*>")
-    inputs = T.find_all(F.col("html"), r"(?is)<input\b[^>]*>")
-
-    def found(toks: Column, names: tuple[str, ...], base: int, value_attr: str, loose: bool) -> list[Column]:
-        out = []
-        for rank, name in enumerate(names):
-            own = lambda t: F.coalesce(attr(t, "name"), F.lit(""))
-            test = (lambda t: F.contains(F.lower(own(t)), F.lit(name.lower()))) if loose else (lambda t: own(t) == name)
-            first = F.get(F.filter(toks, test), 0)
-            token = attr(first, value_attr)
-            out.append(F.when(F.coalesce(token, F.lit("")) != "", F.struct(
-                F.lit(base + rank).alias("rank"), own(first).alias("field"), token.alias("token"))))
-        return out
-
-    hits = found(metas, CSRF_METAS, 0, "content", False) + found(inputs, CSRF_FIELDS, 100, "value", True)
-    best = F.array_min(F.array_compact(F.array(*hits)))
-    return pages.select("page_id", best.alias("b")).filter("b is not null").select("page_id", "b.field", "b.token")
+
+    def named(pattern: str, value: str) -> Column:
+        return F.transform(T.find_all(F.col("html"), pattern), lambda t: F.struct(
+            F.coalesce(attr(t, "name"), F.lit("")).alias("name"), F.coalesce(attr(t, value), F.lit("")).alias("token")))
+
+    rows = pages.select(
+        "page_id", named(r"(?is)<meta\b[^>]*>", "content").alias("metas"), named(r"(?is)<input\b[^>]*>", "value").alias("inputs")
+    )
+    firsts = [F.get(F.filter("metas", lambda e, n=n: e["name"] == n), 0) for n in CSRF_METAS]
+    firsts += [F.get(F.filter("inputs", lambda e, n=n: F.contains(F.lower(e["name"]), F.lit(n.lower()))), 0) for n in CSRF_FIELDS]
+    best = F.get(F.filter(F.array(*firsts), lambda e: F.coalesce(e["token"], F.lit("")) != ""), 0)
+    return rows.select("page_id", best.alias("b")).filter("b is not null").select(
+        "page_id", F.col("b.name").alias("field"), "b.token"
+    )
 
 
 def listing_cards(pages: DataFrame, card: str = CARD, fields: dict[str, str] = CARD_FIELDS) -> DataFrame:

@@ -101,3 +101,33 @@ DERIVED["blocked_pages"] = (
     "when 4 then 'Incapsula incident id' when 5 then 'Enter the characters you see below' when 6 then 'hCaptcha' "
     "when 7 then 'cloudflare hosted ' || event_type else event_type end || '</body></html>' as html from events",
 )
+DERIVED["rich_pages"] = (
+    "part",
+    "select p_partkey as page_id, 'https://shop.example.com/p/' || cast(p_partkey as string) as url, "
+    "'<html><head><title>' || p_name || '</title><meta name=\"description\" content=\"About ' || p_brand || '\">"
+    "<meta property=\"og:title\" content=\"' || p_name || '\"><meta property=\"og:site_name\" content=\"Shop ' || cast(p_size as string) || '\">"
+    "<meta name=\"twitter:card\" content=\"summary\"><meta name=\"twitter:card\" content=\"large\"><meta itemprop=\"sku\" content=\"' || p_type || '\">"
+    "<script type=\"application/ld+json\">{\"@type\":\"Product\",\"name\":\"' || p_name || '\",\"offers\":{\"price\":\"12.5\",\"priceCurrency\":\"EUR\"}}</script>"
+    "<script type=\"application/ld+json\">[{\"@type\":\"Organization\",\"name\":\"' || p_brand || '\",\"url\":\"http://b.example\"},"
+    "{\"@type\":\"Recipe\",\"cook\":\"' || p_type || '\"},{\"name\":\"untyped\"}]</script>"
+    "<script type=\"application/ld+json\">{broken</script><script type=\"application/json\">{\"k\":' || cast(p_size as string) || '}</script>"
+    "</head><body><div itemscope itemtype=\"http://schema.org/Product\"><span itemprop=\"name\">' || p_name || '</span>"
+    "<a itemprop=\"url\" href=\"/p/1\">x</a><span itemprop=\"tag\">a</span><span itemprop=\"tag\">b</span>"
+    "<div itemprop=\"brand\" itemscope itemtype=\"http://schema.org/Organization\"><span itemprop=\"name\">' || p_brand || '</span></div></div>"
+    "<form action=\"/buy\" method=\"post\"><input name=\"q\" value=\"' || cast(p_size as string) || '\" required><input type=\"hidden\" name=\"csrf_token\" "
+    "value=\"tok' || cast(p_partkey as string) || '\"><select name=\"s\"><option value=\"a\">A</option><option value=\"b\" selected>B</option></select>"
+    "<textarea name=\"t\">Note</textarea></form>"
+    "<div data-asin=\"A' || cast(p_partkey as string) || '\"><h2><a href=\"/dp/1\"><span>' || p_name || '</span></a></h2><span class=\"a-price\">"
+    "<span class=\"a-offscreen\">$' || cast(p_size as string) || '</span></span></div><div data-asin=\"B2\"><span>none</span></div>"
+    "<div class=\"contact-box\"><a href=\"mailto:Sales' || cast(p_size as string) || '@Example.com\">mail</a><a href=\"tel:555 123 4567\">call</a></div>"
+    "<h1 class=\"company-title\">Acme ' || cast(p_size as string) || '</h1><time datetime=\"2024-03-05\">x</time>"
+    "<p>Write to info@x' || cast(p_partkey as string) || '.example.com or 555-123-9999 , see https://docs.example.com/x now</p></body></html>' as html from part",
+)
+DERIVED["model_replies"] = (
+    "events",
+    "select event_id, case event_id % 5 when 0 then '```json' || chr(10) || '{\"summary\":\"S' || cast(user_id as string) || '\",\"entities\":[{\"type\":\" Company \","
+    "\"data\":{\"name\":\"' || event_type || '\"},\"confidence\":1.7,\"source\":\"body\"}]}' || chr(10) || '```' "
+    "when 1 then 'Sure: {\"summary\":\"A\",\"explanation\":\"B\",\"entities\":[{\"type\":\"gadget\",\"data\":{\"n\":' || cast(user_id as string) || '},\"confidence\":\"0.25x\"},"
+    "{\"type\":\"person\",\"confidence\":\"high\"}]} done' when 2 then 'no json here ' || event_type when 3 then '{\"explanation\":\"E\",\"entities\":[]}' "
+    "else '{\"summary\": broken' end as reply from events",
+)
