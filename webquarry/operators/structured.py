@@ -196,8 +196,14 @@ def csrf_token(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         "page_id", named(r"(?is)<meta\b[^>]*>", "content").alias("metas"), named(r"(?is)<input\b[^>]*>", "value").alias("inputs")
     )
-    firsts = [F.get(F.filter("metas", lambda e, n=n: e["name"] == n), 0) for n in CSRF_METAS]
-    firsts += [F.get(F.filter("inputs", lambda e, n=n: F.contains(F.lower(e["name"]), F.lit(n.lower()))), 0) for n in CSRF_FIELDS]
+
+    def meta(name: str) -> Column:
+        return F.get(F.filter("metas", lambda e: e["name"] == name), 0)
+
+    def field(name: str) -> Column:
+        return F.get(F.filter("inputs", lambda e: F.contains(F.lower(e["name"]), F.lit(name.lower()))), 0)
+
+    firsts = [meta(n) for n in CSRF_METAS] + [field(n) for n in CSRF_FIELDS]
     best = F.get(F.filter(F.array(*firsts), lambda e: F.coalesce(e["token"], F.lit("")) != ""), 0)
     return rows.select("page_id", best.alias("b")).filter("b is not null").select(
         "page_id", F.col("b.name").alias("field"), "b.token"
