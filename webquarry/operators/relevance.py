@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
+from webquarry.operators.skew import salted_lookup
 
 # English function words that are no terms.
 STOPWORDS = (
@@ -27,7 +28,7 @@ STOPWORDS = (
     "we well were what where when which while who whom with would why you your yours yourself a b c d e f g h i j k l m "
     "n o p q r s t u v w x y z $ 1 2 3 4 5 6 7 8 9 0 _"
 ).split()
-THRESHOLD, TOP_SEGMENTS, MAX_ENTITIES, TERM_SALTS = 0.3, 10, 50, 16
+THRESHOLD, TOP_SEGMENTS, MAX_ENTITIES = 0.3, 10, 50
 
 
 def term_array(text: Column) -> Column:
@@ -63,10 +64,6 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return counted.select(key, "term", "n", (F.col("n") / F.col("len")).alias("tf"))
 
 
-def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.agg(F.count("*").alias("docs"))
-
-
 def inverse_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf = ln(N / df).  Counts are combined before the shuffle, so hot terms arrive reduced."""
     total = docs.agg(F.count("*")).scalar()
@@ -74,11 +71,9 @@ def inverse_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
     return by_term.select("term", "df", F.log(total / F.col("df")).alias("idf"))
 
 
-def with_idf(tf: DataFrame, idf: DataFrame, key: str, salts: int = TERM_SALTS) -> DataFrame:
-    """Every row gets the idf of its term.  A term found in a third of all rows is spread over `salts` tasks."""
-    salted = tf.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    copies = idf.select("term", "idf", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return salted.join(copies, ["term", "salt"]).drop("salt")
+def with_idf(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """Every row gets the idf of its term.  A term found in a third of all rows is spread over many tasks."""
+    return salted_lookup(tf, idf.select("term", "idf"), "term", key)
 
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

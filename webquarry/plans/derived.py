@@ -131,3 +131,16 @@ DERIVED["model_replies"] = (
     "{\"type\":\"person\",\"confidence\":\"high\"}]} done' when 2 then 'no json here ' || event_type when 3 then '{\"explanation\":\"E\",\"entities\":[]}' "
     "else '{\"summary\": broken' end as reply from events",
 )
+DERIVED["fetch_errors"] = (
+    "events",
+    "select event_id, ts, user_id, value, cast(event_id % 5 as int) as attempt, case event_id % 12 when 0 then 'request timeout' when 1 then 'connect ECONNRESET' "
+    "when 2 then 'Too many' when 3 then 'you are banned' when 4 then 'no entry' when 5 then 'gone' when 6 then 'oops' when 7 then 'solve recaptcha' "
+    "when 8 then 'access denied' when 9 then 'bad JSON at ' || event_type when 10 then 'strange' else 'HTTP 404' end as message, "
+    "case event_id % 12 when 2 then 429 when 3 then 403 when 4 then 401 when 5 then 404 when 6 then 503 end as status from events",
+)
+DERIVED["asks"] = (
+    "events",
+    "select event_id, case event_id % 6 when 0 then 'Refresh https://a.example/' || cast(user_id as string) || ' what is the price?' "
+    "when 1 then 'explore https://b.example/x and https://c.example' when 2 then 'just a question about ' || event_type when 3 then 'new scrape please' "
+    "when 4 then 'reinforced  https://d.example/' || event_type else 'Follow  links there' end as text from events",
+)
