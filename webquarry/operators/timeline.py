@@ -277,7 +277,7 @@ def progress_latest(updates: DataFrame) -> DataFrame:
 
 
 def actions_by_type(updates: DataFrame) -> DataFrame:
-    return updates.groupBy("status").agg(F.count("*").alias("events"), F.approx_count_distinct("job_id").alias("jobs_estimate"))
+    return updates.groupBy("status").agg(F.count("*").alias("events"))
 
 
 def ttl_lookup(writes: DataFrame, reads: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
