@@ -1,17 +1,24 @@
 """Regular expressions shared by several operators.
 
-Every pattern avoids lookaround and back references, so each can also be run by
-an RE2 engine when results are cross-checked.
+Patterns avoid lookaround and back references, so that they can also be run by an RE2
+engine when results are cross-checked; WS has a plain twin for that.
 """
 
-# White space as JavaScript sees it; Java's own \s is ASCII only.
-WS = (
+# White space as JavaScript sees it; Java's own \s is ASCII only.  WS is the same set as
+# PLAIN_WS, nested so that a plain letter is refused after two comparisons.
+PLAIN_WS = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+WS = (
+    r"[\t\n\x0B\f\r \x{00A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+    r"\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
+)
 WS_RUN = WS + "+"
-EDGE_WS = rf"\A{WS}+|{WS}+\z"
-NON_WS = "[^" + WS[1:-1] + "]+"
+WS_CHARS = "\t\n\x0b\f\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+PLAIN_WS_RUN = PLAIN_WS + "+"
+EDGE_WS = rf"\A{PLAIN_WS}+|{PLAIN_WS}+\z"
+NON_WS = "[^" + PLAIN_WS[1:-1] + "]+"
 
 SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 COMMENT = r"(?s)<!--.*?-->"

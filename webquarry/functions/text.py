@@ -35,7 +35,7 @@ def find_all(col: Column, pattern: str, group: int = 0) -> Column:
 
 
 def js_trim(col: Column) -> Column:
-    return sub(col, P.EDGE_WS)
+    return F.btrim(col, F.lit(P.WS_CHARS))
 
 
 def collapse(col: Column) -> Column:
@@ -44,7 +44,9 @@ def collapse(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.regexp_count(col, F.lit(P.NON_WS)).cast("long")
+    """Runs of non-blank characters: one more than the blank runs between them."""
+    inner = js_trim(col)
+    return F.when(inner == "", F.lit(0)).otherwise(F.regexp_count(inner, F.lit(P.WS_RUN)) + 1).cast("long")
 
 
 def decode_entities(col: Column) -> Column:
@@ -108,7 +110,7 @@ def remove_control_chars(col: Column) -> Column:
     # Control, zero-width and bidirectional marks that are dropped.
     return sub(
         col,
-        r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}-\x{200D}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}]",
+        r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F[\x{200B}-\x{FEFF}&&[\x{200B}-\x{200D}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}]]]",
     )
 
 

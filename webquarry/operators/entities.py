@@ -21,21 +21,23 @@ from webquarry.operators import dom, pagetext, structured
 
 # Entity types and the patterns that find entities in text.
 ENTITY_TYPES = "company person product article contact pricing custom".split()
-_S = P.WS[1:-1]  # white space inside a character class
+_S = P.PLAIN_WS[1:-1]  # white space inside a character class
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # word boundary as scripts see it: ASCII words only
-EMAIL = r"(?i)[\w.-]+@[\w.-]+\.\w+"
+EMAIL = r"[\w.-]++@[\w.-]+\.\w+"
 PHONE = rf"(?:\+?\d{{1,3}}[-.{_S}]?)?\(?\d{{3}}\)?[-.{_S}]?\d{{3}}[-.{_S}]?\d{{4}}"
-WEB_URL = rf"(?i)https?://[^{_S}]+"
-RULE_URL = rf"""(?i)https?://[^{_S}<>"{{}}|\\^`\[\]]+"""
+WEB_URL = rf"[hH][tT][tT][pP][sS]?://[^{_S}]+"
+RULE_URL = rf"""[hH][tT][tT][pP][sS]?://[^{_S}<>"{{}}|\\^`\[\]]+"""
 PRICE = (
     rf"(?i)[$₱€£¥₹][{_S}]*[\d,]+\.?\d*|[\d,]+\.?\d*[{_S}]*[$₱€£¥₹]|"
     rf"[\d,]+\.?\d*[{_S}]*(?:USD|PHP|EUR|GBP|JPY|INR|peso|dollar|euro|pound|yen)"
 )
 DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
 COMPANY = (
-    rf"{_EDGE}[A-Z][a-z]+(?:[{_S}]+[A-Z][a-z]+)*"
-    rf"(?:[{_S}]+(?:Inc|LLC|Ltd|Corp|Corporation|Company|Co))?\.?{_EDGE}"
+    rf"[A-Z](?<!\w[A-Z])[a-z]+(?:[{_S}]+[A-Z][a-z]+)*"
+    rf"(?:[{_S}]+(?:Inc|LLC|Ltd|Corp|Corporation|Company|Co))?(?:\.(?=\w)|(?!\w))"
 )
+# A character without which a pattern cannot match; tested first, as most texts hold none.
+NEEDS = {EMAIL: "@", WEB_URL: "://", RULE_URL: "://"}
 MAX_PROMPT_CHARS = 8000
 NO_DATA = "cast(map() as map<string,string>)"
 
@@ -181,8 +183,18 @@ def _path_to_selector(path: str) -> tuple[str, str | None]:
     return " ".join(steps), own
 
 
+def distinct_matches(text: Column, pattern: str) -> Column:
+    """Distinct matches in order; texts that cannot match are passed over by a cheaper test."""
+    found = F.array_distinct(T.find_all(text, pattern))
+    possible = F.contains(text, F.lit(NEEDS[pattern])) if pattern in NEEDS else (
+        T.matches(text, r"\d") if pattern in (PHONE, DATE) else None)
+    return found if possible is None else F.when(possible, found).otherwise(F.array().cast("array<string>"))
+
+
 def regex_select(text: Column, pattern: str) -> Column:
     """Distinct matches in order, case ignored; word boundaries are ASCII ones, as in scripts."""
+    if pattern in NEEDS or pattern == PHONE:  # built-in patterns have no letters whose case matters
+        return distinct_matches(text, pattern)
     pattern = pattern.replace(r"\b", _EDGE)
     return F.array_distinct(T.find_all(text, pattern if pattern.startswith("(?i)") else f"(?i){pattern}"))
 
@@ -307,7 +319,7 @@ def pattern_entities(
     kinds = {"email": "contact", "phone": "contact", "url": "custom", "price": "pricing", "company": "company", "date": "custom"}
     wanted = [(i, n, p) for i, (n, p) in enumerate(PATTERNS) if not entity_types or kinds[n] in entity_types]
     groups = F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.lit(kinds[n]).alias("type"), F.array_distinct(T.find_all(F.col("__text"), p)).alias("vs"))
+        F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.lit(kinds[n]).alias("type"), distinct_matches(F.col("__text"), p).alias("vs"))
         for i, n, p in wanted
     ])
     at = F.lit(0) if order is None else order

@@ -21,11 +21,13 @@ MIN_LENGTH, MIN_WORDS, MIN_SCORE, INTERACTION_SCORE, TRUSTED_SCORE = 100, 20, 0.
 SEMANTIC_TAGS = "article main section header footer nav aside".split()
 CATEGORY_WEIGHTS = {"completeness": 0.3, "relevance": 0.25, "structure": 0.2, "quality": 0.15}
 
-# Phrases and markup that point to content still to be loaded, missing or cut.
-AJAX_MARKS = r"data-load|onclick[^\n]*load|ajax[^\n]*true|fetch\(|xmlhttprequest|\.load\("
-LOADING_PHRASES = r"loading|please wait|click to view|select to load|choose[^\n]*to view|load more"
-PLACEHOLDER_PHRASES = r"(?i)lorem ipsum|placeholder|sample text|coming soon|under construction|no data|no content"
-TRUNCATION_MARKS = r"(?i)\.\.\.\z|more\.\.\.|read more|show more|continue reading"
+# Phrases and markup (lower case) that point to content still to be loaded, missing or cut.
+AJAX_MARKS = ("data-load", "fetch(", "xmlhttprequest", ".load(")
+AJAX_SPANS = (("onclick", "load"), ("ajax", "true"))
+LOADING_PHRASES = ("loading", "please wait", "click to view", "select to load", "load more")
+LOADING_SPANS = (("choose", "to view"),)
+PLACEHOLDER_PHRASES = ("lorem ipsum", "placeholder", "sample text", "coming soon", "under construction", "no data", "no content")
+TRUNCATION_PHRASES = ("more...", "read more", "show more", "continue reading")
 DYNAMIC_HTML = (
     r"(?is)<table[^>]*>\s*(<thead[^>]*>.*?</thead>)?\s*<tbody[^>]*>\s*</tbody>|<ul[^>]*>\s*</ul>|"
     r"""<div[^>]*class="[^"]*data[^"]*"[^>]*>\s*</div>"""
@@ -51,6 +53,16 @@ FEATURES = {
 }
 
 
+def mentions(low: Column, phrases: Sequence[str], spans: Sequence[tuple[str, str]] = ()) -> Column:
+    """Does lower-case text hold a phrase, or the two ends of a span on one line?  Plain searches come before any pattern."""
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(low, F.lit(phrase))
+    for start, end in spans:
+        found = found | (F.contains(low, F.lit(start)) & T.matches(low, rf"{start}[^\n]*{end}"))
+    return found
+
+
 # ---- inputs -------------------------------------------------------------------------------
 
 def _element_features(pages: DataFrame) -> DataFrame:
@@ -91,8 +103,7 @@ def _element_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def _task_hits(text: Column, words: Sequence[str]) -> Column:
-    low = F.lower(text)
+def _task_hits(low: Column, words: Sequence[str]) -> Column:
     out = F.lit(0)
     for w in words:
         out = out + F.contains(low, F.lit(w)).cast("int")
@@ -108,25 +119,28 @@ def quality_inputs(pages: DataFrame, task: str | None = None, text: Column | Non
         (pagetext.body_text(html) if text is None else text).alias("text"),
         (pagetext.page_title(html) if title is None else title).alias("title"),
     )
-    scripts = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
-    styles = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
-    body = F.col("text")
+    hidden = T.find_all(html, r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>")
+    rows = rows.select(
+        "page_id", F.length("html").alias("html_len"), "text", "title", F.lower("html").alias("low_html"), F.lower("text").alias("low"),
+        F.transform(hidden, lambda s: F.struct(
+            (F.lower(F.substring(s, 1, 7)) == "<script").alias("is_script"), T.sub(s, r"(?is)\A<[^>]*>|</[a-z]+\s*>\z").alias("body"))).alias("hidden"),
+    )
+    low = F.col("low")
     numbers = rows.select(
-        "page_id",
-        F.length("html").cast("long").alias("html_len"),
+        "page_id", F.col("html_len").cast("long").alias("html_len"),
         F.length("text").cast("long").alias("text_len"),
-        T.word_count(body).alias("words"),
-        F.regexp_count("html", F.lit(scripts)).cast("long").alias("scripts"),
-        F.regexp_count("html", F.lit(styles)).cast("long").alias("styles"),
-        F.size(F.filter(F.concat(T.find_all(html, scripts, 1), T.find_all(html, styles, 1)), lambda s: T.js_trim(s) == "")).cast("long").alias("blank_scripts"),
-        F.coalesce(F.length(F.array_join(F.concat(T.find_all(html, scripts, 1), T.find_all(html, styles, 1)), "")), F.lit(0)).cast("long").alias("script_chars"),
-        (T.matches(F.lower("html"), AJAX_MARKS) | T.matches(F.lower("text"), AJAX_MARKS)).alias("ajax"),
-        T.matches(F.lower("text"), LOADING_PHRASES).alias("loading"),
-        T.matches(body, PLACEHOLDER_PHRASES).alias("placeholder"),
-        T.matches(body, TRUNCATION_MARKS).alias("truncated"),
+        T.word_count(F.col("text")).alias("words"),
+        F.size(F.filter("hidden", lambda s: s["is_script"])).cast("long").alias("scripts"),
+        F.size(F.filter("hidden", lambda s: ~s["is_script"])).cast("long").alias("styles"),
+        F.size(F.filter("hidden", lambda s: T.js_trim(s["body"]) == "")).cast("long").alias("blank_scripts"),
+        F.aggregate("hidden", F.lit(0).cast("long"), lambda acc, s: acc + F.length(s["body"])).alias("script_chars"),
+        (mentions(F.col("low_html"), AJAX_MARKS, AJAX_SPANS) | mentions(low, AJAX_MARKS, AJAX_SPANS)).alias("ajax"),
+        mentions(low, LOADING_PHRASES, LOADING_SPANS).alias("loading"),
+        mentions(low, PLACEHOLDER_PHRASES).alias("placeholder"),
+        (F.endswith("low", F.lit("...")) | mentions(low, TRUNCATION_PHRASES)).alias("truncated"),
         (F.coalesce(F.col("title"), F.lit("")) != "").alias("titled"),
-        _task_hits(body, words).alias("task_hits"),
-        _task_hits(F.coalesce("title", F.lit("")), words).alias("title_hits"),
+        _task_hits(low, words).alias("task_hits"),
+        _task_hits(F.lower(F.coalesce("title", F.lit(""))), words).alias("title_hits"),
         F.lit(len(words)).alias("task_words"),
         F.lit(bool((task or "").strip())).alias("has_task"),
     )

@@ -20,7 +20,7 @@ def trim(x: str) -> str:
 
 
 def collapse(x: str) -> str:
-    return f"trim({rep(x, P.WS_RUN, ' ')})"
+    return f"trim({rep(x, P.PLAIN_WS_RUN, ' ')})"
 
 
 def decode(x: str) -> str:

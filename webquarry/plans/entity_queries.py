@@ -254,10 +254,18 @@ MICRO_ROWS = [
 ]
 
 
+COMPANY = rf"\b[A-Z][a-z]+(?:[{E._S}]+[A-Z][a-z]+)*(?:[{E._S}]+(?:Inc|LLC|Ltd|Corp|Corporation|Company|Co))?\.?\b"
+
+
+def plain(name, pattern):
+    """The pattern without possessive repeats and lookaround."""
+    return COMPANY if name == "company" else pattern.replace("++", "+")
+
+
 def pat_cte(col="text", key="doc_id", table="documents", conf="0.7"):
     parts = []
     for name, pattern in E.PATTERNS:
-        pattern = pattern.replace(E._EDGE, r"\b")
+        pattern = plain(name, pattern)
         kind = {"email": "contact", "phone": "contact", "url": "custom", "price": "pricing", "company": "company", "date": "custom"}[name]
         data = {"price": f"'price=' || v || ';value=' || regexp_replace(v, '[^0-9.]', '', 'g')", "company": "'name=' || v"}.get(
             name, f"case when '{name}' < 'type' then '{name}=' || v || ';type={name}' else 'type={name};{name}=' || v end")
@@ -309,7 +317,7 @@ select doc_id, row_number() over (partition by doc_id order by k) - 1 as pos, v
 upper('<b>' || event_type || '</b> <i>x</i>') as upper, strftime(ts, '%Y-%m-%d') as same from events""",
     "rule_extract": lit_rows(RULE_ROWS),
     "rule_extract_pages": f"""with {HEADING}, b as (select page_id, {BODY} txt from pages),
-c as (select page_id, lower(unnest(list_distinct(regexp_extract_all(txt, {O.q(E.EMAIL)})))) v from b),
+c as (select page_id, lower(unnest(list_distinct(regexp_extract_all(txt, {O.q(plain("email", E.EMAIL))})))) v from b),
 p as (select page_id, regexp_replace(unnest(list_distinct(regexp_extract_all(txt, {O.q(E.PHONE)}))), '\\s+', '-', 'g') v from b)
 select page_id, 'article' as type, 'title=' || v as data, 0.9::double as confidence, 'rule:article.article-title' as source from firsts
 union all select distinct page_id, 'contact', 'email=' || v || ';type=email', 0.9, 'rule:email.email-text' from c

@@ -100,6 +100,10 @@ QUERIES = {
 
 # ---- SQL twins ----------------------------------------------------------------------------
 
+AJAX = r"data-load|onclick[^\n]*load|ajax[^\n]*true|fetch\(|xmlhttprequest|\.load\("
+LOADING = r"loading|please wait|click to view|select to load|choose[^\n]*to view|load more"
+PLACEHOLDER = r"(?i)lorem ipsum|placeholder|sample text|coming soon|under construction|no data|no content"
+TRUNCATION = r"(?i)\.\.\.\z|more\.\.\.|read more|show more|continue reading"
 WORDS = [w for w in TASK.lower().split() if len(w) > 3]
 
 
@@ -112,7 +116,7 @@ SCRIPTS, STYLES = r"(?is)<script\b[^>]*>(.*?)</script\s*>", r"(?is)<style\b[^>]*
 INPUTS = f"""{O.tokens_cte()}, {O.elements_cte()},
 ec as (select e.page_id, e.pos, e.tag, e.kind, {O.attr('e.tok', 'class')} cls,
    sum(case when t.kind = 'text' then length({O.decode('t.tok')}) else 0 end) chars,
-   sum(case when t.kind = 'text' then length(regexp_replace({O.decode('t.tok')}, {O.q(P.WS)}, '', 'g')) else 0 end) ink,
+   sum(case when t.kind = 'text' then length(regexp_replace({O.decode('t.tok')}, {O.q(P.PLAIN_WS)}, '', 'g')) else 0 end) ink,
    sum(case when t.kind in ('open','void') then 1 else 0 end) inner_els
    from el e left join tok t on t.page_id = e.page_id and t.pos > e.pos and t.pos < e.stop group by all),
 ef as (select page_id, count(*) tags, count(*) filter (where coalesce(ink, 0) = 0 and coalesce(inner_els, 0) = 0) hollow,
@@ -126,13 +130,13 @@ ef as (select page_id, count(*) tags, count(*) filter (where coalesce(ink, 0) =
 rn as (select page_id, length(html) html_len, {O.collapse(O.decode(O.rep(s_body_source(), P.TAG)))} txt, {TITLE} title,
    len(regexp_extract_all(html, {O.q(SCRIPTS)})) scripts, len(regexp_extract_all(html, {O.q(STYLES)})) styles,
    coalesce(length(array_to_string(regexp_extract_all(html, {O.q(SCRIPTS)}, 1) || regexp_extract_all(html, {O.q(STYLES)}, 1), '')), 0) script_chars,
-   regexp_matches(lower(html), {O.q(Q.AJAX_MARKS)}) ajax from pages),
+   regexp_matches(lower(html), {O.q(AJAX)}) ajax from pages),
 i as (select page_id, html_len::double html_len, length(txt)::double text_len, {O.words('txt')}::double words, scripts, lists,
    (tags + scripts + styles + 3 - hh - hd - hb)::double tags, (hollow + 1 - hd)::double hollow, sem::double sem, main_any,
    case when main_chars > 0 then main_chars else length(txt) end::double main_chars, nav_chars::double nav_chars,
-   (noise_chars + script_chars)::double noise_chars, links::double links, ajax or regexp_matches(lower(txt), {O.q(Q.AJAX_MARKS)}) ajax,
-   regexp_matches(lower(txt), {O.q(Q.LOADING_PHRASES)}) loading, regexp_matches(txt, {O.q(Q.PLACEHOLDER_PHRASES)}) placeholder,
-   regexp_matches(txt, {O.q(Q.TRUNCATION_MARKS)}) truncated, title, {hits('txt')}::double / {len(WORDS)} m, {hits('title')}::double / {len(WORDS)} mt
+   (noise_chars + script_chars)::double noise_chars, links::double links, ajax or regexp_matches(lower(txt), {O.q(AJAX)}) ajax,
+   regexp_matches(lower(txt), {O.q(LOADING)}) loading, regexp_matches(txt, {O.q(PLACEHOLDER)}) placeholder,
+   regexp_matches(txt, {O.q(TRUNCATION)}) truncated, title, {hits('txt')}::double / {len(WORDS)} m, {hits('title')}::double / {len(WORDS)} mt
    from rn join ef using (page_id))"""
 NAV, NOISE = "(nav_chars / (nav_chars + main_chars))", "(noise_chars / (noise_chars + main_chars))"
 DENS, LINKED = "(text_len / html_len)", "(case when words > 0 then links / words else 0 end)"

@@ -10,7 +10,7 @@ from webquarry.operators import entities as E
 from webquarry.operators import relevance as R
 from webquarry.oracles import sql as O
 from webquarry.plans.derived import read
-from webquarry.plans.entity_queries import flat
+from webquarry.plans.entity_queries import flat, pat_cte, plain
 
 TASK = "What about tion, ing or erst?"
 
@@ -126,15 +126,13 @@ def best(threshold):
 
 def ents(col, table, conf):
     """Pattern entities with their confidence and place."""
-    from webquarry.plans.entity_queries import pat_cte
-
     return pat_cte(col, "doc_id", table, conf)
 
 
 def _segment_entities():
     parts = []
     for i, (name, pattern) in enumerate(E.PATTERNS):
-        pattern = pattern.replace(E._EDGE, r"\b")
+        pattern = plain(name, pattern)
         kind = {"email": "contact", "phone": "contact", "url": "custom", "price": "pricing", "company": "company", "date": "custom"}[name]
         data = {"price": "'price=' || v || ';value=' || regexp_replace(v, '[^0-9.]', '', 'g')", "company": "'name=' || v"}.get(
             name, f"case when '{name}' < 'type' then '{name}=' || v || ';type={name}' else 'type={name};{name}=' || v end")
@@ -155,7 +153,7 @@ select term, doc_id as first_doc, pos as first_pos from t qualify row_number() o
 select vec_id, round(list_dot_product(a, b), 9) as dot, round(sqrt(list_dot_product(a, a)), 9) as magnitude,
 round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 9) as cosine from e""",
     "sentences": f"with a as (select doc_id, {SENT} a from documents) select doc_id, generate_subscripts(a, 1) - 1 as segment, unnest(a) as sentence from a",
-    "paragraphs": rf"""with a as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, {O.q(chr(92) + 'n' + P.WS + '*' + chr(92) + 'n')}), lambda s: {O.trim('s')}), lambda s: s <> '') a from documents)
+    "paragraphs": rf"""with a as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, {O.q(chr(92) + 'n' + P.PLAIN_WS + '*' + chr(92) + 'n')}), lambda s: {O.trim('s')}), lambda s: s <> '') a from documents)
 select doc_id, generate_subscripts(a, 1) - 1 as pos, unnest(a) as paragraph from a""",
     "top_segments": f"with {SIM}, {seg('documents')}, {best(0.3)} select doc_id, segment, round(s, 9) as similarity, rank from bs",
     "relevant_entities": f"""with {SIM}, full_docs as (select d.doc_id, text, s as conf from documents d join sim using (doc_id) where coalesce(s, 0) >= 0.2),

@@ -30,12 +30,16 @@ def build_session(app: str = "webquarry", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder named by the cluster; a temporary one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="webquarry-")
+    if current:
+        return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="webquarry-")  # one machine, as in tests
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
