@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "webquarry", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_BYTES = 128 * 1024 * 1024
+
+
+def build_session(app: str = "webquarry", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
 
-    Shuffle width is left to AQE: start wide, coalesce at run time.  `master` is
-    only given on a laptop; on a cluster spark-submit supplies it.
+    `input_bytes` sets how wide shuffles start, about 128 MB each (page rows double when
+    cut into tokens); AQE merges small partitions at run time.  `master` is only given
+    on a laptop; on a cluster spark-submit supplies it.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -22,6 +26,10 @@ def build_session(app: str = "webquarry", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if input_bytes:
+        width = max(200, -(-2 * input_bytes // SHUFFLE_BYTES))
+        builder = builder.config("spark.sql.shuffle.partitions", str(width))
+        builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SHUFFLE_BYTES))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
