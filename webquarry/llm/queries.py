@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash
+from webquarry.llm import bpe, hyperminhash, substrings
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,8 +28,17 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.drop_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
