@@ -60,7 +60,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     first = np.flatnonzero(np.diff(place, prepend=-1))
     last = np.append(first[1:], len(p)) - 1
     a = place[first]
-    return a, h[a], p[first], p[last], np.searchsorted(at, a, "right") - 1
+    return a, mix(h[a]), p[first], p[last], np.searchsorted(at, a, "right") - 1  # mixed, as a least hash is small
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
@@ -74,13 +74,14 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield rows, part, np.array([0, len(part)]), lo
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(h, U).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack40(h: np.ndarray) -> bytes:
+    """40 bits of each hash; the group of buckets, of bounded size, stands for others, and contexts are compared afterwards."""
+    return np.ascontiguousarray(np.ascontiguousarray(h, U).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _unpack48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _unpack40(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return out.reshape(-1).view(U)
 
 
@@ -129,14 +130,14 @@ def _asks(parts: int):
         lead, size = bounds[:-1], np.diff(bounds)
         rows: list[tuple] = []
         several = np.repeat(size > 1, size)
-        for doc, raw in _by_doc(d[several], lambda i, x=h[several]: _pack48(x[i])):
+        for doc, raw in _by_doc(d[several], lambda i, x=h[several]: _pack40(x[i])):
             rows.append((hash(doc) % parts, doc, raw, 0, b"", b""))
         h, d, known = h[lead], d[lead], size > 1
         part = _part(h, parts)
         cut = _runs(part)
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             base, ids = _pack_ids(d[lo:hi])
-            rows.append((int(part[lo]), None, _pack48(h[lo:hi]), base, ids, np.packbits(known[lo:hi]).tobytes()))
+            rows.append((int(part[lo]), None, _pack40(h[lo:hi]), base, ids, np.packbits(known[lo:hi]).tobytes()))
         for k in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 4096]), _ASKS)], schema=_ASKS)
 
@@ -166,7 +167,7 @@ def _answers(group: pa.Table) -> pa.Table:
         if doc is not None:
             told.append((doc, raw))
             continue
-        h = _unpack48(raw)
+        h = _unpack40(raw)
         hs.append(h)
         ds.append(_unpack_ids(base, ids, len(h)))
         ks.append(np.unpackbits(np.frombuffer(known, np.uint8), count=len(h)).astype(bool))
@@ -176,11 +177,11 @@ def _answers(group: pa.Table) -> pa.Table:
         h, d, k = h[order], d[order], k[order]
         size = np.diff(_runs(h))
         ask = np.repeat(size > 1, size) & ~k
-        told.extend(_by_doc(d[ask], lambda i, x=h[ask]: _pack48(x[i])))
+        told.extend(_by_doc(d[ask], lambda i, x=h[ask]: _pack40(x[i])))
     return pa.table([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.binary())], schema=_SHARED)
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("at", "<i8"), ("doc", "<i8"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", CONTEXT)])
+_ENTRY = np.dtype([("at", "<i8"), ("doc", "<i8"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", CONTEXT)])
 _CUT = np.dtype([("at", "<i8"), ("mask", "<u4")])
 _CONTEXTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("entries", pa.binary())])
 _CUTS = pa.schema([("doc_id", pa.int64()), ("cuts", pa.binary())])
@@ -197,9 +198,23 @@ def _cut_rows(doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[tup
     return _by_doc(doc, lambda i: cuts[i].tobytes())
 
 
+def _pack_entries(e: np.ndarray) -> bytes:
+    """Column by column, which shuffles compress better."""
+    return b"".join(e[name].tobytes() for name in _ENTRY.names)
+
+
+def _unpack_entries(raw: bytes) -> np.ndarray:
+    out, at = np.zeros(len(raw) // _ENTRY.itemsize, _ENTRY), 0
+    for name in _ENTRY.names:
+        field = _ENTRY[name]
+        out[name] = np.frombuffer(raw, field.base, len(out) * (field.itemsize // field.base.itemsize), at).reshape(out[name].shape)
+        at += len(out) * field.itemsize
+    return out
+
+
 def _context_key(e: np.ndarray) -> np.ndarray:
-    """64 bits for bucket, starts and context of each entry."""
-    key = mix(e["h"] ^ (e["lo"].astype(U) << U(8)) ^ e["hi"].astype(U))
+    """64 bits for starts and context of each entry; the context holds the bucket's Q-gram."""
+    key = mix((e["lo"].astype(U) << U(8)) ^ e["hi"].astype(U))
     words = np.ascontiguousarray(e["ctx"]).view("<u8")
     for k in range(words.shape[1]):
         key = mix(key * U(0x9E3779B97F4A7C15) + words[:, k])
@@ -209,49 +224,51 @@ def _context_key(e: np.ndarray) -> np.ndarray:
 def _contexts(parts: int):
     """The text around the shared anchors, once for each different context of a task."""
 
-    def flush(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(e: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = _context_key(e)
         order = np.lexsort((e["doc"], key))
-        e, key = e[order], key[order]
+        e, h, key = e[order], h[order], key[order]
         bounds = _runs(key)
         least = np.repeat(e["doc"][bounds[:-1]], np.diff(bounds))
         beyond = e["doc"] > least
         rest = e[beyond]
         rows: list[tuple] = [(hash(doc) % parts, doc, raw) for doc, raw in _cut_rows(rest["doc"], rest["at"], _mask(rest["lo"], rest["hi"]))]
         e = e[~beyond]
-        part = _part(e["h"], parts)
+        part = _part(h[~beyond], parts)
         order = np.argsort(part, kind="stable")
         e, part = e[order], part[order]
         cut = _runs(part)
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            rows.append((int(part[lo]), None, e[lo:hi].tobytes()))
+            rows.append((int(part[lo]), None, _pack_entries(e[lo:hi])))
         for k in range(0, len(rows), 1024):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 1024]), _CONTEXTS)], schema=_CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, hs, n = [], [], 0
         for rows, data, at, offset in _segments(b for b in (b.filter(b.column("shared").is_valid()) for b in batches) if b.num_rows):
             a, h, first, last, doc = anchors(data, at)
             if not len(a):
                 continue
-            told = [np.concatenate([_unpack48(x) for x in lists]) for lists in rows.column("shared").to_pylist()]
+            told = [np.concatenate([_unpack40(x) for x in lists]) for lists in rows.column("shared").to_pylist()]
             owner = np.repeat(np.arange(len(told)), [len(x) for x in told])
             salt = lambda i: (i.astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
-            hit = np.flatnonzero(np.isin(mix((h & U((1 << 48) - 1)) ^ salt(doc)), mix(np.concatenate(told) ^ salt(owner))))
+            hit = np.flatnonzero(np.isin(mix((h & U((1 << 40) - 1)) ^ salt(doc)), mix(np.concatenate(told) ^ salt(owner))))
             e = np.zeros(len(hit), _ENTRY)
             a, first, last = a[hit], first[hit], last[hit]
-            place = a[:, None] - BACK + np.arange(CONTEXT)[None, :]
-            inside = (place >= first[:, None]) & (place < last[:, None] + LENGTH)
-            e["ctx"] = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0)
-            e["h"], e["lo"], e["hi"], e["at"] = h[hit], a - first, a - last, a - at[doc[hit]] + offset
+            padded = np.concatenate([np.zeros(BACK, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+            place = np.arange(CONTEXT, dtype=np.int32)[None, :] - BACK
+            inside = (place >= (first - a)[:, None]) & (place < (last - a)[:, None] + LENGTH)
+            e["ctx"] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[a] * inside
+            e["lo"], e["hi"], e["at"] = a - first, a - last, a - at[doc[hit]] + offset
             e["doc"] = rows.column("doc_id").to_numpy(zero_copy_only=False)[doc[hit]]
             held.append(e)
+            hs.append(h[hit])
             n += len(e)
             if n * 8 >= GATHER:
-                yield from flush(np.concatenate(held))
-                held, n = [], 0
+                yield from flush(np.concatenate(held), np.concatenate(hs))
+                held, hs, n = [], [], 0
         if n:
-            yield from flush(np.concatenate(held))
+            yield from flush(np.concatenate(held), np.concatenate(hs))
 
     return run
 
@@ -275,7 +292,7 @@ def _refined(group: pa.Table) -> pa.Table:
         if doc is not None:
             told.append((doc, raw))
         else:
-            held.append(np.frombuffer(raw, _ENTRY))
+            held.append(_unpack_entries(raw))
     if held:
         e = np.concatenate(held)
         key = _context_key(e)
