@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import U, distinct_per_row, mix, narrowed, shingles, span_hashes, steps, word_spans, written
+from webquarry.llm.common import U, bytes_of, distinct_per_row, mix, narrowed, shingles, span_hashes, steps, width, word_spans, written
 from webquarry.llm.components import components
 
 REGISTERS = 256
@@ -24,6 +24,10 @@ BANDS = REGISTERS // BAND
 EMPTY = 0xFFFF
 #: Pairs whose estimate is this many standard errors below the bound are not read in full.
 SIGMAS = 6.0
+#: Documents and bytes of a block of a large family, and columns of a block of the incidence matrix.
+BLOCK = 256
+BLOCK_BYTES = 4 << 20
+COLUMNS = 4096
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,45 +95,89 @@ def band_keys(reps: DataFrame) -> DataFrame:
     return rows.where(F.col("b.part") != F.lit(bytes([0xFF]) * 2 * BAND)).select(F.xxhash64("b.i", "b.part").alias("key"), "doc_id")
 
 
-def _plausible(pairs: DataFrame, cand: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b) whose corrected estimate does not rule them out."""
-    side = lambda name: cand.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-            found, count = estimate(rows("ra"), rows("rb"), n, m)
-            ruled_out = (found + SIGMAS * np.sqrt(share * (1 - share) / count) < share) | (np.minimum(n, m) < share * np.maximum(n, m) * (1 - 1e-9))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(~ruled_out))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, cand: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets meet the bound."""
-    side = lambda name: cand.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
-
-    def of(text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        return shingle_sets(raw, np.array([0, len(raw)]), words)[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in batches:
-            links = np.zeros(batch.num_rows, bool)
-            ids, ta, tb = batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb")
-            for i in range(batch.num_rows):
-                if ids[i] != last:  # the join leaves rows of one leader together
-                    last, kept = ids[i], of(ta[i].as_py())
-                other = of(tb[i].as_py())
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                links[i] = 100 * both >= percent * (len(kept) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(links))
-
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+def _plausible(sets: list[np.ndarray], share: float) -> np.ndarray:
+    """Which pairs of sets the corrected estimate of their registers does not rule out."""
+    sizes = np.array([len(x) for x in sets], float)
+    regs = registers(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    out = np.zeros((len(sets), len(sets)), bool)
+    for i in range(len(sets)):
+        found, count = estimate(np.broadcast_to(regs[i], regs.shape), regs, np.full(len(sets), sizes[i]), sizes)
+        out[i] = (found + SIGMAS * np.sqrt(share * (1 - share) / count) >= share) & (np.minimum(sizes, sizes[i]) >= share * np.maximum(sizes, sizes[i]) * (1 - 1e-9))
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections, by products of blocks of the incidence matrix."""
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    common = times[column] > 1
+    row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[row[i:j], column[i:j] - lo] = 1
+        out += block @ block.T  # whole numbers below 2 ** 24, so exact
+    return out
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning edge to the smallest id of its group for each other set; groups are the components of the links among these sets."""
+    near = _plausible(sets, percent / 100)
+    some = np.flatnonzero(near.any(axis=1))
+    if not len(some):
+        return []
+    sets, ids, near = [sets[i] for i in some], ids[some], near[np.ix_(some, some)]
+    sizes = np.array([len(x) for x in sets], float)
+    both = _shared_counts(sets)
+    link = near & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    label, last = ids.copy(), None
+    while last is None or (label != last).any():
+        last = label
+        label = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+    return [(int(a), int(b)) for a, b in zip(label, ids) if a != b]
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compared(words: int, percent: int):
+    """Edges of the families, or tiles of large ones, that one group holds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.select(["family", "i", "j", "doc_id", "text"]).combine_chunks().sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc_id", "ascending")])
+        tile = np.stack([rows.column(c).to_numpy() for c in ("family", "i", "j")])
+        ids, texts = rows.column("doc_id").to_numpy(), rows.column("text")
+        bounds = np.concatenate([[0], np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
+        edges: list[tuple[int, int]] = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            data, at = bytes_of(texts.slice(lo, hi - lo))
+            hashes, cut = shingle_sets(data, at, words)
+            edges += linked(ids[lo:hi], [hashes[cut[k] : cut[k + 1]] for k in range(hi - lo)], percent)
+        return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=_EDGES)
+
+    return run
+
+
+def _tiles(cand: DataFrame) -> DataFrame:
+    """Rows of (family, doc_id, text) with their group.
+
+    A family of up to BLOCK documents and BLOCK_BYTES is one tile, and many small families share a group.  A larger one
+    is cut into blocks by the hash of the key, and every two blocks are a tile.
+    """
+    size = cand.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = size.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    total = cand.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bundles = width(cand, -(-total // BLOCK_BYTES))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))))
+    placed = cand.join(blocks, "family").withColumn("own", own).withColumn("other", other)
+    tile = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks", "doc_id", "text")
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.xxhash64("family", "i", "j"))
+    return tile.withColumn("group", group).drop("blocks")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -140,33 +188,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     gives repeated rows.  Other columns are left out.
 
     Equal sets are one representative from the start, by an aggregate that combines before the shuffle.
-    In each bucket (band key) every member is compared with the bucket's smallest only; what
-    those links join needs no further comparison.  Then pairs of one bucket that are still in different
-    components are compared, so no candidate pair whose link could matter is left out.  Hot keys meet
-    equi-joins that Spark splits.  Texts are read again only for documents that share a bucket.
+    In each bucket (band key) all members hang on the smallest; what hangs together over any bucket is a
+    family.  Inside a family, tile by tile, the estimate rules pairs out and exact counts of shared shingles decide
+    the others; a tile returns one edge for each document that it links, never its pairs.  So no pair that shares a bucket
+    is left out, and hot keys meet only aggregates and equi-joins that Spark splits.  Texts are read again only for families.
     """
-    share = percent / 100
     base = narrowed(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = written(sketches(base, words), "sketches")
     classes = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
     bands = written(band_keys(classes), "bands")
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(bands.join(buckets, "key"), "buckets")
-    ids = shared.select("doc_id").distinct()
-    cand = written(base.dropDuplicates(["doc_id"]).join(ids, "doc_id", "left_semi").join(found.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers"), "doc_id"), "candidates")
-
-    star = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(_confirmed(_plausible(star, cand, share), cand, words, percent), "links")
-    joined = written(components(links), "joined")
-
-    labels = shared.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "leader", F.coalesce("component_id", "doc_id").alias("label"))
-    open_keys = labels.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = written(labels.join(open_keys, "key", "left_semi"), "open")
-    a = rest.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "leader")
-    b = rest.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    across = a.join(b, "key").where("a < b AND la <> lb AND a <> leader").select("a", "b").distinct()  # pairs with the leader are done
-    more = _confirmed(_plausible(across, cand, share), cand, words, percent)
-    groups = components(joined.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
+    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
+    star = bands.join(buckets, "key").where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    families = components(star).select(F.col("id").alias("doc_id"), F.col("component_id").alias("family"))
+    cand = written(base.join(families, "doc_id"), "families")
+    edges = _tiles(cand).groupBy("group").applyInArrow(_compared(words, percent), "a long, b long")
+    groups = components(edges)
 
     smallest = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = found.select("doc_id", "n_shingles", "set_key").join(smallest, "set_key", "left")
