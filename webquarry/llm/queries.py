@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash, mixing, quality, substrings
+from webquarry.llm import bpe, hyperminhash, mixing, pii, quality, substrings
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,11 +46,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL}
