@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash, mixing, pii, quality, substrings
+from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, quality, substrings
+from webquarry.llm.common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,6 +47,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langcrf.fit(langcrf.sampled(docs.where(~held_out(F.col("doc_id"))), "doc_id", "text", "lang"))
+    return langcrf.predicted(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(_table(spark, sf_dir, "documents")))
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_language": op9_language,
     "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL}
