@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, quality, substrings
+from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, pq, quality, substrings
 from webquarry.llm.common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langcrf.fit(langcrf.sampled(docs.where(~held_out(F.col("doc_id"))), "doc_id", "text", "lang"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_language": op9_language,
     "op10_pii": op10_pii,
 }
