@@ -184,7 +184,7 @@ def _answers(group: pa.Table) -> pa.Table:
 _ENTRY = np.dtype([("at", "<i8"), ("doc", "<i8"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", CONTEXT)])
 _CUT = np.dtype([("at", "<i8"), ("mask", "<u4")])
 _CONTEXTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("entries", pa.binary())])
-_CUTS = pa.schema([("doc_id", pa.int64()), ("cuts", pa.binary())])
+_CUTS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("mask", pa.int64())])
 
 
 def _mask(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -199,12 +199,13 @@ def _cut_rows(doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[tup
 
 
 def _pack_entries(e: np.ndarray) -> bytes:
-    """Column by column, which shuffles compress better."""
-    return b"".join(e[name].tobytes() for name in _ENTRY.names)
+    """Column by column and compressed, as most of it is text."""
+    return len(e).to_bytes(4, "little") + pa.compress(b"".join(e[name].tobytes() for name in _ENTRY.names), codec="zstd", asbytes=True)
 
 
 def _unpack_entries(raw: bytes) -> np.ndarray:
-    out, at = np.zeros(len(raw) // _ENTRY.itemsize, _ENTRY), 0
+    out, at = np.zeros(int.from_bytes(raw[:4], "little"), _ENTRY), 0
+    raw = pa.decompress(raw[4:], decompressed_size=len(out) * _ENTRY.itemsize, codec="zstd", asbytes=True)
     for name in _ENTRY.names:
         field = _ENTRY[name]
         out[name] = np.frombuffer(raw, field.base, len(out) * (field.itemsize // field.base.itemsize), at).reshape(out[name].shape)
@@ -287,10 +288,11 @@ def _identifiers(ctx: np.ndarray) -> np.ndarray:
 
 def _refined(group: pa.Table) -> pa.Table:
     """Which strings of one group of buckets a smaller document holds too."""
-    told, held = [], []
+    docs, cuts, held = [], [], []
     for doc, raw in zip(group.column("doc_id").to_pylist(), group.column("entries").to_pylist()):
         if doc is not None:
-            told.append((doc, raw))
+            cuts.append(np.frombuffer(raw, _CUT))
+            docs.append(np.full(len(cuts[-1]), doc))
         else:
             held.append(_unpack_entries(raw))
     if held:
@@ -316,18 +318,21 @@ def _refined(group: pa.Table) -> pa.Table:
         full = np.repeat(least, size) < e["doc"]
         mask = np.where(full, _mask(e["lo"], e["hi"]), np.repeat(mask, size).astype(np.uint32))
         some = mask > 0
-        told.extend(_cut_rows(e["doc"][some], e["at"][some], mask[some]))
-    return pa.table([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.binary())], schema=_CUTS)
+        cuts.append(np.zeros(int(some.sum()), _CUT))
+        cuts[-1]["at"], cuts[-1]["mask"] = e["at"][some], mask[some]
+        docs.append(e["doc"][some])
+    if not cuts:
+        return _CUTS.empty_table()
+    doc, cut = np.concatenate(docs), np.concatenate(cuts)
+    return pa.table([pa.array(doc, pa.int64()), pa.array(cut["at"]), pa.array(cut["mask"].astype(np.int64))], schema=_CUTS)
 
 
-def _spans(n: int, cuts: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the maximal removed runs of a text of n bytes."""
-    if not cuts:
+def _spans(at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal removed runs, from anchors and the starts before them that are held elsewhere."""
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = np.concatenate([np.frombuffer(x, _CUT) for x in cuts])
-    bits = (c["mask"][:, None] >> np.arange(BACK + 1, dtype=np.uint32)[None, :]) & 1
-    row, back = np.nonzero(bits)
-    start = np.unique(c["at"][row] - back)
+    row, back = np.nonzero((mask[:, None] >> np.arange(BACK + 1)[None, :]) & 1)
+    start = np.unique(at[row] - back)
     fresh = np.append(True, start[1:] > start[:-1] + LENGTH)
     first = np.flatnonzero(fresh)
     return start[first], start[np.append(first[1:], len(start)) - 1] + LENGTH
@@ -336,9 +341,12 @@ def _spans(n: int, cuts: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, at in steps(batches):
         starts, ends, kept, bounds = [], [], [], [0]
-        for i, cuts in enumerate(rows.column("cuts").to_pylist()):
+        cuts = rows.column("cuts")
+        cut = np.cumsum([0, *cuts.value_lengths().fill_null(0).to_pylist()])
+        places, masks = (np.asarray(cuts.flatten().field(name)) for name in ("at", "mask"))
+        for i in range(rows.num_rows):
             raw = data[at[i] : at[i + 1]]
-            s, e = _spans(len(raw), cuts)
+            s, e = _spans(places[cut[i] : cut[i + 1]], masks[cut[i] : cut[i + 1]])
             starts.append(s)
             ends.append(e)
             bounds.append(bounds[-1] + len(s))
@@ -375,5 +383,5 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     answers = asks.groupBy("part").applyInArrow(_answers, "doc_id long, hashes binary")
     shared = answers.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))  # as many as the document's own anchors
     around = rows.join(shared, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_contexts(parts), "part int, doc_id long, entries binary")
-    cuts = around.groupBy("part").applyInArrow(_refined, "doc_id long, cuts binary").groupBy("doc_id").agg(F.collect_list("cuts").alias("cuts"))
+    cuts = around.groupBy("part").applyInArrow(_refined, "doc_id long, at long, mask long").groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
     return rows.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
