@@ -6,16 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, pq, quality, substrings
+from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, pq, quality, substrings, tokencount, weaklinear
 from webquarry.llm.common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after four splices of each document, at places given by hashes of its id and length."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    draw = lambda k, name, below: F.pmod(F.xxhash64(F.lit(name), F.lit(k), "doc_id"), F.coalesce(below, F.lit(0)) + 1)
+    size = F.length("text")
+    edits = F.array(*[
+        F.struct(
+            draw(k, "at", size).alias("at"), draw(k, "delete", F.lit(40)).alias("delete"),
+            F.coalesce(F.substring("text", draw(k, "from", size).cast("int"), F.lit(30)), F.lit("")).alias("insert"),
+        ) for k in range(4)
+    ])
+    return tokencount.recounted(docs.withColumn("edits", edits), BYTE_RANKS, public_tokenizers.PATTERN).drop("text_after")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.round_trip(_table(spark, sf_dir, "documents"), WORD_BPE)
     return rows.select(
@@ -51,6 +66,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklinear.scored(_table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langcrf.fit(langcrf.sampled(docs.where(~held_out(F.col("doc_id"))), "doc_id", "text", "lang"))
@@ -62,12 +81,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_language": op9_language,
     "op10_pii": op10_pii,
 }
