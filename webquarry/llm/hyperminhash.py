@@ -180,12 +180,18 @@ def _tiles(cand: DataFrame) -> DataFrame:
     return tile.withColumn("group", group).drop("blocks")
 
 
+def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all columns, whose key is the smallest of its group."""
+    kept = near_duplicates(docs, key, text, words, percent).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; documents are linked where 100 * shared >= percent * all shingles.
 
     Words are runs without white space, A-Z in lower case.  A text with fewer than `words` words is one
     shingle; a null or blank text has none, links with nothing and stays.  `key` holds unique longs; a repeated key
-    gives repeated rows.  Other columns are left out.
+    gives repeated rows, and a row with a null key stays unless another row has the same set.  Other columns are left out.
 
     Equal sets are one representative from the start, by an aggregate that combines before the shuffle.
     In each bucket (band key) all members hang on the smallest; what hangs together over any bucket is a
@@ -209,5 +215,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return (
         member.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

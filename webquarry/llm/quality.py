@@ -152,6 +152,18 @@ def _odds(votes: np.ndarray, prior: float, bad_if_good: np.ndarray, bad_if_bad:
     return np.log(prior / (1 - prior)) + (votes == -1) @ on_bad + (votes == 1) @ on_good
 
 
+def _model(counted: DataFrame) -> tuple[DataFrame, Column]:
+    """`counted` with votes, and the log odds of good quality over them."""
+    votes = rules()
+    voted = counted.withColumns({f"vote_{n}": v.cast("int") for n, v in votes.items()})
+    names = [f"vote_{n}" for n in votes]
+    prior, weights = fit(voted, names)
+    return voted, sum((F.when(F.col(n) == -1, weights[n][-1]).when(F.col(n) == 1, weights[n][1]).otherwise(0.0) for n in names), F.lit(prior))
+
+
+BASE_FAILED = (f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
+
+
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Measures, base_failed, quality (posterior probability) and kept of every row.
 
@@ -159,12 +171,22 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     one half or more.  Null and blank texts have no words and fail; rows that repeat are judged alike; other columns are left out.
     Texts are read twice, for the counts of vote patterns and for the verdicts; nothing is shuffled but the pattern counts.
     """
-    counted = measures(docs, key, text)
-    votes = rules()
-    voted = counted.withColumns({f"vote_{n}": v.cast("int") for n, v in votes.items()})
-    names = [f"vote_{n}" for n in votes]
-    prior, weights = fit(voted, names)
-    odds = sum((F.when(F.col(n) == -1, weights[n][-1]).when(F.col(n) == 1, weights[n][1]).otherwise(0.0) for n in names), F.lit(prior))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    voted, odds = _model(measures(docs, key, text))
+    out = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", F.expr(BASE_FAILED))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
+def passed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that `judged` keeps, with all their columns; measured beside the row, so no join is needed."""
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(names)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in steps(batches):
+            found = measure_step(data, at)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(v.astype(np.int64)) for v in found.values()]], names=[*rows.schema.names, *found])
+
+    _, odds = _model(measures(docs, key, text))
+    beside = inner.mapInArrow(run, f"{schema}, {MEASURES}").withColumns({f"vote_{n}": v.cast("int") for n, v in rules().items()})
+    return beside.where(~F.expr(BASE_FAILED) & (odds >= 0)).select(*inner.columns).toDF(*names)
