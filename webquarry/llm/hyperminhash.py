@@ -1,8 +1,10 @@
 """Near-duplicate groups by HyperMinHash: compressed registers, bands over them, corrected estimate, full check.
 
-One hash per shingle: its first 8 bits pick one of 256 registers, of the rest the least value stays,
-kept as the count of leading zeros and the next MANTISSA bits.  Bands of BAND registers are join keys.
-A pair with a similarity of 0.8 shares a band with a probability over 0.9999996, of 0.85 over 0.999999997.
+One hash per shingle: its first 9 bits pick one of 512 registers, of the rest the least value stays,
+kept as the count of leading zeros and the next MANTISSA bits.  For the bands, an empty register takes the value of the
+first filled one in an order of its own, so that short texts do not meet by a single common shingle.  A band is the
+hash of some registers, as many as keep the chance of an equal band at the bound at MATCH or more; a pair at the bound
+then shares none of the BANDS with a probability below 0.000002.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 from webquarry.llm.common import U, bytes_of, distinct_per_row, mix, narrowed, shingles, span_hashes, steps, width, word_spans, written
 from webquarry.llm.components import components
 
-REGISTERS = 256
+REGISTERS = 512
+SLOT_BITS = 9
 MANTISSA = 10
-BAND = 6
-BANDS = REGISTERS // BAND
+BANDS = 48
+MATCH = 0.25
 EMPTY = 0xFFFF
 #: Pairs whose estimate is this many standard errors below the bound are not read in full.
 SIGMAS = 6.0
@@ -38,12 +41,12 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarr
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The registers of each sorted set, as rows of 256 sixteen-bit values."""
+    """The registers of each sorted set, as rows of sixteen-bit values."""
     n = len(bounds) - 1
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    slot = rows * REGISTERS + (hashes >> U(56)).astype(np.int64)
+    slot = rows * REGISTERS + (hashes >> U(64 - SLOT_BITS)).astype(np.int64)
     lead = np.flatnonzero(np.diff(slot, prepend=-1))  # sets are sorted, so the first of a register is its least
-    rest = (hashes[lead] << U(8)) | U(0xFF)
+    rest = (hashes[lead] << U(SLOT_BITS)) | U(REGISTERS - 1)
     zeros = 63 - np.floor(np.log2(np.maximum(rest >> U(11), U(1)).astype(np.float64))).astype(np.int64) - 11
     shifted = rest << (zeros + 1).astype(U)
     out = np.full(n * REGISTERS, EMPTY, np.uint16)
@@ -68,31 +71,58 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((equal - REGISTERS * chance) / count, 0, 1), count
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers) of each row of (doc_id, text); set_key is 128 bits over the whole set."""
+_ORDERS = np.random.default_rng(41).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers with every empty one filled from the first filled one in its order; rows without any stay."""
+    out = regs.copy()
+    some = np.flatnonzero((regs == EMPTY).any(axis=1) & (regs != EMPTY).any(axis=1))
+    row, slot = np.nonzero(regs[some] == EMPTY)
+    row = some[row]
+    for k in range(REGISTERS):
+        if not len(row):
+            break
+        found = regs[row, _ORDERS[slot, k]]
+        out[row, slot] = found
+        row, slot = row[found == EMPTY], slot[found == EMPTY]
+    return out
+
+
+def band_hashes(regs: np.ndarray, share: float) -> np.ndarray:
+    """The hash of each band, as rows of BANDS values."""
+    size = max(1, int(np.log(MATCH) / np.log(share))) if share < 1 else REGISTERS // BANDS
+    columns = np.random.default_rng(43).permutation(np.tile(np.arange(REGISTERS), -(-size * BANDS // REGISTERS)))[: size * BANDS].reshape(BANDS, size)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), (len(regs), BANDS)).copy()
+    for k in range(size):
+        out = mix(out * U(0x9E3779B97F4A7C15) + regs[:, columns[:, k]])
+    return out
+
+
+def sketches(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """(doc_id, n_shingles, set_key, bands) of each row of (doc_id, text); set_key is 128 bits over the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in steps(batches):
             hashes, bounds = shingle_sets(data, at, words)
-            regs = registers(hashes, bounds)
+            bands = band_hashes(filled(registers(hashes, bounds)), share)
             sums = [np.concatenate([[U(0)], np.cumsum(mix(hashes ^ U(salt)))]) for salt in (0x5BD1E995, 0xC2B2AE3D27D4EB4F)]
             keys = np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), pa.array(np.diff(bounds)),
-                    pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()),
+                    pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "registers"],
+                names=["doc_id", "n_shingles", "set_key", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """(key, doc_id): one row for each band that holds any register."""
+    """(key, doc_id): one row for each band."""
     at = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    rows = reps.select("doc_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.substring("registers", i * 2 * BAND + 1, F.lit(2 * BAND)).alias("part")))).alias("b"))
-    return rows.where(F.col("b.part") != F.lit(bytes([0xFF]) * 2 * BAND)).select(F.xxhash64("b.i", "b.part").alias("key"), "doc_id")
+    return reps.select(F.explode(F.transform(at, lambda i: F.xxhash64(F.substring("bands", i * 8 + 1, F.lit(8))))).alias("key"), "doc_id")
 
 
 def _plausible(sets: list[np.ndarray], share: float) -> np.ndarray:
@@ -200,8 +230,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     is left out, and hot keys meet only aggregates and equi-joins that Spark splits.  Texts are read again only for families.
     """
     base = narrowed(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = written(sketches(base, words), "sketches")
-    classes = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+    found = written(sketches(base, words, percent / 100), "sketches")
+    classes = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     bands = written(band_keys(classes), "bands")
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
     star = bands.join(buckets, "key").where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
