@@ -24,8 +24,11 @@ SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 
-# A tag may hold '>' inside a quoted value; a lone '<' is text.
-TAG = r"""<[a-zA-Z/!?][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+# A tag may hold '>' inside a quoted value; a lone '<' is text.  Possessive repeats are matched by a loop: a group that
+# may back off is matched by recursion, and a page with a missing quote then overflows the stack.  The pieces start
+# with different characters, so backing off could find nothing more.
+INSIDE_TAG = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
+TAG = rf"<[a-zA-Z/!?]{INSIDE_TAG}>"
 TOKEN = rf"(?s){TAG}|[^<]+|<"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,24 +51,43 @@ def word_count(col: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.regexp_count(inner, F.lit(P.WS_RUN)) + 1).cast("long")
 
 
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map, as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+# All names of HTML; those without ';' at the end are the old ones that count without it too.
+NAMED = {ref[:-1]: char for ref, char in html5.items() if ref.endswith(";")}
+OLD_NAMES = sorted((ref for ref in html5 if not ref.endswith(";")), key=lambda r: (-len(r), r))
+# References to 128..159 mean the characters of code page 1252.
+WINDOWS = {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def decode_entities(col: Column) -> Column:
     """Named and numeric character references to characters; text without '&' is passed through.
 
-    The text is split at '&'; each piece that starts with a known reference has it replaced.
+    The text is split at '&'; each piece that starts with a known reference has it replaced.  Old names
+    without ';' count where no letter, digit or '=' follows, as in attribute values.  Numbers that are no character give U+FFFD.
     """
-    named = F.create_map(*[F.lit(x) for ref, char in ENTITIES.items() for x in (ref[1:-1], char)])
+    common = F.create_map(*[F.lit(x) for ref, char in ENTITIES.items() for x in (ref[1:-1], char)])
+    old = "|".join(OLD_NAMES)
 
     def piece(part: Column, i: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});", 1)
-        digits = F.substring(name, 2, 8)
-        point = F.when(
-            F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)
-        ).otherwise(digits).try_cast("int")
-        valid = F.startswith(name, F.lit("#")) & point.between(1, 1114111) & ~point.between(55296, 57343)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(
-            F.try_element_at(named, name)
+        closed = F.regexp_extract(part, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        name = F.when(closed != "", closed).otherwise(F.regexp_extract(part, rf"^({old})(?![a-zA-Z0-9=;])", 1))
+        digits = F.regexp_extract(name, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+        point = F.when(F.length(digits) > 7, F.lit(-1)).when(
+            F.lower(F.substring(name, 2, 1)) == "x", F.conv(digits, 16, 10).try_cast("int")
+        ).otherwise(digits.try_cast("int"))
+        valid = point.between(1, 1114111) & ~point.between(55296, 57343)
+        number = F.coalesce(
+            F.try_element_at(_table(WINDOWS), point.cast("string")),
+            F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")),
+        )
+        char = F.when(F.startswith(name, F.lit("#")), number).when(
+            name != "", F.coalesce(F.try_element_at(common, name), F.try_element_at(_table(NAMED), name))
         )
-        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        rest = F.substring(part, F.length(name) + F.when(closed != "", 2).otherwise(1), F.length(part))
         return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part)))
 
     decoded = F.array_join(F.transform(F.split(col, F.lit("&")), piece), "")

@@ -38,7 +38,6 @@ COMPANY = (
 )
 # A character without which a pattern cannot match; tested first, as most texts hold none.
 NEEDS = {EMAIL: "@", WEB_URL: "://", RULE_URL: "://"}
-MAX_PROMPT_CHARS = 8000
 NO_DATA = "cast(map() as map<string,string>)"
 
 
@@ -504,11 +503,11 @@ def extract_with_fallback(pages: DataFrame, extractors: Extractors, preferred: S
 
 # ---- prompts and replies ------------------------------------------------------------------
 
-def prompt_rows(pages: DataFrame, text: Column, task: Column, url: Column, entity_types: Sequence[str] = (), max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """Adds prompt_content, wants_explanation, is_commerce, focus and prompt for an offline model."""
+def prompt_rows(pages: DataFrame, text: Column, task: Column, url: Column, entity_types: Sequence[str] = (), max_chars: int | None = None) -> DataFrame:
+    """Adds prompt_content, wants_explanation, is_commerce, focus and prompt for an offline model; `max_chars`, if given, cuts the text."""
     low = F.lower(F.coalesce(task, F.lit("")))
     rows = pages.withColumns({
-        "prompt_content": F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("...[truncated]"))).otherwise(text),
+        "prompt_content": text if max_chars is None else F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("...[truncated]"))).otherwise(text),
         # Words that ask for an explanation, and URL parts of shops.
         "wants_explanation": T.matches(low, "explain|explanation|details|detail|describe|what"),
         "is_commerce": T.matches(url, "shopee|amazon|ebay|commerce|product|store|buy|cart"),
@@ -525,8 +524,11 @@ def prompt_rows(pages: DataFrame, text: Column, task: Column, url: Column, entit
     return rows.withColumn("prompt", F.concat_ws("\n", *lines))
 
 
-def parse_replies(replies: DataFrame, key: str, reply: Column) -> DataFrame:
-    """key, summary, entities ARRAY<STRUCT<type, data, confidence, source>> from model replies."""
+def parse_replies(replies: DataFrame, key: str, reply: Column, failed_chars: int | None = None) -> DataFrame:
+    """key, summary, entities ARRAY<STRUCT<type, data, confidence, source>> from model replies.
+
+    A reply that is no JSON becomes the summary, its first `failed_chars` characters if given.
+    """
     clean = T.sub(T.sub(T.js_trim(reply), r"```json\s*"), r"```\s*\z")
     body = F.nullif(F.regexp_extract(clean, r"(?s)\{.*\}", 0), F.lit(""))
     rows = replies.select(key, reply.alias("__reply"), F.try_parse_json(body).alias("v"))
@@ -558,6 +560,6 @@ def parse_replies(replies: DataFrame, key: str, reply: Column) -> DataFrame:
     joined = F.when(more == "", summary).when(summary == "", more).otherwise(F.concat(summary, F.lit("\n\n"), more))
     listed = F.coalesce(F.try_variant_get("v", "$.entities", "array<variant>"), F.array().cast("array<variant>"))
     return rows.select(
-        key, F.when(F.col("v").isNull(), F.substring("__reply", 1, 500)).otherwise(joined).alias("summary"),
+        key, F.when(F.col("v").isNull(), F.col("__reply") if failed_chars is None else F.substring("__reply", 1, failed_chars)).otherwise(joined).alias("summary"),
         F.transform(listed, entity).alias("entities"),
     )

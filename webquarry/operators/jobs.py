@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webquarry.operators.skew import carried, micros
 
-TTL_SECONDS, SESSION_REUSE_SECONDS, CONTEXT_CHARS = 3600, 300, 15000
+TTL_SECONDS, SESSION_REUSE_SECONDS = 3600, 300
 CACHE_MODES = ("enabled", "disabled", "bypass", "read_only")
 
 
@@ -140,5 +140,8 @@ def conversation_history(turns: DataFrame, part_turns: int = 1000) -> DataFrame:
     return rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("history"))
 
 
-def chat_context(text: Column, limit: int = CONTEXT_CHARS) -> Column:
+def chat_context(text: Column, limit: int | None = None) -> Column:
+    """The text as context, cut after `limit` characters, if given."""
+    if limit is None:
+        return F.concat(text, F.lit(" "))
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(" ...[truncated]"))).otherwise(F.concat(text, F.lit(" ")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,8 +20,6 @@ ENDPOINT_PATTERNS = (
     r"""fetch\(['"]([^'"]+)['"]""", r"""\.get\(['"]([^'"]+)['"]""", r"""\.post\(['"]([^'"]+)['"]""",
     r"""ajax\(['"]([^'"]+)['"]""", r"""url:\s*['"]([^'"]+)['"]""", r"""endpoint:\s*['"]([^'"]+)['"]""",
 )
-MAX_ENDPOINT_CANDIDATES = 10
-MAX_DETAIL_LINKS = 15
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     """
     parts = F.split(dom.visible_source(F.col("html")), F.lit(r"(?i)<a[\s]"))
     rows = pages.select("page_id", "url", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("pos", "part"))
-    inside = r"""\A((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+    inside = rf"\A({P.INSIDE_TAG})>"
     rows = rows.withColumn("tok", F.concat(F.lit("<a "), F.regexp_extract("part", inside, 1), F.lit(">")))
     rows = rows.withColumn("href", attr(F.col("tok"), "href")).filter("href is not null or tok rlike '(?is)[\\\\s]href\\\\s*=\\\\s*(\"\"|\\'\\')'")
     inner = T.sub(T.sub(F.col("part"), inside), r"(?is)</a\b.*\z")
@@ -104,7 +104,7 @@ def ajax_endpoints(pages: DataFrame) -> DataFrame:
         F.concat(*[T.find_all(scripts, p, 1) for p in ENDPOINT_PATTERNS]),
         lambda e: ~F.startswith(e, F.lit("javascript:")) & ~F.startswith(e, F.lit("#")),
     )
-    toks = T.find_all(dom.visible_source(F.col("html")), r"""(?is)<[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
+    toks = T.find_all(dom.visible_source(F.col("html")), rf"(?is)<[a-z]{P.INSIDE_TAG}>")
     values = F.transform(toks, lambda t: F.coalesce(
         attr(t, "data-year"), attr(t, "data-id"), attr(t, "data-page"), attr(t, "onclick"), F.lit("")
     ))
@@ -128,8 +128,8 @@ def _trigger_values(pages: DataFrame) -> DataFrame:
     return texts.unionByName(data)
 
 
-def endpoint_candidates(pages: DataFrame, limit: int = MAX_ENDPOINT_CANDIDATES) -> DataFrame:
-    """page_id, url, rank: year triggers give three guesses, short numbers two; the first `limit` per page."""
+def endpoint_candidates(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """page_id, url, rank: year triggers give three guesses, short numbers two; the first `limit` per page, if given."""
     rows = _trigger_values(pages).groupBy("page_id", "url", "value").agg(F.min(F.struct("src", "pos")).alias("seen"))
     path = F.when(U.url_path(F.col("url")) == "", F.lit("/")).otherwise(U.url_path(F.col("url")))
     origin = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)
@@ -144,11 +144,12 @@ def endpoint_candidates(pages: DataFrame, limit: int = MAX_ENDPOINT_CANDIDATES)
     rows = rows.select("page_id", "is_id", "seen", F.posexplode(guesses).alias("i", "guess"))
     best = rows.groupBy("page_id", "guess").agg(F.min(F.struct("is_id", "seen", "i")).alias("k"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy("k")).cast("long"))
-    return ranked.filter(F.col("rank") <= limit).select("page_id", F.col("guess").alias("url"), "rank")
+    kept = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return kept.select("page_id", F.col("guess").alias("url"), "rank")
 
 
-def detail_links(pages: DataFrame, per_page: int = MAX_DETAIL_LINKS, overall: int | None = MAX_DETAIL_LINKS) -> DataFrame:
-    """url, page_id, pos: links that promise detail, `per_page` of each page, distinct, the first `overall`."""
+def detail_links(pages: DataFrame, per_page: int | None = None, overall: int | None = None) -> DataFrame:
+    """url, page_id, pos: links that promise detail, distinct; the first `per_page` of each page and the first `overall`, if given."""
     rows = anchors(pages)
     words = F.lower(F.col("anchor"))
     # Words and classes of detail links.
@@ -161,7 +162,7 @@ def detail_links(pages: DataFrame, per_page: int = MAX_DETAIL_LINKS, overall: in
     rows = rows.filter(~F.contains("dst", F.lit("back")) & (F.col("dst") != F.col("url")))
     first = rows.groupBy("page_id", "dst").agg(F.min("pos").alias("pos"))
     ranked = first.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("pos")))
-    kept = ranked.filter(F.col("n") <= per_page)
+    kept = ranked if per_page is None else ranked.filter(F.col("n") <= per_page)
     once = kept.groupBy("dst").agg(F.min(F.struct("page_id", "pos")).alias("k"))
     out = once.select(F.col("dst").alias("url"), "k.page_id", "k.pos")
     return out if overall is None else out.orderBy("page_id", "pos", "url").limit(overall)
@@ -210,11 +211,11 @@ def dedup_stats(deduped: DataFrame) -> DataFrame:
 # ---- crawl --------------------------------------------------------------------------------
 
 def crawl_frontier(
-    seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int | None = None
+    seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None
 ) -> DataFrame:
     """url, depth, parent_url, priority: breadth-first over edges(src, dst, priority, frame).
 
-    One round per depth.  Each round joins the frontier with the edges on the source,
+    One round per depth, until no new URL is found or `max_depth`, if given, is reached.  Each round joins the frontier with the edges on the source,
     keeps one parent per new URL by aggregate and drops known URLs by anti join; its
     result is written to the shared checkpoint folder, so a lost executor repeats one
     round only.  `max_pages` counts pages in breadth-first order (depth, then priority,
@@ -230,7 +231,7 @@ def crawl_frontier(
         )
     )
     known = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = (
             links.join(level.select(F.col("url").alias("src")), "src")
             .groupBy("dst")

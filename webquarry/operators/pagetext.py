@@ -79,7 +79,7 @@ def body_text(html: Column) -> Column:
 
 
 def _open_tag(names: str) -> str:
-    return rf"""(?i)<(?:{names})(?:[\s/][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)?>"""
+    return rf"(?i)<(?:{names})(?:[\s/]{P.INSIDE_TAG})?>"
 
 
 def structured_text(html: Column) -> Column:

@@ -28,7 +28,7 @@ STOPWORDS = (
     "we well were what where when which while who whom with would why you your yours yourself a b c d e f g h i j k l m "
     "n o p q r s t u v w x y z $ 1 2 3 4 5 6 7 8 9 0 _"
 ).split()
-THRESHOLD, TOP_SEGMENTS, MAX_ENTITIES = 0.3, 10, 50
+THRESHOLD, TOP_SEGMENTS = 0.3, 10
 
 
 def term_array(text: Column) -> Column:
@@ -151,7 +151,7 @@ def top_segments(
 
 def relevant_entities(
     docs: DataFrame, task: str | None, key: str = "doc_id", text: str = "text",
-    threshold: float = THRESHOLD, cap: int | None = MAX_ENTITIES,
+    threshold: float = THRESHOLD, cap: int | None = None,
 ) -> DataFrame:
     """key (as page_id), entity columns, method: whole text, best segments, or patterns only without a task.
 

@@ -6,6 +6,11 @@ from webquarry.functions import patterns as P
 from webquarry.functions.text import ENTITIES
 
 
+#: A tag and a token, as a plain pattern that may back off.
+TAG = r"""<[a-zA-Z/!?][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+TOKEN = rf"(?s){TAG}|[^<]+|<"
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -47,7 +52,7 @@ def visible(html: str = "html") -> str:
 
 def tokens_cte(pages: str = "pages", name: str = "tok") -> str:
     return f"""
-{name}_a as (select page_id, list_append(regexp_extract_all({visible()}, {q(P.TOKEN)}), '</#end>') a from {pages}),
+{name}_a as (select page_id, list_append(regexp_extract_all({visible()}, {q(TOKEN)}), '</#end>') a from {pages}),
 {name}_b as (select page_id, unnest(a) tok, generate_subscripts(a, 1) - 1 pos from {name}_a),
 {name} as (select page_id, pos, tok,
   case when tok = '</#end>' then '#end' else lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) end tag,

@@ -275,7 +275,7 @@ def pat_cte(col="text", key="doc_id", table="documents", conf="0.7"):
     return " union all ".join(parts)
 
 
-BODY = O.decode(O.rep(s_body_source(), P.TAG))
+BODY = O.decode(O.rep(s_body_source(), O.TAG))
 TITLE = O.trim(O.decode("regexp_extract(html, " + O.q("(?is)<title[^>]*>(.*?)</title>") + ", 1)"))
 TEXT_OF = O.trim(O.decode("string_agg(case when t.kind = 'text' then t.tok else '' end, '' order by t.pos)"))
 SEL = f"""{O.tokens_cte()}, {O.elements_cte()},
@@ -339,7 +339,7 @@ case when p_partkey % 5 = 0 then 0 else 3 end::bigint as entities, case when p_p
 union all select page_id + 100000000, case when page_id % 5 = 0 then null else 'head' end, (page_id % 5 <> 0)::int,
 case when page_id % 5 = 0 or {TITLE} = '' then 0 else 1 end, case when page_id % 5 = 0 then 'All extraction strategies failed' end from pages""",
     "extraction_report": f"with e as ({pat_cte()}) select type, source, count(*) as entities, count(distinct doc_id) as pages, round(avg(confidence), 6) as confidence from e group by rollup (type, source)",
-    "prompt_rows": "select doc_id, case when length(text) > 8000 then substring(text, 1, 8000) || '...[truncated]' else text end as prompt_content, "
+    "prompt_rows": "select doc_id, text as prompt_content, "
     "(doc_id % 2 = 0)::int as wants_explanation, (doc_id % 3 = 0)::int as is_commerce from documents",
     "parse_llm_rows": f"""select event_id, {REPLY} when 0 then 'S' || user_id when 1 then 'A' || chr(10) || chr(10) || 'B' when 2 then 'no json here ' || event_type when 3 then 'E' else '{{"summary": broken' end as summary,
 {REPLY} when 0 then 'company/' || event_type || '/1.00/body' when 1 then 'custom/' || user_id || '/0.25/,person/-/0.50/' else '' end as entities from events""",

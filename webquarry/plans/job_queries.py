@@ -270,5 +270,5 @@ select event_id as request_id, case when qts - b.t < interval 3 day then b.id en
     "keep_lru": "select event_id % 333 as key, max(ts) as ts from events group by 1 order by 2 desc, 1 limit 40",
     "keep_fifo": "select event_id % 333 as key, min(ts) as ts from events group by 1 order by 2 desc, 1 limit 40",
     "conversation_history": "select conv_id, turn // 1000 as part, string_agg(case when role = 'assistant' then 'model' else 'user' end || ':' || text, '|' order by turn, role, text) as history from conversations group by 1, 2",
-    "chat_context": "select doc_id, case when length(text) > 15000 then substring(text, 1, 15000) || ' ...[truncated]' else text || ' ' end as context from documents",
+    "chat_context": "select doc_id, text || ' ' as context from documents",
 }

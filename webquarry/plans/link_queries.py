@@ -119,13 +119,13 @@ def shop_edges(spark, sf):
 
 def q_crawl_frontier(spark, sf):
     seeds = read(spark, sf, "region").select(F.concat(F.lit("/r/"), "r_regionkey").alias("url"))
-    return L.crawl_frontier(seeds, shop_edges(spark, sf), max_depth=6)
+    return L.crawl_frontier(seeds, shop_edges(spark, sf))
 
 
 def q_page_crawl(spark, sf):
     pages = read(spark, sf, "pages")
     seeds = U.with_normalized(pages.select("url"), F.col("url"), "n").select(F.col("n").alias("url"))
-    return L.crawl_frontier(seeds, L.page_edges(pages), max_depth=2)
+    return L.crawl_frontier(seeds, L.page_edges(pages))
 
 
 def q_crawl_stats(spark, sf):

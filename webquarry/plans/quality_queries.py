@@ -127,7 +127,7 @@ ef as (select page_id, count(*) tags, count(*) filter (where coalesce(ink, 0) =
    coalesce(sum(chars * ((tag in ('nav','header','footer'))::int + (cls like '%ad%')::int + coalesce((cls like '%sidebar%')::int, 0) + coalesce((cls like '%widget%')::int, 0))) , 0)
      + coalesce(sum(chars) filter (where cls is null and tag in ('nav','header','footer')), 0) noise_chars,
    count(*) filter (where tag = 'a') links, count(*) filter (where tag in ('ul','ol')) lists from ec group by page_id),
-rn as (select page_id, length(html) html_len, {O.collapse(O.decode(O.rep(s_body_source(), P.TAG)))} txt, {TITLE} title,
+rn as (select page_id, length(html) html_len, {O.collapse(O.decode(O.rep(s_body_source(), O.TAG)))} txt, {TITLE} title,
    len(regexp_extract_all(html, {O.q(SCRIPTS)})) scripts, len(regexp_extract_all(html, {O.q(STYLES)})) styles,
    coalesce(length(array_to_string(regexp_extract_all(html, {O.q(SCRIPTS)}, 1) || regexp_extract_all(html, {O.q(STYLES)}, 1), '')), 0) script_chars,
    regexp_matches(lower(html), {O.q(AJAX)}) ajax from pages),
@@ -204,7 +204,7 @@ union all select page_id, 'truncated-content-detection', (c <> 0)::int, case whe
   from ov left join labels on doc_id = page_id)
 select page_id, round(case when use then bl else o end, 6) as overall, case when use then lq = 1 and bl >= 0.5 else o >= 0.5 end::int as sufficient,
  case when use then o < 0.4 or toxic = 1 else o < 0.4 end::int as needs_interaction, use::int as used_second from u""",
-    "dynamic_page_flag": f"""select page_id, (regexp_matches(html, {O.q(Q.DYNAMIC_MARKS)}) or regexp_matches({O.collapse(O.decode(O.rep(s_body_source(), P.TAG)))}, {O.q(Q.DYNAMIC_PHRASES)}))::int as dynamic from pages
+    "dynamic_page_flag": f"""select page_id, (regexp_matches(html, {O.q(Q.DYNAMIC_MARKS)}) or regexp_matches({O.collapse(O.decode(O.rep(s_body_source(), O.TAG)))}, {O.q(Q.DYNAMIC_PHRASES)}))::int as dynamic from pages
 union all select -c_custkey - 1, 1 from customer""",
     "min_content": "select doc_id, (length(case when text = '' then '<p></p>' else text end) > 100)::int as usable, "
     "(length(text) >= 200 or length(text) + 7 >= 500)::int as accepted from documents",

@@ -45,7 +45,8 @@ def q_cosine_query(spark, sf):
     tf = R.term_frequencies(d)
     idf = R.inverse_frequencies(tf, d)
     weights = R.with_idf(tf, idf, "doc_id").withColumn("weight", F.col("tf") * F.col("idf"))
-    return R.cosine_query(weights, idf, TASK).withColumn("similarity", F.round("similarity", 9))
+    scored = d.select("doc_id").join(R.cosine_query(weights, idf, TASK), "doc_id", "left").na.fill({"similarity": 0.0})  # without terms: 0
+    return scored.withColumn("similarity", F.round("similarity", 9))
 
 
 def q_vector_ops(spark, sf):
@@ -77,8 +78,7 @@ def q_top_segments(spark, sf):
 
 
 def q_relevant_entities(spark, sf):
-    out = R.relevant_entities(docs(spark, sf), TASK, threshold=0.2, cap=None)
-    return flat(out).join(out.select("page_id").distinct(), "page_id").withColumnRenamed("page_id", "doc_id")
+    return flat(R.relevant_entities(docs(spark, sf), TASK, threshold=0.2)).withColumnRenamed("page_id", "doc_id")
 
 
 def q_all_entities(spark, sf):
@@ -148,7 +148,7 @@ select term, doc_id as first_doc, pos as first_pos from t qualify row_number() o
     "tf": f"with {TF} select doc_id, term, n, round(tf, 9) as tf from tf",
     "idf": f"with {TF} select term, df, round(idf, 9) as idf from idf",
     "tfidf": f"with {TF} select doc_id, term, round(tf * idf, 9) as weight from tf join idf using (term)",
-    "cosine_query": f"with {SIM} select doc_id, round(coalesce(s, 0), 9) as similarity from sim",
+    "cosine_query": f"with {SIM} select doc_id, round(coalesce(s, 0), 9) as similarity from documents left join sim using (doc_id)",
     "vector_ops": """with e as (select vec_id, embedding::double[] a, list_reverse(embedding)::double[] b from embeddings)
 select vec_id, round(list_dot_product(a, b), 9) as dot, round(sqrt(list_dot_product(a, a)), 9) as magnitude,
 round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 9) as cosine from e""",

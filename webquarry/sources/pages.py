@@ -44,8 +44,8 @@ def append_pages(pages: DataFrame, path: str, site_buckets: int = 64, spread: in
     )
 
 
-def markdown_pages(docs: DataFrame, key: str = "doc_id", col: str = "markdown") -> DataFrame:
-    """Markdown-first pages: short or failed ones rejected, title, description and text derived."""
+def markdown_pages(docs: DataFrame, key: str = "doc_id", col: str = "markdown", description_chars: int | None = None) -> DataFrame:
+    """Markdown-first pages: short or failed ones rejected, title, description (cut, if asked) and text derived."""
     md = F.col(col)
     kept = docs.filter(
         (F.length(md) >= MIN_MARKDOWN_LENGTH) & ~F.contains(md, F.lit("Error:")) & ~F.contains(md, F.lit("Failed to"))
@@ -56,7 +56,7 @@ def markdown_pages(docs: DataFrame, key: str = "doc_id", col: str = "markdown")
     return kept.select(
         key,
         T.js_trim(F.regexp_extract(md, r"(?m)^#[\t\n\x0B\f\r \x{00A0}]+(.+)$", 1)).alias("title"),
-        F.coalesce(F.substring(F.get(blocks, 0), 1, 200), F.lit("")).alias("description"),
+        F.coalesce(F.get(blocks, 0) if description_chars is None else F.substring(F.get(blocks, 0), 1, description_chars), F.lit("")).alias("description"),
         _plain(md).alias("text"),
     )
 
