@@ -12,7 +12,7 @@ SECTION = (
     "filter_links url_dedup crawl_frontier meta_tags microdata page_forms rule_extract dedup_entities pattern_entities jsonld_entities "
     "extract_with_fallback parse_llm_rows tfidf cosine_query top_segments quality_verdict rule_based_verdict hybrid_verdict blocked_page_flag "
     "cascade_cost request_intent classify_errors retry_delay jobs_page job_state fresh_or_recompute session_reuse rate_limit_all "
-    "rate_limit_admitted circuit_state source_health ttl_lookup rate_limit_stream progress_stream"
+    "rate_limit_admitted source_health ttl_lookup rate_limit_stream progress_stream"
 ).split()
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else SECTION
 

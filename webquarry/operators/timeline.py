@@ -1,4 +1,4 @@
-"""Rate limits, circuit states, source health and time-to-live reads over event tables.
+"""Rate limits, error rates, source health and time-to-live reads over event tables.
 
 Every operator splits a busy key by time: windows see one (key, bucket) at a time and
 only one summary row per bucket is carried on.  Where a decision truly depends on the
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from webquarry.operators.skew import carried, micros
 
 WINDOW_SECONDS, MAX_REQUESTS = 60, 100
-ERROR_PERCENT, RESET_SECONDS, MIN_REQUESTS, RATE_BUCKETS = 50.0, 30, 0, 10
+RATE_BUCKETS = 10
 MAX_FAILURES = 5
 SECOND = 1_000_000
 
@@ -106,7 +106,7 @@ def limit_report(decisions: DataFrame, period: str = "1 day") -> DataFrame:
     ).select(F.col("w.start").alias("period_start"), "total", "refused", "active_keys")
 
 
-# ---- circuit breaker ----------------------------------------------------------------------
+# ---- error rate ---------------------------------------------------------------------------
 
 def error_rate(outcomes: DataFrame, window_seconds: int = WINDOW_SECONDS, buckets: int = RATE_BUCKETS) -> DataFrame:
     """source, window_start, requests, failures, error_percent over sliding windows."""
@@ -117,119 +117,31 @@ def error_rate(outcomes: DataFrame, window_seconds: int = WINDOW_SECONDS, bucket
                       (F.col("failures") * 100 / F.col("requests")).alias("error_percent"))
 
 
-class Breaker:
-    """State of one source's circuit, stepped in time order."""
-
-    def __init__(self, window_us: int, buckets: int, percent: float, reset_us: int, min_requests: int, opened_at: int | None = None):
-        self.step_us, self.buckets = window_us // buckets, buckets
-        self.percent, self.reset_us, self.min_requests = percent, reset_us, min_requests
-        self.opened_at = opened_at
-        self.counts: deque = deque()  # (bucket, requests, failures)
-
-    def step(self, us: int, ok: bool) -> tuple[str, str]:
-        """(what happens to the request, state afterwards)."""
-        probe = False
-        if self.opened_at is not None:
-            if us - self.opened_at < self.reset_us:
-                return "rejected", "open"
-            probe = True
-        bucket = us // self.step_us
-        while self.counts and self.counts[0][0] <= bucket - self.buckets:
-            self.counts.popleft()
-        if self.counts and self.counts[-1][0] == bucket:
-            _, n, f = self.counts.pop()
-        else:
-            n, f = 0, 0
-        self.counts.append((bucket, n + 1, f + (not ok)))
-        if ok:
-            self.opened_at = None
-            return ("probe" if probe else "run"), "closed"
-        total, failed = sum(c[1] for c in self.counts), sum(c[2] for c in self.counts)
-        if probe or (total >= self.min_requests and failed * 100 >= self.percent * total):
-            self.opened_at = us
-        return ("probe" if probe else "run"), ("closed" if self.opened_at is None else "open")
-
-
-def circuit_state(
-    outcomes: DataFrame, window_seconds: int = WINDOW_SECONDS, percent: float = ERROR_PERCENT, reset_seconds: int = RESET_SECONDS,
-    min_requests: int = MIN_REQUESTS, buckets: int = RATE_BUCKETS,
-) -> DataFrame:
-    """id, source, ts, action (run, probe, rejected), state after the request.
+# ---- source health ------------------------------------------------------------------------
 
-    After a gap longer than window and reset time the circuit enters a piece in one of
-    two ways only: closed and empty, or open and due for a probe.  Both ways are walked
-    at once, each piece on its own; which one holds follows from the exits of the pieces
-    before, carried over as a running value.
-    """
-    width, reset = window_seconds * SECOND, reset_seconds * SECOND
-    rows = outcomes.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"),
-                           F.col("ts").cast("timestamp").alias("ts"), F.col("ok"), micros(F.col("ts")).alias("us"))
-    cut = pieces(rows, "source", max(width, reset), ["us", "id"])
+def source_health(outcomes: DataFrame, max_failures: int = MAX_FAILURES, bucket_seconds: int = 86400) -> DataFrame:
+    """source, successes, failures, consecutive, avg_ms, status from id, source, ts, ok, ms.
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, closed, opened = None, None, None
-        for batch in batches:
-            out = []
-            for source, piece, us, ok in zip(batch["source"], batch["piece"], batch["us"], batch["ok"]):
-                if (source, piece) != current:
-                    current = (source, piece)
-                    closed = Breaker(width, buckets, percent, reset, min_requests)
-                    opened = Breaker(width, buckets, percent, reset, min_requests, opened_at=us - reset)
-                out.append((*closed.step(us, ok), *opened.step(us, ok)))
-            done = pd.DataFrame(out, columns=["action_c", "state_c", "action_o", "state_o"], index=batch.index)
-            yield pd.concat([batch[["id", "source", "ts", "us", "piece"]], done], axis=1)
-
-    schema = "id long, source string, ts timestamp, us long, piece long, action_c string, state_c string, action_o string, state_o string"
-    walked = cut.repartition("source", "piece").sortWithinPartitions("source", "piece", "us", "id").mapInPandas(walk, schema)
-    exits = walked.groupBy("source", "piece").agg(
-        F.max_by("state_c", F.struct("us", "id")).alias("exit_c"), F.max_by("state_o", F.struct("us", "id")).alias("exit_o"))
-    day = F.floor(F.col("piece") / (86400 * SECOND))
-    settled = F.col("exit_c") == F.col("exit_o")
-    flips = (F.col("exit_c") == "open") & (F.col("exit_o") == "closed")
-    exits = carried(exits, ["source"], day, ["piece"], sums={"flips": flips.cast("long")})
-    known = F.when(settled, F.struct(F.col("exit_c").alias("state"), F.col("flips").alias("at")))
-    exits = exits.withColumn("flips_before", F.col("flips") - flips.cast("long"))
-    exits = carried(exits, ["source"], day, ["piece"], last={"known": known}, before=True)
-    turned = (F.col("flips_before") - F.coalesce(F.col("known.at"), F.lit(0))) % 2 == 1
-    was_open = F.coalesce(F.col("known.state") == "open", F.lit(False))
-    entry = exits.select("source", "piece", (was_open != turned).alias("enters_open"))
-    both = walked.join(entry, ["source", "piece"])
-    return both.select(
-        "id", "source", "ts", F.when(F.col("enters_open"), F.col("action_o")).otherwise(F.col("action_c")).alias("action"),
-        F.when(F.col("enters_open"), F.col("state_o")).otherwise(F.col("state_c")).alias("state"),
+    One summary per source and day: its counts and the failures at its end.  The days of a source are then
+    folded in order, so a busy source is as many tasks as it has days, and its fold sees one row per day.
+    """
+    day = F.floor(micros(F.col("ts")) / (bucket_seconds * SECOND))
+    backwards = W.partitionBy("source", "day").orderBy(F.desc("ts"), F.desc("id")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = outcomes.withColumn("day", day).withColumn("later_ok", F.count_if("ok").over(backwards))
+    days = rows.groupBy("source", "day").agg(
+        F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"), F.count_if(F.col("later_ok") == 0).alias("tail"),
+        F.sum(F.when(F.col("ok"), F.col("ms"))).alias("ms"), F.count(F.when(F.col("ok"), F.col("ms"))).alias("timed"),
     )
-
-
-def circuit_stats(states: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """source, requests, successes, failures, rejected, error_rate over all time, and the last state."""
-    rows = states.join(outcomes.select("id", "ok"), "id")
-    ran = F.col("action") != "rejected"
-    return rows.groupBy("source").agg(
-        F.count_if(ran).alias("requests"), F.count_if(ran & F.col("ok")).alias("successes"), F.count_if(ran & ~F.col("ok")).alias("failures"),
-        F.count_if(~ran).alias("rejected"), F.max_by("state", F.struct("ts", "id")).alias("state"),
-    ).withColumn("error_rate", F.when(F.col("requests") > 0, F.col("failures") / F.col("requests")).otherwise(F.lit(0.0)))
-
-
-# ---- source health ------------------------------------------------------------------------
-
-def failure_runs(outcomes: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
-    """Adds `run`: consecutive failures up to and including the row (0 on a success)."""
-    rows = outcomes.withColumn("us", micros(F.col("ts")))
-    bucket = F.floor(F.col("us") / (bucket_seconds * SECOND))
-    rows = carried(rows, ["source"], bucket, ["us", "id"], sums={"fails": (~F.col("ok")).cast("long")})
-    rows = carried(rows, ["source"], bucket, ["us", "id"], last={"base": F.when(F.col("ok"), F.col("fails"))})
-    return rows.withColumn("run", F.col("fails") - F.coalesce("base", F.lit(0))).drop("base", "fails", "us")
-
-
-def source_health(outcomes: DataFrame, max_failures: int = MAX_FAILURES) -> DataFrame:
-    """source, successes, failures, consecutive, worst_run, avg_ms, status from id, source, ts, ok, ms."""
-    rows = failure_runs(outcomes)
-    out = rows.groupBy("source").agg(
-        F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"),
-        F.max_by("run", F.struct("ts", "id")).alias("consecutive"), F.max("run").alias("worst_run"),
-        F.avg(F.when(F.col("ok"), F.col("ms"))).alias("avg_ms"),
+    out = days.groupBy("source").agg(
+        F.sum("good").alias("successes"), F.sum("bad").alias("failures"),
+        F.array_sort(F.collect_list(F.struct("day", "good", "bad", "tail"))).alias("days"),
+        (F.sum("ms") / F.nullif(F.sum("timed"), F.lit(0))).alias("avg_ms"),
+    )
+    run = F.aggregate("days", F.lit(0).cast("long"), lambda acc, d: F.when(d.good > 0, d.tail).otherwise(acc + d.bad))
+    return out.select(
+        "source", "successes", "failures", run.alias("consecutive"), "avg_ms",
+        F.when(run >= max_failures, "UNHEALTHY").otherwise("ACTIVE").alias("status"),
     )
-    return out.withColumn("status", F.when(F.col("consecutive") >= max_failures, "UNHEALTHY").otherwise("ACTIVE"))
 
 
 def source_summary(health: DataFrame) -> DataFrame:

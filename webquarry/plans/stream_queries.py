@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from webquarry.operators import timeline as L
 from webquarry.plans.derived import read
+from webquarry.session import checkpoint_dir
 from webquarry.streaming import jobs as S
 
 
@@ -46,18 +49,6 @@ def q_error_rate(spark, sf):
     return out.select("source", F.unix_timestamp("window_start").alias("window_start"), "requests", "failures", F.round("error_percent", 6).alias("error_percent"))
 
 
-CIRCUIT = dict(window_seconds=6 * 3600, percent=50.0, reset_seconds=2 * 3600, min_requests=3)
-
-
-def q_circuit_state(spark, sf):
-    return L.circuit_state(outcomes(spark, sf), **CIRCUIT).select("id", "source", "action", "state")
-
-
-def q_circuit_stats(spark, sf):
-    rows = outcomes(spark, sf)
-    return L.circuit_stats(L.circuit_state(rows, **CIRCUIT), rows).withColumn("error_rate", F.round("error_rate", 6))
-
-
 def q_source_health(spark, sf):
     return L.source_health(outcomes(spark, sf)).withColumn("avg_ms", F.round("avg_ms", 6))
 
@@ -108,52 +99,62 @@ def q_ttl_lookup(spark, sf):
 
 # ---- streams ------------------------------------------------------------------------------
 
-def stream(spark, sf, table="events"):
+#: Longer than the tables' span of time, as their rows come in any order.
+WHOLE_SPAN = "5000 days"
+END = "timestamp '2100-01-01 00:00:00'"
+
+
+def stream(spark, sf, table="events", end="ts", parts=3):
+    """The table as shuffled files, one per trigger; with `end`, a row far in the future follows in a file of its own."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
-    return S.read_stream(spark, f"{sf}/{table}.parquet*", read(spark, sf, table))
+    rows = read(spark, sf, table)
+    folder = f"{checkpoint_dir(spark)}/webquarry/input-{uuid.uuid4().hex}"
+    key = rows.columns[0]
+    for part in range(parts):
+        rows.filter(F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)) == part).orderBy(F.xxhash64(key)).coalesce(1).write.mode("append").parquet(f"{folder}/{part}")
+    if end:
+        last = rows.select(*[F.expr(END).cast(f.dataType).alias(f.name) if f.name == end else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        last.limit(1).coalesce(1).write.parquet(f"{folder}/{parts}")
+    return S.read_stream(spark, f"{folder}/*", rows, files_per_trigger=1)
 
 
 def q_rate_limit_stream(spark, sf):
-    out = S.run_to_table(S.rate_limit_stream(stream(spark, sf), F.col("user_id") % 10, window_seconds=6 * 3600, limit=3))
-    return out.filter("not late").select("id", "key", F.col("allowed").cast("int").alias("allowed"), "remaining")
+    out = S.run_to_table(S.rate_limit_stream(stream(spark, sf), F.col("user_id") % 10, window_seconds=6 * 3600, limit=3, watermark=WHOLE_SPAN))
+    return out.select("id", "key", F.col("allowed").cast("int").alias("allowed"), "remaining")
 
 
 def _stream_outcomes(spark, sf):
     return as_outcomes(stream(spark, sf))
 
 
-def q_circuit_stream(spark, sf):
-    return S.run_to_table(S.circuit_stream(_stream_outcomes(spark, sf), **CIRCUIT)).select("id", "source", "action", "state")
-
-
 def q_health_stream(spark, sf):
-    out = S.run_to_table(S.health_stream(_stream_outcomes(spark, sf)), "update")
+    out = S.run_to_table(S.health_stream(_stream_outcomes(spark, sf), watermark=WHOLE_SPAN), "update")
     last = out.groupBy("source").agg(F.max_by(F.struct("successes", "failures", "consecutive", "avg_ms", "status"), "batch").alias("h"))
     return last.select("source", "h.*").withColumn("avg_ms", F.round("avg_ms", 6))
 
 
 def q_progress_stream(spark, sf):
-    out = S.run_to_table(S.progress_stream(updates(stream(spark, sf))), "update")
+    out = S.run_to_table(S.progress_stream(updates(stream(spark, sf, end=None))), "update")
     last = out.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "message", "updates"), "batch").alias("p"))
     return last.select("job_id", "p.*").withColumn("progress", F.round("progress", 6))
 
 
 def q_stream_page_dedup(spark, sf):
-    rows = stream(spark, sf, "pages").withColumn("ts", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,cast(page_id % 60 as int))"))
+    rows = stream(spark, sf, "pages", end=None).withColumn("ts", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,cast(page_id % 60 as int))"))
     out = S.run_to_table(S.page_dedup_stream(rows.select("page_id", "url", "ts")))
     return out.select("norm_url")
 
 
 def q_ttl_stream(spark, sf):
-    out = S.run_to_table(S.ttl_stream(ttl_line(stream(spark, sf))))
+    out = S.run_to_table(S.ttl_stream(ttl_line(stream(spark, sf)), watermark=WHOLE_SPAN))
     return out.withColumn("hit", F.col("hit").cast("int")).withColumn("key", F.col("key").cast("long"))
 
 
 QUERIES = {
     "rate_limit_all": q_rate_limit_all, "rate_limit_admitted": q_rate_limit_admitted, "limit_report": q_limit_report, "error_rate": q_error_rate,
-    "circuit_state": q_circuit_state, "circuit_stats": q_circuit_stats, "source_health": q_source_health, "source_summary": q_source_summary,
+    "source_health": q_source_health, "source_summary": q_source_summary,
     "source_ranking": q_source_ranking, "source_weights": q_source_weights, "round_robin": q_round_robin, "progress_latest": q_progress_latest,
-    "action_counts": q_action_counts, "ttl_lookup": q_ttl_lookup, "rate_limit_stream": q_rate_limit_stream, "circuit_stream": q_circuit_stream,
+    "action_counts": q_action_counts, "ttl_lookup": q_ttl_lookup, "rate_limit_stream": q_rate_limit_stream, 
     "health_stream": q_health_stream, "progress_stream": q_progress_stream, "stream_page_dedup": q_stream_page_dedup, "ttl_stream": q_ttl_stream,
 }
 
@@ -173,7 +174,7 @@ select id, k::varchar as key, ok::int as allowed, case when ok then 3 - len(keep
 OUT = "oc as (select event_id id, 's' || (user_id % 12) source, ts, event_type not in ('error', 'signup') ok, value ms from events)"
 HEALTH = f"""{OUT}, g as (select *, sum(ok::int) over (partition by source order by ts, id) grp from oc),
 r as (select *, case when ok then 0 else count(*) filter (where not ok) over (partition by source, grp order by ts, id) end run from g),
-h as (select source, count(*) filter (where ok) successes, count(*) filter (where not ok) failures, arg_max(run, (ts, id)) consecutive, max(run) worst_run,
+h as (select source, count(*) filter (where ok) successes, count(*) filter (where not ok) failures, arg_max(run, (ts, id)) consecutive,
    avg(ms) filter (where ok) avg_ms, case when arg_max(run, (ts, id)) >= 5 then 'UNHEALTHY' else 'ACTIVE' end status from r group by 1)"""
 PROGRESS = """select event_id % 400 as job_id, arg_max(event_type, ts) as status, round(arg_max(value % 100, ts), 6) as progress,
 'step ' || arg_max(event_id, ts) as message, count(*) as updates from events group by 1"""
@@ -181,31 +182,13 @@ TTL = """with w as (select user_id % 40 k, ts, event_id from events where event_
 r as (select user_id % 40 k, ts, event_id from events where event_type not in ('purchase', 'signup'))
 select r.event_id as id, r.k as key, case when r.ts < w.ts + interval 4 hour then 'v' || w.event_id end as value, coalesce(r.ts < w.ts + interval 4 hour, false)::int as hit
 from r asof left join w on r.k = w.k and r.ts >= w.ts"""
-CIRCUIT_WALK = """recursive n as (select event_id id, 's' || (user_id % 12) s, epoch_us(ts) us, event_type not in ('error', 'signup') ok,
-   row_number() over (partition by user_id % 12 order by ts, event_id) rn from events),
-st(s, rn, id, ok, opened, hist, action, state) as (
-  select s, 0::bigint, null::bigint, null::boolean, null::bigint, []::struct(b bigint, ok boolean)[], '', '' from n where rn = 1
-  union all
-  select s, rn, id, ok, opened2, hist2, action, case when opened2 is null then 'closed' else 'open' end from (
-    select *, case when rej then opened when ok then null
-        when probe or (len(hist2) >= 3 and len(list_filter(hist2, lambda x: not x.ok)) * 100 >= 50 * len(hist2)) then us end opened2,
-      case when rej then 'rejected' when probe then 'probe' else 'run' end action from (
-      select *, case when rej then hist else list_append(list_filter(hist, lambda x: x.b > us // 2160000000 - 10), {'b': us // 2160000000, 'ok': ok}) end hist2 from (
-        select n.s, n.rn, n.id, n.us, n.ok, st.opened, st.hist, coalesce(n.us - st.opened < 7200000000, false) rej, coalesce(n.us - st.opened >= 7200000000, false) probe
-        from st join n on n.s = st.s and n.rn = st.rn + 1)))),
-cs as (select * from st where rn > 0)"""
 ORACLE = {
-    "circuit_state": f"with {CIRCUIT_WALK} select id, s as source, action, state from cs",
-    "circuit_stream": f"with {CIRCUIT_WALK} select id, s as source, action, state from cs",
-    "circuit_stats": f"""with {CIRCUIT_WALK} select s as source, count(*) filter (where action <> 'rejected') as requests, count(*) filter (where action <> 'rejected' and ok) as successes,
-count(*) filter (where action <> 'rejected' and not ok) as failures, count(*) filter (where action = 'rejected') as rejected, arg_max(state, rn) as state,
-round(count(*) filter (where action <> 'rejected' and not ok) / count(*) filter (where action <> 'rejected'), 6) as error_rate from cs group by 1""",
     "rate_limit_all": f"with {ALL} select id, key, seen, (seen <= 8)::int as allowed, greatest(0, 8 - seen) as remaining from rl",
     "rate_limit_admitted": ADMITTED,
     "limit_report": f"with {ALL} select strftime(date_trunc('day', ts), '%Y-%m-%d') as period_start, count(*) as total, count(*) filter (where seen > 8) as refused, count(distinct key) as active_keys from rl group by 1",
     "error_rate": f"""with {OUT}, x as (select source, ok, time_bucket(interval 1 hour, ts) - unnest(range(6)) * interval 1 hour ws from oc)
 select source, epoch(ws)::bigint as window_start, count(*) as requests, count(*) filter (where not ok) as failures, round(count(*) filter (where not ok) * 100 / count(*), 6) as error_percent from x group by 1, 2""",
-    "source_health": f"with {HEALTH} select source, successes, failures, consecutive, worst_run, round(avg_ms, 6) as avg_ms, status from h",
+    "source_health": f"with {HEALTH} select source, successes, failures, consecutive, round(avg_ms, 6) as avg_ms, status from h",
     "source_summary": f"with {HEALTH} select count(*) as sources, count(*) filter (where status = 'ACTIVE') as active, count(*) filter (where status = 'UNHEALTHY') as unhealthy, "
     "round(avg(avg_ms), 6) as avg_ms, sum(successes + failures)::bigint as requests, round(sum(successes) / sum(successes + failures), 6) as success_rate from h",
     "source_ranking": f"with {HEALTH} select source, successes + failures as used, round(successes / (successes + failures), 6) as rate from h order by used, successes / (successes + failures) desc, source desc limit 5",

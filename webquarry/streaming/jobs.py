@@ -1,7 +1,8 @@
 """The time-based operators on streams.  Each has a batch twin in operators.timeline.
 
-Stateful ones decide at once: rows of a micro-batch are put in order per key, and a row
-older than what its key has already seen is marked late instead of rewriting decisions.
+Where the order of events matters, rows are held in state until the watermark has passed them and are then
+decided in event order by a timer, so the result does not depend on how rows fall into micro-batches.
+The end of a bounded input is told by a row far in the future, which moves the watermark past all others.
 """
 
 from __future__ import annotations
@@ -26,12 +27,9 @@ WATERMARK = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet folder (or glob) as a stream with the schema of `like`."""
-    reader = spark.readStream.schema(like.schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 64) -> DataFrame:
+    """A parquet folder (or glob) as a stream with the schema of `like`; a trigger takes so many files at most."""
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def event_time(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -89,150 +87,148 @@ def store_pages_stream(pages: DataFrame, path: str, checkpoint: str):
 
 # ---- keyed state --------------------------------------------------------------------------
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch, by time."""
-    return pd.concat(list(rows)).sort_values(["us", "id"], kind="stable")
+class _Ordered(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them, then decides over them in event order.
 
+    A subclass names the columns it holds and folds the released rows.  State beyond the held rows
+    and the fold's own is not kept; a key without either has none.
+    """
 
-class _Limiter(StatefulProcessor):
-    """Times of the latest admissions of a key and the newest time seen."""
+    held_schema = ""
+    order: tuple[str, ...] = ("us", "id")
 
-    def __init__(self, width: int, limit: int):
-        self.width, self.limit = width, limit
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        """Opens the fold's own state."""
+
+    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.admitted = handle.getListState("admitted", "us long")
-        self.clock = handle.getValueState("clock", "us long")
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.start(handle)
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(int(us) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = deque(x[0] for x in self.admitted.get())
-        seen = self.clock.get()[0] if self.clock.exists() else None
-        batch = _in_order(rows)
-        allowed, left, late = [], [], []
-        for us in batch["us"]:
-            behind = seen is not None and us < seen
-            ok, n = (False, 0) if behind else L.admit(times, int(us), self.width, self.limit)
-            seen = us if seen is None else max(seen, us)
-            allowed.append(ok), left.append(n), late.append(behind)
-        self.admitted.put([(t,) for t in times]) if times else self.admitted.clear()
-        self.clock.update((int(seen),))
-        yield pd.DataFrame({"id": batch["id"], "key": key[0], "ts": batch["ts"], "allowed": allowed, "remaining": left, "late": late})
+        least = None
+        for batch in rows:
+            self.held.appendList(list(batch[self.columns()].itertuples(index=False, name=None)))
+            low = int(batch["us"].min())
+            least = low if least is None else min(least, low)
+        if least is not None:
+            self._wake(least)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = pd.DataFrame(list(self.held.get()), columns=self.columns())
+        passed = rows["us"] < timerValues.getCurrentWatermarkInMs() * 1000
+        rest = rows[~passed]
+        self.held.clear()
+        if len(rest):
+            self.held.put(list(rest.itertuples(index=False, name=None)))
+            self._wake(rest["us"].min())
+        if passed.any():
+            yield self.fold(key, rows[passed].sort_values(list(self.order), kind="stable"))
+
+    def columns(self) -> list[str]:
+        return [part.split()[0] for part in self.held_schema.split(", ")]
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(
-    events: DataFrame, key: Column, window_seconds: int = L.WINDOW_SECONDS, limit: int = L.MAX_REQUESTS, id_col: str = "event_id"
-) -> DataFrame:
-    """id, key, ts, allowed, remaining, late."""
-    rows = events.select(F.col(id_col).cast("long").alias("id"), key.cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
-                         micros(F.col("ts")).alias("us"))
-    return rows.groupBy("key").transformWithStateInPandas(
-        _Limiter(window_seconds * L.SECOND, limit), "id long, key string, ts timestamp, allowed boolean, remaining long, late boolean", "Append", "None")
-
-
-class _Circuit(StatefulProcessor):
-    """The breaker of a source: when it opened, its rolling counts, the newest time seen."""
+class _Limiter(_Ordered):
+    """Times of the latest admissions of a key."""
 
-    def __init__(self, *settings):
-        self.settings = settings
+    held_schema = "us long, id long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.opened = handle.getValueState("opened", "us long")
-        self.counts = handle.getListState("counts", "bucket long, requests long, failures long")
-        self.clock = handle.getValueState("clock", "us long")
+    def __init__(self, width: int, limit: int):
+        self.width, self.limit = width, limit
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        breaker = L.Breaker(*self.settings, opened_at=self.opened.get()[0] if self.opened.exists() else None)
-        breaker.counts = deque(tuple(c) for c in self.counts.get())
-        seen = self.clock.get()[0] if self.clock.exists() else None
-        batch = _in_order(rows)
-        out = []
-        for us, ok in zip(batch["us"], batch["ok"]):
-            if seen is not None and us < seen:
-                out.append(("late", "closed" if breaker.opened_at is None else "open"))
-                continue
-            seen = us
-            out.append(breaker.step(int(us), bool(ok)))
-        self.opened.clear() if breaker.opened_at is None else self.opened.update((int(breaker.opened_at),))
-        self.counts.put([tuple(int(x) for x in c) for c in breaker.counts]) if breaker.counts else self.counts.clear()
-        self.clock.update((int(seen),))
-        yield pd.DataFrame({"id": batch["id"], "source": key[0], "ts": batch["ts"], "action": [o[0] for o in out], "state": [o[1] for o in out]})
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.admitted = handle.getListState("admitted", "at long")
 
-    def close(self) -> None:
-        pass
+    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        times = deque(int(x[0]) for x in self.admitted.get())
+        decided = [L.admit(times, int(us), self.width, self.limit) for us in rows["us"]]
+        self.admitted.put([(t,) for t in times]) if times else self.admitted.clear()
+        return pd.DataFrame({
+            "id": rows["id"], "key": key[0], "ts": pd.to_datetime(rows["us"], unit="us"),
+            "allowed": [d[0] for d in decided], "remaining": [d[1] for d in decided]})
 
 
-def circuit_stream(
-    outcomes: DataFrame, window_seconds: int = L.WINDOW_SECONDS, percent: float = L.ERROR_PERCENT, reset_seconds: int = L.RESET_SECONDS,
-    min_requests: int = L.MIN_REQUESTS, buckets: int = L.RATE_BUCKETS,
+def rate_limit_stream(
+    events: DataFrame, key: Column, window_seconds: int = L.WINDOW_SECONDS, limit: int = L.MAX_REQUESTS, id_col: str = "event_id",
+    watermark: str = WATERMARK,
 ) -> DataFrame:
-    rows = outcomes.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"),
-                           F.col("ts").cast("timestamp").alias("ts"), F.col("ok"), micros(F.col("ts")).alias("us"))
-    settings = (window_seconds * L.SECOND, buckets, percent, reset_seconds * L.SECOND, min_requests)
-    return rows.groupBy("source").transformWithStateInPandas(
-        _Circuit(*settings), "id long, source string, ts timestamp, action string, state string", "Append", "None")
+    """id, key, ts, allowed, remaining, given out once the watermark has passed a row."""
+    rows = event_time(events, watermark).select(
+        F.col(id_col).cast("long").alias("id"), key.cast("string").alias("key"), "ts", micros(F.col("ts")).alias("us"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        _Limiter(window_seconds * L.SECOND, limit), "id long, key string, ts timestamp, allowed boolean, remaining long", "Append", "EventTime")
 
 
-class _Health(StatefulProcessor):
+class _Health(_Ordered):
     """Counts and failure run of a source."""
 
+    held_schema = "us long, id long, ok boolean, ms double"
+
     def __init__(self, max_failures: int):
         self.max_failures = max_failures
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", "successes long, failures long, run long, ms double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         good, bad, run, ms = self.totals.get() if self.totals.exists() else (0, 0, 0, 0.0)
-        batch = _in_order(rows)
-        ok = batch["ok"].to_numpy(bool)
+        ok = rows["ok"].to_numpy(bool)
         tail = len(ok) if not ok.any() else len(ok) - 1 - ok.nonzero()[0][-1]
-        run = int(tail) + (run if not ok.any() else 0)
-        good, bad, ms = good + int(ok.sum()), bad + int((~ok).sum()), ms + float(batch["ms"][ok].sum())
+        run = int(tail) + (int(run) if not ok.any() else 0)
+        good, bad, ms = int(good) + int(ok.sum()), int(bad) + int((~ok).sum()), float(ms) + float(rows["ms"].to_numpy(float)[ok].sum())
         self.totals.update((good, bad, run, ms))
-        yield pd.DataFrame([{
+        return pd.DataFrame([{
             "source": key[0], "successes": good, "failures": bad, "consecutive": run, "avg_ms": ms / good if good else None,
             "status": "UNHEALTHY" if run >= self.max_failures else "ACTIVE"}])
 
-    def close(self) -> None:
-        pass
-
 
-def health_stream(outcomes: DataFrame, max_failures: int = L.MAX_FAILURES) -> DataFrame:
-    """Health of the sources touched by each micro-batch; run in update mode."""
-    rows = outcomes.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), "ok", "ms", micros(F.col("ts")).alias("us"))
+def health_stream(outcomes: DataFrame, max_failures: int = L.MAX_FAILURES, watermark: str = WATERMARK) -> DataFrame:
+    """Health of the sources whose rows the watermark has just passed; run in update mode."""
+    rows = event_time(outcomes, watermark).select(
+        F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), "ts", "ok", F.col("ms").cast("double").alias("ms"), micros(F.col("ts")).alias("us"))
     return rows.groupBy("source").transformWithStateInPandas(
-        _Health(max_failures), "source string, successes long, failures long, consecutive long, avg_ms double, status string", "Update", "None")
+        _Health(max_failures), "source string, successes long, failures long, consecutive long, avg_ms double, status string", "Update", "EventTime")
 
 
-class _TtlValue(StatefulProcessor):
+class _TtlValue(_Ordered):
     """The last value written under a key and until when it holds."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    held_schema = "us long, id long, side int, value string, ttl long"
+    order = ("us", "side", "id")
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.entry = handle.getValueState("entry", "value string, until long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         value, until = self.entry.get() if self.entry.exists() else (None, 0)
-        batch = pd.concat(list(rows)).sort_values(["us", "side", "id"], kind="stable")
-        out = []
-        for row in batch.itertuples():
+        until, out = int(until), []
+        for row in rows.itertuples():
             if row.side == 0:
                 value, until = row.value, int(row.us + row.ttl * L.SECOND)
             else:
                 hit = row.us < until
                 out.append((row.id, key[0], value if hit else None, hit))
-        if until:
+        if until > int(rows["us"].max()):
             self.entry.update((value, until))
-        yield pd.DataFrame(out, columns=["id", "key", "value", "hit"])
-
-    def close(self) -> None:
-        pass
+        else:
+            self.entry.clear()  # ran out: no later read can see it
+        return pd.DataFrame(out, columns=["id", "key", "value", "hit"])
 
 
-def ttl_stream(line: DataFrame) -> DataFrame:
+def ttl_stream(line: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Reads answered from a stream of writes (side 0: value, ttl) and reads (side 1): key, ts, id, side, value, ttl."""
-    rows = line.select(F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("side").cast("int").alias("side"),
-                       "value", F.col("ttl").cast("long").alias("ttl"), micros(F.col("ts")).alias("us"))
-    return rows.groupBy("key").transformWithStateInPandas(_TtlValue(), "id long, key string, value string, hit boolean", "Append", "None")
+    rows = event_time(line, watermark).select(
+        F.col("key").cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("side").cast("int").alias("side"),
+        "ts", "value", F.col("ttl").cast("long").alias("ttl"), micros(F.col("ts")).alias("us"))
+    return rows.groupBy("key").transformWithStateInPandas(_TtlValue(), "id long, key string, value string, hit boolean", "Append", "EventTime")
