@@ -49,7 +49,8 @@ DERIVED["deal_payloads"] = (
     "part",
     "select p_partkey, '{\"page\":{\"widgets\":[{\"productInfo\":{\"title\":\"' || p_name || '\",\"price\":\"' || p_brand || "
     "'\",\"rating\":' || cast(p_size as string) || '}},{\"other\":{\"dealBox\":{\"name\":\"' || p_type || "
-    "'\",\"savings\":\"5%\",\"inner\":{\"Item\":{\"rating\":4}}}}}],\"items\":[{\"title\":\"skip\"}],\"product\":\"flat\"}}' "
+    "'\",\"savings\":\"5%\",\"inner\":{\"Item\":{\"rating\":4}}}}}],\"items\":[{\"title\":\"skip\"}],\"product\":\"flat\"},\"deep\":' || "
+    "repeat('{\"in\":[', 14) || '{\"lastDeal\":{\"title\":\"deep ' || cast(p_partkey as string) || '\"}}' || repeat(']}', 14) || '}' "
     "as body from part",
 )
 DERIVED["frame_pages"] = (

@@ -87,6 +87,15 @@ def q_regex_select(spark, sf):
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
+def q_own_rules(spark, sf):
+    """A registered rule set with a registered transform."""
+    sets = E.RuleSets(())
+    sets.add(E.RuleSet("own", 3, (E.Rule("heading", "article", selector="h1", attribute=None, transform="shout", confidence=0.6),)))
+    sets.register_transform("shout", lambda c: F.concat(F.upper(F.trim(c)), F.lit("!")))
+    out = E.rule_extract(read(spark, sf, "pages"), sets)
+    return out.select("page_id", "type", F.element_at("data", "title").alias("title"), F.round("confidence", 6).alias("confidence"))
+
+
 def q_transforms(spark, sf):
     rows = read(spark, sf, "events").select(
         "event_id",
@@ -203,7 +212,7 @@ def q_parse_replies(spark, sf):
 QUERIES = {
     "meta_tags": q_meta_tags, "open_graph": q_open_graph, "twitter_card": q_twitter_card, "json_ld": q_json_ld, "embedded_json": q_embedded_json,
     "microdata": q_microdata, "page_forms": q_page_forms, "csrf_token": q_csrf_token, "listing_cards": q_listing_cards, "cards_text": q_cards_text,
-    "select_elements": q_select_elements, "xpath_select": q_xpath_select, "regex_select": q_regex_select, "transforms": q_transforms,
+    "select_elements": q_select_elements, "xpath_select": q_xpath_select, "regex_select": q_regex_select, "transforms": q_transforms, "own_rules": q_own_rules,
     "rule_extract": q_rule_extract, "rule_extract_pages": q_rule_extract_pages, "shape_entity": q_shape_entity, "dedup_entities": q_dedup_entities,
     "validate_entities": q_validate_entities, "page_confidence": q_page_confidence, "pattern_entities": q_pattern_entities,
     "jsonld_entities": q_jsonld_entities, "microdata_entities": q_microdata_entities, "head_entities": q_head_entities,
@@ -315,6 +324,7 @@ select doc_id, row_number() over (partition by doc_id order by k) - 1 as pos, v
     "transforms": """select event_id, round(value, 6) as number, 'u' || user_id || '.x@mail.example.com' as email, '555-123-' || lpad((user_id % 10000)::varchar, 4, '0') as phone,
 'sub' || user_id || '.example.com' as domain, event_type || ' x' as plain, strftime(ts, '%Y-%m-%d') || 'T00:00:00.000Z' as date, null as url,
 upper('<b>' || event_type || '</b> <i>x</i>') as upper, strftime(ts, '%Y-%m-%d') as same from events""",
+    "own_rules": f"with {HEADING} select page_id, 'article' as type, upper(trim(v)) || '!' as title, 0.6::double as confidence from firsts",
     "rule_extract": lit_rows(RULE_ROWS),
     "rule_extract_pages": f"""with {HEADING}, b as (select page_id, {BODY} txt from pages),
 c as (select page_id, lower(unnest(list_distinct(regexp_extract_all(txt, {O.q(plain("email", E.EMAIL))})))) v from b),

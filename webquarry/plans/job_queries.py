@@ -24,6 +24,12 @@ def attempts(spark, sf):
     )
 
 
+def q_cascade_own_policy(spark, sf):
+    book = G.Policies()
+    book.register("careful", (G.Tier("browser", min_quality=0.6), G.Tier("http")))
+    return G.cascade_select(attempts(spark, sf), book.get("careful"))
+
+
 def q_cascade(policy):
     def run(spark, sf):
         return G.cascade_select(attempts(spark, sf), G.Policies().get(policy))
@@ -186,7 +192,7 @@ def q_chat_context(spark, sf):
 
 
 QUERIES = {
-    "cascade_speed": q_cascade("speed"), "cascade_cost": q_cascade("cost"), "cascade_quality": q_cascade("quality"),
+    "cascade_own_policy": q_cascade_own_policy, "cascade_speed": q_cascade("speed"), "cascade_cost": q_cascade("cost"), "cascade_quality": q_cascade("quality"),
     "route_by_pattern": q_route_by_pattern, "attempt_stats": q_attempt_stats, "request_intent": q_request_intent,
     "conversation_intent": q_conversation_intent, "classify_errors": q_classify_errors, "retry_delay": q_retry_delay,
     "fetch_stats": q_fetch_stats, "fetch_histograms": q_fetch_histograms, "jobs_page": q_jobs_page, "jobs_by_session": q_jobs_by_session,
@@ -229,6 +235,7 @@ refresh::int as refresh, regexp_matches(rest, {O.q(_D)})::int as deep from b"""
 
 
 ORACLE = {
+    "cascade_own_policy": cascade("case tier when 'browser' then 0 when 'http' then 1 end", "tier <> 'browser' or quality >= 0.6"),
     "cascade_speed": cascade("case tier when 'http' then 0 when 'smart' then 1 when 'browser' then 2 end", "tier <> 'http' or (valid and quality >= 0.5)"),
     "cascade_cost": cascade("case tier when 'http' then 0 when 'cheerio' then 1 when 'jina' then 2 when 'browser' then 3 end",
                             "tier = 'browser' or (quality >= 0.5 and (tier = 'jina' or valid))"),

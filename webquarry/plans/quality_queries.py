@@ -35,6 +35,16 @@ def q_quality_rules_mixed(spark, sf):
     return kept.select("page_id", "rule", F.col("passed").cast("int").alias("passed"), F.round("score", 6).alias("score"))
 
 
+def q_quality_own_rule(spark, sf):
+    book = Q.RuleBook()
+    for rule in list(book.active()):
+        book.remove(rule.name)
+    low = F.col("words") < 40
+    book.add(Q.QualityRule("own-length", "heuristic", 0.5, lambda: ~low, lambda: F.when(low, 0.25).otherwise(1.0), category="quality"))
+    rules = Q.quality_rules(inputs(spark, sf), book)
+    return rules.select("page_id", "rule", "kind", "category", "weight", F.col("passed").cast("int").alias("passed"), "score")
+
+
 def _shown(df):
     scores = {c: F.round(c, 6) for c in ("overall", "completeness", "relevance", "structure", "quality") if c in df.columns}
     flags = {c: F.col(c).cast("int") for c in ("sufficient", "needs_interaction", "used_second") if c in df.columns}
@@ -92,7 +102,7 @@ def q_blocked_page_flag(spark, sf):
 
 
 QUERIES = {
-    "page_metrics": q_page_metrics, "quality_rules": q_quality_rules, "quality_rules_mixed": q_quality_rules_mixed,
+    "page_metrics": q_page_metrics, "quality_rules": q_quality_rules, "quality_rules_mixed": q_quality_rules_mixed, "quality_own_rule": q_quality_own_rule,
     "quality_score": q_quality_score, "quality_verdict": q_quality_verdict, "rule_based_verdict": q_rule_based_verdict,
     "hybrid_verdict": q_hybrid_verdict, "dynamic_page_flag": q_dynamic_page_flag, "min_content": q_min_content,
     "content_hash_dedup": q_content_hash_dedup, "blocked_page_flag": q_blocked_page_flag,
@@ -186,6 +196,8 @@ ORACLE = {
     "page_metrics": f"with {INPUTS} select page_id, html_len::bigint as content_length, tags::bigint as html_tags, words::bigint as text_words, "
     "links::bigint as link_count, 0::bigint as image_count, 0::bigint as form_count, scripts as script_count, 0::bigint as table_count, lists as list_count from i",
     "quality_rules": f"with {INPUTS}, lng as ({LONG}) select page_id, rule, kind, category, weight, passed, round(sc, 6) as score from lng",
+    "quality_own_rule": f"""with t as (select page_id, {O.words(O.collapse(O.decode(O.rep(s_body_source(), O.TAG))))} w from pages)
+select page_id, 'own-length' as rule, 'heuristic' as kind, 'quality' as category, 0.5::double as weight, (w >= 40)::int as passed, case when w < 40 then 0.25 else 1.0 end::double as score from t""",
     "quality_rules_mixed": f"""with {cte('widget_pages')}, k as (select c_custkey page_id, c_custkey % 4 c, c_nationkey % 9 b from customer)
 select page_id, 'empty-data-containers' as rule, 0 as passed, case when c = 0 then 0.6 else 0.7 end::double as score from k
 union all select page_id, 'interactive-elements', (b + 1 <= 5)::int, case when b + 1 > 5 then 0.6 else 1.0 end from k

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webquarry.session import cut_lineage
+
 
 def json_records(df: DataFrame, key: str, body: str) -> DataFrame:
     """key, pos, record (VARIANT): a top-level array, else .data, .results, .items when arrays, else the object."""
@@ -23,11 +25,15 @@ def json_records(df: DataFrame, key: str, body: str) -> DataFrame:
     return df.select(key, v.alias("v")).filter("v is not null").select(key, F.posexplode(records).alias("pos", "record"))
 
 
-def json_find_items(df: DataFrame, key: str, body: str, max_depth: int = 12) -> DataFrame:
+LEVELS_PER_ROUND = 8
+
+
+def json_find_items(df: DataFrame, key: str, body: str) -> DataFrame:
     """key, title, price, discount, rating: objects under a key holding deal, product or item, at any level.
 
-    The walk goes down level by level inside the partition; nodes already visited are
-    carried along, so nothing is read twice and nothing is shuffled.
+    The walk goes down level by level inside the partition until no node is left; nodes already visited are
+    carried along, so nothing is read twice and nothing is shuffled.  After LEVELS_PER_ROUND levels the nodes are
+    written to the shared folder, and deeper rounds only follow where a node is still open.
     """
     node = "struct<name:string,v:variant,done:boolean>"
     rows = df.select(
@@ -38,7 +44,7 @@ def json_find_items(df: DataFrame, key: str, body: str, max_depth: int = 12) ->
     def visited(n: Column) -> Column:
         return F.struct(n["name"].alias("name"), n["v"].alias("v"), F.lit(True).alias("done"))
 
-    for _ in range(max_depth):
+    def below(rows: DataFrame) -> DataFrame:
         kind = F.substring(F.schema_of_variant(F.col("n.v")), 1, 5)
         fields = F.transform(
             F.map_entries(F.try_variant_get("n.v", "$", "map<string,variant>")),
@@ -48,11 +54,18 @@ def json_find_items(df: DataFrame, key: str, body: str, max_depth: int = 12) ->
             F.try_variant_get("n.v", "$", "array<variant>"),
             lambda e: F.struct(F.lit("").alias("name"), e.alias("v"), F.lit(False).alias("done")),
         )
-        below = F.when(kind == "OBJEC", fields).when(kind == "ARRAY", items).otherwise(F.array().cast(f"array<{node}>"))
+        inner = F.when(kind == "OBJEC", fields).when(kind == "ARRAY", items).otherwise(F.array().cast(f"array<{node}>"))
         step = F.when(F.col("n.done"), F.array(F.col("n"))).otherwise(
-            F.concat(F.array(visited(F.col("n"))), F.filter(below, lambda e: e["v"].isNotNull()))
+            F.concat(F.array(visited(F.col("n"))), F.filter(inner, lambda e: e["v"].isNotNull()))
         )
-        rows = rows.select(key, F.explode(step).alias("n"))
+        return rows.select(key, F.explode(step).alias("n"))
+
+    while True:
+        for _ in range(LEVELS_PER_ROUND):
+            rows = below(rows)
+        rows = cut_lineage(rows)
+        if rows.filter("NOT n.done").isEmpty():
+            break
     name = F.lower("n.name")
     wanted = (F.contains(name, F.lit("deal")) | F.contains(name, F.lit("product")) | F.contains(name, F.lit("item"))) & (
         F.startswith(F.schema_of_variant(F.col("n.v")), F.lit("OBJECT"))
