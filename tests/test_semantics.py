@@ -61,6 +61,33 @@ def test_malformed_page(spark):
     assert "left open" in PT.page_pipeline(pages(spark, "<body><div><p>left open<p>and the next</body>")).first().text
 
 
+def test_broken_pages_do_not_overflow(spark):
+    rest = "".join(f'<p class="k{i}">w{i}</p>' for i in range(40_000))
+    missing = f'<body><a href="x>one</a>{rest}</body>'
+    many = "<body><div " + " ".join(f'a{i}="v>"' for i in range(2000)) + ">inside</div></body>"
+    large = "<body>" + "<p title='a'>five megabytes</p>" * 170_000 + "</body>"
+    bare = f"<body><a {'x' * 2000}=1 href=/y>link</a></body>"
+    rows = {r.page_id: r.text for r in pages(spark, missing, many, large, bare).select("page_id", PT.body_text(F.col("html")).alias("text")).collect()}
+    assert len(missing) > 1_000_000 and "w39999" in rows[0] and rows[1] == "inside" and len(rows[2]) > 2_000_000 and rows[3] == "link"
+    from webquarry.operators import links as L
+
+    assert {r.page_id for r in L.anchors(pages(spark, missing, bare)).collect()} >= {1}
+    assert L.ajax_endpoints(pages(spark, missing, many)).count() == 0
+
+
+def test_character_references(spark):
+    got = one(spark, "&eacute;&uuml;&frac12; &amp &#233; &#x41; &#150; &nope; ?a=1&copy=2 &notin; &#0;", T.decode_entities(F.col("v")))
+    assert got == "éü½ & é A – &nope; ?a=1&copy=2 ∉ �"
+
+
+def test_json_items_at_any_depth(spark):
+    from webquarry.sources.payloads import json_find_items
+
+    bodies = [(d, '{"a":[' * d + '{"myDeal":{"title":"t%d"}}' % d + "]}" * d) for d in (0, 3, 4, 12, 20)]
+    rows = json_find_items(spark.createDataFrame(bodies, "k int, body string"), "k", "body").collect()
+    assert {(r.k, r.title) for r in rows} == {(d, f"t{d}") for d in (0, 3, 4, 12, 20)}
+
+
 @pytest.mark.parametrize("url, want", [
     ("HTTPS://WWW.Example.com:443/a/?b=2&a=1#f", "https://www.example.com/a?a=1&b=2"), ("https://e.com", "https://e.com/"), ("not a url", "not a url"),
     ("https://e.com/?x=2&x=1", "https://e.com/?x=2&x=1"),

@@ -53,6 +53,20 @@ DERIVED["deal_payloads"] = (
     "repeat('{\"in\":[', 14) || '{\"lastDeal\":{\"title\":\"deep ' || cast(p_partkey as string) || '\"}}' || repeat(']}', 14) || '}' "
     "as body from part",
 )
+# Pages as they are in the wild: a missing quote before a long rest, tags left open, very many attributes.
+DERIVED["broken_pages"] = (
+    "customer",
+    "select c_custkey as page_id, 'http://b' || cast(c_nationkey as string) || '.example.com/' as url, "
+    "case c_custkey % 4 when 0 then '<body><a href=\"x>one ' || c_mktsegment || '</a>' || repeat('<p class=\"k\">' || c_name || '</p>', 40) || '</body>' "
+    "when 1 then '<body><ul><li>a<li>b ' || c_name || '<p>open <b>bold</ul>tail</body>' "
+    "when 2 then '<body><div ' || repeat('data-a=\"v>\" ', 300) || '>' || c_name || '</div></body>' "
+    "else '<body>1 < 2 <em title=''a>b''>' || c_name || '</em> & <br/>end' end as html from customer",
+)
+DERIVED["entity_texts"] = (
+    "customer",
+    "select c_custkey as page_id, '<body>caf&eacute; ' || cast(c_custkey as string) || ' &uuml;&sect;&frac12; &amp &#233;&#x41;&#150; "
+    "&nope; ?a=1&copy=2 &notin; &#0;&#99999999; &lt;b&gt;</body>' as html from customer",
+)
 DERIVED["frame_pages"] = (
     "customer",
     "select c_custkey as page_id, 'http://site' || cast(c_nationkey as string) || '.example.com/list/' || "
