@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
     star = bands.join(buckets, "key").where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     families = components(star).select(F.col("id").alias("doc_id"), F.col("component_id").alias("family"))
-    cand = written(base.join(families, "doc_id"), "families")
+    # Families grow with the input, so they are never broadcast, however few they are.
+    cand = written(base.join(families.hint("merge"), "doc_id"), "families")
     edges = _tiles(cand).groupBy("group").applyInArrow(_compared(words, percent), "a long, b long")
     groups = components(edges)
 
