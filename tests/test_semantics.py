@@ -88,6 +88,32 @@ def test_json_items_at_any_depth(spark):
     assert {(r.k, r.title) for r in rows} == {(d, f"t{d}") for d in (0, 3, 4, 12, 20)}
 
 
+@pytest.mark.parametrize("selector, want", [
+    ('[title="a b"]', ["x"]), ('[data-x="a,b"]', ["y"]), ("p:not(.k)", ["x", "y"]), ("p:not([title])", ["y", "z"]), (".k, [title]", ["x", "z"]), ("div p.k", ["z"]),
+    (":not(div).k", ["z"]),
+])
+def test_selector_forms(spark, selector, want):
+    from webquarry.operators import dom
+
+    html = '<p title="a b">x</p><p data-x="a,b">y</p><div><p class="k j">z</p></div>'
+    rows = dom.select_elements(pages(spark, html), {"s": (selector, None)}).orderBy("pos").collect()
+    assert [r.value for r in rows] == want
+
+
+def test_forms_that_are_not_covered_raise(spark):
+    from webquarry.functions.markup import css
+
+    for selector in ("ul > li", "h1 + p", "a ~ b", "li:first-child", "!!!", "a:hover", "", "a,,b", ":not(a b)"):
+        with pytest.raises(ValueError):
+            css(selector)
+    for path in ("/html/body", "//ul/li", "//div[1]", "//a[@b or @c]"):
+        with pytest.raises(ValueError):
+            E.xpath_select(pages(spark, PAGE), path)
+    html = '<a href="u" rel="n">k</a><a href="v">l</a>'
+    assert [r.value for r in E.xpath_select(pages(spark, html), '//a[@href and @rel="n"]').collect()] == ["k"]
+    assert [r.value for r in E.xpath_select(pages(spark, html), "//a[not(@rel)]/text()").collect()] == ["l"]
+
+
 @pytest.mark.parametrize("url, want", [
     ("HTTPS://WWW.Example.com:443/a/?b=2&a=1#f", "https://www.example.com/a?a=1&b=2"), ("https://e.com", "https://e.com/"), ("not a url", "not a url"),
     ("https://e.com/?x=2&x=1", "https://e.com/?x=2&x=1"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,14 +44,20 @@ def attr_map(tok: Column) -> Column:
 
 @dataclass(frozen=True)
 class Test:
-    """One attribute test; `op` is one of = *= ^= $= ~= has."""
+    """One attribute test; `op` is one of = *= ^= $= ~= has, or tag for a test of the element's name."""
 
     name: str
     op: str
     value: str = ""
+    negated: bool = False
 
     def column(self) -> Column:
         """The test on the helper columns `with_selectors` adds."""
+        return ~self._plain() if self.negated else self._plain()
+
+    def _plain(self) -> Column:
+        if self.op == "tag":
+            return F.col("tag") == F.lit(self.value)
         if self.op == "has":
             return has_attr(F.col("tok"), self.name)
         value = F.col(f"@{self.name}")
@@ -86,37 +92,58 @@ class Step:
         return [self] + (self.within.chain() if self.within else [])
 
 
-_COMPOUND = re.compile(
-    r"""(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:\.[\w-]+|\#[\w-]+|\[[^\]]+\])*)$"""
-)
-_PART = re.compile(
-    r"""\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*["']?(?P<val>[^"'\]]*)["']?)?\]"""
+_TOKEN = re.compile(
+    r"""(?P<gap>\s*,\s*|\s+)|(?P<tag>\*|[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
+    |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\s"'\]]+))\s*)?\]
+    |:not\(\s*(?P<no>[^()]+?)\s*\)""",
+    re.X,
 )
 
 
 def css(selector: str) -> tuple[Step, ...]:
-    """The selector forms rules use: lists of tag, .class, #id, [attr], [attr op "v"], descendants.
+    """Lists of compounds of tag, .class, #id, [attr], [attr op "v"] and :not(...), with descendants.
 
-    Anything else gives no step, so a rule with a broken selector yields nothing.
+    ValueError for every other form, child and sibling combinators and positions among them.
     """
-    steps: list[Step] = []
-    for alternative in selector.split(","):
+    lists: list[list[tuple[str | None, list[Test]]]] = [[]]
+    fresh, at, text = True, 0, selector.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m or m.end() == at:
+            raise ValueError(f"selector form not covered: {selector!r} at {text[at:]!r}")
+        at = m.end()
+        if m["gap"]:
+            if "," in m["gap"]:
+                lists.append([])
+            fresh = True
+            continue
+        if fresh:
+            lists[-1].append((None, []))
+            fresh = False
+        elif m["tag"]:
+            raise ValueError(f"selector form not covered: {selector!r}")
+        tag, tests = lists[-1][-1]
+        if m["tag"]:
+            lists[-1][-1] = (None if m["tag"] == "*" else m["tag"].lower(), tests)
+        elif m["cls"]:
+            tests.append(Test("class", "~=", m["cls"]))
+        elif m["id"]:
+            tests.append(Test("id", "=", m["id"]))
+        elif m["attr"]:
+            value = next((m[k] for k in ("dq", "sq", "bare") if m[k] is not None), "")
+            tests.append(Test(m["attr"], m["op"] or "has", value))
+        else:
+            inner = css(m["no"])
+            if len(inner) != 1 or inner[0].within or len(inner[0].tests) + (inner[0].tag is not None) != 1:
+                raise ValueError(f"only one simple test can be negated: {selector!r}")
+            only = inner[0].tests[0] if inner[0].tests else Test("", "tag", inner[0].tag)
+            tests.append(replace(only, negated=not only.negated))
+    steps = []
+    for compounds in lists:
+        if not compounds:
+            raise ValueError(f"empty selector in {selector!r}")
         step: Step | None = None
-        for compound in alternative.split():
-            match = _COMPOUND.match(compound)
-            if not match or not compound:
-                step = None
-                break
-            tests = []
-            for part in _PART.finditer(match["rest"]):
-                if part["cls"]:
-                    tests.append(Test("class", "~=", part["cls"]))
-                elif part["id"]:
-                    tests.append(Test("id", "=", part["id"]))
-                else:
-                    tests.append(Test(part["attr"], part["op"] or "has", part["val"] or ""))
-            tag = None if match["tag"] in (None, "*") else match["tag"].lower()
+        for tag, tests in compounds:
             step = Step(tag, tuple(tests), step)
-        if step is not None:
-            steps.append(step)
+        steps.append(step)
     return tuple(steps)

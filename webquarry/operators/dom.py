@@ -186,7 +186,7 @@ def with_selectors(els: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
     """
     compiled = {name: css(selector) for name, selector in selectors.items()}
     steps = [s for alternatives in compiled.values() for top in alternatives for s in top.chain()]
-    names = sorted({t.name for s in steps for t in s.tests if t.op != "has"})
+    names = sorted({t.name for s in steps for t in s.tests if t.op not in ("has", "tag")})
     is_el = F.col("kind").isin("open", "void")
     out = els.withColumns({f"@{n}": F.when(is_el, attr(F.col("tok"), n, decode=False)) for n in names})
     outer = list(dict.fromkeys(

@@ -7,6 +7,7 @@ the place of the entity on its page, which decides what counts as first.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import patterns as P
 from webquarry.functions import text as T
+from webquarry.functions.markup import css
 from webquarry.functions.transforms import apply_transform
 from webquarry.operators import dom, pagetext, structured
 
@@ -150,9 +152,9 @@ class RuleSets:
 # ---- values by selector, path, pattern ----------------------------------------------------
 
 def xpath_select(pages: DataFrame, path: str, attribute: str | None = None, els: DataFrame | None = None) -> DataFrame:
-    """page_id, pos, value for paths of descendant steps: //tag, //*[@a="v"], //tag[contains(@a,"v")], ending in /@attr or not.
+    """page_id, pos, value for paths of descendant steps: //tag, //*[@a="v" and @b], //tag[contains(@a,"v")], //a[not(@b)], ending in /@attr, /text() or not.
 
-    Such paths say the same as selectors, so they run on the same element table.
+    Such paths say the same as selectors, so they run on the same element table.  ValueError for every other path.
     """
     selector, own = _path_to_selector(path)
     return dom.select_elements(pages, {"x": (selector, attribute or own)}, els).select("page_id", "pos", "value")
@@ -160,16 +162,24 @@ def xpath_select(pages: DataFrame, path: str, attribute: str | None = None, els:
 
 def _path_to_selector(path: str) -> tuple[str, str | None]:
     own = None
+    whole = path
+    path = path.removesuffix("/text()")
     match = re.match(r"(.*)/@([\w:-]+)$", path)
     if match:
         path, own = match.groups()
     steps = []
-    for step in (s for s in path.split("//") if s):
+    if not path.startswith("//"):
+        raise ValueError(f"path form not covered: {whole!r}")
+    for step in path.split("//")[1:]:
         m = re.match(r"^([\w*]+)((?:\[[^\]]*\])*)$", step)
         if not m:
-            return "!", own
+            raise ValueError(f"path form not covered: {whole!r}")
         out = "" if m[1] == "*" else m[1]
-        for test in re.findall(r"\[([^\]]*)\]", m[2]):
+        for test in (t for group in re.findall(r"\[([^\]]*)\]", m[2]) for t in re.split(r"""\s+and\s+(?=[^"']*(?:["'][^"']*["'][^"']*)*$)""", group)):
+            absent = re.match(r"^not\(\s*@([\w:-]+)\s*\)$", test)
+            if absent:
+                out += f":not([{absent[1]}])"
+                continue
             eq = re.match(r"""^@([\w:-]+)(?:\s*=\s*["']([^"']*)["'])?$""", test)
             has = re.match(r"""^contains\(\s*@([\w:-]+)\s*,\s*["']([^"']*)["']\s*\)$""", test)
             if eq:
@@ -177,7 +187,7 @@ def _path_to_selector(path: str) -> tuple[str, str | None]:
             elif has:
                 out += f'[{has[1]}*="{has[2]}"]'
             else:
-                return "!", own
+                raise ValueError(f"path form not covered: {whole!r}")
         steps.append(out or "*")
     return " ".join(steps), own
 
@@ -222,8 +232,16 @@ def rule_extract(pages: DataFrame, sets: RuleSets | None = None, entity_types: S
     """
     sets = sets or RuleSets()
     rules = sets.ranked(entity_types)
-    by_selector = {str(i): (r.selector or _path_to_selector(r.xpath)[0], r.attribute or (None if r.selector else _path_to_selector(r.xpath)[1]))
-                   for i, (_, r) in enumerate(rules) if r.selector or r.xpath}
+    by_selector = {}
+    for i, (name, r) in enumerate(rules):
+        if r.selector or r.xpath:
+            try:
+                selector, own = (r.selector, None) if r.selector else _path_to_selector(r.xpath)
+                css(selector)
+            except ValueError as broken:
+                warnings.warn(f"rule {name} is left out: {broken}", stacklevel=2)  # one broken rule does not stop the others
+                continue
+            by_selector[str(i)] = (selector, r.attribute or own)
     by_regex = {i: r.regex for i, (_, r) in enumerate(rules) if not (r.selector or r.xpath) and r.regex}
     found = []
     if by_selector:
