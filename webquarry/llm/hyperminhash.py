@@ -100,7 +100,7 @@ def band_hashes(regs: np.ndarray, share: float) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, share: float) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of each row of (doc_id, text); set_key is 128 bits over the whole set."""
+    """(doc_id, n_shingles, n_bytes, set_key, bands) of each row of (doc_id, text); set_key is 128 bits over the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in steps(batches):
@@ -110,13 +110,13 @@ def sketches(docs: DataFrame, words: int, share: float) -> DataFrame:
             keys = np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"), pa.array(np.diff(bounds)),
+                    rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.diff(at)),
                     pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "n_shingles", "n_bytes", "set_key", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, n_bytes long, set_key binary, bands binary")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -192,22 +192,42 @@ def _compared(words: int, percent: int):
     return run
 
 
-def _tiles(cand: DataFrame) -> DataFrame:
-    """Rows of (family, doc_id, text) with their group.
+def _placed(families: DataFrame) -> DataFrame:
+    """(doc_id, family, blocks, own) from (doc_id, family, n_bytes).
 
-    A family of up to BLOCK documents and BLOCK_BYTES is one tile, and many small families share a group.  A larger one
-    is cut into blocks by the hash of the key, and every two blocks are a tile.
+    A family of up to BLOCK documents and BLOCK_BYTES is one block; a larger one is cut into blocks by the hash of the key.
     """
-    size = cand.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size = families.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     blocks = size.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
-    total = cand.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bundles = width(cand, -(-total // BLOCK_BYTES))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))))
-    placed = cand.join(blocks, "family").withColumn("own", own).withColumn("other", other)
-    tile = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks", "doc_id", "text")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.xxhash64("family", "i", "j"))
-    return tile.withColumn("group", group).drop("blocks")
+    return families.join(blocks, "family").select("doc_id", "family", "blocks", own.alias("own"))
+
+
+def _first_tiles(cand: DataFrame, bundles: int) -> DataFrame:
+    """Small families, many to a group; of large ones each block together with the first."""
+    tile = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("own") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("own")))
+    rows = cand.select("family", F.lit(0).alias("i"), tile.alias("j"), "blocks", "doc_id", "text")
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.xxhash64("family", "j"))
+    return rows.withColumn("group", group).drop("blocks")
+
+
+def _open_tiles(cand: DataFrame, joined: DataFrame) -> DataFrame:
+    """Of families of three blocks or more, the documents outside the largest group, against all blocks.
+
+    What the first tiles have joined needs no further comparison, so a large group of near copies costs in proportion to its size.
+    """
+    large = cand.where("blocks > 2")
+    labels = large.select("doc_id", "family").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "family", F.coalesce("component_id", "doc_id").alias("label"))
+    sizes = labels.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    main = main.withColumn("parts", F.ceil(F.col("rest") / BLOCK).cast("int")).where("parts > 0")
+    part = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64(F.lit("open"), "doc_id"), F.col("parts")).cast("int"))
+    roles = labels.join(main, "family").select("doc_id", "parts", part.alias("part")).dropDuplicates(["doc_id"])
+    rows = large.join(roles.hint("merge"), "doc_id")
+    asking = rows.where("part IS NOT NULL").select("family", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "doc_id", "text")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: ~k.eqNullSafe(F.col("part")))
+    asked = rows.select("family", F.explode(others).alias("i"), F.col("own").alias("j"), "doc_id", "text")
+    return asking.unionByName(asked).withColumn("group", F.xxhash64("family", "i", "j"))
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -225,9 +245,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     Equal sets are one representative from the start, by an aggregate that combines before the shuffle.
     In each bucket (band key) all members hang on the smallest; what hangs together over any bucket is a
-    family.  Inside a family, tile by tile, the estimate rules pairs out and exact counts of shared shingles decide
-    the others; a tile returns one edge for each document that it links, never its pairs.  So no pair that shares a bucket
-    is left out, and hot keys meet only aggregates and equi-joins that Spark splits.  Texts are read again only for families.
+    family.  Inside a family the estimate rules pairs out and exact counts of shared shingles decide
+    the others; a tile returns one edge for each document that it links, never its pairs.  A large family first meets its
+    first block only, then the documents still outside its largest group meet all blocks.  So no pair that shares a bucket
+    and could join two groups is left out, and hot keys meet only aggregates and equi-joins that Spark splits.  Texts are
+    read again only for families.
     """
     base = narrowed(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = written(sketches(base, words, percent / 100), "sketches")
@@ -236,10 +258,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
     star = bands.join(buckets, "key").where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     families = components(star).select(F.col("id").alias("doc_id"), F.col("component_id").alias("family"))
+    sized = written(families.join(found.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes")), "doc_id"), "sizes")
     # Families grow with the input, so they are never broadcast, however few they are.
-    cand = written(base.join(families.hint("merge"), "doc_id"), "families")
-    edges = _tiles(cand).groupBy("group").applyInArrow(_compared(words, percent), "a long, b long")
-    groups = components(edges)
+    cand = written(base.join(_placed(sized).hint("merge"), "doc_id"), "families")
+    bundles = width(docs, -(-(sized.agg(F.sum("n_bytes")).first()[0] or 0) // BLOCK_BYTES))
+    compared = _compared(words, percent)
+    joined = written(components(_first_tiles(cand, bundles).groupBy("group").applyInArrow(compared, "a long, b long")), "joined")
+    more = _open_tiles(cand, joined).groupBy("group").applyInArrow(compared, "a long, b long")
+    groups = components(joined.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b")).unionByName(more))
 
     smallest = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = found.select("doc_id", "n_shingles", "set_key").join(smallest, "set_key", "left")
