@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; longer documents are a step of their own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -39,8 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from here on, so that a worker's memory does not follow the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) <= 0 or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def narrowed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under fixed names, so that other columns of any name do no harm."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 

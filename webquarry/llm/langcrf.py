@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import steps
+from webquarry.llm.common import small_batches, steps
 
 #: Bounds of the fit: documents of each language (in expectation), words of a window in each, lexicon words of each language.
 PER_LANGUAGE = 500
@@ -224,6 +224,7 @@ def predicted(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
     A null text or one without a letter gives `und` with score 0, as does every text without a model.  The score is the
     mean probability of the language over the words.  Repeated rows are predicted alike; other columns are left out.  No shuffle.
     """
+    small_batches(docs.sparkSession)
     file: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * languages weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import narrowed, steps
+from webquarry.llm.common import narrowed, small_batches, steps
 
 #: In the order of results; the first four are found wherever their pattern and check hold.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
@@ -165,6 +165,7 @@ def masked_text(text: str | None) -> str | None:
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with all columns and rows, spans in the text masked; a null text stays null."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(names)])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import U, mix, narrowed, row_sums, shingles, span_hashes, steps, word_spans
+from webquarry.llm.common import U, mix, narrowed, row_sums, shingles, small_batches, span_hashes, steps, word_spans
 
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
@@ -178,6 +178,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def passed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that `judged` keeps, with all their columns; measured beside the row, so no join is needed."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(names)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)

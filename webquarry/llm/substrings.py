@@ -26,7 +26,7 @@ CONTEXT = BACK + LENGTH
 SEGMENT = 1 << 20
 PLACE = U((1 << 21) - 1)
 #: Anchors that a task gathers before it combines and sends them.
-GATHER = 1 << 20
+GATHER = 1 << 19
 #: Bytes of text for each group of buckets.
 GROUP_BYTES = 8 << 20
 
@@ -246,7 +246,7 @@ def _contexts(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hs, n = [], [], 0
-        for rows, data, at, offset in _segments(b for b in (b.filter(b.column("shared").is_valid()) for b in batches) if b.num_rows):
+        for rows, data, at, offset in _segments(batches):
             a, h, first, last, doc = anchors(data, at)
             if not len(a):
                 continue
@@ -382,6 +382,8 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     asks = named.mapInArrow(_asks(parts), "part int, doc_id long, hashes binary, base long, docs binary, known binary")
     answers = asks.groupBy("part").applyInArrow(_answers, "doc_id long, hashes binary")
     shared = answers.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))  # as many as the document's own anchors
-    around = rows.join(shared, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_contexts(parts), "part int, doc_id long, entries binary")
+    around = named.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_contexts(parts), "part int, doc_id long, entries binary")
     cuts = around.groupBy("part").applyInArrow(_refined, "doc_id long, at long, mask long").groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
-    return rows.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    found = named.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts")
+    whole = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(found.schema["cuts"].dataType).alias("cuts"))
+    return found.unionByName(whole).mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import steps
+from webquarry.llm.common import small_batches, steps
 
 LEAF = 256
 _CUT = re.compile(r"(?s).{%d}.*?\S(?=[ \n])|.+" % (LEAF - 1))
@@ -130,6 +130,7 @@ def recounted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     the driver and sent to the workers.  Null texts count as empty; repeated rows stay repeated; strings of special tokens are ordinary text.
     Memory is bounded by a step of texts; nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     with open(path, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())  # bounded by the vocabulary
 
