@@ -378,6 +378,18 @@ def test_spans_equal_plain_patterns(sf_dir):
         assert [x[:3] for x in pii.find(t) if x[0] in pii.BASE] == brute_spans(t)
 
 
+def test_digests_of_the_query(spark, sf_dir):
+    docs = texts(sf_dir)
+    got = {r.doc_id: r for r in queries.op10_pii(spark, sf_dir).collect()}
+    assert got.keys() == docs.keys()
+    for i, t in docs.items():
+        base = brute_spans(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in base) for k in pii.BASE]
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in pii.find(t))
+
+
 def test_checks_and_context(odd, empty):
     assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468")
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")

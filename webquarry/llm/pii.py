@@ -182,5 +182,6 @@ def digests(found: DataFrame) -> DataFrame:
     """Counts and joined spans of each row of `spans`."""
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
     base = F.filter("spans", lambda x: x.kind.isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: lambda x: x.kind == kind
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
