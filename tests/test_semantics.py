@@ -42,7 +42,8 @@ def test_markdown_to_text_keeps_the_image_quirk(spark):
 
 @pytest.mark.parametrize("html, part", [
     ("<h1>A</h1><h2>B</h2>", "# A\n## B"), ("<p>x <strong>b</strong> <em>i</em></p>", "x **b** *i*"), ('<a href="u">t</a>', "[t](u)"),
-    ('<img src="s" alt="a">', "![a](s)"), ("<ol><li>x</li><li>y</li></ol>", "1.  x\n2.  y"), ("<blockquote>q</blockquote>", "> q"),
+    ('<img src="s" alt="a">', "![a](s)"), ("<ol><li>x</li><li>y</li></ol>", "1.  x\n2.  y"), ("<blockquote>q</blockquote>", "> q"), ("<p>a</p><blockquote><p>q1</p><p>q2</p></blockquote><pre><code>x\n</code></pre>", "a\n\n> q1\n>\n> q2\n```\nx\n```"),
+    ("<blockquote>o<blockquote>i</blockquote></blockquote><p>z</p>", "> o\n>\n> > i\n\nz"),
     ('<pre><code class="language-js">a = 1\n</code></pre>', "```js\na = 1\n"),
     ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
 ])

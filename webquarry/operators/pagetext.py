@@ -223,6 +223,28 @@ def sanitize_html(html: Column) -> Column:
 _BLOCKS = "p div section article header footer main nav aside table form ul ol dl figure body".split()
 
 
+# Marks of where a block quote begins and ends while fragments are joined; no characters of any text.
+QUOTE_OPEN, QUOTE_CLOSE = "\ufdd0", "\ufdd1"
+
+
+def _quoted(md: Column) -> Column:
+    """Every line between quote marks gets "> " for each quote around it."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        mark = F.substring(piece, 1, 1)
+        depth = acc["depth"] + F.when(mark == QUOTE_OPEN, 1).when(mark == QUOTE_CLOSE, -1).otherwise(0)
+        body = F.when(mark.isin(QUOTE_OPEN, QUOTE_CLOSE), F.substring(piece, 2, F.length(piece))).otherwise(piece)
+        text = T.sub(T.sub(body, r"\A\s*\n|\A\s+\z|\n\s*\z"), r"\n{3,}", "\n\n")
+        prefix = F.repeat(F.lit("> "), depth)
+        gap = F.when(acc["depth"] > 0, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), F.least(depth, acc["depth"]))), F.lit("\n"))).otherwise(F.lit(""))
+        lines = F.array_join(F.transform(F.split(text, F.lit("\n")), lambda line: F.rtrim(F.concat(prefix, line))), "\n")
+        more = F.when(depth <= 0, body).when(text == "", F.lit("")).otherwise(F.concat(gap, lines))
+        return F.struct(depth.cast("int").alias("depth"), F.concat(acc["out"], more).alias("out"))
+
+    start = F.struct(F.lit(0).cast("int").alias("depth"), F.lit("").alias("out"))
+    return F.aggregate(F.split(md, F.lit(f"(?=[{QUOTE_OPEN}{QUOTE_CLOSE}])")), start, step, lambda acc: acc["out"])
+
+
 def html_to_markdown(pages: DataFrame, partitioned: bool = False) -> DataFrame:
     """page_id, markdown.
 
@@ -242,7 +264,6 @@ def html_to_markdown(pages: DataFrame, partitioned: bool = False) -> DataFrame:
     tokens = tokens.withColumns({
         "list_depth": depth("ul", "ol"),
         "in_pre": F.coalesce(F.max(F.when((tag == "pre") & (kind == "open"), F.col("last"))).over(before) >= F.col("pos"), F.lit(False)),
-        "quotes": depth("blockquote"),
         "prev_tok": F.lag("tok").over(W.partitionBy("page_id").orderBy("pos")),
         "next_tok": F.lead("tok").over(W.partitionBy("page_id").orderBy("pos")),
     })
@@ -284,7 +305,7 @@ def html_to_markdown(pages: DataFrame, partitioned: bool = False) -> DataFrame:
         .when(tag.isin("td", "th"), F.lit(" "))
         .when(code_block, F.concat(F.lit("\n\n```"), lang, F.lit("\n")))
         .when(tag == "pre", F.lit("\n\n"))
-        .when(tag == "blockquote", F.lit("\n\n> "))
+        .when(tag == "blockquote", F.lit("\n\n" + QUOTE_OPEN))
         .when((bold | italic | struck) & blank, F.lit(""))
         .when(bold, F.lit("**"))
         .when(italic, F.lit("*"))
@@ -306,7 +327,8 @@ def html_to_markdown(pages: DataFrame, partitioned: bool = False) -> DataFrame:
             F.col("has_th"), F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), cells.cast("int")))).otherwise(F.lit("")))
         .when(tag.isin("td", "th"), F.lit(" |"))
         .when(code_block, F.lit("\n```\n\n"))
-        .when(tag.isin("pre", "blockquote"), F.lit("\n\n"))
+        .when(tag == "blockquote", F.lit(QUOTE_CLOSE + "\n\n"))
+        .when(tag == "pre", F.lit("\n\n"))
         .when((bold | italic | struck) & blank, F.lit(""))
         .when(bold, F.lit("**"))
         .when(italic, F.lit("*"))
@@ -327,16 +349,15 @@ def html_to_markdown(pages: DataFrame, partitioned: bool = False) -> DataFrame:
         .when(blank_break, F.lit(""))
         .otherwise(escaped)
     )
-    quoted = F.when(
-        (F.col("quotes") > 0) & (kind == "text"), T.sub(body, r"\n", "\n> ")
-    ).otherwise(body)
     pieces = F.array(
-        F.struct(F.col("pos").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("inner"), quoted.alias("frag")),
+        F.struct(F.col("pos").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("inner"), body.alias("frag")),
         F.struct(F.coalesce(F.col("stop"), F.col("pos")).alias("at"), F.lit(0).alias("phase"), (-F.col("pos")).alias("inner"), ending.alias("frag")),
     )
     rows = tokens.select("page_id", F.explode(F.filter(pieces, lambda p: p["frag"] != "")).alias("p"))
     joined = rows.groupBy("page_id").agg(_joined(F.col("p"), "frag").alias("markdown"))
-    return joined.withColumn("markdown", T.markdown_clean(F.col("markdown")))
+    md = F.col("markdown")
+    md = F.when(F.contains(md, F.lit(QUOTE_OPEN)), _quoted(md)).otherwise(md)
+    return joined.withColumn("markdown", T.markdown_clean(md))
 
 
 # ---- the whole page pipeline --------------------------------------------------------------
