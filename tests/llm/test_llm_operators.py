@@ -330,7 +330,9 @@ def test_vector_links_equal_brute_force(spark):
 # ---- language -----------------------------------------------------------------------------
 
 
-def test_marginals_equal_one_pass():
+@pytest.mark.parametrize("numbers", [langcrf.NUMBERS, 1])
+def test_marginals_equal_one_pass(monkeypatch, numbers):
+    monkeypatch.setattr(langcrf, "NUMBERS", numbers)
     rng = np.random.default_rng(0)
     emissions, moves, bounds = rng.normal(size=(333, 3)), rng.normal(size=(3, 3)), np.array([0, 1, 200, 200, 333])
     got, _ = langcrf.marginals(emissions, moves, bounds)

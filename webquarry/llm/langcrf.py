@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from webquarry.llm.common import small_batches, steps
 
 #: Bounds of the fit: documents of each language (in expectation), words of a window in each, lexicon words of each language.
-PER_LANGUAGE = 500
-WINDOW = 300
+PER_LANGUAGE = 300
+WINDOW = 200
 LEXICON = 1000
 SLOTS = 1 << 16
 ROUNDS = 25
 SEQUENCE = 128
 CHUNK = 64
+#: Entries of the transfer matrices that are held at once, unless one document has more.
+NUMBERS = 4 << 20
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
 
@@ -72,6 +74,12 @@ def marginals(emissions: np.ndarray, moves: np.ndarray, bounds: np.ndarray) -> t
     whole chunks, then inside all chunks side by side.  The result is that of one pass over each whole chain.
     """
     n, k = emissions.shape
+    if n * k * k > NUMBERS and len(bounds) > 2:  # halves of the documents one after the other
+        half = min(max(1, int(np.searchsorted(bounds, bounds[0] + n // 2))), len(bounds) - 2)
+        cut = bounds[half] - bounds[0]
+        parts = marginals(emissions[:cut], moves, bounds[: half + 1]), marginals(emissions[cut:], moves, bounds[half:])
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    bounds = bounds - bounds[0]
     lengths = np.diff(bounds)
     per_doc = -(-lengths // CHUNK)
     total = int(per_doc.sum())
