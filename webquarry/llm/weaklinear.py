@@ -18,8 +18,8 @@ from webquarry.llm.common import U, mix, narrowed, span_hashes, steps, word_span
 
 SLOTS = 1 << 16
 #: The fit: expected number of sampled documents, and words of each.
-SAMPLE = 6000
-WINDOW = 1000
+SAMPLE = 3000
+WINDOW = 600
 ROUNDS = 60
 
 _CLASS = np.arange(256).astype(np.uint8)
