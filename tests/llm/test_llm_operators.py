@@ -402,3 +402,18 @@ def test_checks_and_context(odd, empty):
     assert pii.masked_text("write to a.b@c.de or +1 (802) 555-9869") == "write to <email> or <phone>"
     assert pii.spans(odd).count() == 12 and pii.masked(odd).columns == odd.columns and pii.spans(empty).count() == 0
     assert {r.doc_id for r in pii.masked(odd).where("text IS NULL").collect()} == {3, None}
+
+
+# ---- components ---------------------------------------------------------------------------
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from webquarry.llm.components import components
+
+    draw = random.Random(12)
+    chain = list(range(100, 160))
+    draw.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((7, k) for k in range(8, 20)), *((k, 3) for k in range(15, 18)), (5, 5), (40, 41), (41, 40), (40, 41)]
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 100 for k in range(100, 160)}, **{k: 3 for k in [3, *range(7, 20)]}, 40: 40, 41: 40}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
