@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, pq, quality, substrings, tokencount, weaklinear
+from webquarry.llm import bpe, hyperminhash, langcrf, mixing, oracles, pii, pq, quality, substrings, tokencount, weaklinear
 from webquarry.llm.common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -92,4 +92,4 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL}
+ORACLE = oracles.ORACLE
