@@ -14,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 PERCENT = 150
 CAP = 2
 SEED = "mix-1"
+#: Tasks that the rows of one source are spread over.
+SALTS = 64
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -21,6 +23,15 @@ def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
 
 
+def _salt(key: str):
+    return F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(SALTS)).cast("int")
+
+
+def _salted(per_source: DataFrame) -> DataFrame:
+    """A copy of each source's row for every salt, so that a hot source is no single task."""
+    return per_source.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) of each source of (source, size) rows.
 
@@ -58,14 +69,14 @@ def planned(
     The rate is target / source_size: a document is taken floor(rate) times, and once more where the hash of seed
     and key falls below the fraction, so reruns agree.  Size counts words; null and blank texts have none and
     get rate 0 where their source has none at all.  A null source is a source.  Rows that
-    repeat decide alike.  Other columns are left out.  One row per source meets the documents; Spark splits a hot source.
+    repeat decide alike.  Other columns are left out.  One row per source and salt meets the documents, so a hot source is spread over SALTS tasks.
     """
     sized = _sized(docs, key, text, source)
-    targets = source_targets(sized, weights, percent, cap).withColumnRenamed("source", "of")
+    targets = _salted(source_targets(sized, weights, percent, cap).withColumnRenamed("source", "of"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
+        sized.withColumn("__own", _salt("doc_id")).join(targets, F.col("source").eqNullSafe(F.col("of")) & (F.col("__own") == F.col("__salt")))
         .withColumn("rate", rate)
         .select("doc_id", "size", "source_size", "target", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
     )
@@ -81,8 +92,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rates = targets.select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     times = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")
-    joined = docs.join(rates, F.col(source).eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    joined = docs.withColumn("__own", _salt(key)).join(_salted(rates), F.col(source).eqNullSafe(F.col("__of")) & (F.col("__own") == F.col("__salt")))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = f"""
