@@ -417,3 +417,14 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 160)}, **{k: 3 for k in [3, *range(7, 20)]}, 40: 40, 41: 40}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_iban_before_further_words():
+    cut = lambda t: [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+    assert cut("IBAN DE89370400440532013000 BIC COBADEFF") == ["DE89370400440532013000"]
+    assert cut("DE89 3704 0044 0532 0130 00 EUR 500") == ["DE89 3704 0044 0532 0130 00"]
+    assert cut("GB82 WEST 1234 5698 7654 32 A note") == ["GB82 WEST 1234 5698 7654 32"]
+    assert cut("DE89370400440532013000 GB82WEST12345698765432") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert cut("REF AB12 DE89 3704 0044 0532 0130 00 X") == ["DE89 3704 0044 0532 0130 00"]  # behind a run that fails
+    assert cut("DE89 3704 0044 0532 0130 01 EUR") == cut("DE89370400440532013000EUR") == cut("DE89370400440532013000eur") == []
+    assert pii.masked_text("pay DE89370400440532013000 BIC COBADEFF") == "pay <iban> BIC COBADEFF"

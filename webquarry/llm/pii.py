@@ -23,12 +23,24 @@ NEAR = 40
 BOUND = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 # A match cannot begin inside a run of digits unless it begins at the run's start, hence the look-behinds.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: Characters of an IBAN of each country, as registered.
+_IBAN_SIZE = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{16,64}|[A-Za-z0-9+/]{32,64}={0,2})(?![A-Za-z0-9])")
@@ -94,6 +106,26 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _iban_end(text: str, start: int, limit: int) -> int | None:
+    """Where the IBAN from `start` ends, before a character that is no letter or digit: at its country's length, else the longest that checks."""
+    ends = [k + 1 for k in range(start, limit) if text[k] != " "]
+    size = _IBAN_SIZE.get(text[start : start + 2])
+    for n in [size] if size else range(len(ends), 14, -1):
+        if n <= len(ends) and text[ends[n - 1] : ends[n - 1] + 1] not in _ALNUM and mod97(text[start : ends[n - 1]].replace(" ", "")):
+            return ends[n - 1]
+    return None
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """What follows the number after a blank is not part of it, and a run that fails is searched again behind its first four characters."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = _iban_end(text, *m.span())
+        if end:
+            yield m.start(), end
+        at = end or m.start() + 4
+
+
 def _score(kind: str, text: str, start: int, end: int, base: float) -> float:
     """`base` raised by words that go with the kind, lowered by words that speak against it."""
     around = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
@@ -101,10 +133,8 @@ def _score(kind: str, text: str, start: int, end: int, base: float) -> float:
 
 
 def _further(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for m in _IBAN.finditer(text):
-        raw = m.group().replace(" ", "")
-        if 15 <= len(raw) <= 34 and mod97(raw):
-            yield "iban", *m.span(), 0.95
+    for start, end in ibans(text):
+        yield "iban", start, end, 0.95
     for kind, pattern in (("ssn", _SSN), ("local_phone", _LOCAL_PHONE), ("secret", _SECRET)):
         for m in pattern.finditer(text):
             yield kind, *m.span(), _score(kind, text, *m.span(), 0.6 if m.group().startswith("AKIA") else 0.3)
