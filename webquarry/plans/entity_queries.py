@@ -147,6 +147,11 @@ def q_dedup_entities(spark, sf):
     return out.select("page_id", "type", F.element_at("data", "value").alias("value"), F.col("ord.pos").alias("event_id"))
 
 
+def q_dedup_entities_all(spark, sf):
+    out = E.dedup_entities(event_entities(spark, sf))
+    return out.select("page_id", "type", F.element_at("data", "value").alias("value"), F.col("ord.pos").alias("event_id"))
+
+
 def q_validate_entities(spark, sf):
     out = E.validate_entities(event_entities(spark, sf))
     return out.groupBy("type").agg(F.count("*").alias("entities"))
@@ -178,19 +183,25 @@ def q_head_entities(spark, sf):
     return flat(E.head_entities(rich(spark, sf)).unionByName(E.head_entities(read(spark, sf, "pages").withColumn("page_id", -F.col("page_id") - 1))))
 
 
-def fallback(spark, sf):
+def fallback(spark, sf, rules=False):
+    """Status with `rules`: all strategies in their own order, so that every page without JSON-LD reaches the rules."""
     known = E.default_extractors()
-    known.remove("rules")
+    if not rules:
+        known.remove("rules")
     known.register(E.Strategy("model", E.head_entities, available=False))
     rows = rich(spark, sf).unionByName(read(spark, sf, "pages").select((F.col("page_id") + 100000000).alias("page_id"), "url", "html"))
     html = F.when(F.col("page_id") % 5 != 0, F.col("html")).otherwise(F.lit(" "))
-    return E.extract_with_fallback(rows.select(F.col("page_id"), "url", html.alias("html")), known, ["model", "json-ld", "head"])
+    return E.extract_with_fallback(rows.select(F.col("page_id"), "url", html.alias("html")), known, ["model", "json-ld"] if rules else ["model", "json-ld", "head"])
 
 
 def q_extract_with_fallback(spark, sf):
     return fallback(spark, sf)[1].withColumn("success", F.col("success").cast("int"))
 
 
+def q_extract_with_fallback_all(spark, sf):
+    return fallback(spark, sf, rules=True)[1].withColumn("success", F.col("success").cast("int"))
+
+
 def q_extraction_report(spark, sf):
     rows = doc_entities(spark, sf).withColumnRenamed("doc_id", "page_id")
     return E.extraction_report(rows).withColumn("confidence", F.round("confidence", 6))
@@ -213,10 +224,10 @@ QUERIES = {
     "meta_tags": q_meta_tags, "open_graph": q_open_graph, "twitter_card": q_twitter_card, "json_ld": q_json_ld, "embedded_json": q_embedded_json,
     "microdata": q_microdata, "page_forms": q_page_forms, "csrf_token": q_csrf_token, "listing_cards": q_listing_cards, "cards_text": q_cards_text,
     "select_elements": q_select_elements, "xpath_select": q_xpath_select, "regex_select": q_regex_select, "transforms": q_transforms, "own_rules": q_own_rules,
-    "rule_extract": q_rule_extract, "rule_extract_pages": q_rule_extract_pages, "shape_entity": q_shape_entity, "dedup_entities": q_dedup_entities,
+    "rule_extract": q_rule_extract, "rule_extract_pages": q_rule_extract_pages, "shape_entity": q_shape_entity, "dedup_entities": q_dedup_entities, "dedup_entities_all": q_dedup_entities_all,
     "validate_entities": q_validate_entities, "page_confidence": q_page_confidence, "pattern_entities": q_pattern_entities,
     "jsonld_entities": q_jsonld_entities, "microdata_entities": q_microdata_entities, "head_entities": q_head_entities,
-    "extract_with_fallback": q_extract_with_fallback, "extraction_report": q_extraction_report, "prompt_rows": q_prompt_rows, "parse_llm_rows": q_parse_replies,
+    "extract_with_fallback": q_extract_with_fallback, "extract_with_fallback_all": q_extract_with_fallback_all, "extraction_report": q_extraction_report, "prompt_rows": q_prompt_rows, "parse_llm_rows": q_parse_replies,
 }
 
 # ---- SQL twins: rich pages are built from known parts, so their answers are written out -----
@@ -298,6 +309,10 @@ HEADING = f"""{SEL}, firsts as (select page_id, v from cut where name = 'heading
 REPLY = "case event_id % 5"
 ENTITY_EVENTS = """ee as (select event_id, user_id page_id, case event_type when 'click' then 'company' when 'view' then 'person' when 'error' then 'bogus' else 'custom' end as type,
  case when event_id % 10 <> 3 then (floor(value)::bigint % 5)::varchar end v, case when event_id % 4 <> 0 then (event_id % 100) / 100 end conf from events)"""
+PAGE_RULES = f"""{HEADING}, b as (select page_id, {BODY} txt from pages),
+c as (select page_id, lower(unnest(list_distinct(regexp_extract_all(txt, {O.q(plain("email", E.EMAIL))})))) v from b),
+p as (select page_id, regexp_replace(unnest(list_distinct(regexp_extract_all(txt, {O.q(E.PHONE)}))), '\\s+', '-', 'g') v from b),
+found as (select page_id, v from firsts union all select distinct page_id, 'email=' || v from c union all select distinct page_id, 'phone=' || v from p)"""
 ORACLE = {
     "meta_tags": META,
     "open_graph": f"select * from ({META}) where name like 'og:%'",
@@ -336,6 +351,7 @@ union all select distinct page_id, 'contact', 'phone=' || v || ';type=phone', 0.
 case event_id % 7 when 3 then 'title=' || user_id when 4 then 'phone=' || user_id || ';type=phone' when 5 then 'value=' || user_id when 6 then 'value=' || user_id else 'name=' || user_id end as data from events""",
     "dedup_entities": f"with {ENTITY_EVENTS}, d as (select page_id, type, v, min(event_id) e from ee group by all) "
     "select page_id, type, v as value, e as event_id from d qualify row_number() over (partition by page_id order by e) <= 6",
+    "dedup_entities_all": f"with {ENTITY_EVENTS} select page_id, type, v as value, min(event_id) as event_id from ee group by all",
     "validate_entities": f"with {ENTITY_EVENTS} select type, count(*) as entities from ee where type <> 'bogus' and v is not null group by 1",
     "page_confidence": f"with {ENTITY_EVENTS} select p.page_id, count(ee.event_id) as entities, coalesce(round(avg(case when ee.event_id is not null then coalesce(conf, 0.5) end), 6), 0) as confidence "
     "from pages p left join ee on p.page_id = ee.page_id group by 1",
@@ -348,6 +364,11 @@ case event_id % 7 when 3 then 'title=' || user_id when 4 then 'phone=' || user_i
 case when p_partkey % 5 = 0 then 0 else 3 end::bigint as entities, case when p_partkey % 5 = 0 then 'All extraction strategies failed' end as error from part
 union all select page_id + 100000000, case when page_id % 5 = 0 then null else 'head' end, (page_id % 5 <> 0)::int,
 case when page_id % 5 = 0 or {TITLE} = '' then 0 else 1 end, case when page_id % 5 = 0 then 'All extraction strategies failed' end from pages""",
+    "extract_with_fallback_all": f"""with {PAGE_RULES}, n as (select page_id, count(*) n from found group by 1)
+select p_partkey as page_id, case when p_partkey % 5 = 0 then null else 'json-ld' end as strategy, (p_partkey % 5 <> 0)::int as success,
+case when p_partkey % 5 = 0 then 0 else 3 end::bigint as entities, case when p_partkey % 5 = 0 then 'All extraction strategies failed' end as error from part
+union all select page_id + 100000000, case when page_id % 5 = 0 then null else 'rules' end, (page_id % 5 <> 0)::int,
+case when page_id % 5 = 0 then 0 else coalesce(n, 0) end, case when page_id % 5 = 0 then 'All extraction strategies failed' end from pages left join n using (page_id)""",
     "extraction_report": f"with e as ({pat_cte()}) select type, source, count(*) as entities, count(distinct doc_id) as pages, round(avg(confidence), 6) as confidence from e group by rollup (type, source)",
     "prompt_rows": "select doc_id, text as prompt_content, "
     "(doc_id % 2 = 0)::int as wants_explanation, (doc_id % 3 = 0)::int as is_commerce from documents",

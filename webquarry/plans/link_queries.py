@@ -63,6 +63,10 @@ def q_link_task_relevance(spark, sf):
     return ranked.select("page_id", "pos", "url", "priority", "rank")
 
 
+def q_link_task_relevance_all(spark, sf):
+    return L.prioritize_links(L.page_links(read(spark, sf, "pages")), F.lit(TASK)).select("page_id", "pos", "url", "priority")
+
+
 def q_filter_links(spark, sf):
     found = L.page_links(read(spark, sf, "pages"))
     visited = found.filter(F.length("url") % 2 == 0).select("url").distinct()
@@ -147,7 +151,7 @@ def q_tracker_urls(spark, sf):
 QUERIES = {
     "normalize_url": q_normalize_url, "normalize_page_url": q_normalize_page_url, "resolve_url": q_resolve_url,
     "url_domain": q_url_domain, "url_checks": q_url_checks, "should_follow": q_should_follow,
-    "page_links": q_page_links, "link_priority": q_link_priority, "link_task_relevance": q_link_task_relevance,
+    "page_links": q_page_links, "link_priority": q_link_priority, "link_task_relevance": q_link_task_relevance, "link_task_relevance_all": q_link_task_relevance_all,
     "filter_links": q_filter_links, "frame_links": q_frame_links, "ajax_endpoints": q_ajax_endpoints,
     "endpoint_candidates": q_endpoint_candidates, "detail_links": q_detail_links, "page_triggers": q_page_triggers,
     "url_dedup": q_url_dedup, "url_dedup_stats": q_url_dedup_stats, "crawl_frontier": q_crawl_frontier,
@@ -250,6 +254,7 @@ ORACLE = {
     "link_task_relevance": f"""with {LINKS}, s as (select page_id, pos, url, priority + {_relevance('url')} as priority from pl)
 select page_id, pos, url, priority, row_number() over (partition by page_id order by priority desc, pos) as rank from s
 qualify row_number() over (partition by page_id order by priority desc, pos) <= 3""",
+    "link_task_relevance_all": f"with {LINKS} select page_id, pos, url, priority + {_relevance('url')} as priority from pl",
     "filter_links": f"with {LINKS} select page_id, pos, url from pl where length(url) % 2 = 1",
     "frame_links": f"select c_custkey as page_id, {SITE} || '/frames/' || c_nationkey || '?y=2&z=1' as url, 0 as pos from customer "
     f"union all select c_custkey, {SITE} || '/list/side.html', 1 from customer",

@@ -35,6 +35,11 @@ def q_quality_rules_mixed(spark, sf):
     return kept.select("page_id", "rule", F.col("passed").cast("int").alias("passed"), F.round("score", 6).alias("score"))
 
 
+def q_quality_rules_mixed_all(spark, sf):
+    rules = Q.quality_rules(Q.quality_inputs(derive(spark, sf, "widget_pages")))
+    return rules.select("page_id", "rule", F.col("passed").cast("int").alias("passed"), F.round("score", 6).alias("score"))
+
+
 def q_quality_own_rule(spark, sf):
     book = Q.RuleBook()
     for rule in list(book.active()):
@@ -102,7 +107,8 @@ def q_blocked_page_flag(spark, sf):
 
 
 QUERIES = {
-    "page_metrics": q_page_metrics, "quality_rules": q_quality_rules, "quality_rules_mixed": q_quality_rules_mixed, "quality_own_rule": q_quality_own_rule,
+    "page_metrics": q_page_metrics, "quality_rules": q_quality_rules, "quality_rules_mixed": q_quality_rules_mixed, "quality_rules_mixed_all": q_quality_rules_mixed_all,
+    "quality_own_rule": q_quality_own_rule,
     "quality_score": q_quality_score, "quality_verdict": q_quality_verdict, "rule_based_verdict": q_rule_based_verdict,
     "hybrid_verdict": q_hybrid_verdict, "dynamic_page_flag": q_dynamic_page_flag, "min_content": q_min_content,
     "content_hash_dedup": q_content_hash_dedup, "blocked_page_flag": q_blocked_page_flag,
@@ -224,3 +230,11 @@ union all select -c_custkey - 1, 1 from customer""",
     "blocked_page_flag": """select case event_id % 9 when 0 then 'BLOCKED:cloudflare' when 1 then 'CAPTCHA' when 2 then 'BLOCKED:denied' when 3 then 'BLOCKED:bot'
  when 4 then 'BLOCKED:incapsula' when 5 then 'BLOCKED:robot check' when 6 then 'CAPTCHA' end as block, count(*) as pages from events group by 1""",
 }
+#: The eight rules as written out above; the others over the numbers of the widget pages, without a task.  A main role counts as main text.
+ORACLE["quality_rules_mixed_all"] = f"""with eight as ({ORACLE['quality_rules_mixed']}), {cte('widget_pages')}, pages as (select * from widget_pages), {INPUTS},
+j as (select i.* replace (case when c_custkey % 4 = 3 then length('Text of ' || c_name) else main_chars end as main_chars) from i join customer on c_custkey = page_id)
+select * from eight union all """ + " union all ".join(
+    f"select page_id, '{n}', ({p})::int, round(({s})::double, 6) from j"
+    for n, _, _, _, p, s in [(n, *r) if n not in ("keyword-matching", "title-relevance") else (n, *r[:3], "true", "0.5") for n, *r in RULES]
+    if f"'{n}'" not in ORACLE["quality_rules_mixed"]
+)
