@@ -115,6 +115,15 @@ def q_transforms(spark, sf):
     )
 
 
+def q_parse_dates(spark, sf):
+    """Dates in the forms that scripts read."""
+    forms = ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEE, d MMM yyyy HH:mm:ss '+0230'", "MMMM d, yyyy h:mm a", "M/d/yyyy HH:mm:ss", "dd-MMM-yyyy", "yyyy-MM-dd'T'HH:mm:ss'-05:00'",
+             "d MMMM yyyy HH:mm 'EST'", "'day' d 'of' MMM yyyy")
+    text = F.array(*[F.date_format("ts", f) for f in forms])
+    rows = read(spark, sf, "events").select("event_id", F.element_at(text, (F.col("event_id") % len(forms) + 1).cast("int")).alias("text"))
+    return rows.select("event_id", X.apply_transform(F.col("text"), "parseDate").alias("date"))
+
+
 def q_rule_extract(spark, sf):
     return flat(E.rule_extract(rich(spark, sf)))
 
@@ -223,7 +232,7 @@ def q_parse_replies(spark, sf):
 QUERIES = {
     "meta_tags": q_meta_tags, "open_graph": q_open_graph, "twitter_card": q_twitter_card, "json_ld": q_json_ld, "embedded_json": q_embedded_json,
     "microdata": q_microdata, "page_forms": q_page_forms, "csrf_token": q_csrf_token, "listing_cards": q_listing_cards, "cards_text": q_cards_text,
-    "select_elements": q_select_elements, "xpath_select": q_xpath_select, "regex_select": q_regex_select, "transforms": q_transforms, "own_rules": q_own_rules,
+    "select_elements": q_select_elements, "xpath_select": q_xpath_select, "regex_select": q_regex_select, "transforms": q_transforms, "parse_dates": q_parse_dates, "own_rules": q_own_rules,
     "rule_extract": q_rule_extract, "rule_extract_pages": q_rule_extract_pages, "shape_entity": q_shape_entity, "dedup_entities": q_dedup_entities, "dedup_entities_all": q_dedup_entities_all,
     "validate_entities": q_validate_entities, "page_confidence": q_page_confidence, "pattern_entities": q_pattern_entities,
     "jsonld_entities": q_jsonld_entities, "microdata_entities": q_microdata_entities, "head_entities": q_head_entities,
@@ -339,6 +348,9 @@ select doc_id, row_number() over (partition by doc_id order by k) - 1 as pos, v
     "transforms": """select event_id, round(value, 6) as number, 'u' || user_id || '.x@mail.example.com' as email, '555-123-' || lpad((user_id % 10000)::varchar, 4, '0') as phone,
 'sub' || user_id || '.example.com' as domain, event_type || ' x' as plain, strftime(ts, '%Y-%m-%d') || 'T00:00:00.000Z' as date, null as url,
 upper('<b>' || event_type || '</b> <i>x</i>') as upper, strftime(ts, '%Y-%m-%d') as same from events""",
+    "parse_dates": """select event_id, strftime(case event_id % 8 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) - interval 150 minute when 2 then date_trunc('minute', ts)
+when 3 then date_trunc('second', ts) when 4 then date_trunc('day', ts) when 5 then date_trunc('second', ts) + interval 5 hour when 6 then date_trunc('minute', ts) + interval 5 hour end::timestamp,
+'%Y-%m-%dT%H:%M:%S.000Z') as date from events""",
     "own_rules": f"with {HEADING} select page_id, 'article' as type, upper(trim(v)) || '!' as title, 0.6::double as confidence from firsts",
     "rule_extract": lit_rows(RULE_ROWS),
     "rule_extract_pages": f"""with {HEADING}, b as (select page_id, {BODY} txt from pages),
