@@ -428,3 +428,13 @@ def test_iban_before_further_words():
     assert cut("REF AB12 DE89 3704 0044 0532 0130 00 X") == ["DE89 3704 0044 0532 0130 00"]  # behind a run that fails
     assert cut("DE89 3704 0044 0532 0130 01 EUR") == cut("DE89370400440532013000EUR") == cut("DE89370400440532013000eur") == []
     assert pii.masked_text("pay DE89370400440532013000 BIC COBADEFF") == "pay <iban> BIC COBADEFF"
+
+
+def test_scorer_is_fitted_on_whole_texts(spark, monkeypatch):
+    seen, train = [], weaklinear._train
+    monkeypatch.setattr(weaklinear, "_train", lambda sample: seen.extend(sample) or train(sample))
+    texts = [(1, "clean words " * 300 + "TAIL#1 " * 400), (2, "short and clean"), (3, "")]
+    assert weaklinear.scored(spark.createDataFrame(texts, "doc_id long, text string")).count() == 3
+    assert sorted(int(s[1].sum()) for _, s in seen) == [3 * 3, 3 * 1000]
+    (tail,) = np.unique(weaklinear.slots(np.frombuffer(b"TAIL#1", np.uint8), np.array([0, 6]))[0][:, 0])
+    assert [int(s[1][s[0] == tail].sum()) for _, s in seen if s[1].sum() > 9] == [400]

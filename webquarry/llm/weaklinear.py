@@ -17,9 +17,8 @@ from webquarry.llm import quality
 from webquarry.llm.common import U, mix, narrowed, span_hashes, steps, word_spans
 
 SLOTS = 1 << 16
-#: The fit: expected number of sampled documents, and words of each.
+#: The fit: expected number of sampled documents.
 SAMPLE = 3000
-WINDOW = 600
 ROUNDS = 60
 
 _CLASS = np.arange(256).astype(np.uint8)
@@ -46,14 +45,18 @@ def slots(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (three & U(SLOTS - 1)).astype(np.int64), first
 
 
+def counts(three: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each text with words its features and how often each occurs, as two rows: SLOTS columns at most, however long the text."""
+    return [np.stack(np.unique(three[a:b], return_counts=True)).astype(np.int32) if b > a else np.zeros((2, 0), np.int32) for a, b in zip(first[:-1], first[1:])]
+
+
 def _train(sample: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer on soft labels, both classes of equal total weight."""
+    """Weights and bias of a logistic scorer on soft labels and `counts`, both classes of equal total weight."""
     if not sample:
         return np.zeros(SLOTS), 0.0
     y = np.array([p for p, _ in sample])
-    size = np.array([len(s) for _, s in sample])
-    row, flat = np.repeat(np.arange(len(sample)), size), np.concatenate([s for _, s in sample])
-    share = (3.0 / size)[row]
+    row, flat = np.repeat(np.arange(len(sample)), [s.shape[1] for _, s in sample]), np.concatenate([s[0] for _, s in sample])
+    share = np.concatenate([3.0 * s[1] / s[1].sum() for _, s in sample])
     importance = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
     w, bias = np.zeros(SLOTS), 0.0
     m, v, mb, vb = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
@@ -72,7 +75,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     weak_quality is the posterior of the labellers, score the scorer's probability, good a score of one half or more.  Null and blank
     texts have no words, score 0 and are not good.  Repeated rows are scored alike; other columns are left out.  Labellers' votes are counted over
-    all documents; only the scorer is fitted on a sample, SAMPLE documents in expectation with WINDOW words each.
+    all documents; only the scorer is fitted on a sample, SAMPLE documents in expectation, each with the features of its whole text.
     """
     base = narrowed(docs, key, text)
     votes = quality.rules()
@@ -87,14 +90,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in steps(batches):
             three, first = slots(data, at)
-            windows = [three[a : min(b, a + WINDOW)].ravel().astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(windows, pa.binary())], names=["doc_id", "slots"])
+            whole = [c.tobytes() for c in counts(three, first)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(whole, pa.binary())], names=["doc_id", "slots"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
     odds = sum((F.when(F.col(n) == -1, weights[n][-1]).when(F.col(n) == 1, weights[n][1]).otherwise(0.0) for n in names), F.lit(prior))
     labels = counted.where(draw < min(1.0, SAMPLE / max(1, total))).select("doc_id", (1 / (1 + F.exp(-odds))).alias("p"))
     pairs = chosen.mapInArrow(picked, f"doc_id {kind}, slots binary").join(labels, "doc_id").collect()
-    sample = [(r["p"], np.frombuffer(r["slots"], np.int32)) for r in sorted(pairs, key=lambda r: (str(r["doc_id"]), bytes(r["slots"]))) if r["slots"]]
+    sample = [(r["p"], np.frombuffer(r["slots"], np.int32).reshape(2, -1)) for r in sorted(pairs, key=lambda r: (str(r["doc_id"]), bytes(r["slots"]))) if r["slots"]]
     file = base.sparkSession.sparkContext.broadcast(_train(sample))  # SLOTS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
