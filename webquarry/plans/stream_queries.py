@@ -105,17 +105,17 @@ END = "timestamp '2100-01-01 00:00:00'"
 
 
 def stream(spark, sf, table="events", end="ts", parts=3):
-    """The table as shuffled files, one per trigger; with `end`, a row far in the future follows in a file of its own."""
+    """The table in shuffled parts, each of as many files as the table has partitions, a trigger about one part; with `end`, a row far in the future follows."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
     rows = read(spark, sf, table)
     folder = f"{checkpoint_dir(spark)}/webquarry/input-{uuid.uuid4().hex}"
-    key = rows.columns[0]
+    key, files = rows.columns[0], max(1, rows.rdd.getNumPartitions())
     for part in range(parts):
-        rows.filter(F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)) == part).orderBy(F.xxhash64(key)).coalesce(1).write.mode("append").parquet(f"{folder}/{part}")
+        rows.filter(F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)) == part).repartition(files, F.xxhash64(key)).write.mode("append").parquet(f"{folder}/{part}")
     if end:
         last = rows.select(*[F.expr(END).cast(f.dataType).alias(f.name) if f.name == end else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
         last.limit(1).coalesce(1).write.parquet(f"{folder}/{parts}")
-    return S.read_stream(spark, f"{folder}/*", rows, files_per_trigger=1)
+    return S.read_stream(spark, f"{folder}/*", rows, files_per_trigger=files)
 
 
 def q_rate_limit_stream(spark, sf):

@@ -91,10 +91,16 @@ class _Ordered(StatefulProcessor):
     """Holds the rows of a key until the watermark has passed them, then decides over them in event order.
 
     A subclass names the columns it holds and folds the released rows.  State beyond the held rows
-    and the fold's own is not kept; a key without either has none.
+    and the fold's own is not kept; a key without either has none.  Rows are held by spans of event time, in blocks;
+    a timer reads passed spans only, one after the other.
     """
 
     held_schema = ""
+    #: Microseconds of a span, and rows of a block.
+    span = 3600 * L.SECOND
+    block = 4096
+    #: Only the last fold of a timer is given out.
+    last_only = False
     order: tuple[str, ...] = ("us", "id")
 
     def start(self, handle: StatefulProcessorHandle) -> None:
@@ -105,7 +111,8 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
+        self.blocks = handle.getMapState("blocks", "span long", "n long")
+        self.held = handle.getMapState("held", "span long, block long", f"rows array<struct<{self.held_schema.replace(' ', ': ')}>>".replace(",: ", ", "))
         self.start(handle)
 
     def _wake(self, us: int) -> None:
@@ -114,7 +121,8 @@ class _Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         least = None
         for batch in rows:
-            self.held.appendList(list(batch[self.columns()].itertuples(index=False, name=None)))
+            for at, part in batch[self.columns()].groupby(batch["us"] // self.span):
+                self._hold(int(at), part)
             low = int(batch["us"].min())
             least = low if least is None else min(least, low)
         if least is not None:
@@ -122,15 +130,41 @@ class _Ordered(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = pd.DataFrame(list(self.held.get()), columns=self.columns())
-        passed = rows["us"] < timerValues.getCurrentWatermarkInMs() * 1000
-        rest = rows[~passed]
-        self.held.clear()
-        if len(rest):
-            self.held.put(list(rest.itertuples(index=False, name=None)))
-            self._wake(rest["us"].min())
-        if passed.any():
-            yield self.fold(key, rows[passed].sort_values(list(self.order), kind="stable"))
+        mark, out = timerValues.getCurrentWatermarkInMs() * 1000, None
+        spans = sorted(int(k[0]) for k in self.blocks.keys())
+        for at in spans:
+            if at * self.span >= mark:
+                self._wake(at * self.span)
+                break
+            rows = self._release(at)
+            passed = rows["us"] < mark
+            rest = rows[~passed]
+            if len(rest):
+                self._hold(at, rest)
+                self._wake(rest["us"].min())
+            if passed.any():
+                out = self.fold(key, rows[passed].sort_values(list(self.order), kind="stable"))
+                if not self.last_only:
+                    yield out
+        if self.last_only and out is not None:
+            yield out
+
+    def _hold(self, at: int, rows: pd.DataFrame) -> None:
+        n = int(self.blocks.getValue((at,))[0]) if self.blocks.containsKey((at,)) else 0
+        listed = list(rows.itertuples(index=False, name=None))
+        for lo in range(0, len(listed), self.block):
+            self.held.updateValue((at, n), (listed[lo : lo + self.block],))
+            n += 1
+        self.blocks.updateValue((at,), (n,))
+
+    def _release(self, at: int) -> pd.DataFrame:
+        """All rows of a span, which is held no longer."""
+        listed = []
+        for k in range(int(self.blocks.getValue((at,))[0])):
+            listed += [tuple(r) for r in self.held.getValue((at, k))[0]]
+            self.held.removeKey((at, k))
+        self.blocks.removeKey((at,))
+        return pd.DataFrame(listed, columns=self.columns())
 
     def columns(self) -> list[str]:
         return [part.split()[0] for part in self.held_schema.split(", ")]
@@ -174,6 +208,7 @@ class _Health(_Ordered):
     """Counts and failure run of a source."""
 
     held_schema = "us long, id long, ok boolean, ms double"
+    last_only = True
 
     def __init__(self, max_failures: int):
         self.max_failures = max_failures
