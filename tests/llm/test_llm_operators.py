@@ -438,3 +438,12 @@ def test_scorer_is_fitted_on_whole_texts(spark, monkeypatch):
     assert sorted(int(s[1].sum()) for _, s in seen) == [3 * 3, 3 * 1000]
     (tail,) = np.unique(weaklinear.slots(np.frombuffer(b"TAIL#1", np.uint8), np.array([0, 6]))[0][:, 0])
     assert [int(s[1][s[0] == tail].sum()) for _, s in seen if s[1].sum() > 9] == [400]
+
+
+def test_every_letter_of_a_long_run_counts():
+    run = "".join(chr(0x4E00 + k) for k in range(1000))
+    assert "".join(langcrf.words(run)) == run and max(map(len, langcrf.words(run))) == langcrf.LETTERS
+    assert langcrf.words("abc " + "d" * 24 + " ef") == ["abc", "d" * 24, "ef"]
+    slots = {s for w in langcrf.words(run) for s in langcrf.features(w, frozenset())}
+    assert all(langcrf._slot("n" + w[i : i + 3]) in slots for w in langcrf.words(run) for i in range(len(w) - 2))
+    assert langcrf._slot("n" + run[500:503]) in slots

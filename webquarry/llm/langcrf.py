@@ -33,7 +33,9 @@ NUMBERS = 4 << 20
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
 
-_LETTERS = regex.compile(r"\p{L}+")
+#: Longer runs of letters, as of scripts without blanks, are successive words of so many letters.
+LETTERS = 24
+_LETTERS = regex.compile(rf"\p{{L}}{{1,{LETTERS}}}+")
 
 
 def words(text: str | None) -> list[str]:
@@ -45,7 +47,7 @@ def _slot(name: str) -> int:
 
 
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    w = f"^{word[:24]}$"  # affixes and trigrams of the first letters and the true end of very long words
+    w = f"^{word}$"
     names = [f"n{w[i : i + 3]}" for i in range(len(w) - 2)] + [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [f"l{min(len(word), 12)}"]
     if word in lexicon:
         names.append(f"w{word}")
