@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, hyperminhash, langcrf, mixing, oracles, pii, pq, quality, substrings, tokencount, weaklinear
+from webquarry.llm import bpe, geokmeans, hyperminhash, langcrf, mixing, oracles, packing, pii, pq, quality, spelling, substrings, tokencount, weaklinear
 from webquarry.llm.common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(_table(spark, sf_dir, "documents")))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geokmeans.clustered(_table(spark, sf_dir, "embeddings"))
+    centroid = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    centroids = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.lit(found.inertia).cast("long").alias("inertia"), centroid.alias("centroid_sha256"))
+    return found.assigned.join(F.broadcast(centroids), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # one row a cluster
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"), WORD_BPE)
+    return packing.packed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.occurrences(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
@@ -91,5 +107,8 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language": op9_language,
     "op10_pii": op10_pii,
+    "op11_clusters": op11_clusters,
+    "op12_packing": op12_packing,
+    "op13_spelling": op13_spelling,
 }
 ORACLE = oracles.ORACLE
