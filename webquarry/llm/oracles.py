@@ -60,6 +60,9 @@ FROM a{rounds} a JOIN t{rounds} t ON t.c = a.m[2]"""
 
 CLUSTERS = _clusters()
 
+#: The checking engine's edit distance counts bytes: each letter from U+00C0 on stands as one byte that is no letter a to z.
+_ONE_BYTE = ("".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(33, 97))).replace("'", "''"))
+
 #: crc32 byte by byte over a table that is made here from its polynomial; letters are one byte, or two from U+00C0 on.
 SPELLING = r"""
 WITH RECURSIVE crc AS MATERIALIZED (
@@ -72,17 +75,17 @@ WITH RECURSIVE crc AS MATERIALIZED (
 ), hashed AS (
   SELECT run, k, xor(list_reduce(b, lambda c, z: xor(c >> 8, tab[(xor(c, z) & 255) + 1])), 4294967295) h FROM bytes, crc
 ), w AS MATERIALIZED (
-  SELECT word, sum(k)::BIGINT n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, k FROM hashed)
+  SELECT word, translate(word, '<two>', '<one>') e, sum(k)::BIGINT n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, k FROM hashed)
   WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5
 ), near AS MATERIALIZED (
   SELECT a.word, b.word other, b.n FROM w a JOIN w b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1 AND a.word <> b.word
-    AND (left(a.word, 3) = left(b.word, 3) OR right(a.word, 3) = right(b.word, 3)) WHERE levenshtein(a.word, b.word) = 1
+    AND (left(a.word, 3) = left(b.word, 3) OR right(a.word, 3) = right(b.word, 3)) WHERE levenshtein(a.e, b.e) = 1
 ), best AS MATERIALIZED (
   SELECT w.word, w.n, COALESCE(x.n_near, 0)::BIGINT n_near, CASE WHEN x.m[1] <= -5 * w.n THEN x.m[2] END form, CASE WHEN x.m[1] <= -5 * w.n THEN -x.m[1] END form_n
   FROM w LEFT JOIN (SELECT word, count(*) n_near, min((-n, other)) m FROM near GROUP BY 1) x USING (word)
 ), ends(word, last) AS (SELECT word, word FROM best UNION ALL SELECT e.word, b.form FROM ends e JOIN best b ON b.word = e.last WHERE b.form IS NOT NULL)
 SELECT b.word, b.form, e.last AS root, b.n, b.n_near, b.form_n::BIGINT AS form_n
 FROM best b JOIN (SELECT e.word, e.last FROM ends e JOIN best l ON l.word = e.last WHERE l.form IS NULL) e ON e.word = b.word
-""".replace("\\u00C0-\\u00FF", "\u00C0-\u00FF")
+""".replace("\\u00C0-\\u00FF", "\u00C0-\u00FF").replace("<two>", _ONE_BYTE[0]).replace("<one>", _ONE_BYTE[1])
 
 ORACLE = {"op3_minhash_dedup": NEAR_DUPLICATES, "op4_substring_dedup": SUBSTRINGS, "op5_mixing": mixing.SQL, "op11_clusters": CLUSTERS, "op13_spelling": SPELLING}
