@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from check_oracle import compare, connect
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from webquarry.llm import geokmeans, packing, queries, spelling
+from webquarry.llm.common import bytes_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -118,7 +120,7 @@ def test_chunks_equal_the_library():
     draw = random.Random(7)
     texts = [f"a{chr(c)}b {chr(c)}1 A{chr(c)}" for c in points]
     texts += ["".join(draw.choice([" ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\xa0", " ", "'s", "Ab", "é", "é", "9", "!!", "՘", "<|endoftext|>", "<|"]) for _ in range(60)) for _ in range(300)]
-    ids, bounds = model.encode(texts)
+    ids, bounds = model.encode(*bytes_of(pa.array(texts)))
     for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
         assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 

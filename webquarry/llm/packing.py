@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,61 +20,122 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webquarry.llm.bpe import WordBpe
-from webquarry.llm.common import narrowed, steps, written
+from webquarry.llm.bpe import ROW_BYTES, WordBpe
+from webquarry.llm.common import narrowed, span_hashes, steps, word_spans, written
 
 CAPACITY = 4096
 END = 1
 #: Chunks between blanks that a worker keeps with their ids; beyond, the memory starts anew.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 900_000
 #: Bits for the rank within a length in the keys that are searched.
 RANK_BITS = 44
+#: Marks that are a word of their own behind letters, and what the short way for Latin letters does not take.
+_MARKS = ".,;:!?"
+_BEYOND_LATIN = regex.compile(r"[^\u0000-\u00FF]")
 #: Code points on which all tables agree with the library's (tested one by one); chunks with others go through the library itself.
 _OTHER = regex.compile(r"[^\u0000-\u052F\u2000-\u206F\u3040-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3]")
 
 
 class ChunkBpe:
-    """Ids of texts chunk by chunk between ASCII blanks, which no token crosses; every distinct chunk is encoded once."""
+    """Ids of texts chunk by chunk between ASCII blanks, which no token crosses; every distinct chunk is encoded once.
+
+    Chunks are known by 64-bit hashes of their bytes: two of a million different ones share theirs with a probability below 0.0000001.
+    """
 
     def __init__(self, raw: bytes):
-        self.words, self.library = WordBpe(raw), Tokenizer.from_str(raw.decode())
+        self.model, self.library = WordBpe(raw), Tokenizer.from_str(raw.decode())
         self.library.no_truncation()
         self.library.no_padding()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.starts, self.sizes, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.known: dict[int, int] = {}
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _words(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The words of a chunk; Latin letters with or without marks behind them need no pattern."""
+        core = chunk.rstrip(_MARKS)
+        if core.isalpha() and (chunk.isascii() or not _BEYOND_LATIN.search(chunk)):
+            return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
+        return self.model.words(chunk)
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, joined, and their numbers; words of like length step together as the rows of one array."""
+        raws = [w.encode() for w in words]
+        n = np.fromiter(map(len, raws), np.int64, len(raws))
+        special = {i: [self.model.special[w]] for i, w in enumerate(words) if w in self.model.special}
+        single = {i: self.model.merge_long(raws[i]) for i in np.flatnonzero(n > ROW_BYTES).tolist()} | special
+        counts, parts, order = np.zeros(len(words), np.int64), [], []
+        low = 1
+        for high in (6, 10, 16, ROW_BYTES):
+            some = np.flatnonzero((n >= low) & (n <= high))
+            low = high + 1
+            for chunk in (some[a : a + 20_000] for a in range(0, len(some), 20_000)):
+                rows = np.full((len(chunk), high), -1, np.int32)
+                data = np.frombuffer(b"".join([raws[i] for i in chunk.tolist()]), np.uint8)
+                rows[np.arange(high)[None, :] < n[chunk][:, None]] = self.model.inner[data]
+                rows[np.arange(len(chunk)), n[chunk] - 1] = self.model.last[data[np.cumsum(n[chunk]) - 1]]
+                rows = self.model.merge_rows(rows)
+                real = rows >= 0
+                real[[k for k, i in enumerate(chunk.tolist()) if i in single]] = False
+                counts[chunk] = real.sum(axis=1)
+                parts.append(rows[real])
+                order.append(chunk)
+        for i, ids in single.items():
+            counts[i] = len(ids)
+            parts.append(np.array(ids, np.int32))
+            order.append(np.array([i]))
+        pool = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        starts = np.zeros(len(words), np.int64)
+        if order:  # a special word stands in its row's chunk with nothing and behind with its id, where it stays
+            at = np.concatenate(order)
+            size = counts[at]
+            size[: len(at) - len(single)][np.isin(at[: len(at) - len(single)], list(single))] = 0
+            starts[at] = np.cumsum(size) - size
+        return gathered(pool, starts, counts), counts
 
     def _learn(self, new: list[str]) -> None:
-        rare = {c: self.library.encode(c, add_special_tokens=False).ids for c in new if not c.isascii() and _OTHER.search(c)}
-        ids, bounds = self.words.encode(["" if c in rare else c for c in new])
-        sizes, pools = np.diff(bounds), [self.pool, ids]
-        starts = len(self.pool) + bounds[:-1]
-        end = len(self.pool) + len(ids)
-        for i, c in enumerate(new if rare else ()):
-            if c in rare:
-                starts[i], sizes[i] = end, len(rare[c])
-                pools.append(np.array(rare[c], np.int32))
-                end += len(rare[c])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        rare = {i: self.library.encode(c, add_special_tokens=False).ids for i, c in enumerate(new) if not c.isascii() and _OTHER.search(c)}
+        listed = [() if i in rare else self._words(c) for i, c in enumerate(new)] if rare else list(map(self._words, new))
+        place: dict[str, int] = {}
+        flat = np.array([place.setdefault(w, len(place)) for words in listed for w in words], np.int64)
+        ids, counts = self._merged(list(place))
+        starts = np.cumsum(counts) - counts
+        per_word = counts[flat]
+        sizes = np.diff(np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *map(len, listed)])])
+        pools = [self.pool, gathered(ids, starts[flat], per_word)]
+        begins = len(self.pool) + np.cumsum(sizes) - sizes
+        end = len(self.pool) + len(pools[1])
+        for i, own in rare.items():
+            begins[i], sizes[i] = end, len(own)
+            pools.append(np.array(own, np.int32))
+            end += len(own)
+        self.starts, self.sizes = np.concatenate([self.starts, begins]), np.concatenate([self.sizes, sizes])
         self.pool = np.concatenate(pools).astype(np.int32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, joined, and the n + 1 bounds."""
-        listed = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(listed))
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given as UTF-8 bytes with n + 1 bounds, and the n + 1 bounds of the ids."""
+        start, end, first = word_spans(data, at)
+        keys, one, where = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_CHUNKS:
             self._forget()
-        new = set(flat).difference(self.known)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.cumsum([0, *map(len, listed)])]
+        listed = keys.tolist()
+        place = np.fromiter((self.known.get(k, -1) for k in listed), np.int64, len(listed))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw, n = data.tobytes(), len(self.known)
+            self._learn([raw[a:b].decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())])
+            place[new] = np.arange(n, n + len(new))
+            self.known.update(zip(keys[new].tolist(), place[new].tolist()))
+        place = place[where]
+        sizes = self.sizes[place]
+        return gathered(self.pool, self.starts[place], sizes), np.concatenate([[0], np.cumsum(sizes)])[first]
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of `pool` one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _MODELS: dict[int, ChunkBpe] = {}
@@ -113,8 +173,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(file.value)
-        for part, _, _ in steps(batches):
-            ids, doc, number, start, at = _cut(*model.encode([t or "" for t in part.column("text").to_pylist()]), capacity, end)
+        for part, data, bounds in steps(batches):
+            ids, doc, number, start, at = _cut(*model.encode(data, bounds), capacity, end)
             raw, bounds = ids.astype("<u4").tobytes(), np.append(at, len(ids))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(np.diff(bounds)), pa.array([raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())],
