@@ -30,3 +30,12 @@ def test_scan_reads_only_what_is_used(spark, sf_dir):
 def test_pages_are_exchanged_once_for_elements(spark, sf_dir):
     text = plan(entry.queries()["elements"](spark, sf_dir))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_structure_costs_one_more_exchange(spark, sf_dir):
+    import re
+
+    for name in ("structural_select", "structural_paths"):
+        text = plan(entry.queries()[name](spark, sf_dir))
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        assert len(re.findall(r"Exchange hashpartitioning\(page_id", text)) == text.count("Exchange hashpartitioning") == 3  # pages, elements, texts

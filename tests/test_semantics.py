@@ -101,13 +101,49 @@ def test_selector_forms(spark, selector, want):
     assert [r.value for r in rows] == want
 
 
+STRUCTURE = """<html><body><div id="a"><p>1<p class="k">2</p><ul><li>x<li class="k">y</li><li>z</ul><p>3</p></div><div><b>m<p>4</b>n</p><em></em></div></body></html>"""
+
+
+SELECTORS = [
+    ("div > p", ["1", "2", "3"]), ("b > p", ["4n"]), ("ul + p", ["3"]), ("p + p", ["2"]), (".k ~ p", ["3"]), ("li:first-child", ["x"]), ("li:nth-child(2n)", ["y"]), ("li:nth-child(odd)", ["x", "z"]),
+    ("li:not(:nth-child(n+2))", ["x"]), ("p:nth-last-of-type(1)", ["3", "4n"]), ("div:last-child > b", ["m4"]), ("div:first-of-type li:last-child", ["z"]), ("ul:only-of-type > .k", ["y"]),
+    ("body > div > ul > li", ["x", "y", "z"]), ("html:root > body p.k", ["2"]), ("li:nth-child(-n+2), b", ["x", "y", "m4"]), ("div ul .k + li", ["z"]), ("p.k ~ ul li:only-child", []), ("b:not(:empty)", ["m4"]),
+]
+
+
+def test_structural_selectors(spark):
+    from webquarry.operators import dom
+
+    rows = dom.select_elements(pages(spark, STRUCTURE), {selector: (selector, None) for selector, _ in SELECTORS}).orderBy("pos").collect()
+    assert {s: [r.value for r in rows if r.name == s] for s, _ in SELECTORS} == dict(SELECTORS)
+
+
+XPATHS = [
+    ("//div/p[2]", ["2"]), ("//ul/li[last()]", ["z"]), ("//li[position()<=2]", ["x", "y"]), ("//li[@class='k']/preceding-sibling::li", ["x"]), ("//p[@class='k'][1]", ["2"]),
+    ("/html/body/div[1]/p[last()-1]", ["2"]), ("//em/../b", ["m4"]), ("//li/parent::ul/following-sibling::p", ["3"]), ("//b/ancestor::div/em | //ul/*[1]", ["x"]), ("//p[not(@class) and not(@id)][2]", ["3"]),
+    ("//div[@id='b' or @id=\"a\"]/descendant::li[@class != 'x']", ["y"]), ("//div[@id]/@id", ["a"]), ("/div", []), ("//ul/node()[2]", ["y"]),
+]
+
+
+def test_structural_paths(spark):
+    rows = E.paths_select(pages(spark, STRUCTURE), {p: p for p, _ in XPATHS if "/@" not in p}).orderBy("pos").collect()
+    assert {p: [r.value for r in rows if r.name == p] for p, _ in XPATHS if "/@" not in p} == {p: want for p, want in XPATHS if "/@" not in p}
+    assert [r.value for r in E.xpath_select(pages(spark, STRUCTURE), "//div[@id]/@id").collect()] == ["a"]
+
+
+def test_rules_with_structure(spark):
+    sets = E.RuleSets((E.RuleSet("own", 1, (E.Rule("a", "article", selector="div > p:nth-of-type(2)"), E.Rule("b", "custom", xpath="//li[2]", multiple=True))),))
+    got = {(r.type, *r.data.values()) for r in E.rule_extract(pages(spark, STRUCTURE), sets).collect()}
+    assert got == {("article", "2"), ("custom", "y")}
+
+
 def test_forms_that_are_not_covered_raise(spark):
     from webquarry.functions.markup import css
 
-    for selector in ("ul > li", "h1 + p", "a ~ b", "li:first-child", "!!!", "a:hover", "", "a,,b", ":not(a b)"):
+    for selector in ("> li", "h1 +", "a > + b", "li:nth-child(x)", "!!!", "a:hover", "", "a,,b", ":not(a b)", "a:first-childish"):
         with pytest.raises(ValueError):
             css(selector)
-    for path in ("/html/body", "//ul/li", "//div[1]", "//a[@b or @c]"):
+    for path in ("html", "//ul/", "//div[text()='x']", "//li[.='x']", "//a[@b or]", "//a/following-sibling::b[1]", "//a[b]", "//a//..", "//a/@b | //c", "//a/@b/c"):
         with pytest.raises(ValueError):
             E.xpath_select(pages(spark, PAGE), path)
     html = '<a href="u" rel="n">k</a><a href="v">l</a>'

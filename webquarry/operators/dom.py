@@ -9,14 +9,17 @@ descendants" and "inside an ad" cost no join at all.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
+from pyspark.sql.types import ArrayType, LongType
 
 from webquarry.functions import patterns as P
-from webquarry.functions.markup import attr, css
+from webquarry.functions.markup import AROUND, CHILD, EARLIER, INSIDE, LATER, NEXT, PARENT, Position, Step, attr, css
 from webquarry.functions.text import decode_entities, find_all, js_trim, matches, sub
 
 # Tags without content, and tags that end an open paragraph-like element.
@@ -177,42 +180,131 @@ def with_page_text(els: DataFrame, pages: DataFrame, partitioned: bool = False)
     return els.join(texts, "page_id").withColumn("text", content_text(F.col("page_text"))).drop("page_text")
 
 
-def with_selectors(els: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
-    """Adds one boolean column per selector.
+@F.arrow_udf(ArrayType(LongType()))
+def _enclosing(pos: pa.Array, last: pa.Array) -> pa.Array:
+    """For the elements of a page in order: the place of the innermost earlier one that reaches over them, null for none."""
+    starts, ends, cuts = np.asarray(pos.flatten()).tolist(), np.asarray(last.flatten()).tolist(), pos.value_lengths().to_pylist()
+    out: list[int | None] = []
+    at = 0
+    for n in cuts:
+        open_: list[int] = []
+        for i in range(at, at + n):
+            while open_ and ends[open_[-1]] < starts[i]:
+                open_.pop()
+            out.append(starts[open_[-1]] if open_ else None)
+            open_.append(i)
+        at += n
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cuts]), pa.int32()), pa.array(out, pa.int64()))
+
+
+def with_parents(els: DataFrame) -> DataFrame:
+    """Adds `parent`, the place of the innermost element around each, null at the top.
+
+    Extents of broken pages may cross, so the parent is the latest element that is still open.  A page's elements become one
+    row for that, where they already are; behind the Python step Spark no longer knows their layout, so they are exchanged
+    once more on page_id, for all windows that follow.
+    """
+    rest = [c for c in els.columns if c not in ("page_id", "pos")]
+    pages = els.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[F.col(f"`{c}`") for c in rest]))).alias("e"))
+    up = _enclosing(F.transform("e", lambda x: x["pos"].cast("long")), F.transform("e", lambda x: x["last"].cast("long")))
+    rows = pages.withColumn("p", up).select("page_id", F.inline(F.arrays_zip("e", "p")))
+    return rows.select("page_id", "e.*", F.col("p").alias("parent")).repartition("page_id")
+
+
+def siblings() -> WindowSpec:
+    return W.partitionBy("page_id", "parent")
+
 
-    Each attribute is read from the tag once, however many selectors ask for it, and
-    each ancestor test is one running maximum: an element lies inside an earlier one
-    that passes when the furthest end of those passing so far is behind it.
+def with_places(els: DataFrame, kinds: set[str]) -> DataFrame:
+    """Adds the place among all siblings (child_nth, child_last from the end) or among those of the same name (type_nth, type_last)."""
+    by = {"child": siblings(), "type": W.partitionBy("page_id", "parent", "tag")}
+    return els.withColumns({
+        f"{k}_{way}": F.row_number().over(by[k].orderBy("pos" if way == "nth" else F.desc("pos"))) for k in sorted(kinds) for way in ("nth", "last")
+    })
+
+
+def _related(els: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
+    """Adds a column per (link, flag column, name): does the element stand in that relation to a flagged one?"""
+    page = W.partitionBy("page_id").orderBy("pos")
+    above, below = page.rowsBetween(W.unboundedPreceding, -1), page.rowsBetween(1, W.unboundedFollowing)
+    sides = siblings().orderBy("pos")
+    by_link = {
+        INSIDE: lambda f: F.max(F.when(f, F.col("last"))).over(above) >= F.col("pos"),
+        AROUND: lambda f: F.min(F.when(f, F.col("pos"))).over(below) <= F.col("last"),
+        NEXT: lambda f: F.lag(f).over(sides),
+        LATER: lambda f: F.max(f).over(sides.rowsBetween(W.unboundedPreceding, -1)),
+        EARLIER: lambda f: F.max(f).over(sides.rowsBetween(1, W.unboundedFollowing)),
+    }
+    plain = {name: F.coalesce(by_link[link](F.col(flag)), F.lit(False)) for link, flag, name in wanted if link in by_link}
+    out = els.withColumns(plain) if plain else els
+    # Parents and children meet in the group of the parent's place, where the parent stands as 0 and every child as 1.
+    for side, link in ((1, CHILD), (0, PARENT)):
+        asked = [(flag, name) for l, flag, name in wanted if l == link]
+        if asked:
+            both = out.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("family", F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("parent")))
+            family = W.partitionBy("page_id", "family")
+            both = both.withColumns({name: F.coalesce(F.max(F.when(F.col("side") == 1 - side, F.col(flag))).over(family), F.lit(False)) for flag, name in asked})
+            out = both.filter(F.col("side") == side).drop("side", "family")
+    return out
+
+
+def with_selectors(els: DataFrame, selectors: Mapping[str, str | tuple[Step, ...]]) -> DataFrame:
+    """Adds one boolean column per selector (text, or steps of a path).
+
+    Each attribute is read from the tag once, however many selectors ask for it.  Steps are decided from the left to the
+    right, those with as many steps before them together: an element lies inside an earlier one that passes when the furthest end of
+    those passing so far is behind it; relations between parents, children and siblings are windows over the page's rows.  Only
+    selectors that ask for such relations pay for the parents.
     """
-    compiled = {name: css(selector) for name, selector in selectors.items()}
-    steps = [s for alternatives in compiled.values() for top in alternatives for s in top.chain()]
-    names = sorted({t.name for s in steps for t in s.tests if t.op not in ("has", "tag")})
+    compiled = {name: css(s) if isinstance(s, str) else s for name, s in selectors.items()}
+    tops = [top for alternatives in compiled.values() for top in alternatives]
+    steps = list(dict.fromkeys(s for top in tops for s in top.chain()))
+    names = sorted(set().union(*(s.names() for s in steps)))
     is_el = F.col("kind").isin("open", "void")
     out = els.withColumns({f"@{n}": F.when(is_el, attr(F.col("tok"), n, decode=False)) for n in names})
-    outer = list(dict.fromkeys(
-        replace(s, within=None) for alternatives in compiled.values() for top in alternatives for s in top.chain()[1:]
-    ))
-    above = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    out = out.withColumns({f"^{i}": F.when(is_el & s.local(), F.col("last")) for i, s in enumerate(outer)})
-    out = out.withColumns({f"^{i}": F.max(f"^{i}").over(above) >= F.col("pos") for i in range(len(outer))})
-
-    def hit(alternatives) -> Column:
+    places: dict[tuple[Step, int], tuple[Column, Column]] = {}
+    extra = []
+    if any(s.structural() for s in steps):
+        out = with_parents(out)
+        kinds = {t.of for s in steps for t in s.tests if isinstance(t, Position) and t.of != "match"}
+        out = with_places(out, kinds)
+        extra = ["parent", *[f"{k}_{way}" for k in kinds for way in ("nth", "last")]]
+        for s in steps:
+            for i, t in enumerate(s.tests):
+                if isinstance(t, Position) and t.of == "match":  # counted among the siblings that the tests before it leave
+                    n, z = f"place_{len(places)}", f"places_{len(places)}"
+                    left = F.coalesce(is_el & s.local(places, i), F.lit(False)).cast("int")
+                    out = out.withColumn("left", left).withColumns({
+                        n: F.sum("left").over(siblings().orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)), z: F.sum("left").over(siblings()),
+                    }).drop("left")
+                    places[s, i] = F.col(n), F.col(z) - F.col(n) + 1
+                    extra += [n, z]
+    inner = list(dict.fromkeys(s.within for s in steps if s.within))
+    links = {(s.within, s.link): f"^{i}" for i, s in enumerate(dict.fromkeys(s for s in steps if s.within))}
+
+    def test(s: Step) -> Column:
+        return is_el & s.local(places) & (F.col(links[s.within, s.link]) if s.within else F.lit(True))
+
+    for depth in range(1, max((len(s.chain()) for s in inner), default=0) + 1):
+        here = [s for s in inner if len(s.chain()) == depth]
+        flags = {s: f"?{inner.index(s)}" for s in here}
+        out = out.withColumns({flag: F.coalesce(test(s), F.lit(False)) for s, flag in flags.items()})
+        out = _related(out, [(link, flags[s], name) for (s, link), name in links.items() if s in flags]).drop(*flags.values())
+
+    def hit(alternatives: tuple[Step, ...]) -> Column:
         found = F.lit(False)
         for top in alternatives:
-            test = top.local()
-            for s in top.chain()[1:]:
-                test = test & F.coalesce(F.col(f"^{outer.index(replace(s, within=None))}"), F.lit(False))
-            found = found | test
-        return is_el & found
+            found = found | F.coalesce(test(top), F.lit(False))
+        return found
 
     out = out.withColumns({name: hit(alternatives) for name, alternatives in compiled.items()})
-    return out.drop(*[f"@{n}" for n in names], *[f"^{i}" for i in range(len(outer))])
+    return out.drop(*[f"@{n}" for n in names], *links.values(), *extra)
 
 
 def select_elements(
-    pages: DataFrame, selectors: Mapping[str, tuple[str, str | None]], els: DataFrame | None = None
+    pages: DataFrame, selectors: Mapping[str, tuple[str | tuple[Step, ...], str | None]], els: DataFrame | None = None
 ) -> DataFrame:
-    """name -> (selector, attribute or None) evaluated together over one element table.
+    """name -> (selector or steps, attribute or None) evaluated together over one element table.
 
     Returns page_id, name, pos, value: the attribute, or the trimmed text; empty
     values are dropped.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import patterns as P
 from webquarry.functions import text as T
-from webquarry.functions.markup import css
+from webquarry.functions.markup import css, path
 from webquarry.functions.transforms import apply_transform
 from webquarry.operators import dom, pagetext, structured
 
@@ -152,44 +152,17 @@ class RuleSets:
 # ---- values by selector, path, pattern ----------------------------------------------------
 
 def xpath_select(pages: DataFrame, path: str, attribute: str | None = None, els: DataFrame | None = None) -> DataFrame:
-    """page_id, pos, value for paths of descendant steps: //tag, //*[@a="v" and @b], //tag[contains(@a,"v")], //a[not(@b)], ending in /@attr, /text() or not.
+    """page_id, pos, value of one path; see `paths_select`."""
+    return paths_select(pages, {"x": path}, attribute, els).drop("name")
 
-    Such paths say the same as selectors, so they run on the same element table.  ValueError for every other path.
+
+def paths_select(pages: DataFrame, paths: Mapping[str, str], attribute: str | None = None, els: DataFrame | None = None) -> DataFrame:
+    """page_id, name, pos, value for named XPaths, in the forms of `markup.path`; a path ends in /@attr, /text() or an element.
+
+    Paths are steps as selectors are, so they run on the same element table, all in one pass.  ValueError for forms not covered.
     """
-    selector, own = _path_to_selector(path)
-    return dom.select_elements(pages, {"x": (selector, attribute or own)}, els).select("page_id", "pos", "value")
-
-
-def _path_to_selector(path: str) -> tuple[str, str | None]:
-    own = None
-    whole = path
-    path = path.removesuffix("/text()")
-    match = re.match(r"(.*)/@([\w:-]+)$", path)
-    if match:
-        path, own = match.groups()
-    steps = []
-    if not path.startswith("//"):
-        raise ValueError(f"path form not covered: {whole!r}")
-    for step in path.split("//")[1:]:
-        m = re.match(r"^([\w*]+)((?:\[[^\]]*\])*)$", step)
-        if not m:
-            raise ValueError(f"path form not covered: {whole!r}")
-        out = "" if m[1] == "*" else m[1]
-        for test in (t for group in re.findall(r"\[([^\]]*)\]", m[2]) for t in re.split(r"""\s+and\s+(?=[^"']*(?:["'][^"']*["'][^"']*)*$)""", group)):
-            absent = re.match(r"^not\(\s*@([\w:-]+)\s*\)$", test)
-            if absent:
-                out += f":not([{absent[1]}])"
-                continue
-            eq = re.match(r"""^@([\w:-]+)(?:\s*=\s*["']([^"']*)["'])?$""", test)
-            has = re.match(r"""^contains\(\s*@([\w:-]+)\s*,\s*["']([^"']*)["']\s*\)$""", test)
-            if eq:
-                out += f'[{eq[1]}="{eq[2]}"]' if eq[2] is not None else f"[{eq[1]}]"
-            elif has:
-                out += f'[{has[1]}*="{has[2]}"]'
-            else:
-                raise ValueError(f"path form not covered: {whole!r}")
-        steps.append(out or "*")
-    return " ".join(steps), own
+    compiled = {name: path(text) for name, text in paths.items()}
+    return dom.select_elements(pages, {name: (steps, attribute or own) for name, (steps, own) in compiled.items()}, els)
 
 
 def distinct_matches(text: Column, pattern: str) -> Column:
@@ -236,8 +209,7 @@ def rule_extract(pages: DataFrame, sets: RuleSets | None = None, entity_types: S
     for i, (name, r) in enumerate(rules):
         if r.selector or r.xpath:
             try:
-                selector, own = (r.selector, None) if r.selector else _path_to_selector(r.xpath)
-                css(selector)
+                selector, own = (css(r.selector), None) if r.selector else path(r.xpath)
             except ValueError as broken:
                 warnings.warn(f"rule {name} is left out: {broken}", stacklevel=2)  # one broken rule does not stop the others
                 continue

@@ -82,6 +82,32 @@ def q_xpath_select(spark, sf):
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "value")
 
 
+#: Selectors and paths over parents, children and siblings.
+FORMS = {
+    "child": "ul > li > a", "next": "h1 + p, ul + p", "later": "nav ~ article p:first-of-type", "odd": "li:nth-child(2n+1)", "ends": "p:last-child, li:nth-last-of-type(-n+2)",
+    "only": "b:only-of-type, em:only-child", "nested": "body > :not(nav) > p:not(:first-of-type)", "deep": "body article p b",
+}
+PATHS = {
+    "second": "//nav/ul/li[2]/a", "last": "//p[last()]", "few": "//li[position() <= 2]", "up": "//h1/..", "top": "/html/head/title", "after": "//a[not(@class) and contains(@href, 'a')]/parent::li/following-sibling::li",
+    "around": "//li/ancestor::nav | //b/ancestor::article", "before": "//p[@class='k' or @id]/preceding-sibling::p[@class]",
+}
+
+
+def good_and_broken(spark, sf):
+    """The pages and, under negative ids, pages whose elements cross and stay open."""
+    return read(spark, sf, "pages").select("page_id", "html").unionByName(derive(spark, sf, "broken_pages").select((-1 - F.col("page_id")).alias("page_id"), "html"))
+
+
+def q_structural_select(spark, sf):
+    rows = dom.select_elements(good_and_broken(spark, sf), {name: (selector, None) for name, selector in FORMS.items()})
+    return rows.select("page_id", "name", F.col("pos").cast("long").alias("pos"), "value")
+
+
+def q_structural_paths(spark, sf):
+    rows = E.paths_select(good_and_broken(spark, sf), PATHS)
+    return rows.select("page_id", "name", F.col("pos").cast("long").alias("pos"), "value")
+
+
 def q_regex_select(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.posexplode(E.regex_select(F.col("text"), r"\b[a-z]{2}tion\b")).alias("pos", "value"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
@@ -232,7 +258,7 @@ def q_parse_replies(spark, sf):
 QUERIES = {
     "meta_tags": q_meta_tags, "open_graph": q_open_graph, "twitter_card": q_twitter_card, "json_ld": q_json_ld, "embedded_json": q_embedded_json,
     "microdata": q_microdata, "page_forms": q_page_forms, "csrf_token": q_csrf_token, "listing_cards": q_listing_cards, "cards_text": q_cards_text,
-    "select_elements": q_select_elements, "xpath_select": q_xpath_select, "regex_select": q_regex_select, "transforms": q_transforms, "parse_dates": q_parse_dates, "own_rules": q_own_rules,
+    "select_elements": q_select_elements, "xpath_select": q_xpath_select, "structural_select": q_structural_select, "structural_paths": q_structural_paths, "regex_select": q_regex_select, "transforms": q_transforms, "parse_dates": q_parse_dates, "own_rules": q_own_rules,
     "rule_extract": q_rule_extract, "rule_extract_pages": q_rule_extract_pages, "shape_entity": q_shape_entity, "dedup_entities": q_dedup_entities, "dedup_entities_all": q_dedup_entities_all,
     "validate_entities": q_validate_entities, "page_confidence": q_page_confidence, "pattern_entities": q_pattern_entities,
     "jsonld_entities": q_jsonld_entities, "microdata_entities": q_microdata_entities, "head_entities": q_head_entities,
@@ -315,6 +341,19 @@ cut as (select k.page_id, k.name, k.pos, {TEXT_OF} as v from pick k left join to
 menu as (select e.page_id, e.pos, {O.decode(O.attr('e.tok', 'href'))} as v from el e where e.tag = 'a'
     and exists (select 1 from el a where a.page_id = e.page_id and a.tag = 'nav' and a.pos < e.pos and e.pos < a.stop))"""
 HEADING = f"""{SEL}, firsts as (select page_id, v from cut where name = 'heading' and v <> '' qualify row_number() over (partition by page_id order by pos) = 1)"""
+# Parents by containment: of all earlier elements that reach over one, the latest.
+TREE = f"""{cte("broken_pages")}, both_pages as (select page_id, html from pages union all select -1 - page_id, html from broken_pages),
+{O.tokens_cte("both_pages")}, {O.elements_cte()},
+n as (select page_id, pos, tag, tok, stop, case when kind = 'void' then pos when closed then stop else stop - 1 end last from el),
+up as (select c.page_id, c.pos, max(a.pos) parent from n c left join n a on a.page_id = c.page_id and a.pos < c.pos and a.last >= c.pos group by 1, 2),
+tree as materialized (select n.*, parent, row_number() over s k, count(*) over (partition by page_id, parent) z, row_number() over t tk, count(*) over (partition by page_id, parent, tag) tz,
+  lag(tag) over s before from n join up using (page_id, pos) window s as (partition by page_id, parent order by pos), t as (partition by page_id, parent, tag order by pos)),
+kin as materialized (select e.*, p.tag ptag, p.pos ppos, p.parent gparent, g.tag gtag from tree e left join tree p on p.page_id = e.page_id and p.pos = e.parent left join tree g on g.page_id = e.page_id and g.pos = p.parent)"""
+KIN_TEXT = f"""cut as (select k.page_id, k.name, k.pos, {TEXT_OF} as v from pick k left join tok t on t.page_id = k.page_id and t.pos > k.pos and t.pos < k.stop group by 1, 2, 3)
+select page_id, name, pos::bigint as pos, v as value from cut where v <> ''"""
+INSIDE = "exists (select 1 from tree a where a.page_id = e.page_id and a.pos < e.pos and a.last >= e.pos and {})"
+AROUND = "exists (select 1 from tree d where d.page_id = e.page_id and d.pos > e.pos and d.pos <= e.last and {})"
+BESIDE = "exists (select 1 from {0} s where s.page_id = e.page_id and s.parent is not distinct from e.parent and {1})"
 REPLY = "case event_id % 5"
 ENTITY_EVENTS = """ee as (select event_id, user_id page_id, case event_type when 'click' then 'company' when 'view' then 'person' when 'error' then 'bogus' else 'custom' end as type,
  case when event_id % 10 <> 3 then (floor(value)::bigint % 5)::varchar end v, case when event_id % 4 <> 0 then (event_id % 100) / 100 end conf from events)"""
@@ -342,6 +381,26 @@ union all select p_partkey, '{PROD}', 'brand', {BRAND_ITEM} from part union all
     "select_elements": f"with {SEL} select page_id, name, pos::bigint as pos, v as value from cut where v <> '' union all "
     "select page_id, 'menu', pos, v from menu where v is not null",
     "xpath_select": f"with {SEL} select page_id, pos::bigint as pos, v as value from menu where v is not null",
+    "structural_select": f"""with {TREE}, pick as (
+select page_id, pos, stop, 'child' as name from kin where tag = 'a' and ptag = 'li' and gtag = 'ul'
+union all select page_id, pos, stop, 'next' from kin where tag = 'p' and before in ('h1', 'ul')
+union all select page_id, pos, stop, 'later' from kin e where tag = 'p' and tk = 1 and {INSIDE.format("a.tag = 'article' and exists (select 1 from tree s where s.page_id = a.page_id and s.parent is not distinct from a.parent and s.pos < a.pos and s.tag = 'nav')")}
+union all select page_id, pos, stop, 'odd' from kin where tag = 'li' and k % 2 = 1
+union all select page_id, pos, stop, 'ends' from kin where tag = 'p' and k = z or tag = 'li' and tz - tk < 2
+union all select page_id, pos, stop, 'only' from kin where tag = 'b' and tz = 1 or tag = 'em' and z = 1
+union all select page_id, pos, stop, 'nested' from kin where tag = 'p' and tk > 1 and ptag <> 'nav' and gtag = 'body'
+union all select page_id, pos, stop, 'deep' from kin e where tag = 'b' and {INSIDE.format("a.tag = 'p' and exists (select 1 from tree b where b.page_id = a.page_id and b.pos < a.pos and b.last >= a.pos and b.tag = 'article' and exists (select 1 from tree c where c.page_id = b.page_id and c.pos < b.pos and c.last >= b.pos and c.tag = 'body'))")}),
+{KIN_TEXT}""",
+    "structural_paths": f"""with {TREE}, pick as (
+select e.page_id, e.pos, e.stop, 'second' as name from kin e join kin l on l.page_id = e.page_id and l.pos = e.parent where e.tag = 'a' and l.tag = 'li' and l.tk = 2 and l.ptag = 'ul' and l.gtag = 'nav'
+union all select page_id, pos, stop, 'last' from kin where tag = 'p' and tk = tz
+union all select page_id, pos, stop, 'few' from kin where tag = 'li' and tk <= 2
+union all select distinct e.page_id, e.pos, e.stop, 'up' from kin e join kin h on h.page_id = e.page_id and h.parent = e.pos where h.tag = 'h1'
+union all select page_id, pos, stop, 'top' from kin where tag = 'title' and ptag = 'head' and gtag = 'html' and (page_id, gparent) in (select page_id, pos from kin where parent is null)
+union all select page_id, pos, stop, 'after' from kin e where tag = 'li' and {BESIDE.format("kin", f"s.tag = 'li' and s.pos < e.pos and exists (select 1 from kin x where x.page_id = s.page_id and x.parent = s.pos and x.tag = 'a' and {O.attr('x.tok', 'class')} is null and contains({O.attr('x.tok', 'href')}, 'a'))")}
+union all select page_id, pos, stop, 'around' from kin e where tag = 'nav' and {AROUND.format("d.tag = 'li'")} or tag = 'article' and {AROUND.format("d.tag = 'b'")}
+union all select page_id, pos, stop, 'before' from kin e where tag = 'p' and {O.attr('e.tok', 'class')} is not null and {BESIDE.format("kin", f"s.tag = 'p' and s.pos > e.pos and ({O.attr('s.tok', 'class')} = 'k' or {O.attr('s.tok', 'id')} is not null)")}),
+{KIN_TEXT}""",
     "regex_select": r"""with m as (select doc_id, list_distinct(regexp_extract_all(text, '(?i)\b[a-z]{2}tion\b')) d, regexp_extract_all(text, '(?i)\b[a-z]{2}tion\b') a from documents),
 u as (select doc_id, unnest(d) v, a from m), p as (select doc_id, v, list_position(a, v) k from u)
 select doc_id, row_number() over (partition by doc_id order by k) - 1 as pos, v as value from p""",
@@ -351,7 +410,7 @@ upper('<b>' || event_type || '</b> <i>x</i>') as upper, strftime(ts, '%Y-%m-%d')
     "parse_dates": """select event_id, strftime(case event_id % 8 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) - interval 150 minute when 2 then date_trunc('minute', ts)
 when 3 then date_trunc('second', ts) when 4 then date_trunc('day', ts) when 5 then date_trunc('second', ts) + interval 5 hour when 6 then date_trunc('minute', ts) + interval 5 hour end::timestamp,
 '%Y-%m-%dT%H:%M:%S.000Z') as date from events""",
-    "own_rules": f"with {HEADING} select page_id, 'article' as type, upper(trim(v)) || '!' as title, 0.6::double as confidence from firsts",
+    "own_rules": f"with {HEADING} select page_id, 'article' as type, upper(replace(trim(v), 'ß', 'SS')) || '!' as title, 0.6::double as confidence from firsts",
     "rule_extract": lit_rows(RULE_ROWS),
     "rule_extract_pages": f"""with {HEADING}, b as (select page_id, {BODY} txt from pages),
 c as (select page_id, lower(unnest(list_distinct(regexp_extract_all(txt, {O.q(plain("email", E.EMAIL))})))) v from b),
