@@ -91,3 +91,36 @@ def test_ttl(spark):
     reads = spark.createDataFrame([("a", at(4), 3), ("a", at(7), 4), ("a", at(8), 5), ("b", at(1), 6)], "key string, ts timestamp, id long")
     got = {r.id: (r.value, r.hit) for r in L.ttl_lookup(writes, reads).collect()}
     assert got == {3: ("x", True), 4: ("y", True), 5: (None, False), 6: (None, False)}
+
+
+@pytest.mark.parametrize(("every", "limit", "seed"), [(1, 3, 0), (7, 5, 1), (30, 2, 2), (13, 1, 3)])
+def test_unbroken_key_in_chunks(spark, every, limit, seed):
+    """A key without pauses, where walks from a wrong state agree late or early, equals one walk over all."""
+    from collections import deque
+
+    draw = random.Random(seed)
+    at, rows = 0, []
+    for i in range(3000):
+        at += draw.choice([0, 1, every, draw.randrange(2 * every + 1)])
+        rows.append((i, at))
+    rows += [(5000 + i, 10_000_000 + 61 * i) for i in range(5)]  # behind a pause, and pauses themselves
+    events = spark.createDataFrame(rows, "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts"))
+    times, want = deque(), {}
+    for i, s in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = L.admit(times, s * 10**6, 60 * 10**6, limit)
+    got = L.rate_limit_admitted(events.repartition(7), F.lit(None).cast("string"), window_seconds=60, limit=limit, chunk_seconds=300)
+    rows = got.collect()
+    assert {r.id: (r.allowed, r.remaining) for r in rows} == want and len(rows) == len(want) and {r.key for r in rows} == {None}
+
+
+def test_chunks_of_one_key_are_many_tasks(spark):
+    """Rows of one unbroken key are decided in many partitions."""
+    events = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3).alias("ts"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = L.rate_limit_admitted(events, F.lit("one"), window_seconds=60, limit=4, chunk_seconds=600)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) == 4 and max(sizes) < 10_000

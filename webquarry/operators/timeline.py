@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from webquarry.operators.skew import carried, micros
+from webquarry.session import cut_lineage
 
 WINDOW_SECONDS, MAX_REQUESTS = 60, 100
 RATE_BUCKETS = 10
@@ -71,32 +72,159 @@ def admit(times: deque, us: int, width: int, limit: int) -> tuple[bool, int]:
     return True, limit - len(times)
 
 
+def _alive(times: deque, us: int, width: int) -> list[int]:
+    """Admissions that still count for requests at `us` or later."""
+    return [t for t in times if t > us - width]
+
+
+_CHUNK = ("key", "piece", "chunk")
+NO_KEY = "\0"
+
+
+def _groups(batch: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
+    """(chunk, start, end) of the runs of rows of one chunk in a sorted batch."""
+    keys = batch[list(_CHUNK)]
+    cuts = np.flatnonzero(np.append(True, (keys.ne(keys.shift())).any(axis=1).to_numpy()[1:])) if len(batch) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
+        yield tuple(keys.iloc[a]), a, b
+
+
+def _guessed(width: int, limit: int, size: int):
+    """Walks every chunk from the rows that lead up to it: with which admissions it was entered, and which it leaves behind."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, times, enter = None, deque(), None
+
+        def closed() -> pd.DataFrame:
+            end = current[1] + (current[2] + 1) * size
+            return pd.DataFrame({"key": [current[0]], "piece": [current[1]], "chunk": [current[2]], "enter": [enter], "exit": [_alive(times, end, width)]})
+
+        for batch in batches:
+            us, own = batch["us"].to_numpy(), ~batch["context"].to_numpy(bool)
+            for chunk, a, b in _groups(batch):
+                if chunk != current:
+                    if enter is not None:
+                        yield closed()
+                    current, times, enter = chunk, deque(), None
+                for i in range(a, b):
+                    if own[i] and enter is None:
+                        enter = _alive(times, chunk[1] + chunk[2] * size, width)
+                    admit(times, int(us[i]), width, limit)
+        if enter is not None:
+            yield closed()
+
+    return walk
+
+
+def _corrected(width: int, limit: int, size: int):
+    """Walks chunks again from the admissions they are really entered with, beside the earlier walk and only until both agree."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, now, then, left, agreed = None, deque(), deque(), [], False
+
+        def closed() -> pd.DataFrame:
+            end = current[1] + (current[2] + 1) * size
+            return pd.DataFrame({"key": [current[0]], "piece": [current[1]], "chunk": [current[2]], "exit": [left if agreed else _alive(now, end, width)]})
+
+        for batch in batches:
+            us = batch["us"].to_numpy()
+            for chunk, a, b in _groups(batch):
+                if chunk != current:
+                    if current is not None:
+                        yield closed()
+                    current, agreed = chunk, False  # the first row of a chunk brings its states
+                    now, then, left = deque(batch["due"].iloc[a]), deque(batch["enter"].iloc[a]), list(batch["exit"].iloc[a])
+                    a += 1
+                for i in range(a, b if not agreed else a):
+                    admit(now, int(us[i]), width, limit)
+                    admit(then, int(us[i]), width, limit)
+                    if now == then:
+                        agreed = True
+                        break
+        if current is not None:
+            yield closed()
+
+    return walk
+
+
+def _decided(width: int, limit: int):
+    """Decisions of every chunk, walked from the admissions that its first row brings, where it does."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, times = None, deque()
+        for batch in batches:
+            allowed, left = np.empty(len(batch), bool), np.empty(len(batch), np.int64)
+            us, asks = batch["us"].to_numpy(), batch["asks"].to_numpy(bool)
+            for chunk, a, b in _groups(batch):
+                if chunk != current:
+                    current, times = chunk, deque()
+                for i in range(a, b):
+                    if asks[i]:
+                        allowed[i], left[i] = admit(times, int(us[i]), width, limit)
+                    else:
+                        times = deque(batch["enter"].iloc[i])
+            out = pd.DataFrame({"id": batch["id"], "key": batch["key"], "ts": batch["ts"], "allowed": allowed, "remaining": left})
+            yield out[asks]
+
+    return walk
+
+
+def _boundaries(line: DataFrame, width: int, limit: int, size: int, context: int) -> DataFrame:
+    """key, piece, chunk, enter: the admissions that count at the start of every chunk.
+
+    All chunks are walked side by side, each with the requests of some windows before it, from an empty state; mostly that
+    ends in the true state.  Where a chunk was not entered as the one before it was left, it is walked again from there, until
+    the two walks agree; a chunk that is left differently then concerns the next one, until nothing changes.  That
+    takes one round where walks agree within a chunk, and never more rounds than a piece has chunks.
+    """
+    at = F.col("us") - F.col("piece")
+    own = F.struct("chunk", F.lit(False).alias("context"))
+    ahead = F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("context"))
+    lead = F.when(at >= (F.col("chunk") + 1) * size - context, F.array(own, ahead)).otherwise(F.array(own))
+    rows = line.select("key", "piece", "us", "id", F.explode(lead).alias("p")).select("key", "piece", "us", "id", "p.*")
+    rows = rows.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "us", "id").select(*_CHUNK, "us", "context")
+    kind = "key string, piece long, chunk long"
+    states = cut_lineage(rows.mapInPandas(_guessed(width, limit, size), f"{kind}, enter array<long>, exit array<long>"))
+    while True:
+        left = states.select("key", "piece", (F.col("chunk") + 1).alias("chunk"), F.col("exit").alias("due"))
+        wrong = cut_lineage(states.join(left, list(_CHUNK)).where("due <> enter"))
+        if wrong.isEmpty():
+            return states.select(*_CHUNK, "enter")
+        again = line.join(wrong.select(*_CHUNK), list(_CHUNK), "left_semi").select(*_CHUNK, "us", "id", F.lit(1).alias("side"))
+        heads = wrong.withColumns({"side": F.lit(0), "us": F.lit(0).cast("long"), "id": F.lit(0).cast("long")})
+        both = again.unionByName(heads, allowMissingColumns=True).repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "side", "us", "id")
+        fixed = both.select(*_CHUNK, "us", "due", "enter", "exit").mapInPandas(_corrected(width, limit, size), f"{kind}, exit array<long>")
+        fixed = fixed.withColumnRenamed("exit", "now").join(wrong.select(*_CHUNK, "due"), list(_CHUNK))
+        states = cut_lineage(states.join(fixed, list(_CHUNK), "left").select(*_CHUNK, F.coalesce("due", "enter").alias("enter"), F.coalesce("now", "exit").alias("exit")))
+
+
 def rate_limit_admitted(
-    events: DataFrame, key: Column, window_seconds: int = WINDOW_SECONDS, limit: int = MAX_REQUESTS, id_col: str = "event_id",
+    events: DataFrame, key: Column, window_seconds: int = WINDOW_SECONDS, limit: int = MAX_REQUESTS, id_col: str = "event_id", chunk_seconds: int | None = None,
 ) -> DataFrame:
     """id, key, ts, allowed, remaining when refused requests do not count.
 
-    After a gap of one window nothing is remembered, so a key's pieces between gaps are
-    independent tasks.  Rows of a piece stream through in order; the memory is the
-    `limit` latest admissions.
+    After a gap of one window nothing is remembered, so a key's pieces between gaps are independent.  A piece longer than
+    `chunk_seconds` (64 windows if not given) is cut into chunks of that length, whose states at the start are found by
+    `_boundaries`; so a key that never pauses is as many tasks as it has chunks.  Rows of a chunk stream through in order; the
+    memory is the `limit` latest admissions.  Requests without a key share one limit; those without a time are left out.
     """
     width = window_seconds * SECOND
-    rows = events.select(F.col(id_col).cast("long").alias("id"), key.cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
+    size = max(chunk_seconds or 64 * window_seconds, 2 * window_seconds) * SECOND
+    rows = events.select(F.col(id_col).cast("long").alias("id"), F.coalesce(key.cast("string"), F.lit(NO_KEY)).alias("key"), F.col("ts").cast("timestamp").alias("ts"),
                          micros(F.col("ts")).alias("us"))
-    cut = pieces(rows, "key", width, ["us", "id"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, deque()
-        for batch in batches:
-            allowed, left = np.empty(len(batch), bool), np.empty(len(batch), np.int64)
-            for i, (k, piece, us) in enumerate(zip(batch["key"], batch["piece"], batch["us"])):
-                if (k, piece) != current:
-                    current, times = (k, piece), deque()
-                allowed[i], left[i] = admit(times, us, width, limit)
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "ts": batch["ts"], "allowed": allowed, "remaining": left})
-
-    sorted_pieces = cut.repartition("key", "piece").sortWithinPartitions("key", "piece", "us", "id")
-    return sorted_pieces.mapInPandas(walk, "id long, key string, ts timestamp, allowed boolean, remaining long")
+    cut = pieces(rows.where("us IS NOT NULL"), "key", width, ["us", "id"])
+    line = cut_lineage(cut.withColumn("chunk", F.floor((F.col("us") - F.col("piece")) / size)))
+    asks = line.select(*_CHUNK, "us", "id", "ts", F.lit(True).alias("asks"))
+    long_pieces = line.where("chunk > 0").select("key", "piece").distinct()
+    if not long_pieces.isEmpty():
+        starts = _boundaries(line.join(long_pieces, ["key", "piece"], "left_semi"), width, limit, size, min(8 * width, size))
+        heads = starts.withColumns({"asks": F.lit(False), "us": F.lit(0).cast("long"), "id": F.lit(0).cast("long")})
+        asks = asks.unionByName(heads, allowMissingColumns=True)
+    else:
+        asks = asks.withColumn("enter", F.lit(None).cast("array<long>"))
+    sorted_chunks = asks.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "asks", "us", "id")
+    out = sorted_chunks.mapInPandas(_decided(width, limit), "id long, key string, ts timestamp, allowed boolean, remaining long")
+    return out.withColumn("key", F.nullif("key", F.lit(NO_KEY)))
 
 
 def limit_report(decisions: DataFrame, period: str = "1 day") -> DataFrame:

@@ -27,6 +27,12 @@ def q_rate_limit_admitted(spark, sf):
     return out.select("id", "key", F.col("allowed").cast("int").alias("allowed"), "remaining")
 
 
+def q_rate_limit_unbroken(spark, sf):
+    """Two keys that never pause, in chunks of a few days."""
+    out = L.rate_limit_admitted(read(spark, sf, "events"), F.col("event_id") % 2, window_seconds=12 * 3600, limit=5, chunk_seconds=2 * 86400)
+    return out.select("id", "key", F.col("allowed").cast("int").alias("allowed"), "remaining")
+
+
 def q_limit_report(spark, sf):
     out = L.limit_report(keyed_limits(spark, sf))
     return out.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd"))
@@ -151,7 +157,7 @@ def q_ttl_stream(spark, sf):
 
 
 QUERIES = {
-    "rate_limit_all": q_rate_limit_all, "rate_limit_admitted": q_rate_limit_admitted, "limit_report": q_limit_report, "error_rate": q_error_rate,
+    "rate_limit_all": q_rate_limit_all, "rate_limit_admitted": q_rate_limit_admitted, "rate_limit_unbroken": q_rate_limit_unbroken, "limit_report": q_limit_report, "error_rate": q_error_rate,
     "source_health": q_source_health, "source_summary": q_source_summary,
     "source_ranking": q_source_ranking, "source_weights": q_source_weights, "round_robin": q_round_robin, "progress_latest": q_progress_latest,
     "action_counts": q_action_counts, "ttl_lookup": q_ttl_lookup, "rate_limit_stream": q_rate_limit_stream, 
@@ -162,15 +168,19 @@ QUERIES = {
 
 ALL = """rl as (select event_id id, (user_id % 10)::varchar as key, ts, count(*) over (partition by user_id % 10 order by ts range between interval '21599.999999' second preceding and current row)
    - count(*) over (partition by user_id % 10, ts) + row_number() over (partition by user_id % 10, ts order by event_id) seen from events)"""
-ADMITTED = """with recursive n as (select event_id id, user_id % 10 k, epoch_us(ts) us, row_number() over (partition by user_id % 10 order by ts, event_id) rn from events),
+def admitted(key, window_us, limit):
+    """One request after the other, with the admissions that count."""
+    alive = f"list_filter(st.keep, lambda t: t > n.us - {window_us})"
+    return f"""with recursive n as (select event_id id, {key} k, epoch_us(ts) us, row_number() over (partition by {key} order by ts, event_id) rn from events),
 st(k, rn, id, ok, keep) as (
   select k, rn, id, true, [us] from n where rn = 1
   union all
-  select n.k, n.rn, n.id, len(list_filter(st.keep, lambda t: t > n.us - 21600000000)) < 3,
-     case when len(list_filter(st.keep, lambda t: t > n.us - 21600000000)) < 3 then list_append(list_filter(st.keep, lambda t: t > n.us - 21600000000), n.us)
-          else list_filter(st.keep, lambda t: t > n.us - 21600000000) end
+  select n.k, n.rn, n.id, len({alive}) < {limit}, case when len({alive}) < {limit} then list_append({alive}, n.us) else {alive} end
   from st join n on n.k = st.k and n.rn = st.rn + 1)
-select id, k::varchar as key, ok::int as allowed, case when ok then 3 - len(keep) else 0 end::bigint as remaining from st"""
+select id, k::varchar as key, ok::int as allowed, case when ok then {limit} - len(keep) else 0 end::bigint as remaining from st"""
+
+
+ADMITTED = admitted("user_id % 10", 21600000000, 3)
 OUT = "oc as (select event_id id, 's' || (user_id % 12) source, ts, event_type not in ('error', 'signup') ok, value ms from events)"
 HEALTH = f"""{OUT}, g as (select *, sum(ok::int) over (partition by source order by ts, id) grp from oc),
 r as (select *, case when ok then 0 else count(*) filter (where not ok) over (partition by source, grp order by ts, id) end run from g),
@@ -184,7 +194,7 @@ select r.event_id as id, r.k as key, case when r.ts < w.ts + interval 4 hour the
 from r asof left join w on r.k = w.k and r.ts >= w.ts"""
 ORACLE = {
     "rate_limit_all": f"with {ALL} select id, key, seen, (seen <= 8)::int as allowed, greatest(0, 8 - seen) as remaining from rl",
-    "rate_limit_admitted": ADMITTED,
+    "rate_limit_admitted": ADMITTED, "rate_limit_unbroken": admitted("event_id % 2", 43200000000, 5),
     "limit_report": f"with {ALL} select strftime(date_trunc('day', ts), '%Y-%m-%d') as period_start, count(*) as total, count(*) filter (where seen > 8) as refused, count(distinct key) as active_keys from rl group by 1",
     "error_rate": f"""with {OUT}, x as (select source, ok, time_bucket(interval 1 hour, ts) - unnest(range(6)) * interval 1 hour ws from oc)
 select source, epoch(ws)::bigint as window_start, count(*) as requests, count(*) filter (where not ok) as failures, round(count(*) filter (where not ok) * 100 / count(*), 6) as error_percent from x group by 1, 2""",
