@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.operators.skew import carried, micros
+from webquarry.operators.skew import carried, micros, ranked
+from webquarry.session import cut_lineage
 
 TTL_SECONDS, SESSION_REUSE_SECONDS = 3600, 300
+#: Rows that a top-n may put through one task; beyond, rows are ranked by ranges of the order.
+ONE_TASK = 10_000
 CACHE_MODES = ("enabled", "disabled", "bypass", "read_only")
 
 
 def jobs_page(jobs: DataFrame, user: object, status: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
-    """One page of a user's jobs, newest first, with the total in `total`.  A bounded top-n, not a full sort."""
+    """One page of a user's jobs, newest first, with the total in `total`.
+
+    A bounded top-n for the first pages; pages far down are cut from ranks, as a top-n would put all pages before through one task.
+    """
     mine = jobs.filter(F.col("user_id") == F.lit(user))
     if status is not None:
         mine = mine.filter(F.col("status") == status)
     total = mine.agg(F.count("*")).scalar()
-    ordered = mine.orderBy(F.desc("created_at"), F.desc("job_id")).offset((page - 1) * limit).limit(limit)
-    return ordered.withColumn("total", total)
+    order, start = [F.desc("created_at"), F.desc("job_id")], (page - 1) * limit
+    return first_rows(mine, order, start + limit, start).withColumn("total", total)
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int, start: int = 0) -> DataFrame:
+    """The rows from place `start` up to place `n` of a unique order: a top-n while that is bounded, by ranks beyond."""
+    if n <= ONE_TASK:
+        return rows.orderBy(*order).offset(start).limit(n - start)
+    return ranked(rows, order, "__rank").where((F.col("__rank") >= start) & (F.col("__rank") < n)).drop("__rank")
 
 
 def jobs_by_session(jobs: DataFrame, session: object) -> DataFrame:
@@ -116,15 +129,37 @@ def drop_expired(rows: DataFrame, now: Column, expires: Column) -> DataFrame:
     return rows.filter(expires.isNull() | (now < expires))
 
 
+def purge_store(spark: SparkSession, path: str, now: Column, expires: str, part: str) -> DataFrame:
+    """Rewrites a store, partitioned by `part`, without its expired rows; returns part, expired, kept of the partitions touched.
+
+    The least expiry of each partition tells which hold expired rows.  Only those are read whole and replaced, by a dynamic partition
+    overwrite from a table in the shared folder; those with nothing left are removed.  The others keep their files, and a
+    run that is repeated after a failure ends in the same store.
+    """
+    rows = spark.read.parquet(path)
+    gone = F.coalesce(now >= F.col(expires), F.lit(False))
+    least = rows.groupBy(part).agg(F.min(expires).alias("least"))
+    touched = [r[0] for r in least.where(now >= F.col("least")).select(part).collect()]  # one value for each partition
+    inside = rows.where(F.col(part).isin(touched))
+    report = cut_lineage(inside.groupBy(part).agg(F.count_if(gone).alias("expired"), F.count_if(~gone).alias("kept")))
+    kept = cut_lineage(inside.where(~gone))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    for r in report.where("kept = 0").collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={r[0]}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
+    return report
+
+
 def count_expired(rows: DataFrame, now: Column, expires: Column) -> DataFrame:
     gone = expires.isNotNull() & (now >= expires)
     return rows.agg(F.count_if(gone).alias("expired"), F.count_if(~gone).alias("kept"))
 
 
 def keep_recent_keys(accesses: DataFrame, n: int, policy: str = "lru") -> DataFrame:
-    """key, ts of the n keys that stay: latest access (lru) or latest insertion (fifo).  One aggregate and a bounded top-n."""
+    """key, ts of the n keys that stay: latest access (lru) or latest insertion (fifo).  One aggregate, and ranks by ranges for large n."""
     last = F.max("ts") if policy == "lru" else F.min("ts")
-    return accesses.groupBy("key").agg(last.alias("ts")).orderBy(F.desc("ts"), "key").limit(n)
+    return first_rows(accesses.groupBy("key").agg(last.alias("ts")), [F.desc("ts"), F.asc("key")], n)
 
 
 # ---- conversations ------------------------------------------------------------------------

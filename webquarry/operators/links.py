@@ -12,6 +12,7 @@ from webquarry.functions import patterns as P
 from webquarry.functions import text as T
 from webquarry.functions import urls as U
 from webquarry.functions.markup import attr
+from webquarry.operators.jobs import first_rows
 from webquarry.operators import dom
 from webquarry.session import cut_lineage
 
@@ -219,7 +220,7 @@ def crawl_frontier(
     keeps one parent per new URL by aggregate and drops known URLs by anti join; its
     result is written to the shared checkpoint folder, so a lost executor repeats one
     round only.  `max_pages` counts pages in breadth-first order (depth, then priority,
-    then URL).
+    then URL): the walk ends in the round that reaches it, and only that round's pages are ordered.
     """
     links = cut_lineage(
         edges.select("src", "dst", F.coalesce("priority", F.lit(0)).cast("long").alias("priority"))
@@ -230,6 +231,12 @@ def crawl_frontier(
             F.lit(0).cast("long").alias("priority"),
         )
     )
+    order = [F.desc("priority"), F.asc("url")]
+    left = max_pages
+    if left is not None:
+        if (n := level.count()) >= left:
+            return first_rows(level, order, left)
+        left -= n
     known = level
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = (
@@ -244,9 +251,11 @@ def crawl_frontier(
         level = cut_lineage(found.join(known.select("url"), "url", "left_anti"))
         if level.isEmpty():
             break
+        if left is not None:
+            if (n := level.count()) >= left:
+                return known.unionByName(first_rows(level, order, left))
+            left -= n
         known = known.unionByName(level)
-    if max_pages is not None:
-        known = known.orderBy("depth", F.desc("priority"), "url").limit(max_pages)
     return known
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
-from webquarry.operators.skew import salted_lookup
+from webquarry.operators.skew import ranked, salted_lookup
 
 # English function words that are no terms.
 STOPWORDS = (
@@ -44,14 +44,18 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def vocabulary(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """term, first_doc, first_pos: distinct terms with where each is seen first.
 
-    Sorting by (first_doc, first_pos) gives first-seen order; a dense index over the
-    whole vocabulary would need all terms in one task, so the place is the index.
+    Sorting by (first_doc, first_pos) gives first-seen order; `indexed_vocabulary` numbers it.
     """
     return terms.groupBy("term").agg(F.min(F.struct(key, "pos")).alias("f")).select(
         "term", F.col(f"f.{key}").alias("first_doc"), F.col("f.pos").alias("first_pos")
     )
 
 
+def indexed_vocabulary(terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """term, index: a dense number from 0 on for every distinct term, in the order in which terms are first seen."""
+    return ranked(vocabulary(terms, key), [F.col("first_doc"), F.col("first_pos")], "index").select("term", "index")
+
+
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, n, tf: count over document length (in terms).
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from webquarry.session import cut_lineage
+
 SALTS = 16
 
 
@@ -68,3 +70,21 @@ def carried(
         *[F.coalesce(f"__l_{n}", f"__cl_{n}").alias(n) for n in last],
         *[(F.coalesce(f"__s_{n}", F.lit(0)) + F.coalesce(f"__cs_{n}", F.lit(0))).alias(n) for n in sums],
     )
+
+
+def ranked(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Adds `name`, the place of every row from 0 on in the given order, which must be unique.
+
+    Rows are dealt to ranges of the order and sorted there; a row's place is its place in its range plus the rows of the
+    ranges before.  So no task sees more than a range, and what meets is one count for each range.
+    """
+    at = F.monotonically_increasing_id()  # the number of the range and the place in it
+    laid = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", at.alias("__at")))
+    part = F.shiftright("__at", 33)
+    before, offsets = 0, []
+    for own, n in sorted(laid.groupBy(part.alias("part")).count().collect()):  # one row for each range
+        offsets.append((own, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    placed = laid.withColumn("__part", part).join(F.broadcast(starts), "__part")  # as small as the number of ranges
+    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__before")

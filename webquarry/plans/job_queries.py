@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from webquarry.operators import jobs as J
 from webquarry.operators import selection as G
 from webquarry.oracles import sql as O
 from webquarry.plans.derived import cte, derive, read
+from webquarry.session import checkpoint_dir
 
 TIERS = "http cheerio jina smart browser".split()
 
@@ -166,6 +169,27 @@ def q_purge_expired(spark, sf):
     return kept
 
 
+def q_purge_store(spark, sf):
+    """The store after the expired rows are gone: rows by day and type."""
+    path = f"{checkpoint_dir(spark)}/webquarry/expiring-{uuid.uuid4().hex}"
+    rows = read(spark, sf, "events").withColumn("expires_at", F.when(F.col("event_type") != "view", F.col("ts") + F.expr("interval '1' day")))
+    rows.withColumn("day", F.date_format("ts", "yyyyMMdd").cast("int")).write.partitionBy("day").parquet(path)
+    J.purge_store(spark, path, F.expr(NOW), "expires_at", "day")
+    return spark.read.parquet(path).groupBy("day", "event_type").agg(F.count("*").alias("rows"))
+
+
+def q_keep_lru_half(spark, sf):
+    """Half of very many keys, more than a top-n should put through one task."""
+    keys = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_shipdate").alias("ts"))
+    return J.keep_recent_keys(keys, keys.select("key").distinct().count() // 2)
+
+
+def q_jobs_page_deep(spark, sf):
+    """A page behind two thirds of the jobs of all users together."""
+    rows = jobs(spark, sf).withColumn("user_id", F.lit(1))
+    return J.jobs_page(rows, 1, page=2 * rows.count() // 3 // 50 + 1, limit=50).select("job_id", "status", "created_at", "total")
+
+
 def q_count_expired(spark, sf):
     return J.count_expired(read(spark, sf, "events"), F.expr(NOW), F.col("ts") + F.expr("interval '1' day"))
 
@@ -197,7 +221,7 @@ QUERIES = {
     "conversation_intent": q_conversation_intent, "classify_errors": q_classify_errors, "retry_delay": q_retry_delay,
     "fetch_stats": q_fetch_stats, "fetch_histograms": q_fetch_histograms, "jobs_page": q_jobs_page, "jobs_by_session": q_jobs_by_session,
     "recent_jobs": q_recent_jobs, "job_statistics": q_job_statistics, "user_job_statistics": q_user_job_statistics, "job_state": q_job_state,
-    "fresh_or_recompute": q_fresh_or_recompute, "session_reuse": q_session_reuse, "cache_key": q_cache_key, "purge_expired": q_purge_expired,
+    "fresh_or_recompute": q_fresh_or_recompute, "session_reuse": q_session_reuse, "cache_key": q_cache_key, "purge_expired": q_purge_expired, "purge_store": q_purge_store, "keep_lru_half": q_keep_lru_half, "jobs_page_deep": q_jobs_page_deep,
     "count_expired": q_count_expired, "keep_lru": q_keep_lru, "keep_fifo": q_keep_fifo, "conversation_history": q_conversation_history,
     "chat_context": q_chat_context,
 }
@@ -273,6 +297,9 @@ r as (select q.event_id, arg_max(struct_pack(id := d.event_id, t := d.ts), d.ts)
 select event_id as request_id, case when qts - b.t < interval 3 day then b.id end as job_id from r""",
     "cache_key": "select doc_id, 'scrape:http://x/' || doc_id || ':' || lang || ':' || case when doc_id % 3 = 0 or text = '' then 'default' else sha256(text)[1:8] end as key from documents",
     "purge_expired": f"select event_type, count(*) as kept from events where event_type = 'view' or {NOW} < ts + interval 1 day group by 1",
+    "purge_store": f"select strftime(ts, '%Y%m%d')::int as day, event_type, count(*) as rows from events where event_type = 'view' or {NOW} < ts + interval 1 day group by 1, 2",
+    "keep_lru_half": "with k as (select l_orderkey * 10 + l_linenumber as key, max(l_shipdate) as ts from lineitem group by 1) select key, ts from k qualify row_number() over (order by ts desc, key) <= (select count(*) // 2 from k)",
+    "jobs_page_deep": f"with {JOBS} select job_id, status, created_at, count(*) over () as total from jb qualify (row_number() over (order by created_at desc, job_id desc) - 1) // 50 = 2 * count(*) over () // 3 // 50",
     "count_expired": f"select count(*) filter (where {NOW} >= ts + interval 1 day) as expired, count(*) filter (where {NOW} < ts + interval 1 day) as kept from events",
     "keep_lru": "select event_id % 333 as key, max(ts) as ts from events group by 1 order by 2 desc, 1 limit 40",
     "keep_fifo": "select event_id % 333 as key, min(ts) as ts from events group by 1 order by 2 desc, 1 limit 40",

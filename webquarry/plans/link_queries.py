@@ -126,6 +126,12 @@ def q_crawl_frontier(spark, sf):
     return L.crawl_frontier(seeds, shop_edges(spark, sf))
 
 
+def q_crawl_budget(spark, sf):
+    """A budget that ends the walk within its third round."""
+    seeds = read(spark, sf, "region").select(F.concat(F.lit("/r/"), "r_regionkey").alias("url"))
+    return L.crawl_frontier(seeds, shop_edges(spark, sf), max_pages=60 + read(spark, sf, "supplier").count())
+
+
 def q_page_crawl(spark, sf):
     pages = read(spark, sf, "pages")
     seeds = U.with_normalized(pages.select("url"), F.col("url"), "n").select(F.col("n").alias("url"))
@@ -154,7 +160,7 @@ QUERIES = {
     "page_links": q_page_links, "link_priority": q_link_priority, "link_task_relevance": q_link_task_relevance, "link_task_relevance_all": q_link_task_relevance_all,
     "filter_links": q_filter_links, "frame_links": q_frame_links, "ajax_endpoints": q_ajax_endpoints,
     "endpoint_candidates": q_endpoint_candidates, "detail_links": q_detail_links, "page_triggers": q_page_triggers,
-    "url_dedup": q_url_dedup, "url_dedup_stats": q_url_dedup_stats, "crawl_frontier": q_crawl_frontier,
+    "url_dedup": q_url_dedup, "url_dedup_stats": q_url_dedup_stats, "crawl_frontier": q_crawl_frontier, "crawl_budget": q_crawl_budget,
     "page_crawl": q_page_crawl, "crawl_stats": q_crawl_stats, "tracker_urls": q_tracker_urls,
 }
 
@@ -271,6 +277,10 @@ union all select c_custkey, 'control', 'button', 'Go & load', 1 from customer un
 union all select c_custkey, 'tab', 'a', 'Tab ' || c_nationkey, 1 from customer union all select c_custkey, 'tab', 'li', 'Second', 1 from customer""",
     "url_dedup": f"select {PAGE_NORM} as norm_url, min(page_id) as page_id, arg_min(url, page_id) as url, count(*) as copies from pages group by 1",
     "url_dedup_stats": f"select count(distinct n) as total, count(*) - count(distinct n) as duplicates from (select {NORM} n from events)",
+    "crawl_budget": f"""with {EDGES} select * from (select u as url, 0 as depth, null as parent_url, 0 as priority from l0
+union all select u, 1, src, p from l1 union all select u, 2, src, p from l2 union all select u, 3, src, p from l3
+union all select u, 4, src, p from l4 union all select u, 5, src, p from l5)
+order by depth, priority desc, url limit 60 + (select count(*) from supplier)""",
     "crawl_frontier": f"""with {EDGES} select u as url, 0 as depth, null as parent_url, 0 as priority from l0
 union all select u, 1, src, p from l1 union all select u, 2, src, p from l2 union all select u, 3, src, p from l3
 union all select u, 4, src, p from l4 union all select u, 5, src, p from l5""",

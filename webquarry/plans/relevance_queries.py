@@ -27,6 +27,10 @@ def q_vocabulary(spark, sf):
     return R.vocabulary(R.tokens(docs(spark, sf))).withColumn("first_pos", F.col("first_pos").cast("long"))
 
 
+def q_vocabulary_index(spark, sf):
+    return R.indexed_vocabulary(R.tokens(docs(spark, sf)))
+
+
 def q_tf(spark, sf):
     return R.term_frequencies(docs(spark, sf)).withColumn("tf", F.round("tf", 9))
 
@@ -86,7 +90,7 @@ def q_all_entities(spark, sf):
 
 
 QUERIES = {
-    "tokens": q_tokens, "vocabulary": q_vocabulary, "tf": q_tf, "idf": q_idf, "tfidf": q_tfidf, "cosine_query": q_cosine_query,
+    "tokens": q_tokens, "vocabulary": q_vocabulary, "vocabulary_index": q_vocabulary_index, "tf": q_tf, "idf": q_idf, "tfidf": q_tfidf, "cosine_query": q_cosine_query,
     "vector_ops": q_vector_ops, "sentences": q_sentences, "paragraphs": q_paragraphs, "top_segments": q_top_segments,
     "relevant_entities": q_relevant_entities, "all_entities": q_all_entities,
 }
@@ -145,6 +149,9 @@ ORACLE = {
     "tokens": f"with a as (select doc_id, {terms('text')} ts from documents) select doc_id, generate_subscripts(ts, 1) - 1 as pos, unnest(ts) as term from a",
     "vocabulary": f"""with a as (select doc_id, {terms('text')} ts from documents), t as (select doc_id, generate_subscripts(ts, 1) - 1 pos, unnest(ts) term from a)
 select term, doc_id as first_doc, pos as first_pos from t qualify row_number() over (partition by term order by doc_id, pos) = 1""",
+    "vocabulary_index": f"""with a as (select doc_id, {terms('text')} ts from documents), t as (select doc_id, generate_subscripts(ts, 1) - 1 pos, unnest(ts) term from a),
+f as (select term, doc_id, pos from t qualify row_number() over (partition by term order by doc_id, pos) = 1)
+select term, row_number() over (order by doc_id, pos) - 1 as index from f""",
     "tf": f"with {TF} select doc_id, term, n, round(tf, 9) as tf from tf",
     "idf": f"with {TF} select term, df, round(idf, 9) as idf from idf",
     "tfidf": f"with {TF} select doc_id, term, round(tf * idf, 9) as weight from tf join idf using (term)",

@@ -105,27 +105,40 @@ def q_ttl_lookup(spark, sf):
 
 # ---- streams ------------------------------------------------------------------------------
 
-#: Longer than the tables' span of time, as their rows come in any order.
-WHOLE_SPAN = "5000 days"
+#: How long a row is under way at most; the watermark waits as long.
+LATENESS = 6 * 3600
+LATE = f"{LATENESS} seconds"
 END = "timestamp '2100-01-01 00:00:00'"
 
 
-def stream(spark, sf, table="events", end="ts", parts=3):
-    """The table in shuffled parts, each of as many files as the table has partitions, a trigger about one part; with `end`, a row far in the future follows."""
+def stream(spark, sf, table="events", end="ts", parts=6, lateness=LATENESS):
+    """The table in the order in which its rows come in: each a while after its time `ts`, given by a hash of its key, and `lateness` seconds at most.
+
+    It comes in `parts` slices of that order, a trigger each, of as many files as the table has partitions; with `end`, a row far in the
+    future follows, which tells the end.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
     rows = read(spark, sf, table)
+    return laid_out(rows, rows.columns[0], parts, lateness, end)
+
+
+def laid_out(rows, key, parts, lateness, end="ts"):
+    spark = rows.sparkSession
     folder = f"{checkpoint_dir(spark)}/webquarry/input-{uuid.uuid4().hex}"
-    key, files = rows.columns[0], max(1, rows.rdd.getNumPartitions())
-    for part in range(parts):
-        rows.filter(F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)) == part).repartition(files, F.xxhash64(key)).write.mode("append").parquet(f"{folder}/{part}")
+    files = max(1, rows.rdd.getNumPartitions())
+    comes = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64(F.lit("late"), key), F.lit(lateness * 1_000_000 + 1))
+    first, last = rows.agg(F.min(comes), F.max(comes)).first()
+    part = F.coalesce(F.least(F.floor((comes - (first or 0)) * parts / ((last or 0) - (first or 0) + 1)), F.lit(parts - 1)), F.lit(0))
+    for k in range(parts):  # one after the other, as a stream takes older files first
+        rows.where(part == k).repartition(files, F.xxhash64(key)).write.mode("append").parquet(f"{folder}/{k}")
     if end:
-        last = rows.select(*[F.expr(END).cast(f.dataType).alias(f.name) if f.name == end else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
-        last.limit(1).coalesce(1).write.parquet(f"{folder}/{parts}")
+        marker = rows.select(*[F.expr(END).cast(f.dataType).alias(f.name) if f.name == end else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        marker.limit(1).coalesce(1).write.parquet(f"{folder}/{parts}")
     return S.read_stream(spark, f"{folder}/*", rows, files_per_trigger=files)
 
 
 def q_rate_limit_stream(spark, sf):
-    out = S.run_to_table(S.rate_limit_stream(stream(spark, sf), F.col("user_id") % 10, window_seconds=6 * 3600, limit=3, watermark=WHOLE_SPAN))
+    out = S.run_to_table(S.rate_limit_stream(stream(spark, sf), F.col("user_id") % 10, window_seconds=6 * 3600, limit=3, watermark=LATE))
     return out.select("id", "key", F.col("allowed").cast("int").alias("allowed"), "remaining")
 
 
@@ -134,7 +147,7 @@ def _stream_outcomes(spark, sf):
 
 
 def q_health_stream(spark, sf):
-    out = S.run_to_table(S.health_stream(_stream_outcomes(spark, sf), watermark=WHOLE_SPAN), "update")
+    out = S.run_to_table(S.health_stream(_stream_outcomes(spark, sf), watermark=LATE), "update")
     last = out.groupBy("source").agg(F.max_by(F.struct("successes", "failures", "consecutive", "avg_ms", "status"), "batch").alias("h"))
     return last.select("source", "h.*").withColumn("avg_ms", F.round("avg_ms", 6))
 
@@ -145,14 +158,37 @@ def q_progress_stream(spark, sf):
     return last.select("job_id", "p.*").withColumn("progress", F.round("progress", 6))
 
 
+def fetched(spark, sf, parts=4):
+    """Every page fetched three times: at a time given by its id, again a quarter of an hour later and thirty days later, the stream being laid out by time."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    again = F.explode(F.array(F.lit(0), F.lit(900), F.lit(30 * 86400))).alias("after")
+    times = pages.select("page_id", "url", again).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.xxhash64("page_id"), F.lit(86400)) + F.col("after")))
+    rows = times.withColumn("fetch", F.concat_ws("/", "page_id", "after")).drop("after")
+    return laid_out(rows, "fetch", parts, 0, end=None).select("page_id", "url", "ts")
+
+
 def q_stream_page_dedup(spark, sf):
-    rows = stream(spark, sf, "pages", end=None).withColumn("ts", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,cast(page_id % 60 as int))"))
-    out = S.run_to_table(S.page_dedup_stream(rows.select("page_id", "url", "ts")))
+    out = S.run_to_table(S.page_dedup_stream(fetched(spark, sf)))
     return out.select("norm_url")
 
 
+def q_store_pages_stream(spark, sf):
+    """Pages streamed into the store, every batch tried twice, beside the remains of one that never ended."""
+    pages = laid_out(read(spark, sf, "pages").withColumn("ts", F.timestamp_seconds("page_id")), "page_id", 3, 0, end=None).drop("ts")
+    base = f"{checkpoint_dir(spark)}/webquarry/store-{uuid.uuid4().hex}"
+
+    def twice(batch, batch_id):
+        S.commit_pages(batch, base, batch_id)
+        S.commit_pages(batch, base, batch_id)
+
+    pages.writeStream.option("checkpointLocation", f"{base}-state").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    read(spark, sf, "pages").limit(5).write.parquet(f"{base}/batch=1000")
+    return S.committed_pages(spark, base).select("page_id", "url", F.length("html").cast("long").alias("chars"))
+
+
 def q_ttl_stream(spark, sf):
-    out = S.run_to_table(S.ttl_stream(ttl_line(stream(spark, sf)), watermark=WHOLE_SPAN))
+    out = S.run_to_table(S.ttl_stream(ttl_line(stream(spark, sf)), watermark=LATE))
     return out.withColumn("hit", F.col("hit").cast("int")).withColumn("key", F.col("key").cast("long"))
 
 
@@ -161,7 +197,7 @@ QUERIES = {
     "source_health": q_source_health, "source_summary": q_source_summary,
     "source_ranking": q_source_ranking, "source_weights": q_source_weights, "round_robin": q_round_robin, "progress_latest": q_progress_latest,
     "action_counts": q_action_counts, "ttl_lookup": q_ttl_lookup, "rate_limit_stream": q_rate_limit_stream, 
-    "health_stream": q_health_stream, "progress_stream": q_progress_stream, "stream_page_dedup": q_stream_page_dedup, "ttl_stream": q_ttl_stream,
+    "health_stream": q_health_stream, "progress_stream": q_progress_stream, "stream_page_dedup": q_stream_page_dedup, "ttl_stream": q_ttl_stream, "store_pages_stream": q_store_pages_stream,
 }
 
 # ---- SQL twins ----------------------------------------------------------------------------
@@ -207,6 +243,6 @@ select source, epoch(ws)::bigint as window_start, count(*) as requests, count(*)
     "progress_latest": PROGRESS, "action_counts": "select event_type as status, count(*) as events from events group by 1",
     "ttl_lookup": TTL, "rate_limit_stream": ADMITTED,
     "health_stream": f"with {HEALTH} select source, successes, failures, consecutive, round(avg_ms, 6) as avg_ms, status from h",
-    "progress_stream": PROGRESS, "ttl_stream": TTL,
+    "progress_stream": PROGRESS, "ttl_stream": TTL, "store_pages_stream": "select page_id, url, length(html) as chars from pages",
     "stream_page_dedup": "select distinct regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') as norm_url from pages",
 }

@@ -21,7 +21,6 @@ from webquarry.functions import urls as U
 from webquarry.operators import timeline as L
 from webquarry.operators.skew import micros
 from webquarry.session import checkpoint_dir
-from webquarry.sources.pages import append_pages
 
 WATERMARK = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,8 +35,12 @@ def event_time(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run over all available input into a table in the shared folder, and read it back."""
+def run_watched(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, DataFrame]:
+    """Run over all available input into a table in the shared folder: the table, and what the query told of its batches.
+
+    The second is batch, rows_in, held (entries of the state store), late (rows behind the watermark, which are counted and
+    not held) and watermark, one row a batch, of the last batches that Spark keeps.
+    """
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/webquarry/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode(mode)
@@ -49,8 +52,18 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
         query = writer.foreachBatch(write).start()
     query.awaitTermination()
+    told = [
+        (p["batchId"], p["numInputRows"], sum(o["numRowsTotal"] for o in p["stateOperators"]), sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), p["eventTime"].get("watermark"))
+        for p in query.recentProgress
+    ]
     schema = stream.schema if mode == "append" else StructType(stream.schema.fields + [StructField("batch", IntegerType())])
-    return spark.read.schema(schema).parquet(f"{base}/out" if mode == "append" else f"{base}/out/*")
+    table = spark.read.schema(schema).parquet(f"{base}/out" if mode == "append" else f"{base}/out/*")
+    return table, spark.createDataFrame(told, "batch long, rows_in long, held long, late long, watermark string")
+
+
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run over all available input into a table in the shared folder, and read it back."""
+    return run_watched(stream, mode)[0]
 
 
 # ---- declarative --------------------------------------------------------------------------
@@ -71,18 +84,34 @@ def progress_stream(updates: DataFrame) -> DataFrame:
     return L.progress_latest(updates)
 
 
-def page_dedup_stream(pages: DataFrame, ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """First sight of every normalised URL within the watermark."""
+def page_dedup_stream(pages: DataFrame, ts: str = "ts", remember: str | None = None) -> DataFrame:
+    """First sight of every normalised URL, given out at once.
+
+    `remember` is how long a URL stays known behind the newest page, such as "90 days"; the state then holds the URLs of that time.
+    Without it a URL is known for ever: the state is one entry of about the URL's length for every URL, spread by URL, which the
+    RocksDB store keeps on disk.
+    """
     named = U.with_normalized(pages, F.col("url"), "norm_url")
-    return named.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["norm_url"])
+    return named.dropDuplicates(["norm_url"]) if remember is None else named.withWatermark(ts, remember).dropDuplicatesWithinWatermark(["norm_url"])
 
 
-def store_pages_stream(pages: DataFrame, path: str, checkpoint: str):
-    """Append a stream of pages to the page store."""
-    def write(batch: DataFrame, _: int) -> None:
-        append_pages(batch, path)
+def commit_pages(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Writes a batch of pages as its own part of the store, then its commit; a repeated batch replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    batch.sparkSession.range(batch_id, batch_id + 1, 1, 1).select(F.col("id").alias("batch")).write.mode("overwrite").parquet(f"{path}/_commits/{batch_id}")
+
+
+def committed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of committed batches; what a batch left that did not end is passed over."""
+    commits = spark.read.schema("batch long").option("recursiveFileLookup", "true").parquet(f"{path}/_commits")
+    pages = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
+    return pages.join(commits, "batch", "left_semi").drop("batch")
 
-    return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+def store_pages_stream(pages: DataFrame, path: str, checkpoint: str):
+    """A stream of pages into the store at `path`, each batch once, however often it is tried."""
+    writer = pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(lambda batch, batch_id: commit_pages(batch, path, batch_id)).start()
 
 
 # ---- keyed state --------------------------------------------------------------------------
@@ -92,7 +121,8 @@ class _Ordered(StatefulProcessor):
 
     A subclass names the columns it holds and folds the released rows.  State beyond the held rows
     and the fold's own is not kept; a key without either has none.  Rows are held by spans of event time, in blocks;
-    a timer reads passed spans only, one after the other.
+    a timer reads passed spans only, one after the other.  Spark drops rows that come behind the watermark and counts them, so
+    what is held is bounded by the lateness that the watermark allows, times the rate of the input.
     """
 
     held_schema = ""
@@ -109,6 +139,9 @@ class _Ordered(StatefulProcessor):
     def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
+    def forget(self, mark: int) -> None:
+        """Empties what no later row can ask for, as all rows before `mark` have passed."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.blocks = handle.getMapState("blocks", "span long", "n long")
@@ -146,6 +179,7 @@ class _Ordered(StatefulProcessor):
                 out = self.fold(key, rows[passed].sort_values(list(self.order), kind="stable"))
                 if not self.last_only:
                     yield out
+        self.forget(mark)
         if self.last_only and out is not None:
             yield out
 
@@ -188,6 +222,8 @@ class _Limiter(_Ordered):
         times = deque(int(x[0]) for x in self.admitted.get())
         decided = [L.admit(times, int(us), self.width, self.limit) for us in rows["us"]]
         self.admitted.put([(t,) for t in times]) if times else self.admitted.clear()
+        if times:
+            self._wake(times[-1] + self.width)
         return pd.DataFrame({
             "id": rows["id"], "key": key[0], "ts": pd.to_datetime(rows["us"], unit="us"),
             "allowed": [d[0] for d in decided], "remaining": [d[1] for d in decided]})
@@ -204,6 +240,11 @@ def rate_limit_stream(
         _Limiter(window_seconds * L.SECOND, limit), "id long, key string, ts timestamp, allowed boolean, remaining long", "Append", "EventTime")
 
 
+    def forget(self, mark: int) -> None:
+        if self.admitted.exists() and max(int(x[0]) for x in self.admitted.get()) <= mark - self.width:
+            self.admitted.clear()
+
+
 class _Health(_Ordered):
     """Counts and failure run of a source."""
 
@@ -256,10 +297,15 @@ class _TtlValue(_Ordered):
                 out.append((row.id, key[0], value if hit else None, hit))
         if until > int(rows["us"].max()):
             self.entry.update((value, until))
+            self._wake(until)
         else:
             self.entry.clear()  # ran out: no later read can see it
         return pd.DataFrame(out, columns=["id", "key", "value", "hit"])
 
+    def forget(self, mark: int) -> None:
+        if self.entry.exists() and int(self.entry.get()[1]) <= mark:
+            self.entry.clear()
+
 
 def ttl_stream(line: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Reads answered from a stream of writes (side 0: value, ttl) and reads (side 1): key, ts, id, side, value, ttl."""
