@@ -309,7 +309,8 @@ def select_elements(
     Returns page_id, name, pos, value: the attribute, or the trimmed text; empty
     values are dropped.
     """
-    els = elements(pages) if els is None else els
+    if els is None:  # what selectors do not read is not computed, and not carried where pages become one row
+        els = elements(pages).select("page_id", "pos", "tag", "kind", "tok", "last", "raw0", "raw1", "els0", "els1")
     hits = with_selectors(els, {f"hit_{i}": sel for i, (sel, _) in enumerate(selectors.values())})
     wanted = F.array_compact(F.array(*[
         F.when(
