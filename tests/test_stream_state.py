@@ -61,4 +61,4 @@ def test_parts_have_the_files_of_the_input(spark, sf_dir, monkeypatch):
     stream_queries.stream(spark, sf_dir)
     ((path, files),) = seen
     base = path.removeprefix("file:").removesuffix("/*")
-    assert files == 4 and [len(glob.glob(f"{base}/{part}/*.parquet")) for part in range(4)] == [4, 4, 4, 1]
+    assert files == 4 and [len(glob.glob(f"{base}/{part}/*.parquet")) for part in range(7)] == [4, 4, 4, 4, 4, 4, 1]

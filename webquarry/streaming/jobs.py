@@ -87,7 +87,7 @@ def progress_stream(updates: DataFrame) -> DataFrame:
 def page_dedup_stream(pages: DataFrame, ts: str = "ts", remember: str | None = None) -> DataFrame:
     """First sight of every normalised URL, given out at once.
 
-    `remember` is how long a URL stays known behind the newest page, such as "90 days"; the state then holds the URLs of that time.
+    `remember` is how long a URL stays known at least behind the newest page, such as "90 days"; the state then holds the URLs of about that time.
     Without it a URL is known for ever: the state is one entry of about the URL's length for every URL, spread by URL, which the
     RocksDB store keeps on disk.
     """
