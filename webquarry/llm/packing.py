@@ -26,7 +26,7 @@ from webquarry.llm.common import narrowed, span_hashes, steps, word_spans, writt
 CAPACITY = 4096
 END = 1
 #: Chunks between blanks that a worker keeps with their ids; beyond, the memory starts anew.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 600_000
 #: Bits for the rank within a length in the keys that are searched.
 RANK_BITS = 44
 #: Marks that are a word of their own behind letters, and what the short way for Latin letters does not take.
