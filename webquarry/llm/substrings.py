@@ -10,6 +10,7 @@ smallest document that holds it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ PLACE = U((1 << 21) - 1)
 GATHER = 1 << 19
 #: Bytes of text for each group of buckets.
 GROUP_BYTES = 8 << 20
+#: (Document, bucket) pairs of one row on their way to the documents.
+RUN = 4096
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +118,25 @@ def _by_doc(docs: np.ndarray, pack) -> Iterator[tuple[int, bytes]]:
         yield int(docs[order[lo]]), pack(order[lo:hi])
 
 
-_ASKS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("base", pa.int64()), ("docs", pa.binary()), ("known", pa.binary())])
+def _home(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part to which what a document is told goes."""
+    return _part(mix(docs.astype(U) * U(0x9E3779B97F4A7C15)), parts)
+
+
+def _packed_pairs(docs: np.ndarray, h: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(part, base, documents, hashes): the pairs of one part in runs, so that rows follow pairs and not documents."""
+    home = _home(docs, parts)
+    order = np.lexsort((docs, home))
+    docs, h, home = docs[order], h[order], home[order]
+    cut = _runs(home)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        for a in range(lo, hi, RUN):
+            b = min(a + RUN, hi)
+            base, ids = _pack_ids(docs[a:b])
+            yield int(home[a]), base, ids, _pack40(h[a:b])
+
+
+_ASKS = pa.schema([("part", pa.int32()), ("told", pa.bool_()), ("hashes", pa.binary()), ("base", pa.int64()), ("docs", pa.binary()), ("known", pa.binary())])
 
 
 def _asks(parts: int):
@@ -130,14 +151,14 @@ def _asks(parts: int):
         lead, size = bounds[:-1], np.diff(bounds)
         rows: list[tuple] = []
         several = np.repeat(size > 1, size)
-        for doc, raw in _by_doc(d[several], lambda i, x=h[several]: _pack40(x[i])):
-            rows.append((hash(doc) % parts, doc, raw, 0, b"", b""))
+        for home, base, ids, raw in _packed_pairs(d[several], h[several], parts):
+            rows.append((home, True, raw, base, ids, b""))
         h, d, known = h[lead], d[lead], size > 1
         part = _part(h, parts)
         cut = _runs(part)
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             base, ids = _pack_ids(d[lo:hi])
-            rows.append((int(part[lo]), None, _pack40(h[lo:hi]), base, ids, np.packbits(known[lo:hi]).tobytes()))
+            rows.append((int(part[lo]), False, _pack40(h[lo:hi]), base, ids, np.packbits(known[lo:hi]).tobytes()))
         for k in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 4096]), _ASKS)], schema=_ASKS)
 
@@ -157,34 +178,66 @@ def _asks(parts: int):
     return run
 
 
+_TOLD = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary())])
 _SHARED = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 
 
-def _answers(group: pa.Table) -> pa.Table:
-    """The buckets of one group that reach two documents, told to each document that asked."""
-    told, hs, ds, ks = [], [], [], []
-    for doc, raw, base, ids, known in zip(*(group.column(c).to_pylist() for c in ("doc_id", "hashes", "base", "docs", "known"))):
-        if doc is not None:
-            told.append((doc, raw))
-            continue
-        h = _unpack40(raw)
-        hs.append(h)
-        ds.append(_unpack_ids(base, ids, len(h)))
-        ks.append(np.unpackbits(np.frombuffer(known, np.uint8), count=len(h)).astype(bool))
-    if hs:
-        h, d, k = np.concatenate(hs), np.concatenate(ds), np.concatenate(ks)
-        order = np.argsort(h, kind="stable")
-        h, d, k = h[order], d[order], k[order]
-        size = np.diff(_runs(h))
-        ask = np.repeat(size > 1, size) & ~k
-        told.extend(_by_doc(d[ask], lambda i, x=h[ask]: _pack40(x[i])))
-    return pa.table([pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.binary())], schema=_SHARED)
-
-
-_ENTRY = np.dtype([("at", "<i8"), ("doc", "<i8"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", CONTEXT)])
-_CUT = np.dtype([("at", "<i8"), ("mask", "<u4")])
+def _answers(parts: int):
+    """The buckets of one group that reach two documents, packed by the parts of the documents that asked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        told_h, told_d, hs, ds, ks = [], [], [], [], []
+        for told, raw, base, ids, known in zip(*(group.column(c).to_pylist() for c in ("told", "hashes", "base", "docs", "known"))):
+            h = _unpack40(raw)
+            d = _unpack_ids(base, ids, len(h))
+            if told:
+                told_h.append(h)
+                told_d.append(d)
+                continue
+            hs.append(h)
+            ds.append(d)
+            ks.append(np.unpackbits(np.frombuffer(known, np.uint8), count=len(h)).astype(bool))
+        if hs:
+            h, d, k = np.concatenate(hs), np.concatenate(ds), np.concatenate(ks)
+            order = np.argsort(h, kind="stable")
+            h, d, k = h[order], d[order], k[order]
+            size = np.diff(_runs(h))
+            ask = np.repeat(size > 1, size) & ~k
+            told_h.append(h[ask])
+            told_d.append(d[ask])
+        rows = list(_packed_pairs(np.concatenate(told_d), np.concatenate(told_h), parts)) if told_h else []
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOLD)], schema=_TOLD) if rows else _TOLD.empty_table()
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed pairs of a part, unpacked to one row for each document of a gathering."""
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        d, h = np.concatenate(ds), np.concatenate(hs)
+        out = list(_by_doc(d, lambda i: _pack40(h[i])))
+        for k in range(0, len(out), RUN):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + RUN]), _SHARED)], schema=_SHARED)
+
+    ds, hs, n = [], [], 0
+    for batch in batches:
+        for base, ids, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("base", "docs", "hashes"))):
+            hs.append(_unpack40(raw))
+            ds.append(_unpack_ids(base, ids, len(hs[-1])))
+            n += len(hs[-1])
+            if n >= 2 * GATHER:
+                yield from flush()
+                ds, hs, n = [], [], 0
+    if n:
+        yield from flush()
+
+
+#: `tag` is a checksum of the row's text, as rows with one key may hold different texts.
+_ENTRY = np.dtype([("at", "<i8"), ("doc", "<i8"), ("tag", "<u4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", CONTEXT)])
+_CUT = np.dtype([("at", "<i8"), ("mask", "<u4"), ("tag", "<u4")])
 _CONTEXTS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("entries", pa.binary())])
-_CUTS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("mask", pa.int64())])
+_CUTS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("mask", pa.int64()), ("tag", pa.int64())])
 
 
 def _mask(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -192,10 +245,10 @@ def _mask(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (((U(1) << (lo.astype(U) + U(1))) - U(1)) & ~((U(1) << hi.astype(U)) - U(1))).astype(np.uint32)
 
 
-def _cut_rows(doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    cuts = np.zeros(len(doc), _CUT)
-    cuts["at"], cuts["mask"] = at, mask
-    return _by_doc(doc, lambda i: cuts[i].tobytes())
+def _cut_rows(e: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    cuts = np.zeros(len(e), _CUT)
+    cuts["at"], cuts["tag"], cuts["mask"] = e["at"], e["tag"], _mask(e["lo"], e["hi"])
+    return _by_doc(e["doc"], lambda i: cuts[i].tobytes())
 
 
 def _pack_entries(e: np.ndarray) -> bytes:
@@ -233,7 +286,7 @@ def _contexts(parts: int):
         least = np.repeat(e["doc"][bounds[:-1]], np.diff(bounds))
         beyond = e["doc"] > least
         rest = e[beyond]
-        rows: list[tuple] = [(hash(doc) % parts, doc, raw) for doc, raw in _cut_rows(rest["doc"], rest["at"], _mask(rest["lo"], rest["hi"]))]
+        rows: list[tuple] = [(hash(doc) % parts, doc, raw) for doc, raw in _cut_rows(rest)]
         e = e[~beyond]
         part = _part(h[~beyond], parts)
         order = np.argsort(part, kind="stable")
@@ -262,6 +315,7 @@ def _contexts(parts: int):
             e["ctx"] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[a] * inside
             e["lo"], e["hi"], e["at"] = a - first, a - last, a - at[doc[hit]] + offset
             e["doc"] = rows.column("doc_id").to_numpy(zero_copy_only=False)[doc[hit]]
+            e["tag"] = rows.column("tag").to_numpy(zero_copy_only=False).astype(np.uint32)[doc[hit]]
             held.append(e)
             hs.append(h[hit])
             n += len(e)
@@ -319,12 +373,12 @@ def _refined(group: pa.Table) -> pa.Table:
         mask = np.where(full, _mask(e["lo"], e["hi"]), np.repeat(mask, size).astype(np.uint32))
         some = mask > 0
         cuts.append(np.zeros(int(some.sum()), _CUT))
-        cuts[-1]["at"], cuts[-1]["mask"] = e["at"][some], mask[some]
+        cuts[-1]["at"], cuts[-1]["tag"], cuts[-1]["mask"] = e["at"][some], e["tag"][some], mask[some]
         docs.append(e["doc"][some])
     if not cuts:
         return _CUTS.empty_table()
     doc, cut = np.concatenate(docs), np.concatenate(cuts)
-    return pa.table([pa.array(doc, pa.int64()), pa.array(cut["at"]), pa.array(cut["mask"].astype(np.int64))], schema=_CUTS)
+    return pa.table([pa.array(doc, pa.int64()), pa.array(cut["at"]), pa.array(cut["mask"].astype(np.int64)), pa.array(cut["tag"].astype(np.int64))], schema=_CUTS)
 
 
 def _spans(at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,10 +397,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends, kept, bounds = [], [], [], [0]
         cuts = rows.column("cuts")
         cut = np.cumsum([0, *cuts.value_lengths().fill_null(0).to_pylist()])
-        places, masks = (np.asarray(cuts.flatten().field(name)) for name in ("at", "mask"))
+        places, masks, tags = (np.asarray(cuts.flatten().field(name)) for name in ("at", "mask", "tag"))
+        own = rows.column("tag").to_pylist()
         for i in range(rows.num_rows):
             raw = data[at[i] : at[i + 1]]
-            s, e = _spans(places[cut[i] : cut[i + 1]], masks[cut[i] : cut[i + 1]])
+            mine = tags[cut[i] : cut[i + 1]] == own[i]
+            s, e = _spans(places[cut[i] : cut[i + 1]][mine], masks[cut[i] : cut[i + 1]][mine])
             starts.append(s)
             ends.append(e)
             bounds.append(bounds[-1] + len(s))
@@ -368,20 +424,25 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Every byte covered by a string of 50 bytes that also starts in a document with a smaller key is
     removed; matches are judged on the input and never cross documents.  Null and short texts keep all they
-    have.  `key` holds unique longs; rows with a null key are returned whole and remove nothing.  Kept bytes may split a
-    character, so they are binary.  Other columns are left out.
+    have.  Rows that share a key are one document's texts: they
+    remove nothing from each other, and each loses what documents with smaller keys hold.  Rows with a null key are returned
+    whole and remove nothing.  Kept bytes may split a character, so they are binary.  Other columns are left out.
 
     A task sends each bucket and each context once, for its smallest document; its other documents are told at once
     that it is shared.  So a passage that a third of all documents hold is one entry for each task's
-    gathering.  Texts are shuffled by key once; both joins with them reuse that exchange.
+    gathering.  What documents are told travels in runs by part.  Texts are shuffled by key once, to as many parts as
+    their bytes ask for; both joins with them reuse that exchange.
     """
     rows = narrowed(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = width(docs, -(-total // GROUP_BYTES))
     named = rows.where("doc_id IS NOT NULL")
-    asks = named.mapInArrow(_asks(parts), "part int, doc_id long, hashes binary, base long, docs binary, known binary")
-    answers = asks.groupBy("part").applyInArrow(_answers, "doc_id long, hashes binary")
-    shared = answers.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))  # as many as the document's own anchors
-    around = rows.join(shared, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_contexts(parts), "part int, doc_id long, entries binary")
-    cuts = around.groupBy("part").applyInArrow(_refined, "doc_id long, at long, mask long").groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask")).alias("cuts"))
-    return rows.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    asks = named.mapInArrow(_asks(parts), "part int, told boolean, hashes binary, base long, docs binary, known binary")
+    answers = asks.groupBy("part").applyInArrow(_answers(parts), "part int, base long, docs binary, hashes binary")
+    told = answers.repartition(parts, "part").mapInArrow(_told, "doc_id long, hashes binary")
+    shared = told.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))  # as many as the document's own anchors
+    placed = rows.withColumn("tag", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).repartition(parts, "doc_id")
+    around = placed.join(shared, "doc_id", "left").select("doc_id", "text", "tag", "shared").mapInArrow(_contexts(parts), "part int, doc_id long, entries binary")
+    refined = around.groupBy("part").applyInArrow(_refined, "doc_id long, at long, mask long, tag long").repartition(parts, "doc_id")
+    cuts = refined.groupBy("doc_id").agg(F.collect_list(F.struct("at", "mask", "tag")).alias("cuts"))
+    return placed.join(cuts, "doc_id", "left").select("doc_id", "text", "tag", "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
