@@ -32,7 +32,7 @@ def odd(spark):
         (None, line * 3, "en", "a"), (None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    extra = {c: F.lit("x") for c in ("key", "a", "b", "size", "n", "part", "kept", "family", "group", "cuts", "vector", "score", "edits", "registers", "n_words", "c0", "of", "rate")}
+    extra = {c: F.lit("x") for c in ("key", "a", "b", "size", "n", "part", "kept", "family", "group", "cuts", "vector", "score", "edits", "registers", "n_words", "c0", "of", "rate", "__own", "__of", "__rate", "__salt", "__copy", "__kept", "row", "id", "own", "from", "copy", "told", "tag", "own_id", "kept_id")}
     return df.withColumns(extra)
 
 
@@ -214,6 +214,35 @@ def test_repeats_equal_brute_force(spark, sf_dir, odd, empty):
     assert substrings.drop_repeats(empty).count() == 0
 
 
+def test_repeated_keys_of_different_texts(spark, monkeypatch):
+    """Each row of a key loses what smaller keys hold, and nothing of its own key; runs and gatherings of any size agree."""
+    draw = random.Random(3)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    shared, other = text(130), text(130)
+    rows = [(1, shared), (5, shared), (5, other), (5, other), (7, text(20) + other + text(30)), (-3, shared[:60]), (-3, text(90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = []
+    for key, own in rows:
+        held = {t[i : i + 50] for k, t in rows if k < key for i in range(len(t) - 49)}
+        gone = {i + j for i in range(len(own) - 49) if own[i : i + 50] in held for j in range(50)}
+        want.append((key, "".join(c for i, c in enumerate(own) if i not in gone)))
+    for run, gather in ((4096, 1 << 19), (1, 3)):
+        monkeypatch.setattr(substrings, "RUN", run)
+        monkeypatch.setattr(substrings, "GATHER", gather)
+        assert sorted((r.doc_id, bytes(r.kept).decode()) for r in substrings.drop_repeats(df).collect()) == sorted(want)
+
+
+def test_clashing_columns_stay(odd):
+    """Rows come back with every column as it was, whatever the names."""
+    names = odd.columns
+    mix, single = mixing.mixed(odd), hyperminhash.kept_rows(odd)
+    assert mix.columns == names and single.columns == names
+    extra = [c for c in names if c not in ("doc_id", "text", "lang", "source")]
+    for out in (mix, single):
+        got = out.collect()
+        assert got and all(r[c] == "x" for r in got for c in extra)
+
+
 def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 1000)
     monkeypatch.setattr("webquarry.llm.common.STEP_BYTES", 500)

@@ -232,8 +232,9 @@ def _open_tiles(cand: DataFrame, joined: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all columns, whose key is the smallest of its group."""
-    kept = near_duplicates(docs, key, text, words, percent).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = near_duplicates(docs, key, text, words, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("own_id"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -89,11 +89,14 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """
     cap, seed = options.get("cap", CAP), options.get("seed", SEED)
     targets = source_targets(_sized(docs, key, text, source), options.get("weights", WEIGHTS), options.get("percent", PERCENT), cap)
-    rates = targets.select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    times = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")
-    joined = docs.withColumn("__own", _salt(key)).join(_salted(rates), F.col(source).eqNullSafe(F.col("__of")) & (F.col("__own") == F.col("__salt")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rates = _salted(targets.select(F.col("source").alias("of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")))
+    id_, of, row = F.col(f"`{key}`"), F.col(f"`{source}`"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    times = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    # The rows travel as one struct, so that no name of theirs meets a name used here.
+    rows = docs.select(row, id_.alias("id"), of.alias("from"), _salt(f"`{key}`").alias("own"))
+    joined = rows.join(rates, F.col("from").eqNullSafe(F.col("of")) & (F.col("own") == F.col("__salt")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")
 
 
 SQL = f"""
