@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
 from webquarry.operators.skew import ranked, salted_lookup
+from webquarry.operators.stems import stems, with_stems
 
 # English function words that are no terms.
 STOPWORDS = (
@@ -32,7 +33,7 @@ THRESHOLD, TOP_SEGMENTS = 0.3, 10
 
 
 def term_array(text: Column) -> Column:
-    """Lower-case word tokens longer than two characters that are no stopwords, in order; not stemmed."""
+    """Lower-case word tokens longer than two characters that are no stopwords, in order."""
     return F.filter(T.word_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
 
 
@@ -41,6 +42,11 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, F.posexplode(term_array(F.col(text))).alias("pos", "term"))
 
 
+def stemmed_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, term: the stems of `tokens`."""
+    return with_stems(tokens(docs, key, text), key).select(key, "pos", F.col("stem").alias("term"))
+
+
 def vocabulary(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """term, first_doc, first_pos: distinct terms with where each is seen first.
 
@@ -68,6 +74,12 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return counted.select(key, "term", "n", (F.col("n") / F.col("len")).alias("tf"))
 
 
+def stemmed_frequencies(tf: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, n, tf of `term_frequencies`, where terms with one stem are one term."""
+    found = with_stems(tf, key).groupBy(key, F.col("stem").alias("term"))
+    return found.agg(F.sum("n").alias("n"), F.sum("tf").alias("tf"))
+
+
 def inverse_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf = ln(N / df).  Counts are combined before the shuffle, so hot terms arrive reduced."""
     total = docs.agg(F.count("*")).scalar()
@@ -80,9 +92,10 @@ def with_idf(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return salted_lookup(tf, idf.select("term", "idf"), "term", key)
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, idf, weight."""
+def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
+    """key, term, tf, idf, weight; of stems where `stemmed`."""
     tf = term_frequencies(docs, key, text)
+    tf = stemmed_frequencies(tf, key) if stemmed else tf
     return with_idf(tf, inverse_frequencies(tf, docs), key).select(
         key, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight")
     )
@@ -94,6 +107,17 @@ def task_terms(task: str) -> dict[str, float]:
     return {t: found.count(t) / len(found) for t in dict.fromkeys(found)}
 
 
+def task_stems(docs: DataFrame, task: str) -> dict[str, float]:
+    """stem -> tf of a task text."""
+    found = task_terms(task)
+    rows = stems(docs.sparkSession.createDataFrame([(t,) for t in found], "term string")).collect()  # the words of one sentence
+    stem = {r["term"]: r["stem"] for r in rows}
+    out: dict[str, float] = {}
+    for term, tf in found.items():
+        out[stem[term]] = out.get(stem[term], 0.0) + tf
+    return out
+
+
 def _query_map(terms: dict[str, float]) -> Column:
     return F.create_map(*[x for t, w in terms.items() for x in (F.lit(t), F.lit(w))]) if terms else F.expr("cast(map() as map<string,double>)")
 
@@ -104,13 +128,13 @@ def _query_norm(idf: DataFrame, terms: dict[str, float]):
     return idf.filter(F.col("term").isin(list(terms))).agg(F.sqrt(F.sum(F.pow(q * F.col("idf"), 2)))).scalar()
 
 
-def cosine_query(weights: DataFrame, idf: DataFrame, task: str, key: str = "doc_id") -> DataFrame:
-    """key, similarity of every document to the task; 0 when a norm is 0.
+def cosine_query(weights: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", stemmed: bool = False) -> DataFrame:
+    """key, similarity of every document to the task; 0 when a norm is 0.  `stemmed`: weights and idf are of stems.
 
     The task's terms are literals in the plan, so scoring is one aggregate, combined
     per partition before the exchange.
     """
-    terms = task_terms(task)
+    terms = task_stems(weights, task) if stemmed else task_terms(task)
     keys = key if isinstance(key, (list, tuple)) else [key]
     q = F.try_element_at(_query_map(terms), F.col("term"))
     sums = weights.groupBy(*keys).agg(
@@ -128,27 +152,32 @@ def segment_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("segment", "sentence"))
 
 
-def segment_similarity(docs: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def segment_similarity(docs: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
     """key, segment, similarity of the sentences that share a term with the task (all others have 0).
 
-    Sentences without a task term leave before their terms are exploded.
+    Sentences without a task term leave before their terms are exploded; with stems they leave behind the look-up.
     """
-    wanted = list(task_terms(task))
+    wanted = list(task_stems(docs, task) if stemmed else task_terms(task))
     rows = docs.select(key, text).repartition(key)
     rows = segment_rows(rows, key, text).select(key, "segment", term_array(F.col("sentence")).alias("ts"))
-    rows = rows.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False))
+    if not stemmed:
+        rows = rows.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False))
     rows = rows.select(key, "segment", F.size("ts").alias("len"), F.explode("ts").alias("term"))
+    if stemmed:
+        rows = with_stems(rows, key).select(key, "segment", "len", F.col("stem").alias("term"))
+        near = rows.filter(F.col("term").isin(wanted)).select(key, "segment").distinct()
+        rows = rows.join(near, [key, "segment"], "left_semi")
     tf = rows.groupBy(key, "segment", "term").agg((F.count("*") / F.first("len")).alias("tf"))
     weights = with_idf(tf, idf, key).withColumn("weight", F.col("tf") * F.col("idf"))
-    return cosine_query(weights, idf, task, [key, "segment"])
+    return cosine_query(weights, idf, task, [key, "segment"], stemmed)
 
 
 def top_segments(
     docs: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", text: str = "text",
-    threshold: float = THRESHOLD, top: int = TOP_SEGMENTS,
+    threshold: float = THRESHOLD, top: int = TOP_SEGMENTS, stemmed: bool = False,
 ) -> DataFrame:
     """key, segment, similarity, rank: the best sentences of each document at or above the threshold."""
-    scored = segment_similarity(docs, idf, task, key, text).filter(F.col("similarity") >= threshold)
+    scored = segment_similarity(docs, idf, task, key, text, stemmed).filter(F.col("similarity") >= threshold)
     order = W.partitionBy(key).orderBy(F.desc(F.round("similarity", 12)), "segment")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
 

@@ -8,11 +8,13 @@ from webquarry.functions import patterns as P
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
 from webquarry.operators import relevance as R
+from webquarry.operators import stems as S
 from webquarry.oracles import sql as O
 from webquarry.plans.derived import read
 from webquarry.plans.entity_queries import flat, pat_cte, plain
 
 TASK = "What about tion, ing or erst?"
+STEM_TASK = "What about tioning, ings or ersts?"
 
 
 def docs(spark, sf):
@@ -53,6 +55,34 @@ def q_cosine_query(spark, sf):
     return scored.withColumn("similarity", F.round("similarity", 9))
 
 
+def q_stems(spark, sf):
+    return S.stems(R.tokens(docs(spark, sf)))
+
+
+def q_stemmed_tokens(spark, sf):
+    return R.stemmed_tokens(docs(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+def q_stemmed_tfidf(spark, sf):
+    return R.tfidf(docs(spark, sf), stemmed=True).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+
+
+def q_stemmed_cosine(spark, sf):
+    d = docs(spark, sf)
+    tf = R.stemmed_frequencies(R.term_frequencies(d))
+    idf = R.inverse_frequencies(tf, d)
+    weights = R.with_idf(tf, idf, "doc_id").withColumn("weight", F.col("tf") * F.col("idf"))
+    scored = d.select("doc_id").join(R.cosine_query(weights, idf, STEM_TASK, stemmed=True), "doc_id", "left").na.fill({"similarity": 0.0})
+    return scored.withColumn("similarity", F.round("similarity", 9))
+
+
+def q_stemmed_segments(spark, sf):
+    d = docs(spark, sf)
+    idf = R.inverse_frequencies(R.stemmed_frequencies(R.term_frequencies(d)), d)
+    out = R.top_segments(d, idf, STEM_TASK, stemmed=True)
+    return out.select("doc_id", F.col("segment").cast("long").alias("segment"), F.round("similarity", 9).alias("similarity"), "rank")
+
+
 def q_vector_ops(spark, sf):
     a = F.col("embedding")
     rows = read(spark, sf, "embeddings").withColumn("other", F.reverse("embedding"))
@@ -91,6 +121,7 @@ def q_all_entities(spark, sf):
 
 QUERIES = {
     "tokens": q_tokens, "vocabulary": q_vocabulary, "vocabulary_index": q_vocabulary_index, "tf": q_tf, "idf": q_idf, "tfidf": q_tfidf, "cosine_query": q_cosine_query,
+    "stems": q_stems, "stemmed_tokens": q_stemmed_tokens, "stemmed_tfidf": q_stemmed_tfidf, "stemmed_cosine": q_stemmed_cosine, "stemmed_segments": q_stemmed_segments,
     "vector_ops": q_vector_ops, "sentences": q_sentences, "paragraphs": q_paragraphs, "top_segments": q_top_segments,
     "relevant_entities": q_relevant_entities, "all_entities": q_all_entities,
 }
@@ -123,6 +154,64 @@ ss as (select doc_id, segment, sum(st.tf * idf.idf * q.qw) / nullif(sqrt(sum((st
    from st join idf using (term) left join q using (term) group by 1, 2)"""
 
 
+def stem_steps(source: str) -> str:
+    """Steps st0 .. st9 from the words of `source` (term) to (term, stem), one table for each."""
+    m = "len(regexp_extract_all(x, '[aeiouy][^aeiouy]'))"
+    short = "regexp_matches(x, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+    on = lambda condition, x: condition.replace("x,", f"{x},")
+    voiced = "regexp_matches(x, '[aeiouy]')"
+    out, n = [f"st0 as materialized (select term, regexp_replace(regexp_replace(term, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g') w, false went from (select distinct term from {source}))"], 0
+
+    def cut(rules):
+        nonlocal n
+        out.append(f"cut{n} as materialized (select term, w, went, regexp_extract(w, '({'|'.join(rules)})$', 1) suf, w[1:length(w) - length(suf)] pre from st{n})")
+
+    def put(word, went="went"):
+        nonlocal n
+        out.append(f"st{n + 1} as materialized (select term, {word} w, {went} went from cut{n})")
+        n += 1
+
+    def swapped(rules):
+        return "pre || case suf " + " ".join(f"when '{a}' then '{b}'" for a, b in rules.items()) + " end"
+
+    def step(rules, condition):
+        cut(rules)
+        put(f"case when suf <> '' and ({condition}) then {swapped(rules)} else w end")
+
+    step(S.PLURALS, "true")
+    cut(S.ENDINGS)
+    put(f"case when suf = 'eed' then case when {on(m, 'pre')} > 0 then pre || 'ee' else w end when suf <> '' and {on(voiced, 'pre')} then pre else w end",
+        f"suf in ('ed', 'ing') and {on(voiced, 'pre')}")
+    cut(S.REPAIRS)
+    put(f"""case when not went then w when suf <> '' then {swapped(S.REPAIRS)}
+  when length(w) > 1 and w[-1] = w[-2] and not regexp_matches(w, '[aeiouylsz]$') then w[1:length(w) - 1]
+  when {on(m, 'w')} = 1 and {on(short, 'w')} then w || 'e' else w end""")
+    step({"y": "i", "Y": "i"}, on(voiced, "pre"))
+    step(S.DOUBLE_SUFFIXES, f"{on(m, 'pre')} > 0")
+    step(S.FULL_SUFFIXES, f"{on(m, 'pre')} > 0")
+    step(S.LAST_SUFFIXES, f"{on(m, 'pre')} > 1 and (suf <> 'ion' or pre[-1] in ('s', 't'))")
+    step({"e": ""}, f"{on(m, 'pre')} > 1 or ({on(m, 'pre')} = 1 and not {on(short, 'pre')})")
+    out.append(f"stem as materialized (select term, lower(case when {on(m, 'w')} > 1 and w like '%ll' then w[1:length(w) - 1] else w end) stem from st{n})")
+    return ",\n".join(out)
+
+
+def stem_task() -> str:
+    """The task's terms by their stems, as rows (term, tf)."""
+    rows = ", ".join(f"({O.q(t)}, {w!r}::double)" for t, w in R.task_terms(STEM_TASK).items())
+    return f"qr(term, tf) as (values {rows})"
+
+
+STEM_TK = f"""ta as (select doc_id, {terms('text')} ts from documents),
+tk as (select doc_id, len(ts) n_terms, generate_subscripts(ts, 1) - 1 pos, unnest(ts) term from ta)"""
+STEM_TF = f"""{stem_task()}, {STEM_TK}, known as (select term from tk union all select term from qr), {stem_steps('known')},
+tf as (select doc_id, stem as term, count(*) / max(n_terms) tf from tk join stem using (term) group by 1, 2),
+idf as (select term, ln((select count(*) from documents) / count(*)) idf from tf group by 1)"""
+STEM_Q = f"""{STEM_TF}, q as (select stem as term, any_value(idf) idf, sum(tf) * any_value(idf) qw from qr join stem using (term) join idf on idf.term = stem group by 1),
+qn as (select sqrt(sum(qw * qw)) qn from q)"""
+STEM_SIM = f"""{STEM_Q}, sim as (select tf.doc_id, coalesce(sum(tf.tf * idf.idf * q.qw), 0) / nullif(sqrt(sum((tf.tf * idf.idf) ** 2)) * (select qn from qn), 0) s
+  from tf join idf using (term) left join q using (term) group by 1)"""
+
+
 def best(threshold):
     return f"""bs as (select doc_id, segment, s, row_number() over (partition by doc_id order by round(s, 12) desc, segment) rank from ss where s >= {threshold}
   qualify row_number() over (partition by doc_id order by round(s, 12) desc, segment) <= 10)"""
@@ -146,6 +235,12 @@ def _segment_entities():
 
 
 ORACLE = {
+    "stems": f"with {STEM_TK}, {stem_steps('tk')} select term, stem from stem",
+    "stemmed_tokens": f"with {STEM_TK}, {stem_steps('tk')} select doc_id, pos, stem as term from tk join stem using (term)",
+    "stemmed_tfidf": f"with {STEM_TF} select doc_id, term, round(tf * idf, 9) as weight from tf join idf using (term)",
+    "stemmed_cosine": f"with {STEM_SIM} select doc_id, round(coalesce(s, 0), 9) as similarity from documents left join sim using (doc_id)",
+    "stemmed_segments": f"""with {STEM_Q}, {seg('documents').replace("unnest(ts) term from sc)", "unnest(ts) raw from sc)").replace("st as (select doc_id, segment, term, count(*) / max(m) tf from sd group by 1, 2, 3)", "st as (select doc_id, segment, stem as term, count(*) / max(m) tf from sd join stem on stem.term = raw group by 1, 2, 3)")}, {best(0.3)}
+select doc_id, segment, round(s, 9) as similarity, rank from bs""",
     "tokens": f"with a as (select doc_id, {terms('text')} ts from documents) select doc_id, generate_subscripts(ts, 1) - 1 as pos, unnest(ts) as term from a",
     "vocabulary": f"""with a as (select doc_id, {terms('text')} ts from documents), t as (select doc_id, generate_subscripts(ts, 1) - 1 pos, unnest(ts) term from a)
 select term, doc_id as first_doc, pos as first_pos from t qualify row_number() over (partition by term order by doc_id, pos) = 1""",
