@@ -6,6 +6,8 @@ others go through the token table, one exchange on page_id for the whole chain.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -414,6 +416,50 @@ def page_pipeline(
     )
 
 
+def checked_pipeline(
+    pages: DataFrame, checks: Mapping[str, Mapping[str, Column]], *, stop_on_error: bool = False, max_length: int | None = None
+) -> DataFrame:
+    """page_id, clean_html, markdown, text, executed array<string>, errors array<struct<stage, cause>>.
+
+    The stages of `page_pipeline`, each with its causes of failure: `checks` gives for "html", "markdown" and "text" conditions on
+    `html`, the input of that stage; the first that holds is the cause, and a null page fails everywhere with "no page".  A failed stage
+    never sees the page.  Without a clean page, markdown is written from the page as it came; a failed markdown
+    stage leaves an empty text, a failed text stage stripped tags.  With `stop_on_error` the failed
+    stage and all later ones give null and later ones are not tried.  `page_id` is unique.
+    """
+    def cause(stage: str) -> Column:
+        found = [F.when(F.col("html").isNull(), F.lit("no page"))] + [F.when(holds, F.lit(name)) for name, holds in checks.get(stage, {}).items()]
+        return F.coalesce(*found)
+
+    base = pages.select("page_id", "html").repartition("page_id").withColumn("html_error", cause("html"))
+    clean = drop_noise(base.filter("html_error IS NULL").select("page_id", "html"), partitioned=True)
+    clean = clean.select("page_id", sanitize_html(F.col("html")).alias("clean_html"))
+    staged = base.join(clean, "page_id", "left").withColumn("clean_html", F.when(F.col("html_error").isNull(), F.coalesce("clean_html", F.lit(""))))
+    stop = F.lit(stop_on_error)
+    first = stop & F.col("html_error").isNotNull()
+    tried = staged.select("page_id", "html_error", "clean_html", F.col("html").alias("page"), F.coalesce(F.nullif("clean_html", F.lit("")), "html").alias("html"))
+    tried = tried.withColumn("markdown_error", F.when(~first, cause("markdown")))
+    md = html_to_markdown(tried.filter(~first & F.col("markdown_error").isNull()).select("page_id", "html"), partitioned=True)
+    second = first | (stop & F.col("markdown_error").isNotNull())
+    out = tried.join(md, "page_id", "left").drop("html").withColumnRenamed("page", "html").withColumn("text_error", F.when(~second, cause("text")))
+    written = lambda name, tried, value, instead: F.when(tried & F.col(f"{name}_error").isNull(), value).when(~stop, instead)
+    third = second | (stop & F.col("text_error").isNotNull())
+    error = lambda name: F.when(F.col(f"{name}_error").isNotNull(), F.struct(F.lit(name).alias("stage"), F.col(f"{name}_error").alias("cause")))
+    ran = lambda name, tried: F.when(tried & F.col(f"{name}_error").isNull(), F.lit(name))
+    return out.select(
+        "page_id", "clean_html",
+        written("markdown", ~second, F.coalesce("markdown", F.lit("")), F.lit("")).alias("markdown"),
+        written("text", ~third, T.clean_text(structured_text(F.col("html")), max_length=max_length), F.coalesce(T.strip_tags_only(F.col("html")), F.lit(""))).alias("text"),
+        F.array_compact(F.array(ran("html", F.lit(True)), ran("markdown", ~first), ran("text", ~second))).alias("executed"),
+        F.array_compact(F.array(error("html"), error("markdown"), error("text"))).alias("errors"),
+    )
+
+
+def quarantined(result: DataFrame) -> DataFrame:
+    """page_id, stage, cause: one row for every failed stage of `checked_pipeline`."""
+    return result.select("page_id", F.inline("errors"))
+
+
 def pipeline_report(result: DataFrame) -> DataFrame:
     """One row of run statistics over pipeline output."""
     return result.agg(
