@@ -356,6 +356,15 @@ def test_vector_links_equal_brute_force(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_double_vectors_of_any_length(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1.0001e300]), (3, [1e-60, 1e-60]), (4, [1.0, -1.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.01]),
+            (7, [2.0]), (8, [5.0]), (9, [-1.0]), (10, []), (11, None), (12, [0.0, 0.0]), (13, [float("nan"), 1.0]), (14, [None, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    linked = {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7, 8: 7}
+    links = {1: 2, 2: 2, 3: 2, 5: 1, 6: 1, 7: 1, 8: 1}
+    assert got == {i: (links.get(i, 0), linked.get(i, i), linked.get(i, i) == i) for i, _ in rows}
+
+
 # ---- language -----------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,32 +134,11 @@ def _searched(file: Broadcast, dim: int, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row; vectors with a cosine of `cosine` or more in double precision are linked.
-
-    Vectors that are null, empty, all zero, of another length than the most, or hold null or non-finite components
-    link with nothing.  Equal vectors are one weighted representative, so copies count as links without being compared.
-    The index is fitted on up to SAMPLE vectors and holds all; every vector searches PROBES lists, and a pair
-    counts if either finds the other.  Look-ups rule pairs out by the triangle inequality with the member's own coding
-    error, so only the choice of lists can lose a link.  Large lists are cut into blocks; blocks return sums and one
-    label for each vector, never pairs.  `key` holds unique longs; other columns are left out.
-    """
-    spark = vectors.sparkSession
-    base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("vector"))
-    sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    keyed = base.withColumn("sound", F.coalesce(F.col("vec_id").isNotNull() & sound, F.lit(False)))
-    lengths = keyed.where("sound").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = lengths["dim"] if lengths else 1
-    usable = F.col("sound") & (F.size("vector") == dim)
-    named = written(keyed.select("vec_id", F.when(usable, F.col("vector")).alias("vector"), F.when(usable, F.xxhash64("vector")).alias("k1"), F.when(usable, F.xxhash64(F.lit(1), "vector")).alias("k2")), "vectors")
-    classes = written(named.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes")
-    alone = lambda: named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return alone()
-    n = classes.count()
+def _links(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
+    """(id, n, label): the links of the `n` representatives of length `dim`, as sums and labels by block."""
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
     index = Index(_unit(_vectors(sample.column("vector").combine_chunks(), dim)), n)
-    file = spark.sparkContext.broadcast(index)  # LISTS + CODES vectors at most
+    file = classes.sparkSession.sparkContext.broadcast(index)  # LISTS + CODES vectors at most
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +150,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                     names=["id", "weight", "vector", "own", "codes", "err", "probes"],
                 )
 
-    coded = written(classes.select("id", "weight", "vector").mapInArrow(code, "id long, weight long, vector array<float>, own int, codes binary, err double, probes array<int>"), "coded")
+    coded = written(classes.select("id", "weight", "vector").mapInArrow(code, "id long, weight long, vector array<double>, own int, codes binary, err double, probes array<int>"), "coded")
     asked = coded.select("id", "weight", "vector", "own", F.explode("probes").alias("list"))
     sizes = coded.groupBy(F.col("own").alias("list")).agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
     plan = F.broadcast(sizes.select("list", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("nl"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("nq")))  # a row for each of LISTS lists
@@ -182,7 +162,28 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         "list", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("qb"),
         F.lit(True).alias("query"), "id", "weight", "vector", "own", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"), F.lit(None).cast("array<int>").alias("probes"),
     )
-    found = written(members.unionByName(queries).groupBy("list", "lb", "qb").applyInArrow(_searched(file, dim, cosine), "id long, n long, label long"), "links")
+    return written(members.unionByName(queries).groupBy("list", "lb", "qb").applyInArrow(_searched(file, dim, cosine), "id long, n long, label long"), "links")
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row; vectors with a cosine of `cosine` or more in double precision are linked.
+
+    Vectors that are null, empty, all zero, or hold null or non-finite components link with nothing.  Vectors of different
+    lengths never link; every length has an index of its own, one after the other, so lengths are expected to be few.  Equal vectors are one weighted representative, so copies count as links without being compared.
+    The index is fitted on up to SAMPLE vectors and holds all; every vector searches PROBES lists, and a pair
+    counts if either finds the other.  Look-ups rule pairs out by the triangle inequality with the member's own coding
+    error, so only the choice of lists can lose a link.  Large lists are cut into blocks; blocks return sums and one
+    label for each vector, never pairs.  `key` holds unique longs; other columns are left out.
+    """
+    base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
+    sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
+    usable = F.coalesce(F.col("vec_id").isNotNull() & sound, F.lit(False))
+    named = written(base.select("vec_id", F.when(usable, F.col("vector")).alias("vector"), F.when(usable, F.xxhash64("vector")).alias("k1"), F.when(usable, F.xxhash64(F.lit(1), "vector")).alias("k2")), "vectors")
+    classes = written(named.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes")
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()}  # one row for each length
+    if not sizes:
+        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = reduce(DataFrame.unionByName, [_links(classes.where(F.size("vector") == dim), dim, n, cosine) for dim, n in sorted(sizes.items())])
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("label").alias("a"), F.col("id").alias("b")))
     reps = classes.select("k1", "k2", "id", "weight").join(counts, "id", "left").join(groups, "id", "left")
