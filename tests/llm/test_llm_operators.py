@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the small tables and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -392,7 +393,7 @@ def test_held_out_language(spark, odd, empty):
     rows = queries.op9_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert len(held) > 200 and sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
-    model = langcrf.fit([("x", ["alpha", "beta"] * 40), ("y", ["gamma", "delta"] * 40)])
+    model = langcrf.fit([("x", ["^alpha$", "^beta$"] * 40), ("y", ["^gamma$", "^delta$"] * 40)])
     got = {r.doc_id: r for r in langcrf.predicted(odd, model).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[5].lang_pred == "und" and 0 <= got[1].score <= 1
     assert langcrf.fit([]) is None and {r.lang_pred for r in langcrf.predicted(odd, None).collect()} == {"und"}
@@ -478,10 +479,83 @@ def test_scorer_is_fitted_on_whole_texts(spark, monkeypatch):
     assert [int(s[1][s[0] == tail].sum()) for _, s in seen if s[1].sum() > 9] == [400]
 
 
-def test_every_letter_of_a_long_run_counts():
+def test_every_trigram_of_a_long_run_counts():
     run = "".join(chr(0x4E00 + k) for k in range(1000))
-    assert "".join(langcrf.words(run)) == run and max(map(len, langcrf.words(run))) == langcrf.LETTERS
-    assert langcrf.words("abc " + "d" * 24 + " ef") == ["abc", "d" * 24, "ef"]
-    slots = {s for w in langcrf.words(run) for s in langcrf.features(w, frozenset())}
-    assert all(langcrf._slot("n" + w[i : i + 3]) in slots for w in langcrf.words(run) for i in range(len(w) - 2))
-    assert langcrf._slot("n" + run[500:503]) in slots
+    for n in (1, 2, 23, 24, 25, 26, 47, 48, 49, 1000):
+        parts = langcrf.pieces(run[:n])
+        marked = f"^{run[:n]}$"
+        assert len(parts) == -(-n // langcrf.LETTERS)
+        assert [p[i : i + 3] for p in parts for i in range(len(p) - 2)] == [marked[i : i + 3] for i in range(n)]  # each once, across cuts too
+        assert [p[0] == "^" for p in parts] == [True] + [False] * (len(parts) - 1) and [p[-1] == "$" for p in parts] == [False] * (len(parts) - 1) + [True]
+        assert langcrf._words(parts, np.ones((len(parts), 2)))[0] == [run[:n]]
+    assert langcrf.pieces("Abc " + "d" * 24 + " 7 ef") == ["^abc$", f"^{'d' * 24}$", "^ef$"] and langcrf.pieces(None) == langcrf.pieces("1 ^$") == []
+    inner, none = langcrf.pieces(run)[5], frozenset()
+    assert {langcrf._slot(f"{kind}{run[120:121]}") for kind in "ps"}.isdisjoint(langcrf.features(inner, none))  # no false beginning
+    assert langcrf._slot(f"p{run[0]}") in langcrf.features(langcrf.pieces(run)[0], none) and langcrf._slot(f"s{run[-1]}") in langcrf.features(langcrf.pieces(run)[-1], none)
+
+
+def chain(emissions, moves):
+    """Log partition and marginals of one chain by adding up every path of labels."""
+    n, k = emissions.shape
+    total, seen = 0.0, np.zeros((n, k))
+    for path in itertools.product(range(k), repeat=n):
+        w = np.exp(sum(emissions[t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+        total += w
+        for t, y in enumerate(path):
+            seen[t, y] += w
+    return np.log(total), seen / total
+
+
+def test_language_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    bounds, gold = np.array([0, 5, 9]), rng.integers(0, 3, 9)
+    emissions, moves = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+
+    def likelihood(e, m):
+        out = 0.0
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            y = gold[lo:hi]
+            out += e[np.arange(lo, hi), y].sum() + m[y[:-1], y[1:]].sum() - chain(e[lo:hi], m)[0]
+        return out
+
+    for value, got in zip((emissions, moves), langcrf.gradients(emissions, moves, bounds, gold)):
+        for at in np.ndindex(value.shape):
+            here = value[at]
+            value[at] = here + 1e-5
+            up = likelihood(emissions, moves)
+            value[at] = here - 1e-5
+            down = likelihood(emissions, moves)
+            value[at] = here
+            assert abs((up - down) / 2e-5 - got[at]) < 1e-6
+
+
+def test_language_prediction_equals_all_paths(spark):
+    latin, greek = "the cat sat on a mat with two more cats", "η γατα καθισε στο χαλι με δυο ακομα γατες"
+    model = langcrf.fit([("el", langcrf.pieces(greek) * 40), ("en", langcrf.pieces(latin) * 40)])
+    rows = [(1, "the cat"), (2, "η γατα on a mat"), (3, greek + " " + latin), (4, "the " + "χαλι" * 9 + " cats"), (5, "12 34"), (6, None), (7, "mat"), (7, "mat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in langcrf.predicted(docs, model).collect()}
+    words = langcrf.predicted_words(docs, model).collect()
+    assert len(found) == 7 and sum(w.doc_id == 7 for w in words) == 2
+    for doc, text in dict(rows).items():
+        parts = langcrf.pieces(text)
+        if not parts:
+            assert (found[doc].lang_pred, found[doc].score, found[doc].runs) == ("und", 0.0, []) and not any(w.doc_id == doc for w in words)
+            continue
+        of = [k - 1 for k in np.cumsum([x[0] == "^" for x in parts])]
+        slots = [langcrf.features(x, model.lexicon) for x in parts]
+        _, want = chain(np.array([model.weights[x].sum(axis=0) for x in slots], float), model.moves) if len(parts) < 15 else (0, langcrf.marginals(model.emissions(parts), model.moves, np.array([0, len(parts)]))[0])
+        assert found[doc].lang_pred == model.languages[want.mean(axis=0).argmax()] and abs(found[doc].score - want.mean(axis=0).max()) < 1e-6
+        by_word = [want[[i for i, o in enumerate(of) if o == k]].mean(axis=0) for k in range(max(of) + 1)]
+        got = sorted({(w.place, w.word, w.lang): w.probability for w in words if w.doc_id == doc}.items())
+        assert [x[0] for x in got] == [(k, w, model.languages[q.argmax()]) for k, (w, q) in enumerate(zip(text.split(), by_word))]
+        assert np.allclose([x[1] for x in got], [q.max() for q in by_word])
+        assert [lang for lang, a, b in found[doc].runs for _ in range(a, b)] == [x[0][2] for x in got]
+    assert [(r.lang, r.first, r.end) for r in found[3].runs] == [("el", 0, 9), ("en", 9, 19)]  # a text that switches
+    assert [(r.lang, r.first, r.end) for r in found[4].runs] == [("en", 0, 1), ("el", 1, 2), ("en", 2, 3)]
+
+
+def test_language_is_fitted_on_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "head " * 500 + "tail", "en"), (2, None, "en"), (3, "kopf", "de"), (4, "lost", None)], "doc_id long, text string, lang string")
+    got = langcrf.sampled(docs, "doc_id", "text", "lang")
+    assert [(lang, len(x), x[-1]) for lang, x in got] == [("en", 501, "^tail$"), ("de", 1, "^kopf$")]

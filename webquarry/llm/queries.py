@@ -73,7 +73,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langcrf.fit(langcrf.sampled(docs.where(~held_out(F.col("doc_id"))), "doc_id", "text", "lang"))
-    return langcrf.predicted(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+    rows = langcrf.predicted(docs, model)
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["lang"], r["first"], r["end"])), ",")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", runs.alias("word_runs"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
