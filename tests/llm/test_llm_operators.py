@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from webquarry.llm import bpe, hyperminhash, langcrf, mixing, pii, quality, queries, substrings, tokencount, weaklinear
 from webquarry.llm import pq as vectors
@@ -479,6 +480,19 @@ def test_scorer_is_fitted_on_whole_texts(spark, monkeypatch):
     assert [int(s[1][s[0] == tail].sum()) for _, s in seen if s[1].sum() > 9] == [400]
 
 
+def test_every_code_point_is_encoded_as_by_the_library():
+    with open(queries.WORD_BPE, "rb") as f:
+        model = bpe.WordBpe(f.read())
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    lines = [" ".join(f"a{c}b {c}1" for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    lines += [f"x{c}\u0307\u0323y Σ{c}Σ" for c in points[:0x20000:7]]  # marks that compose or change places
+    for lo in range(0, len(lines), 5000):
+        ids, bounds = model.encode(lines[lo : lo + 5000])
+        for line, a, b, want in zip(lines[lo:], bounds, bounds[1:], library.encode_batch(lines[lo : lo + 5000], add_special_tokens=False)):
+            assert ids[a:b].tolist() == want.ids, line
+
+
 def test_every_trigram_of_a_long_run_counts():
     run = "".join(chr(0x4E00 + k) for k in range(1000))
     for n in (1, 2, 23, 24, 25, 26, 47, 48, 49, 1000):

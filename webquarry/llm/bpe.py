@@ -9,6 +9,7 @@ ROW_BYTES, for which repeated scans would be slow, go through a heap with the sa
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from webquarry.llm.common import narrowed, steps
 
@@ -53,7 +55,11 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
+        pattern = splits[0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.seen: set[str] = set()
+        self.strange: set[str] = set()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         letters, end = byte_letters(), model["end_of_word_suffix"] or ""
         self.inner = np.array([self.vocab[letters[b]] for b in range(256)], np.int32)
@@ -81,9 +87,31 @@ class WordBpe:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(text.lower())
+        """Words of a text without special tokens.
+
+        Unicode tables of different ages agree on most letters; stretches between spaces with a code point on which they
+        may not are normalised and split by the library whose tables count.
+        """
+        if text.isascii():
+            return self.find(text.lower())
+        letters = set(text)
+        self.strange.update(filter(self._strange, letters - self.seen))
+        self.seen |= letters
+        if self.strange.isdisjoint(letters):
+            return self._known_letters(text)
+        out: list[str] = []
+        for rare, parts in itertools.groupby(text.split(" "), key=lambda part: not self.strange.isdisjoint(part)):
+            normal, split = self.library
+            out += [w for part in parts for w, _ in split.pre_tokenize_str(normal.normalize_str(part))] if rare else self._known_letters(" ".join(parts))
+        return out
+
+    def _strange(self, c: str) -> bool:
+        """A code point that Python's tables do not know, or a mark whose class the library's do not."""
+        probe = f"x\u0323{c}\u0334"  # marks of the classes 220 and 1 around it
+        return unicodedata.category(c) == "Cn" or unicodedata.combining(c) > 0 and unicodedata.normalize("NFC", probe) != self.library[0].normalize_str(probe)
+
+    def _known_letters(self, text: str) -> list[str]:
+        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     # merges
 
