@@ -358,6 +358,24 @@ def test_vector_links_equal_brute_force(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vector_links_without_clusters_are_whole_on_request(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.9001 * x + np.sqrt(1 - 0.9001**2) * aside])
+    near = (both @ both.T >= 0.9) & ~np.eye(len(both), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    links = {p: {r.vec_id: r.n_links for r in vectors.near_duplicates(df, probes=p).collect()} for p in (1, None)}
+    assert [links[None][i] for i in range(len(both))] == near.sum(axis=1).tolist()
+    assert sum(links[1].values()) < sum(links[None].values())  # the choice of lists matters on such vectors
+    index = vectors.Index(both, 1500**2)
+    *_, sizes = index.encode(both[:100], None, np.sqrt(0.02))
+    assert index.lists == 1500 and sizes.mean() < 300  # lists behind the plane are left out
+
+
 def test_double_vectors_of_any_length(spark):
     rows = [(1, [1e300, 1e300]), (2, [1e300, 1.0001e300]), (3, [1e-60, 1e-60]), (4, [1.0, -1.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.01]),
             (7, [2.0]), (8, [5.0]), (9, [-1.0]), (10, []), (11, None), (12, [0.0, 0.0]), (13, [float("nan"), 1.0]), (14, [None, 1.0])]

@@ -21,8 +21,10 @@ LISTS = 4096
 PARTS = 8
 CODES = 256
 ROUNDS = 8
-#: Lists that each vector searches.
+#: Lists that each vector searches; None for every list that may hold a link.
 PROBES = 8
+#: Vectors that are compared with all centres at once.
+CODED = 1024
 #: Rows of a list, and of its queries, that one group holds.
 LIST_BLOCK = 1024
 QUERY_BLOCK = 2048
@@ -55,16 +57,28 @@ class Index:
         k = min(CODES, len(sample))
         self.books = [_means(rest[:, a:b], k, rng) if b > a else np.zeros((1, 0)) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes, distance from the decoded vector, and lists to search of each vector."""
+    def searched(self, score: np.ndarray, own: np.ndarray, probes: int | None, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The lists to search, joined, and their number for each vector.
+
+        Without `probes` a list is left out only if no vector within `reach` can lie in it: behind the plane halfway between
+        its centre and the vector's own, all points are nearer to the own centre.
+        """
+        if probes is not None:
+            m = min(probes, self.lists)
+            return np.argpartition(-score, m - 1, axis=1)[:, :m].ravel(), np.full(len(score), m)
+        square = (self.coarse * self.coarse).sum(axis=1)
+        between = np.sqrt(np.maximum(square[own][:, None] + square[None] - 2 * self.coarse[own] @ self.coarse.T, 0))
+        near = score[np.arange(len(own)), own][:, None] - score <= reach * between + 1e-6
+        return np.nonzero(near)[1], near.sum(axis=1)
+
+    def encode(self, x: np.ndarray, probes: int | None = PROBES, reach: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, distance from the decoded vector of each vector, the lists that each searches, joined, and their numbers."""
         score = x @ self.coarse.T - 0.5 * (self.coarse * self.coarse).sum(axis=1)
-        m = min(PROBES, self.lists)
-        probes = np.argpartition(-score, m - 1, axis=1)[:, :m]
         own = score.argmax(axis=1)
         rest = x - self.coarse[own]
         codes = np.stack([_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books)], axis=1).astype(np.uint8)
         back = np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1)
-        return own, codes, np.sqrt(((rest - back) ** 2).sum(axis=1)), probes
+        return own, codes, np.sqrt(((rest - back) ** 2).sum(axis=1)), *self.searched(score, own, probes, reach)
 
     def distances(self, queries: np.ndarray, lst: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to the coded members of a list, by tables of squared part distances."""
@@ -101,7 +115,8 @@ def _searched(file: Broadcast, dim: int, cosine: float):
         yid, xid = members.column("id").to_numpy(), asking.column("id").to_numpy()
         yw, xw = members.column("weight").to_numpy(), asking.column("weight").to_numpy()
         x_list = asking.column("own").to_numpy()
-        y_probes = np.asarray(members.column("probes").combine_chunks().flatten()).reshape(len(yid), -1)
+        y_probes = members.column("probes").combine_chunks()
+        y_searches = np.repeat(np.arange(len(yid)), y_probes.value_lengths().to_numpy()) * index.lists + y_probes.flatten().to_numpy()
         codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(yid), -1)
         err = members.column("err").to_numpy()
         xs, ys = [], []
@@ -117,7 +132,7 @@ def _searched(file: Broadcast, dim: int, cosine: float):
         i = np.concatenate(xs) if xs else np.zeros(0, np.int64)
         j = np.concatenate(ys) if ys else np.zeros(0, np.int64)
         count_x = np.bincount(i, yw[j], len(xid))
-        unseen = ~(y_probes[j] == x_list[i][:, None]).any(axis=1)  # the member does not search the query's list itself
+        unseen = ~np.isin(j * index.lists + x_list[i], y_searches)  # the member does not search the query's list itself
         count_y = np.bincount(j[unseen], xw[i[unseen]], len(yid))
         label_x, label_y, last = xid.copy(), yid.copy(), None
         while last is None or (label_x != last).any():
@@ -134,21 +149,21 @@ def _searched(file: Broadcast, dim: int, cosine: float):
     return run
 
 
-def _links(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
+def _links(classes: DataFrame, dim: int, n: int, cosine: float, probes: int | None) -> DataFrame:
     """(id, n, label): the links of the `n` representatives of length `dim`, as sums and labels by block."""
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
     index = Index(_unit(_vectors(sample.column("vector").combine_chunks(), dim)), n)
     file = classes.sparkSession.sparkContext.broadcast(index)  # LISTS + CODES vectors at most
+    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-9
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own, codes, err, probes = file.value.encode(_unit(_vectors(batch.column("vector"), dim)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * probes.shape[1]), pa.array(probes.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("weight"), batch.column("vector"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), lists],
-                    names=["id", "weight", "vector", "own", "codes", "err", "probes"],
-                )
+        for batch in (whole.slice(lo, CODED) for whole in batches for lo in range(0, whole.num_rows, CODED)):
+            own, codes, err, lists, sizes = file.value.encode(_unit(_vectors(batch.column("vector"), dim)), probes, reach)
+            searched = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(lists.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("weight"), batch.column("vector"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), searched],
+                names=["id", "weight", "vector", "own", "codes", "err", "probes"],
+            )
 
     coded = written(classes.select("id", "weight", "vector").mapInArrow(code, "id long, weight long, vector array<double>, own int, codes binary, err double, probes array<int>"), "coded")
     asked = coded.select("id", "weight", "vector", "own", F.explode("probes").alias("list"))
@@ -165,13 +180,14 @@ def _links(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
     return written(members.unionByName(queries).groupBy("list", "lb", "qb").applyInArrow(_searched(file, dim, cosine), "id long, n long, label long"), "links")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, probes: int | None = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; vectors with a cosine of `cosine` or more in double precision are linked.
 
     Vectors that are null, empty, all zero, or hold null or non-finite components link with nothing.  Vectors of different
     lengths never link; every length has an index of its own, one after the other, so lengths are expected to be few.  Equal vectors are one weighted representative, so copies count as links without being compared.
-    The index is fitted on up to SAMPLE vectors and holds all; every vector searches PROBES lists, and a pair
-    counts if either finds the other.  Look-ups rule pairs out by the triangle inequality with the member's own coding
+    The index is fitted on up to SAMPLE vectors and holds all; every vector searches `probes` lists, and a pair
+    counts if either finds the other; with `probes` None it searches every list that the plane halfway between two centres cannot
+    exclude, and no link is lost, at the price of more lists the less the vectors cluster.  Look-ups rule pairs out by the triangle inequality with the member's own coding
     error, so only the choice of lists can lose a link.  Large lists are cut into blocks; blocks return sums and one
     label for each vector, never pairs.  `key` holds unique longs; other columns are left out.
     """
@@ -183,7 +199,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     sizes = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()}  # one row for each length
     if not sizes:
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = reduce(DataFrame.unionByName, [_links(classes.where(F.size("vector") == dim), dim, n, cosine) for dim, n in sorted(sizes.items())])
+    found = reduce(DataFrame.unionByName, [_links(classes.where(F.size("vector") == dim), dim, n, cosine, probes) for dim, n in sorted(sizes.items())])
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("label").alias("a"), F.col("id").alias("b")))
     reps = classes.select("k1", "k2", "id", "weight").join(counts, "id", "left").join(groups, "id", "left")
