@@ -204,10 +204,10 @@ def csrf_token(pages: DataFrame) -> DataFrame:
         return F.get(F.filter("inputs", lambda e: F.contains(F.lower(e["name"]), F.lit(name.lower()))), 0)
 
     firsts = [meta(n) for n in CSRF_METAS] + [field(n) for n in CSRF_FIELDS]
-    best = F.get(F.filter(F.array(*firsts), lambda e: F.coalesce(e["token"], F.lit("")) != ""), 0)
-    return rows.select("page_id", best.alias("b")).filter("b is not null").select(
-        "page_id", F.col("b.name").alias("field"), "b.token"
-    )
+    found = F.filter(F.array(*firsts), lambda e: F.coalesce(e["token"], F.lit("")) != "")
+    # A generator, as a filter on the choice itself would be pushed down and read the page again for every name.
+    best = rows.select("page_id", F.inline_outer(F.slice(found, 1, 1)))
+    return best.filter("token is not null").select("page_id", F.col("name").alias("field"), "token")
 
 
 def listing_cards(pages: DataFrame, card: str = CARD, fields: dict[str, str] = CARD_FIELDS) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 NL = "chr(10)"
+ROWS_PER_TASK = 5000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +20,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 DERIVED: dict[str, tuple[str, str]] = {}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to tasks by their number: a file of short rows is one task, however much text is derived from each."""
+    return rows.repartition(-(-rows.count() // ROWS_PER_TASK) or 1)
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = DERIVED[name]
     literal = sql.replace("{", "{{").replace("}", "}}")  # braces of JSON texts are not parameters
-    return spark.sql(literal.replace(f"from {table}", f"from {{{table}}}"), **{table: read(spark, sf_dir, table)})
+    return spark.sql(literal.replace(f"from {table}", f"from {{{table}}}"), **{table: spread(read(spark, sf_dir, table))})
 
 
 def cte(*names: str) -> str:
