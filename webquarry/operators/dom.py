@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, LongType
 from webquarry.functions import patterns as P
 from webquarry.functions.markup import AROUND, CHILD, EARLIER, INSIDE, LATER, NEXT, PARENT, Position, Step, attr, css
 from webquarry.functions.text import decode_entities, find_all, js_trim, matches, sub
+from webquarry.operators.skew import laid_out, parts_of
 
 # Tags without content, and tags that end an open paragraph-like element.
 VOID_TAGS = "area base br col embed frame hr img input link meta param source track wbr".split()
@@ -48,7 +49,7 @@ def with_tokens(pages: DataFrame, partitioned: bool = False) -> DataFrame:
     """One row per token.  `partitioned=True` when `pages` is already laid out by page_id."""
     src = pages.select("page_id", "html")
     if not partitioned:
-        src = src.repartition("page_id")
+        src = laid_out(src, "page_id", parts_of(pages, "html"))
     parts = find_all(visible_source(F.col("html")), P.TOKEN)
     return src.select("page_id", F.posexplode(F.array_append(parts, F.lit(END))).alias("pos", "tok"))
 
@@ -101,14 +102,12 @@ def spans(tokens: DataFrame) -> DataFrame:
     here = F.struct(F.col("pos").alias("stop"), *[F.col(t).alias(f"{t}1") for t in TOTALS])
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     by_tag = W.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    levelled = tags.withColumn(
-        "level", F.sum(step).over(by_tag) + F.when(F.col("kind") == "close", 1).otherwise(0)
-    )
-    same_level = W.partitionBy("page_id", "tag", "level").orderBy("pos")
-    paired = levelled.withColumns({
-        "mate": F.lead(F.when(F.col("kind") == "close", here)).over(same_level),
-        "twin": F.lead(F.when(F.col("kind") == "open", here)).over(W.partitionBy("page_id", "tag").orderBy("pos")),
+    levelled = tags.withColumns({
+        "level": F.sum(step).over(by_tag) + F.when(F.col("kind") == "close", 1).otherwise(0),
+        "twin": F.lead(F.when(F.col("kind") == "open", here)).over(W.partitionBy("page_id", "tag").orderBy("pos")),  # in the same sort
     })
+    same_level = W.partitionBy("page_id", "tag", "level").orderBy("pos")
+    paired = levelled.withColumn("mate", F.lead(F.when(F.col("kind") == "close", here)).over(same_level))
     boundary = (F.col("kind").isin("open", "void") & F.col("tag").isin(BLOCK_TAGS)) | (
         (F.col("kind") == "close") & ~F.col("tag").isin(INLINE_TAGS)
     )
@@ -175,7 +174,7 @@ def with_page_text(els: DataFrame, pages: DataFrame, partitioned: bool = False)
     """Adds `text`.  A N:1 join on the page key; pages are exchanged the same way as for the tokens."""
     texts = pages.select("page_id", "html")
     if not partitioned:
-        texts = texts.repartition("page_id")
+        texts = laid_out(texts, "page_id", parts_of(pages, "html"))
     texts = texts.select("page_id", page_text(F.col("html")).alias("page_text"))
     return els.join(texts, "page_id").withColumn("text", content_text(F.col("page_text"))).drop("page_text")
 
@@ -197,18 +196,18 @@ def _enclosing(pos: pa.Array, last: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cuts]), pa.int32()), pa.array(out, pa.int64()))
 
 
-def with_parents(els: DataFrame) -> DataFrame:
+def with_parents(els: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds `parent`, the place of the innermost element around each, null at the top.
 
     Extents of broken pages may cross, so the parent is the latest element that is still open.  A page's elements become one
     row for that, where they already are; behind the Python step Spark no longer knows their layout, so they are exchanged
-    once more on page_id, for all windows that follow.
+    once more on page_id, for all windows that follow, in as many `parts` as the pages.
     """
     rest = [c for c in els.columns if c not in ("page_id", "pos")]
     pages = els.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[F.col(f"`{c}`") for c in rest]))).alias("e"))
     up = _enclosing(F.transform("e", lambda x: x["pos"].cast("long")), F.transform("e", lambda x: x["last"].cast("long")))
     rows = pages.withColumn("p", up).select("page_id", F.inline(F.arrays_zip("e", "p")))
-    return rows.select("page_id", "e.*", F.col("p").alias("parent")).repartition("page_id")
+    return laid_out(rows.select("page_id", "e.*", F.col("p").alias("parent")), "page_id", parts)
 
 
 def siblings() -> WindowSpec:
@@ -248,7 +247,7 @@ def _related(els: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
     return out
 
 
-def with_selectors(els: DataFrame, selectors: Mapping[str, str | tuple[Step, ...]]) -> DataFrame:
+def with_selectors(els: DataFrame, selectors: Mapping[str, str | tuple[Step, ...]], parts: int | None = None) -> DataFrame:
     """Adds one boolean column per selector (text, or steps of a path).
 
     Each attribute is read from the tag once, however many selectors ask for it.  Steps are decided from the left to the
@@ -265,7 +264,7 @@ def with_selectors(els: DataFrame, selectors: Mapping[str, str | tuple[Step, ...
     places: dict[tuple[Step, int], tuple[Column, Column]] = {}
     extra = []
     if any(s.structural() for s in steps):
-        out = with_parents(out)
+        out = with_parents(out, parts)
         kinds = {t.of for s in steps for t in s.tests if isinstance(t, Position) and t.of != "match"}
         out = with_places(out, kinds)
         extra = ["parent", *[f"{k}_{way}" for k in kinds for way in ("nth", "last")]]
@@ -311,7 +310,7 @@ def select_elements(
     """
     if els is None:  # what selectors do not read is not computed, and not carried where pages become one row
         els = elements(pages).select("page_id", "pos", "tag", "kind", "tok", "last", "raw0", "raw1", "els0", "els1")
-    hits = with_selectors(els, {f"hit_{i}": sel for i, (sel, _) in enumerate(selectors.values())})
+    hits = with_selectors(els, {f"hit_{i}": sel for i, (sel, _) in enumerate(selectors.values())}, parts_of(pages, "html"))
     wanted = F.array_compact(F.array(*[
         F.when(
             F.col(f"hit_{i}"),

@@ -16,6 +16,7 @@ from webquarry.functions import patterns as P
 from webquarry.functions import text as T
 from webquarry.functions.markup import attr
 from webquarry.operators import dom
+from webquarry.operators.skew import laid_out, parts_of
 
 # What counts as noise on a page.
 NOISE_SELECTORS = (
@@ -138,7 +139,7 @@ def main_content(pages: DataFrame, denoise: bool = True) -> DataFrame:
     First selector whose first element holds at least 200 characters, else the body
     under the same rule, else nulls.
     """
-    clean = drop_noise(pages).select("page_id", "html") if denoise else pages.select("page_id", "html").repartition("page_id")
+    clean = drop_noise(pages).select("page_id", "html") if denoise else laid_out(pages.select("page_id", "html"), "page_id", parts_of(pages, "html"))
     ranked = [*MAIN_SELECTORS, "body"]
     els = dom.with_selectors(dom.elements(clean, partitioned=True), {f"c{i}": sel for i, sel in enumerate(ranked)})
     # The element that answers each selector, all in one aggregate.
@@ -382,7 +383,7 @@ def page_pipeline(
     if clean_html:
         staged = drop_noise(base).select("page_id", sanitize_html(F.col("html")).alias("clean_html"))
     else:
-        staged = base.repartition("page_id").select("page_id", F.col("html").alias("clean_html"))
+        staged = laid_out(base, "page_id", parts_of(base, "html")).select("page_id", F.col("html").alias("clean_html"))
     out = staged
     if markdown:
         md = html_to_markdown(staged.withColumnRenamed("clean_html", "html"), partitioned=True)
@@ -390,7 +391,7 @@ def page_pipeline(
     else:
         out = out.withColumn("markdown", F.lit(None).cast("string"))
     if text:
-        texts = base.repartition("page_id").select(
+        texts = laid_out(base, "page_id", parts_of(base, "html")).select(
             "page_id",
             T.clean_text(structured_text(F.col("html")), max_length=max_length).alias("text"),
             T.strip_tags_only(F.col("html")).alias("plain"),
@@ -431,7 +432,7 @@ def checked_pipeline(
         found = [F.when(F.col("html").isNull(), F.lit("no page"))] + [F.when(holds, F.lit(name)) for name, holds in checks.get(stage, {}).items()]
         return F.coalesce(*found)
 
-    base = pages.select("page_id", "html").repartition("page_id").withColumn("html_error", cause("html"))
+    base = laid_out(pages.select("page_id", "html"), "page_id", parts_of(pages, "html")).withColumn("html_error", cause("html"))
     clean = drop_noise(base.filter("html_error IS NULL").select("page_id", "html"), partitioned=True)
     clean = clean.select("page_id", sanitize_html(F.col("html")).alias("clean_html"))
     staged = base.join(clean, "page_id", "left").withColumn("clean_html", F.when(F.col("html_error").isNull(), F.coalesce("clean_html", F.lit(""))))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
-from webquarry.operators.skew import ranked, salted_lookup
+from webquarry.operators.skew import laid_out, parts_of, ranked, salted_lookup
 from webquarry.operators.stems import stems, with_stems
 
 # English function words that are no terms.
@@ -68,7 +68,7 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     The texts are exchanged on the key; grouping by (key, term) and the total per key
     both follow that layout and need no further exchange.
     """
-    rows = docs.select(key, text).repartition(key)
+    rows = laid_out(docs.select(key, text), key, parts_of(docs, text))
     rows = rows.select(key, term_array(F.col(text)).alias("ts")).select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
     counted = rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.first("len").alias("len"))
     return counted.select(key, "term", "n", (F.col("n") / F.col("len")).alias("tf"))
@@ -158,7 +158,7 @@ def segment_similarity(docs: DataFrame, idf: DataFrame, task: str, key: str = "d
     Sentences without a task term leave before their terms are exploded; with stems they leave behind the look-up.
     """
     wanted = list(task_stems(docs, task) if stemmed else task_terms(task))
-    rows = docs.select(key, text).repartition(key)
+    rows = laid_out(docs.select(key, text), key, parts_of(docs, text))
     rows = segment_rows(rows, key, text).select(key, "segment", term_array(F.col("sentence")).alias("ts"))
     if not stemmed:
         rows = rows.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False))

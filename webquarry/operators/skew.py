@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,26 @@ from pyspark.sql import Window as W
 from webquarry.session import cut_lineage
 
 SALTS = 16
+PART_BYTES = 8 * 1024 * 1024
+_parts: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def parts_of(rows: DataFrame, text: str) -> int | None:
+    """Tasks for texts that are taken apart: one for every PART_BYTES, as their pieces are many times as large and are sorted.
+
+    Left to Spark, tasks are as large as the texts are compressed.  The sizes are summed once per frame; a stream has none.
+    """
+    if rows.isStreaming:
+        return None
+    if rows not in _parts:
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        _parts[rows] = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return _parts[rows]
+
+
+def laid_out(rows: DataFrame, by: str, parts: int | None) -> DataFrame:
+    """`rows` exchanged on `by`, in so many parts if given."""
+    return rows.repartition(parts, by) if parts else rows.repartition(by)
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, on: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
