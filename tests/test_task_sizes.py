@@ -1,7 +1,9 @@
 """Work per task stays bounded: pages are read once, derived rows are dealt out, texts are laid out by their size."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from webquarry.functions import markup
 from webquarry.operators import dom, relevance, skew, structured
 from webquarry.plans import derived
 
@@ -35,3 +37,20 @@ def test_texts_are_laid_out_by_size(spark, monkeypatch, kind):
         assert text.count(", 34), REPARTITION_BY_NUM") == text.count("Exchange hashpartitioning") == 3
     else:
         assert ", 36), REPARTITION_BY_NUM" in plan(relevance.term_frequencies(pages))
+
+
+@pytest.mark.parametrize("name", ["microdata", "listing_cards"])
+def test_elements_are_found_once(spark, name):
+    """What is read several times is written first: no token is taken apart in the rest of the plan."""
+    html = '<div itemscope itemtype="T" data-asin="A"><h2><a href="/dp/1"><span itemprop="n">x</span></a></h2><p itemprop="m" itemscope><b itemprop="k">y</b></p></div>'
+    found = getattr(structured, name)(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert "posexplode(" not in plan(found)
+    assert found.count() == (4 if name == "microdata" else 1)
+
+
+@pytest.mark.parametrize("tok,name,value,present", [
+    ("<a HREF='x'>", "href", "x", True), ("<a b=href>", "href", None, False), ("<a href>", "href", None, True), ("<a>", "href", None, False), (None, "href", None, None),
+])
+def test_attributes_without_the_pattern(spark, tok, name, value, present):
+    rows = spark.createDataFrame([(tok,)], "tok string")
+    assert tuple(rows.select(markup.attr(F.col("tok"), name), markup.has_attr(F.col("tok"), name)).first()) == (value, present)

@@ -12,15 +12,20 @@ from webquarry.functions import patterns as P
 from webquarry.functions.text import decode_entities, find_all, matches, sub
 
 
+def _named(tok: Column, name: str) -> Column:
+    """Does the tag hold the name at all?  Most do not, and a plain search costs less than the pattern."""
+    return F.contains(F.lower(tok), F.lit(name.lower()))
+
+
 def attr(tok: Column, name: str, decode: bool = True) -> Column:
     """Attribute value, null when the attribute is absent or has no value."""
-    quoted = F.regexp_extract(tok, P.attr_pattern(re.escape(name)), 1)
+    quoted = F.when(_named(tok, name), F.regexp_extract(tok, P.attr_pattern(re.escape(name)), 1))
     bare = F.when(matches(quoted, r"""^["']"""), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
     return F.when(quoted != "", decode_entities(bare) if decode else bare)
 
 
 def has_attr(tok: Column, name: str) -> Column:
-    return matches(tok, P.attr_present(re.escape(name)))
+    return _named(tok, name) & matches(tok, P.attr_present(re.escape(name)))
 
 
 def attr_map(tok: Column) -> Column:

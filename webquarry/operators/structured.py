@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from webquarry.functions import text as T
 from webquarry.functions.markup import attr, has_attr
 from webquarry.operators import dom
+from webquarry.session import cut_lineage
 
 # Names of anti-forgery form fields and meta tags.
 CSRF_FIELDS = (
@@ -114,12 +115,14 @@ def microdata(pages: DataFrame) -> DataFrame:
         "scope": has_attr(tok, "itemscope"), "prop": F.nullif(attr(tok, "itemprop"), F.lit("")),
         "item_type": F.nullif(attr(tok, "itemtype"), F.lit("")),
     })
+    given = F.coalesce(*[F.nullif(attr(tok, n), F.lit("")) for n in ("datetime", "href", "src")])
+    # Both tables are read several times below; written once, the elements of a page are found once.
+    els = els.filter(F.col("scope") | F.col("prop").isNotNull())
+    els = cut_lineage(els.select("page_id", "pos", "stop", "raw0", "raw1", "scope", "prop", "item_type", given.alias("given")))
     props = owners(els, F.col("scope"), F.col("prop").isNotNull())
     props = dom.with_page_text(props, pages)
-    value = F.coalesce(
-        *[F.nullif(attr(tok, n), F.lit("")) for n in ("datetime", "href", "src")], T.js_trim(F.col("text"))
-    )
-    props = props.select("page_id", "owner", "pos", "prop", "scope", "item_type", value.alias("value"))
+    value = F.coalesce("given", T.js_trim(F.col("text")))
+    props = cut_lineage(props.select("page_id", "owner", "pos", "prop", "scope", "item_type", value.alias("value")))
     # Plain properties of each item, later ones winning, as a map: the body of nested items.
     plain = F.array_sort(F.collect_list(F.when(~F.col("scope"), F.struct("pos", "prop", "value"))))
     bodies = props.groupBy("page_id", F.col("owner").alias("pos")).agg(plain.alias("ps")).select(
@@ -217,6 +220,9 @@ def listing_cards(pages: DataFrame, card: str = CARD, fields: dict[str, str] = C
     any_field = F.lit(False)
     for n in fields:
         any_field = any_field | F.col(f"f_{n}")
+    # Read twice below; written once, the elements of a page are found once.
+    els = els.filter(is_card | any_field).select("page_id", "pos", "stop", "raw0", "raw1", "tok", "is_card", *[f"f_{n}" for n in fields])
+    els = cut_lineage(els)
     parts = dom.with_page_text(owners(els, is_card, any_field), pages)
     tok = F.col("tok")
 
