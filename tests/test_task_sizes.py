@@ -1,10 +1,12 @@
 """Work per task stays bounded: pages are read once, derived rows are dealt out, texts are laid out by their size."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from webquarry.functions import markup
-from webquarry.operators import dom, relevance, skew, structured
+from webquarry.operators import dom, relevance, skew, stems, structured
 from webquarry.plans import derived
 
 
@@ -54,3 +56,42 @@ def test_elements_are_found_once(spark, name):
 def test_attributes_without_the_pattern(spark, tok, name, value, present):
     rows = spark.createDataFrame([(tok,)], "tok string")
     assert tuple(rows.select(markup.attr(F.col("tok"), name), markup.has_attr(F.col("tok"), name)).first()) == (value, present)
+
+
+@pytest.mark.parametrize("kind", ["tfidf", "stemmed"])
+def test_term_lookups_are_laid_out_by_size(spark, monkeypatch, kind):
+    """Joins and groups behind the texts have as many tasks as the texts, whatever the session's width."""
+    monkeypatch.setattr(skew, "PART_BYTES", 1000)
+    docs = spark.range(100).selectExpr("id as doc_id", "concat(repeat('lamps lamp ', 32), 'word', id) as text")
+    parts = relevance.parts_of(docs, "text")
+    assert parts > 30
+    shown = plan(relevance.tfidf(docs, stemmed=kind == "stemmed"))
+    assert len(re.findall(rf"hashpartitioning\(term#\d+, __salt#\d+, {parts}\)", shown)) >= (4 if kind == "stemmed" else 2)
+    if kind == "stemmed":
+        assert len(re.findall(rf"hashpartitioning\(doc_id#\d+L, {parts}\)", shown)) >= 2
+    assert relevance.tfidf(docs, stemmed=kind == "stemmed").count() == (200 if kind == "stemmed" else 300)
+
+
+@pytest.mark.parametrize("parts", [None, 8])
+def test_only_hot_keys_of_a_counted_lookup_are_repeated(spark, parts):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(900)] + [(None, -1)], "term string, id int")
+    counts = rows.where("term is not null").groupBy("term").agg(F.count("*").alias("c"), F.max("id").alias("v"))
+    got = skew.salted_lookup(rows, counts, "term", "id", "left", count="c", parts=parts)
+    assert got.columns == ["term", "id", "v"]
+    assert {tuple(r) for r in got.collect()} == {("hot", i, 899) if i % 3 else (f"k{i}", i, i) for i in range(900)} | {(None, -1, None)}
+    assert got.count() == 901 and "Generate explode" in plan(got)
+    assert "sequence(0, 15" not in plan(got)  # not every key 16 times
+
+
+def test_sentences_without_a_stem_of_the_task_leave_before_the_lookup(spark):
+    docs = spark.createDataFrame([(1, "Connected lamps. Red chairs stand there! Connecting connection lamps?"), (2, "Chairs and tables."), (3, None)], "doc_id long, text string")
+    tf = relevance.term_frequencies(docs)
+    known = stems.counted_stems(relevance.tokens(docs))
+    idf = relevance.inverse_frequencies(relevance.stemmed_frequencies(tf, known=known), docs)
+    found = relevance.segment_similarity(docs, idf, "connects", stemmed=True)
+    assert "posexplode(" not in plan(found)  # the sentences were written
+    rows = sorted((r.doc_id, r.segment, round(r.similarity, 6)) for r in found.collect())
+    assert [r[:2] for r in rows] == [(1, 0), (1, 2)] and rows[0][2] < rows[1][2]
+    again = relevance.segment_similarity(docs, idf, "connects", stemmed=True, known=known)
+    assert sorted((r.doc_id, r.segment, round(r.similarity, 6)) for r in again.collect()) == rows
+    assert relevance.segment_similarity(docs, idf, "sofas", stemmed=True).count() == 0

@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
-from webquarry.operators.skew import laid_out, parts_of, ranked, salted_lookup
+from webquarry.operators.skew import in_parts, known_parts, laid_out, parts_of, ranked, salted_lookup
 from webquarry.operators.stems import stems, with_stems
+from webquarry.session import cut_lineage
 
 # English function words that are no terms.
 STOPWORDS = (
@@ -44,7 +45,7 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def stemmed_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, term: the stems of `tokens`."""
-    return with_stems(tokens(docs, key, text), key).select(key, "pos", F.col("stem").alias("term"))
+    return with_stems(tokens(docs, key, text), key, parts=parts_of(docs, text)).select(key, "pos", F.col("stem").alias("term"))
 
 
 def vocabulary(terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,16 +69,22 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     The texts are exchanged on the key; grouping by (key, term) and the total per key
     both follow that layout and need no further exchange.
     """
-    rows = laid_out(docs.select(key, text), key, parts_of(docs, text))
+    parts = parts_of(docs, text)
+    rows = laid_out(docs.select(key, text), key, parts)
     rows = rows.select(key, term_array(F.col(text)).alias("ts")).select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
     counted = rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.first("len").alias("len"))
-    return counted.select(key, "term", "n", (F.col("n") / F.col("len")).alias("tf"))
+    return in_parts(counted.select(key, "term", "n", (F.col("n") / F.col("len")).alias("tf")), parts)
 
 
-def stemmed_frequencies(tf: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, n, tf of `term_frequencies`, where terms with one stem are one term."""
-    found = with_stems(tf, key).groupBy(key, F.col("stem").alias("term"))
-    return found.agg(F.sum("n").alias("n"), F.sum("tf").alias("tf"))
+def stemmed_frequencies(tf: DataFrame, key: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
+    """key, term, n, tf of `term_frequencies`, where terms with one stem are one term.
+
+    `known`: `counted_stems` of these terms, where they are at hand.
+    """
+    parts = known_parts(tf)
+    found = with_stems(tf, key, parts=parts, known=known)
+    found = (laid_out(found, key, parts) if parts else found).groupBy(key, F.col("stem").alias("term"))
+    return in_parts(found.agg(F.sum("n").alias("n"), F.sum("tf").alias("tf")), parts)
 
 
 def inverse_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
@@ -88,8 +95,8 @@ def inverse_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_idf(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """Every row gets the idf of its term.  A term found in a third of all rows is spread over many tasks."""
-    return salted_lookup(tf, idf.select("term", "idf"), "term", key)
+    """Every row gets the idf of its term.  A term found in a third of all rows, by its df, is spread over many tasks."""
+    return salted_lookup(tf, idf.select("term", "idf", "df"), "term", key, count="df", parts=known_parts(tf))
 
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
@@ -152,32 +159,42 @@ def segment_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("segment", "sentence"))
 
 
-def segment_similarity(docs: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> DataFrame:
+def stem_forms(terms: DataFrame, wanted: list[str]) -> list[str]:
+    """The distinct terms that have one of a task's stems: as few as the suffixes allow."""
+    return [r["term"] for r in terms.filter(F.col("stem").isin(wanted)).select("term").collect()]
+
+
+def segment_similarity(
+    docs: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", text: str = "text", stemmed: bool = False, known: DataFrame | None = None
+) -> DataFrame:
     """key, segment, similarity of the sentences that share a term with the task (all others have 0).
 
-    Sentences without a task term leave before their terms are exploded; with stems they leave behind the look-up.
+    Sentences without a task term leave before their terms are exploded; with stems, those without a term that has a stem of
+    the task.  The others and the idf are read several times, so they are written first.  `known`: the stems of all terms of `docs`, where they are at hand.
     """
     wanted = list(task_stems(docs, task) if stemmed else task_terms(task))
-    rows = laid_out(docs.select(key, text), key, parts_of(docs, text))
+    if stemmed:
+        wanted = stem_forms(stems(tokens(docs, key, text)) if known is None else known, wanted)
+    parts = parts_of(docs, text)
+    rows = laid_out(docs.select(key, text), key, parts)
     rows = segment_rows(rows, key, text).select(key, "segment", term_array(F.col("sentence")).alias("ts"))
-    if not stemmed:
-        rows = rows.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False))
-    rows = rows.select(key, "segment", F.size("ts").alias("len"), F.explode("ts").alias("term"))
+    rows = cut_lineage(rows.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False)))
+    idf = cut_lineage(idf.select("term", "df", "idf"))
+    rows = laid_out(rows, key, parts).select(key, "segment", F.size("ts").alias("len"), F.explode("ts").alias("term"))
     if stemmed:
-        rows = with_stems(rows, key).select(key, "segment", "len", F.col("stem").alias("term"))
-        near = rows.filter(F.col("term").isin(wanted)).select(key, "segment").distinct()
-        rows = rows.join(near, [key, "segment"], "left_semi")
-    tf = rows.groupBy(key, "segment", "term").agg((F.count("*") / F.first("len")).alias("tf"))
-    weights = with_idf(tf, idf, key).withColumn("weight", F.col("tf") * F.col("idf"))
+        rows = laid_out(with_stems(rows, key, parts=parts).select(key, "segment", "len", F.col("stem").alias("term")), key, parts)
+    tf = in_parts(rows.groupBy(key, "segment", "term").agg((F.count("*") / F.first("len")).alias("tf")), parts)
+    here = tf.groupBy("term").agg(F.count("*").alias("df"))  # the task's terms are in all these sentences, so it is not the df of the corpus that tells which are spread
+    weights = with_idf(tf, here.join(idf.drop("df"), "term"), key).withColumn("weight", F.col("tf") * F.col("idf"))
     return cosine_query(weights, idf, task, [key, "segment"], stemmed)
 
 
 def top_segments(
     docs: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", text: str = "text",
-    threshold: float = THRESHOLD, top: int = TOP_SEGMENTS, stemmed: bool = False,
+    threshold: float = THRESHOLD, top: int = TOP_SEGMENTS, stemmed: bool = False, known: DataFrame | None = None,
 ) -> DataFrame:
     """key, segment, similarity, rank: the best sentences of each document at or above the threshold."""
-    scored = segment_similarity(docs, idf, task, key, text, stemmed).filter(F.col("similarity") >= threshold)
+    scored = segment_similarity(docs, idf, task, key, text, stemmed, known).filter(F.col("similarity") >= threshold)
     order = W.partitionBy(key).orderBy(F.desc(F.round("similarity", 12)), "segment")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
 
@@ -196,7 +213,7 @@ def relevant_entities(
         found = E.pattern_entities(docs, key, F.col(text), F.lit(0.5))
         return found.withColumnRenamed(key, "page_id").withColumn("method", F.lit("pattern_matching"))
     tf = term_frequencies(docs, key, text)
-    idf = inverse_frequencies(tf, docs)
+    idf = cut_lineage(inverse_frequencies(tf, docs))  # read several times
     weights = with_idf(tf, idf, key).withColumn("weight", F.col("tf") * F.col("idf"))
     sims = cosine_query(weights, idf, task, key)
     scored = docs.select(key, text).join(sims, key, "left").na.fill({"similarity": 0.0})

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from webquarry.session import cut_lineage
 
 SALTS = 16
+LOOKUP_PARTS = 200
 PART_BYTES = 8 * 1024 * 1024
 _parts: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
@@ -29,19 +30,42 @@ def parts_of(rows: DataFrame, text: str) -> int | None:
     return _parts[rows]
 
 
+def in_parts(rows: DataFrame, parts: int | None) -> DataFrame:
+    """`rows`, of which `known_parts` says from now on how many tasks they are for."""
+    if parts:
+        _parts[rows] = parts
+    return rows
+
+
+def known_parts(rows: DataFrame) -> int | None:
+    return _parts.get(rows)
+
+
 def laid_out(rows: DataFrame, by: str, parts: int | None) -> DataFrame:
     """`rows` exchanged on `by`, in so many parts if given."""
     return rows.repartition(parts, by) if parts else rows.repartition(by)
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, on: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """`rows` with the columns of `lookup` (one row per `on`).
+def salted_lookup(
+    rows: DataFrame, lookup: DataFrame, on: str, by: str, how: str = "inner", salts: int = SALTS, count: str | None = None, parts: int | None = None
+) -> DataFrame:
+    """`rows` with the columns of `lookup` (one row per `on`), exchanged into so many `parts` if given.
 
     Rows of one key are spread over `salts` tasks by a hash of `by`; the lookup is
-    repeated once per salt.
+    repeated once per salt.  Where its column `count`, which is left out, holds how many rows a key has,
+    only keys of more rows than an average part are spread, over as many tasks as they fill parts: these keys are fewer than the parts.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if count is None:
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+        copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    else:
+        fills = F.ceil(F.col(count) * (parts or LOOKUP_PARTS) / lookup.agg(F.sum(count)).scalar())
+        sized = lookup.withColumn("__salts", F.greatest(fills, F.lit(1)).cast("int")).drop(count)
+        hot = F.broadcast(sized.filter(F.col("__salts") > 1).select(on, "__salts"))
+        salted = rows.join(hot, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+        copies = sized.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    if parts:
+        salted, copies = salted.repartition(parts, on, "__salt"), copies.repartition(parts, on, "__salt")
     return salted.join(copies, [on, "__salt"], how).drop("__salt")
 
 

@@ -66,8 +66,13 @@ def stems(terms: DataFrame, term: str = "term") -> DataFrame:
     Terms are in lower case; characters that are no letters count as consonants, and terms of up to two characters are
     their own stems.  A null term is left out.
     """
+    return counted_stems(terms, term).select("term", "stem")
+
+
+def counted_stems(terms: DataFrame, term: str = "term") -> DataFrame:
+    """term, stem, term_rows: `stems` with the number of rows of each term."""
     w, stem, suffix = F.col("w"), F.col("stem"), F.col("suffix")
-    words = terms.select(F.col(term).alias("term")).where("term IS NOT NULL").distinct()
+    words = terms.select(F.col(term).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("term_rows"))
     words = words.withColumn("w", F.regexp_replace(F.regexp_replace("term", "(^|[aeiou])y", "$1Y"), "yy", "yY"))
     words = _step(words, PLURALS, F.lit(True))
     words = _cut(words, ENDINGS)
@@ -90,9 +95,12 @@ def stems(terms: DataFrame, term: str = "term") -> DataFrame:
     stem = F.when(F.length("term") > 2, F.lower("w")).otherwise(F.col("term"))
     # One row a term, already laid out by it: the aggregate moves nothing, and keeps filters of later joins from being pushed into the
     # steps, where each would repeat the steps before it.
-    return words.groupBy("term").agg(F.first(stem).alias("stem"))
+    return words.groupBy("term").agg(F.first(stem).alias("stem"), F.first("term_rows").alias("term_rows"))
 
 
-def with_stems(rows: DataFrame, by: str, term: str = "term") -> DataFrame:
-    """`rows` with the stem of their term, worked out once for every distinct term; a term of a third of all rows is spread by `by`."""
-    return salted_lookup(rows, stems(rows, term), term, by)
+def with_stems(rows: DataFrame, by: str, term: str = "term", parts: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """`rows` with the stem of their term, worked out once for every distinct term; a term of a third of all rows is spread by `by`.
+
+    `known`: `counted_stems` of these terms, where they are at hand; its counts only tell which terms are spread.
+    """
+    return salted_lookup(rows, counted_stems(rows, term) if known is None else known, term, by, count="term_rows", parts=parts)

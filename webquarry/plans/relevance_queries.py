@@ -12,6 +12,7 @@ from webquarry.operators import stems as S
 from webquarry.oracles import sql as O
 from webquarry.plans.derived import read
 from webquarry.plans.entity_queries import flat, pat_cte, plain
+from webquarry.session import cut_lineage
 
 TASK = "What about tion, ing or erst?"
 STEM_TASK = "What about tioning, ings or ersts?"
@@ -78,8 +79,10 @@ def q_stemmed_cosine(spark, sf):
 
 def q_stemmed_segments(spark, sf):
     d = docs(spark, sf)
-    idf = R.inverse_frequencies(R.stemmed_frequencies(R.term_frequencies(d)), d)
-    out = R.top_segments(d, idf, STEM_TASK, stemmed=True)
+    tf = R.term_frequencies(d)
+    known = cut_lineage(S.counted_stems(R.tokens(d)))
+    idf = R.inverse_frequencies(R.stemmed_frequencies(tf, known=known), d)
+    out = R.top_segments(d, idf, STEM_TASK, stemmed=True, known=known)
     return out.select("doc_id", F.col("segment").cast("long").alias("segment"), F.round("similarity", 9).alias("similarity"), "rank")
 
 
