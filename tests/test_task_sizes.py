@@ -95,3 +95,33 @@ def test_sentences_without_a_stem_of_the_task_leave_before_the_lookup(spark):
     again = relevance.segment_similarity(docs, idf, "connects", stemmed=True, known=known)
     assert sorted((r.doc_id, r.segment, round(r.similarity, 6)) for r in again.collect()) == rows
     assert relevance.segment_similarity(docs, idf, "sofas", stemmed=True).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_segments_of_relevant_entities_stay_with_their_texts(spark, monkeypatch, broadcast):
+    """Sentences do not travel: they are cut and deduplicated where their text is, in as many tasks as the texts fill."""
+    monkeypatch.setattr(skew, "PART_BYTES", 1000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        chairs = "concat('Chairs stand there. ', repeat(concat('Sofas of house', id, ' wait! '), 20), case when id % 10 = 2 then concat('Blue lamp costs $', id, ' today.') else '' end)"
+        docs = spark.range(100).selectExpr("id as doc_id", f"case when id % 10 = 1 then concat('Blue lamp $', id) when id != 7 then {chairs} end as text")
+        parts = relevance.parts_of(docs, "text")
+        assert parts > 30
+        found = relevance.relevant_entities(docs, "blue lamp", threshold=0.3)
+        shown = plan(found)
+        assert "hashpartitioning(page_id" not in shown and not re.search(r"Join \[doc_id#\d+L, segment", shown)
+        assert len(re.findall(rf"hashpartitioning\(doc_id#\d+L, {parts}\), REPARTITION_BY_NUM", shown)) >= 4
+        got = sorted((r.page_id, r.method, r.data["price"]) for r in found.filter("type = 'pricing'").collect())
+        assert got == [(i, "full_content" if i % 10 == 1 else "segments", f"${i}") for i in range(100) if i % 10 in (1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_best_segments_of_a_key_that_comes_twice(spark):
+    """A segment is picked from every text of the key that is long enough."""
+    rows = [(1, "Red chairs stand here today. Blue lamp costs $3 now."), (1, "Sofas and tables wait outside."), (1, "Green carpets lie flat. Grey walls cost $9 more."), (None, "Blue lamp $4."), (3, None)]
+    rows += [(i, "Doors open slowly.") for i in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = relevance.relevant_entities(docs, "blue lamp", threshold=0.4)
+    assert sorted((r.page_id, r.method, r.data["price"]) for r in found.filter("type = 'pricing'").collect()) == [(1, "segments", "$3"), (1, "segments", "$9")]

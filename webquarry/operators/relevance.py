@@ -208,23 +208,30 @@ def relevant_entities(
     No task words: pattern entities with confidence 0.5.  Document similar to the
     task: entities of the whole text, confidence = similarity.  Otherwise entities of
     the best segments, first occurrence kept, `cap` per document.
+
+    Texts are exchanged raw, on their key, in as many tasks as they fill; similarities and the best segments come to them,
+    so sentences are cut, scanned and deduplicated where their text is.
     """
     if not task or not task_terms(task):
         found = E.pattern_entities(docs, key, F.col(text), F.lit(0.5))
         return found.withColumnRenamed(key, "page_id").withColumn("method", F.lit("pattern_matching"))
+    parts = parts_of(docs, text)
     tf = term_frequencies(docs, key, text)
     idf = cut_lineage(inverse_frequencies(tf, docs))  # read several times
     weights = with_idf(tf, idf, key).withColumn("weight", F.col("tf") * F.col("idf"))
-    sims = cosine_query(weights, idf, task, key)
-    scored = docs.select(key, text).join(sims, key, "left").na.fill({"similarity": 0.0})
+    sims = cut_lineage(cosine_query(weights, idf, task, key))  # a number for each document, read several times
+    scored = laid_out(docs.select(key, text), key, parts).join(laid_out(sims, key, parts), key, "left").na.fill({"similarity": 0.0})
     whole = E.pattern_entities(scored.filter(F.col("similarity") >= threshold), key, F.col(text), F.col("similarity"))
-    rest = scored.filter(F.col("similarity") < threshold)
+    rest = in_parts(scored.filter(F.col("similarity") < threshold), parts)
     best = top_segments(rest, idf, task, key, text, threshold)
-    picked = segment_rows(rest, key, text).join(best, [key, "segment"])
-    parts = E.pattern_entities(picked, key, F.col("sentence"), F.col("similarity"), order=F.col("rank"))
-    parts = E.dedup_entities(parts.withColumnRenamed(key, "page_id"), cap)
+    best = best.groupBy(key).agg(F.collect_list(F.struct("segment", "similarity", "rank")).alias("best"))  # TOP_SEGMENTS at most
+    cut = rest.select(key, text).join(laid_out(best, key, parts), key).select(key, T.sentences(F.col(text)).alias("sentences"), "best")
+    picked = cut.select(key, "sentences", F.explode("best").alias("b")).select(key, F.get("sentences", F.col("b.segment")).alias("sentence"), "b.similarity", "b.rank")
+    picked = picked.filter(F.col("sentence").isNotNull())  # a key that comes twice has texts of several lengths
+    pieces = E.pattern_entities(picked, key, F.col("sentence"), F.col("similarity"), order=F.col("rank"))
+    pieces = E.dedup_entities(pieces.withColumnRenamed(key, "page_id"), cap)
     whole = whole.withColumnRenamed(key, "page_id")
-    return whole.withColumn("method", F.lit("full_content")).unionByName(parts.withColumn("method", F.lit("segments")))
+    return whole.withColumn("method", F.lit("full_content")).unionByName(pieces.withColumn("method", F.lit("segments")))
 
 
 # ---- dense vectors ------------------------------------------------------------------------
