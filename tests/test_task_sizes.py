@@ -1,5 +1,6 @@
 """Work per task stays bounded: pages are read once, derived rows are dealt out, texts are laid out by their size."""
 
+import math
 import re
 
 import pytest
@@ -125,3 +126,56 @@ def test_best_segments_of_a_key_that_comes_twice(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = relevance.relevant_entities(docs, "blue lamp", threshold=0.4)
     assert sorted((r.page_id, r.method, r.data["price"]) for r in found.filter("type = 'pricing'").collect()) == [(1, "segments", "$3"), (1, "segments", "$9")]
+
+
+@pytest.mark.parametrize("cosine", [False])
+def test_rows_of_stems_stay_with_their_texts(spark, monkeypatch, cosine):
+    """Texts travel once; behind them only one row for each term of a part, there and back."""
+    monkeypatch.setattr(skew, "PART_BYTES", 1000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(1000).selectExpr("id as doc_id", "concat('connected lamps lamp connecting word', id % 20, if(id % 2 = 0, ' chairs', '')) as text")
+        parts = relevance.parts_of(docs, "text")
+        assert parts > 30
+        if cosine:
+            tf = relevance.stemmed_frequencies(relevance.term_frequencies(docs))
+            idf = relevance.inverse_frequencies(tf, docs)
+            weights = relevance.with_idf(tf, idf, "doc_id").withColumn("weight", F.col("tf") * F.col("idf"))
+            found = relevance.cosine_query(weights, idf, "chairs", stemmed=True)
+        else:
+            found = relevance.tfidf(docs, stemmed=True)
+        shown = plan(found)
+        assert "__salt" not in shown
+        dealt = re.findall(r"Exchange (\w+)\(.*REPARTITION_BY_NUM", shown)
+        assert dealt.count("hashpartitioning") == 1 + cosine  # the terms, again for the length of the task
+        assert dealt.count("shufflepartitionidpassthrough") == 3 + cosine  # the texts for each reader, the idf
+        assert len(re.findall(rf", {parts}\), REPARTITION_BY_NUM", shown)) == 4 + 2 * cosine
+        rows = found.collect()
+        made = plan(found)
+        assert not cosine or re.search(r"ReusedExchange \[__part#\d+, term#\d+, n#\d+L\]", made)
+        if cosine:
+            assert {r.doc_id: r.similarity > 0 for r in rows} == {i: i % 2 == 0 for i in range(1000)}
+        else:
+            assert len(rows) == 3500 and {r.term for r in rows} == {"connect", "lamp", "chair"} | {f"word{i}" for i in range(20)}
+            assert {round(r.idf, 9) for r in rows if r.term == "chair"} == {round(math.log(2), 9)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stems_of_texts_without_a_key_or_with_the_same(spark):
+    """Many documents a part, among them null keys, keys that come twice, null and empty texts: as one by one."""
+    texts = [None, "", "the of", "connecting connected lamps", "lamp lamps lamp", "chairs", "agreed yyy", "lamps"]
+    rows = [(None if i % 17 == 0 else i % 90, texts[(i if i % 17 == 0 else i % 90) % 8]) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = relevance.tfidf(docs, stemmed=True)
+    assert relevance.dense(docs) and "__salt" not in plan(found)
+    stem = {"connecting": "connect", "connected": "connect", "lamps": "lamp", "lamp": "lamp", "chairs": "chair", "agreed": "agre", "yyy": "yyi"}
+    words = {}
+    for key, text in rows:
+        for w in (text or "").replace("the of", "").split():
+            words.setdefault(key, []).append(stem[w])
+    tf = relevance.stemmed_frequencies(relevance.term_frequencies(docs))
+    assert sorted(((r.doc_id or -1, r.term, r.n) for r in tf.collect())) == sorted((k or -1, t, ws.count(t)) for k, ws in words.items() for t in set(ws))
+    df = {t: sum(t in ws for ws in words.values()) for t in stem.values()}
+    assert {(r.doc_id, r.term): round(r.idf, 9) for r in found.collect()} == {(k, t): round(math.log(180 / df[t]), 9) for k, ws in words.items() for t in ws}

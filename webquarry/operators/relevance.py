@@ -2,7 +2,8 @@
 
 Documents are exchanged once, as raw text, on their key; counting terms and norms per
 document then stays inside the partition.  The only other exchange is the one on the
-term for document frequencies and their way back, where hot terms are salted.
+term for document frequencies and their way back, where hot terms are salted.  With stems, where a part of the texts
+holds many documents, rows stay with their texts: each part sends its distinct terms with their counts and gets their idf back.
 Inverse document frequencies come from the corpus, not from the pair of page and task.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 
 from webquarry.functions import text as T
 from webquarry.operators import entities as E
-from webquarry.operators.skew import in_parts, known_parts, laid_out, parts_of, ranked, salted_lookup
+from webquarry.operators.skew import PART, dealt, dense, in_parts, known_parts, laid_out, parts_of, placed, placed_of, ranked, salted_lookup
 from webquarry.operators.stems import stems, with_stems
 from webquarry.session import cut_lineage
 
@@ -70,32 +71,59 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     both follow that layout and need no further exchange.
     """
     parts = parts_of(docs, text)
-    rows = laid_out(docs.select(key, text), key, parts)
-    rows = rows.select(key, term_array(F.col(text)).alias("ts")).select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    counted = rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.first("len").alias("len"))
-    return in_parts(counted.select(key, "term", "n", (F.col("n") / F.col("len")).alias("tf")), parts)
+    rows = docs.select(key, text)
+    out = in_parts(_counted(laid_out(rows, key, parts), [key], text), parts)
+    return placed(out, counted=_counted(dealt(rows, key, parts), [PART, key], text)) if parts and dense(docs) else out
+
+
+def _counted(docs: DataFrame, by: list[str], text: str) -> DataFrame:
+    rows = docs.select(*by, term_array(F.col(text)).alias("ts")).select(*by, F.size("ts").alias("len"), F.explode("ts").alias("term"))
+    counted = rows.groupBy(*by, "term").agg(F.count("*").alias("n"), F.first("len").alias("len"))
+    return counted.select(*by, "term", "n", (F.col("n") / F.col("len")).alias("tf"))
 
 
 def stemmed_frequencies(tf: DataFrame, key: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
     """key, term, n, tf of `term_frequencies`, where terms with one stem are one term.
 
-    `known`: `counted_stems` of these terms, where they are at hand.
+    `known`: `counted_stems` of these terms, where they are at hand; else, where parts hold many documents, stems are found inside the parts.
     """
     parts = known_parts(tf)
+    both = [F.sum("n").alias("n"), F.sum("tf").alias("tf")]
+    here = placed_of(tf, "counted")
+    if here is not None and known is None:
+        found = with_stems(here, key).groupBy(PART, key, F.col("stem").alias("term")).agg(*both)
+        return placed(in_parts(found.drop(PART), parts), stemmed=found)
     found = with_stems(tf, key, parts=parts, known=known)
     found = (laid_out(found, key, parts) if parts else found).groupBy(key, F.col("stem").alias("term"))
-    return in_parts(found.agg(F.sum("n").alias("n"), F.sum("tf").alias("tf")), parts)
+    return in_parts(found.agg(*both), parts)
 
 
 def inverse_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf = ln(N / df).  Counts are combined before the shuffle, so hot terms arrive reduced."""
     total = docs.agg(F.count("*")).scalar()
-    by_term = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return by_term.select("term", "df", F.log(total / F.col("df")).alias("idf"))
+    idf = F.log(total / F.col("df")).alias("idf")
+    here = placed_of(tf, "stemmed")
+    if here is None:
+        by_term = tf.groupBy("term").agg(F.count("*").alias("df"))
+        return by_term.select("term", "df", idf)
+    # A term is as many rows as it has parts.  The idf of the corpus and of the parts need the same columns of them, so they are exchanged once.
+    by_part = here.where(F.col("term").isNotNull()).groupBy(PART, "term").agg(F.count("*").alias("n"))  # the join of `with_idf` would add this filter to one
+    by_part = laid_out(by_part, "term", known_parts(tf))
+    same = W.partitionBy("term")
+    by_part = by_part.select(PART, "term", F.sum("n").over(same).alias("df"), F.min(PART).over(same).alias("first"))
+    out = by_part.filter(F.col(PART) == F.col("first")).select("term", "df", idf)
+    return placed(out, of=here, by_part=by_part.select(PART, "term", idf))
 
 
 def with_idf(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """Every row gets the idf of its term.  A term found in a third of all rows, by its df, is spread over many tasks."""
+    """Every row gets the idf of its term.  A term found in a third of all rows, by its df, is spread over many tasks.
+
+    Where both come from the same `dealt` rows, the idf of its terms is sent to each part instead, and the rows stay.
+    """
+    here = placed_of(tf, "stemmed")
+    if here is not None and here is placed_of(idf, "of"):
+        near = placed_of(idf, "by_part").repartitionById(known_parts(tf), F.col(PART))
+        return here.join(near, ["term", PART]).drop(PART)
     return salted_lookup(tf, idf.select("term", "idf", "df"), "term", key, count="df", parts=known_parts(tf))
 
 

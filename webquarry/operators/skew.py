@@ -14,7 +14,11 @@ from webquarry.session import cut_lineage
 SALTS = 16
 LOOKUP_PARTS = 200
 PART_BYTES = 8 * 1024 * 1024
+DENSE = 8
+PART = "__part"
 _parts: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+_dense: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
+_placed: WeakKeyDictionary[DataFrame, dict[str, DataFrame]] = WeakKeyDictionary()
 
 
 def parts_of(rows: DataFrame, text: str) -> int | None:
@@ -25,11 +29,17 @@ def parts_of(rows: DataFrame, text: str) -> int | None:
     if rows.isStreaming:
         return None
     if rows not in _parts:
-        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        _parts[rows] = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+        size, texts = rows.agg(F.sum(F.octet_length(text)), F.count(text)).first()
+        _parts[rows] = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // PART_BYTES))
+        _dense[rows] = texts >= DENSE * _parts[rows]
     return _parts[rows]
 
 
+def dense(rows: DataFrame) -> bool:
+    """Whether `parts_of` found several texts for a task, so that many of them share their terms."""
+    return _dense.get(rows, False)
+
+
 def in_parts(rows: DataFrame, parts: int | None) -> DataFrame:
     """`rows`, of which `known_parts` says from now on how many tasks they are for."""
     if parts:
@@ -46,6 +56,25 @@ def laid_out(rows: DataFrame, by: str, parts: int | None) -> DataFrame:
     return rows.repartition(parts, by) if parts else rows.repartition(by)
 
 
+def dealt(rows: DataFrame, by: str, parts: int) -> DataFrame:
+    """`rows` with the number of their task, by a hash of `by`, and exchanged into it.
+
+    Groups and joins on this number and other columns follow the layout and move nothing.
+    """
+    part = F.coalesce(F.pmod(F.hash(by), F.lit(parts)), F.lit(0))  # never null: joins add no filter, so all who read these rows share one exchange
+    return rows.withColumn(PART, part).repartitionById(parts, F.col(PART))
+
+
+def placed(rows: DataFrame, **frames: DataFrame) -> DataFrame:
+    """`rows`, to which these frames of `dealt` rows belong from now on; `placed_of` gives them by name."""
+    _placed[rows] = frames
+    return rows
+
+
+def placed_of(rows: DataFrame, name: str) -> DataFrame | None:
+    return _placed.get(rows, {}).get(name)
+
+
 def salted_lookup(
     rows: DataFrame, lookup: DataFrame, on: str, by: str, how: str = "inner", salts: int = SALTS, count: str | None = None, parts: int | None = None
 ) -> DataFrame:

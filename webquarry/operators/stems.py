@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.operators.skew import salted_lookup
+from webquarry.operators.skew import PART, salted_lookup
 
 # The suffixes of each step and what takes their place.
 PLURALS = {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}
@@ -71,8 +71,16 @@ def stems(terms: DataFrame, term: str = "term") -> DataFrame:
 
 def counted_stems(terms: DataFrame, term: str = "term") -> DataFrame:
     """term, stem, term_rows: `stems` with the number of rows of each term."""
-    w, stem, suffix = F.col("w"), F.col("stem"), F.col("suffix")
     words = terms.select(F.col(term).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("term_rows"))
+    # One row a term, already laid out by it: the aggregate moves nothing, and keeps filters of later joins from being pushed into the
+    # steps, where each would repeat the steps before it.
+    return _by_steps(words).groupBy("term").agg(F.first("stem").alias("stem"), F.first("term_rows").alias("term_rows"))
+
+
+def _by_steps(words: DataFrame) -> DataFrame:
+    """`words` with the `stem` of their `term`, worked out for every row."""
+    kept = words.columns
+    w, stem, suffix = F.col("w"), F.col("stem"), F.col("suffix")
     words = words.withColumn("w", F.regexp_replace(F.regexp_replace("term", "(^|[aeiou])y", "$1Y"), "yy", "yY"))
     words = _step(words, PLURALS, F.lit(True))
     words = _cut(words, ENDINGS)
@@ -92,15 +100,25 @@ def counted_stems(terms: DataFrame, term: str = "term") -> DataFrame:
     words = _step(words, LAST_SUFFIXES, (_measure(stem) > 1) & ((suffix != "ion") | F.right(stem, F.lit(1)).isin("s", "t")))
     words = _step(words, {"e": ""}, (_measure(stem) > 1) | ((_measure(stem) == 1) & ~_short(stem)))
     words = words.withColumn("w", F.when((_measure(w) > 1) & w.endswith("ll"), F.expr("left(w, length(w) - 1)")).otherwise(w))
-    stem = F.when(F.length("term") > 2, F.lower("w")).otherwise(F.col("term"))
-    # One row a term, already laid out by it: the aggregate moves nothing, and keeps filters of later joins from being pushed into the
-    # steps, where each would repeat the steps before it.
-    return words.groupBy("term").agg(F.first(stem).alias("stem"), F.first("term_rows").alias("term_rows"))
+    return words.select(*kept, F.when(F.length("term") > 2, F.lower("w")).otherwise(F.col("term")).alias("stem"))
+
+
+def _stems_in_place(rows: DataFrame, term: str) -> DataFrame:
+    """`dealt` rows with the stem of their term, worked out once for every term of a part; the rows stay in their part."""
+    rest = [c for c in rows.columns if c not in (PART, term)]
+    words = rows.where(F.col(term).isNotNull()).groupBy(F.col(term).alias("term"), PART)  # the term first: the other says nothing to a sort
+    words = _by_steps(words.agg(F.collect_list(F.struct(*rest)).alias("__rows")))
+    # The stem goes through the generator, as the optimizer otherwise follows it from later joins into the steps, where each repeats the steps before it.
+    stemmed = F.transform("__rows", lambda r: F.struct(F.col("stem").alias("stem"), *[r[c].alias(c) for c in rest]))
+    return words.select(PART, F.col("term").alias(term), F.inline(stemmed))
 
 
 def with_stems(rows: DataFrame, by: str, term: str = "term", parts: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """`rows` with the stem of their term, worked out once for every distinct term; a term of a third of all rows is spread by `by`.
 
     `known`: `counted_stems` of these terms, where they are at hand; its counts only tell which terms are spread.
+    `dealt` rows are not exchanged: each part works out the stems of its own distinct terms.
     """
+    if PART in rows.columns:
+        return _stems_in_place(rows, term)
     return salted_lookup(rows, counted_stems(rows, term) if known is None else known, term, by, count="term_rows", parts=parts)
