@@ -128,7 +128,7 @@ def test_best_segments_of_a_key_that_comes_twice(spark):
     assert sorted((r.page_id, r.method, r.data["price"]) for r in found.filter("type = 'pricing'").collect()) == [(1, "segments", "$3"), (1, "segments", "$9")]
 
 
-@pytest.mark.parametrize("cosine", [False])
+@pytest.mark.parametrize("cosine", [False, True])
 def test_rows_of_stems_stay_with_their_texts(spark, monkeypatch, cosine):
     """Texts travel once; behind them only one row for each term of a part, there and back."""
     monkeypatch.setattr(skew, "PART_BYTES", 1000)

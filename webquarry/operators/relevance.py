@@ -160,7 +160,9 @@ def _query_map(terms: dict[str, float]) -> Column:
 def _query_norm(idf: DataFrame, terms: dict[str, float]):
     """Length of the task vector, as a scalar subquery over its few terms."""
     q = F.try_element_at(_query_map(terms), F.col("term"))
-    return idf.filter(F.col("term").isin(list(terms))).agg(F.sqrt(F.sum(F.pow(q * F.col("idf"), 2)))).scalar()
+    # A filter would go below the exchange of the parts' terms, which then is made again for these few.
+    few = idf.filter(F.col("term").isin(list(terms))) if placed_of(idf, "by_part") is None else idf
+    return few.agg(F.sqrt(F.sum(F.pow(q * F.col("idf"), 2)))).scalar()
 
 
 def cosine_query(weights: DataFrame, idf: DataFrame, task: str, key: str = "doc_id", stemmed: bool = False) -> DataFrame:
